@@ -33,5 +33,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_docs(spark, sf_dir), _path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op5_packing, op8_token_counts)}
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftlog.llm.fingerprints import edited_neighbours
+
+    return edited_neighbours(_docs(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op5_packing, op8_token_counts, op10_fingerprints)}
 ORACLES: dict[str, str] = {}
