@@ -21,6 +21,12 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_docs(spark, sf_dir), _path("word_bpe_49k.json"), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftlog.llm.toxicity import toxicity
+
+    return toxicity(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftlog.llm.packing import pack
 
@@ -39,5 +45,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_neighbours(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op5_packing, op8_token_counts, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op4_toxicity, op5_packing, op8_token_counts, op10_fingerprints)}
 ORACLES: dict[str, str] = {}
