@@ -161,12 +161,12 @@ class MergeAutomaton:
         return out[::-1]
 
 
-def _fixed_patterns() -> dict[str, str]:
+def pattern(kind: str) -> str:
     # The pre-tokenisation patterns of the two public vocabularies.
     return {
         "words": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
         "bytes": r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
-    }
+    }[kind]
 
 
 class Splitter:
@@ -203,7 +203,7 @@ class Encoder:
         suffix = model.get("end_of_word_suffix")
         self.lower = bool(spec.get("normalizer"))
         self.automaton = MergeAutomaton(model["vocab"], model["merges"], suffix)
-        self.split = Splitter(_fixed_patterns()["words" if suffix else "bytes"])
+        self.split = Splitter(pattern("words" if suffix else "bytes"))
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
         self.name = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}

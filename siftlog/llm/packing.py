@@ -9,13 +9,16 @@ its place in its queue alone, in any partition, and the deficits agree across pa
 
 from __future__ import annotations
 
+import json
 import zlib
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from siftlog.llm.bpe import Words, encoder
+from siftlog.llm.bpe import byte_letters, pattern
 from siftlog.llm.texts import slices
 from siftlog.scratch import materialize
 
@@ -23,28 +26,57 @@ FIXED = 16
 PIECES = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, window_id bigint, queue string"
 
 
+class ByteIds:
+    """Ids of a byte-level vocabulary file, whose ids are in the order of its merges, by the tiktoken library."""
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        spec = json.load(open(path, encoding="utf-8"))
+        vocab = spec["model"]["vocab"]
+        merges = [m.split(" ", 1) if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        order = [vocab[a + b] for a, b in merges]
+        if spec.get("normalizer") or order != sorted(order):
+            raise ValueError("not a plain byte-level vocabulary with ids in merge order")
+        back = {c: b for b, c in enumerate(byte_letters())}
+        ranks = {bytes(back[c] for c in t): i for t, i in vocab.items() if all(c in back for c in t)}
+        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        for t in self.special:
+            ranks.pop(t.encode(), None)
+        self.largest = max([*vocab.values(), *self.special.values()])
+        self.encode = tiktoken.Encoding("ids", pat_str=pattern("bytes"), mergeable_ranks=ranks, special_tokens=self.special)
+
+    def __call__(self, text: str) -> list[np.ndarray]:
+        """Parts of the ids of ``text``; special strings in it become their id."""
+        return [self.encode.encode_to_numpy(text, allowed_special="all")]
+
+
+@lru_cache(2)
+def ids_of(path: str) -> ByteIds:
+    return ByteIds(path)
+
+
 def _tokenized(docs: DataFrame, path: str, end_id: int, queue: str) -> DataFrame:
     """Ids of each document with its place in its partition's stream of its queue."""
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        e = encoder(path)
-        wide = max([end_id, *e.name]) > 65535
-        width = 4 if wide else 2
-        word = lambda w: b"".join(i.to_bytes(width, "little") for i in ([w] if isinstance(w, int) else e.word_ids(w)))
-        words = e.__dict__.setdefault("packed", Words(word))
-        end, part = end_id.to_bytes(width, "little"), TaskContext.get().partitionId()
+        e = ids_of(path)
+        kind = "<u4" if max(end_id, e.largest) > 65535 else "<u2"
+        end, part = np.array([end_id], kind), TaskContext.get().partitionId()
         at: dict[str, int] = {}
         for batch in batches:
             for rows in slices(batch):
                 queues = [q or "" for q in rows.column("queue").to_pylist()]
-                ids = [b"".join([words[p] for p in e.pieces(t or "")]) + end for t in rows.column("text").to_pylist()]
-                starts = []
-                for q, x in zip(queues, ids):
+                starts, sizes, ids = [], [], []
+                for q, text in zip(queues, rows.column("text").to_pylist()):
+                    found = np.concatenate([*e(text or ""), end]).astype(kind)
                     starts.append(at.get(q, 0))
-                    at[q] = starts[-1] + len(x) // width
+                    sizes.append(len(found))
+                    ids.append(found.tobytes())
+                    at[q] = starts[-1] + sizes[-1]
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), pa.array(queues), pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+                    [rows.column("doc_id"), pa.array(queues), pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())],
                     names=["doc_id", "queue", "part", "at", "n", "ids"],
                 )
 
@@ -148,8 +180,6 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, length: int = 1024, window
     window = window_sequences * length
 
     def place(batches):
-        import numpy as np
-
         layout = Layout(totals, shares, window, length)
         for batch in batches:
             columns = {k: batch.column(k).to_pylist() for k in ("queue", "q", "base", "at", "n")}
