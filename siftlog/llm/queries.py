@@ -21,6 +21,12 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_docs(spark, sf_dir), _path("word_bpe_49k.json"), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftlog.llm.quality import classify
+
+    return classify(_docs(spark, sf_dir))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftlog.llm.toxicity import toxicity
 
@@ -45,5 +51,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_neighbours(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op4_toxicity, op5_packing, op8_token_counts, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op3_quality, op4_toxicity, op5_packing, op8_token_counts, op10_fingerprints)}
 ORACLES: dict[str, str] = {}
