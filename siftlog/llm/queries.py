@@ -39,17 +39,29 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_docs(spark, sf_dir), _path("byte_bpe_50k.json"))
 
 
+def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftlog.llm.vectors import near_vectors
+
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftlog.llm.token_counts import count_tokens
 
     return count_tokens(_docs(spark, sf_dir), _path("byte_bpe_50k.json"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftlog.llm.jaccard import jaccard_components
+
+    return jaccard_components(_docs(spark, sf_dir), k=4, percent=85)
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftlog.llm.fingerprints import edited_neighbours
 
     return edited_neighbours(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op3_quality, op4_toxicity, op5_packing, op8_token_counts, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op3_quality, op4_toxicity, op5_packing, op6_near_vectors, op8_token_counts, op9_jaccard, op10_fingerprints)}
 ORACLES: dict[str, str] = {}
