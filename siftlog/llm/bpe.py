@@ -107,7 +107,7 @@ class MergeAutomaton:
         for j in range(1, n + 1):
             if j == skip:
                 continue
-            for i in range(max(0, j - longest), j):
+            for i in range(j - 1, max(0, j - longest) - 1, -1):
                 if i == skip or (i and last[i] < 0):
                     continue
                 t = find.get(word[i:j])

@@ -29,7 +29,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
 
     def make(_, texts):
         e = encoder(path)
-        words = e.__dict__.setdefault("counts", Words(_count(e)))
+        words = e.__dict__.setdefault("counts", Words(_count(e), 600_000))
         counts = [sum([words[p] for p in e.pieces(t)]) for t in texts]
         sizes = [len(t) if t.isascii() else len(t.encode("utf-8")) for t in texts]
         return [pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())]
