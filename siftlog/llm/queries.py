@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siftlog.llm import licenses
+
 
 def _path(name: str) -> str:
     import public_tokenizers
@@ -15,6 +17,12 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftlog.llm.licenses import scan_licenses
+
+    return scan_licenses(_docs(spark, sf_dir))
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftlog.llm.tokenization import encode_decode
 
@@ -45,6 +53,12 @@ def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftlog.llm.passages import repeated_passages
+
+    return repeated_passages(_docs(spark, sf_dir))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftlog.llm.token_counts import count_tokens
 
@@ -63,5 +77,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_neighbours(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op3_quality, op4_toxicity, op5_packing, op6_near_vectors, op8_token_counts, op9_jaccard, op10_fingerprints)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_bpe_round_trip, op3_quality, op4_toxicity, op5_packing, op6_near_vectors, op7_repeated_passages, op8_token_counts, op9_jaccard, op10_fingerprints)}
+ORACLES: dict[str, str] = {"op1_license_scan": licenses.oracle()}
