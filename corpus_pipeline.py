@@ -1,8 +1,70 @@
-"""A training-data pipeline over ``documents``."""
+"""A training-data pipeline over ``documents``: five stages, each a function (spark, docs, sf_dir) -> DataFrame.
 
-STAGES: list = []
+All stages but the last return the columns of ``documents``. ``run`` writes each stage's rows to the
+shared checkpoint folder and reads them again for the next.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from siftlog.llm import jaccard, packing, passages, quality, toxicity
+from siftlog.scratch import materialize
+
+
+def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Rows whose id has no verdict against it; ``verdicts(doc_id)`` holds the rejected ids, null for a null id."""
+    bad = verdicts.select(F.col("doc_id").alias("rejected")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("rejected")), "left_anti")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Reject documents that operator 4 predicts to be toxic; it learns from ``labels`` of this folder."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = toxicity.toxicity(docs, labels)
+    return _keep(docs, found.where("predicted = 1"))
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Reject documents that operator 3 predicts to be of poor quality."""
+    return _keep(docs, quality.classify(docs).where("predicted = 0"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep of each class of operator 9 (five words, likeness 0.8) the smallest id, and one row of it."""
+    found = jaccard.jaccard_components(docs, k=5, percent=80)
+    kept = _keep(docs, found.where("component_id <> doc_id"))
+    named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
+    return named.unionByName(kept.where("doc_id is null"))
+
+
+def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut passages of operator 7 out of every document but the first that has them."""
+    return passages.remove_passages(docs, passages.repeated_passages(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack what is left into sequences with operator 5, every window in the proportions of the sources."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality", drop_poor),
+    ("near_copies", drop_near_copies),
+    ("passages", cut_passages),
+    ("packing", pack),
+]
+
+#: Learned models, chains and tokenisers are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = materialize(docs, f"stage-{name}")
+    return docs
