@@ -20,7 +20,11 @@ from pyspark.sql import DataFrame, functions as F
 from siftlog.llm.shingles import shingles
 from siftlog.llm.texts import slices
 from siftlog.operators.graph import connected_components
-from siftlog.scratch import materialize
+from siftlog.scratch import materialize, release
+
+
+#: Tokens kept beyond a prefix: a set with as few frequent tokens need not be read again.
+SPARE = 8
 
 
 def _slack(n: int, percent: int) -> int:
@@ -38,7 +42,7 @@ def _sets(docs: DataFrame, k: int, percent: int, heads: int) -> DataFrame:
                     s = np.unique(grams)
                     signed = s.view(np.int64)
                     odd = s * np.uint64(0xD6E8FEB86659FD93) ^ (s >> np.uint64(32))
-                    rows.append((len(s), int(s.sum().view(np.int64)) if len(s) else 0, int(np.bitwise_xor.reduce(odd).view(np.int64)) if len(s) else 0, signed[:heads], signed[: _slack(len(s), percent) + 1]))
+                    rows.append((len(s), int(s.sum().view(np.int64)) if len(s) else 0, int(np.bitwise_xor.reduce(odd).view(np.int64)) if len(s) else 0, signed[:heads], signed[: _slack(len(s), percent) + 1 + SPARE]))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.list_(pa.int64())), pa.array([r[4] for r in rows], pa.list_(pa.int64()))],
                     names=["doc_id", "n", "a", "b", "heads", "prefix"],
@@ -48,6 +52,22 @@ def _sets(docs: DataFrame, k: int, percent: int, heads: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, a bigint, b bigint, heads array<bigint>, prefix array<bigint>")
 
 
+def _trim(sets: DataFrame, percent: int, frequent: list[int], kind: str) -> DataFrame:
+    """Prefixes of rare tokens from the stored ones; null where those run out before the prefix is full."""
+
+    def run(batches):
+        common = np.array(sorted(frequent), np.int64)
+        for batch in batches:
+            out = []
+            for n, kept in zip(batch.column("n").to_pylist(), batch.column("prefix").to_pylist()):
+                kept = np.array(kept, np.int64)
+                need, rare = _slack(n, percent) + 1, kept[~np.isin(kept, common)]
+                out.append(rare[:need] if len(rare) >= need else None)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n", "component")), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "n", "component", "prefix"])
+
+    return sets.select("doc_id", "n", "component", "prefix").mapInArrow(run, f"doc_id {kind}, n bigint, component {kind}, prefix array<bigint>")
+
+
 def _signatures(docs: DataFrame, k: int, percent: int, frequent: dict[int, int]) -> DataFrame:
     """Rare tokens and pairs of frequent ones in the extended prefix of each text."""
 
@@ -81,8 +101,8 @@ def _only(docs: DataFrame, ids: DataFrame, broadcast_rows: int) -> DataFrame:
 def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int, broadcast_rows: int) -> DataFrame:
     """``pairs(u, v)`` whose texts' shingle sets have 100 * intersection >= percent * union."""
     pairs = materialize(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    texts = materialize(_only(docs.select("doc_id", "text"), materialize(ids, "ids"), broadcast_rows), "texts")
+    ids = materialize(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "ids")
+    texts = materialize(_only(docs.select("doc_id", "text"), ids, broadcast_rows), "texts")
     both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
     both = both.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v").select("u", "v", "text_u", "text_v")
 
@@ -97,10 +117,12 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int, broadcast_ro
                 yield part.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return materialize(both.mapInArrow(run, f"u {kind}, v {kind}"), "links")
+    links = materialize(both.mapInArrow(run, f"u {kind}, v {kind}"), "links")
+    release(pairs, ids, texts)
+    return links
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, heads: int = 4, often: int = 64, max_frequent: int = 4096, broadcast_rows: int = 1_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, heads: int = 16, pivots: int = 4, often: int = 200, max_frequent: int = 4096, broadcast_rows: int = 1_000_000) -> DataFrame:
     """``doc_id, n_shingles, component_id``: classes of texts linked by Jaccard likeness of at least ``percent``.
 
     Exact up to 64-bit hash equality. Sets are of distinct ``k``-word shingles of whole texts; a shorter
@@ -108,50 +130,56 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, heads: in
     give a row that links with nothing; a repeated id counts as one document per row with that id. Other
     columns are ignored; an empty table gives no rows.
 
-    ``often``: a token that lies in the prefixes of more components is frequent; at most ``max_frequent``
-    of them, the most frequent ones, are (any choice gives the same links). Equal sets are joined by
-    digest; one of them stands for all.
+    ``often``: a token that lies in the prefixes of more sets, of several components, is frequent; at most
+    ``max_frequent`` of them, the most frequent ones, are (any choice gives the same links). Equal sets
+    are joined by digest; one of them stands for all. ``heads`` smallest tokens serve as a sketch to find
+    pivots, by which most copies are joined early; what that misses the index finds.
     """
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     sets = materialize(_sets(docs, k, percent, heads), "sets")
     known = sets.where("n > 0 and doc_id is not null")
     classes = known.groupBy("a", "b", "n").agg(F.min("doc_id").alias("v"))
-    same = known.select("doc_id", "a", "b", "n").join(classes, ["a", "b", "n"]).select(F.col("doc_id").alias("u"), "v").distinct()
-    same = materialize(same, "same")
+    same = materialize(known.select("doc_id", "a", "b", "n").join(classes, ["a", "b", "n"]).select(F.col("doc_id").alias("u"), "v").distinct(), "same")
     one = same.where("u = v").select(F.col("u").alias("doc_id"))
-    reps = materialize(known.join(one, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "heads", "prefix"), "reps")
+    few = lambda frame: F.broadcast(frame) if frame.count() <= broadcast_rows else frame
+    reps = known.join(few(one), "doc_id", "left_semi")
 
     fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-    heads_ = reps.select("doc_id", "n", F.explode("heads").alias("token"))
-    pivots = heads_.groupBy("token").agg(F.min_by(F.struct("doc_id", "n"), F.col("doc_id")).alias("p"), F.count("*").alias("c")).where("c > 1")
-    stars = heads_.join(pivots, "token").selectExpr("doc_id as u", "p.doc_id as v", "n", "p.n as m").where(f"u <> v and {fits}").select("u", "v").distinct()
+    first = reps.select("doc_id", "n", "heads", F.explode(F.slice("heads", 1, pivots)).alias("token"))
+    low = first.groupBy("token").agg(F.min_by(F.struct("doc_id", "n", "heads"), F.col("doc_id")).alias("p"), F.count("*").alias("c")).where("c > 1")
+    stars = first.join(low, "token").selectExpr("doc_id as u", "p.doc_id as v", "n", "p.n as m", "size(array_intersect(heads, p.heads)) as common", "least(size(heads), size(p.heads)) as most")
+    stars = stars.where(f"u <> v and {fits} and 2 * common >= most").select("u", "v").distinct()
     links = verify(stars, docs, k, percent, broadcast_rows)
     groups = materialize(connected_components(links), "groups")
+    named = one.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
+    named = materialize(named, "named")
+    reps = known.select("doc_id", "n", "prefix").join(few(named), "doc_id")
 
-    def labelled(frame: DataFrame) -> DataFrame:
-        return frame.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    def tokens(frame: DataFrame, prefix) -> DataFrame:
+        return frame.select("doc_id", "n", "component", F.explode(prefix).alias("token"))
 
-    def tokens(frame: DataFrame) -> DataFrame:
-        return frame.select("doc_id", "n", "component", F.explode("prefix").alias("token"))
+    def mixed(index: DataFrame) -> DataFrame:
+        counts = index.groupBy("token").agg(F.count("*").alias("c"), F.min("component").alias("low"), F.max("component").alias("high"))
+        return counts.where("low <> high").select("token", "c")
 
-    reps = materialize(labelled(reps.drop("heads")), "reps")
-    spread = tokens(reps).groupBy("token", "component").agg(F.count("*").alias("x")).groupBy("token").agg(F.count("*").alias("c"))
-    hot = [r["token"] for r in spread.where(F.col("c") > often).orderBy(F.desc("c"), "token").limit(max_frequent).collect()]
+    index = tokens(reps, F.expr(f"slice(prefix, 1, cast(n - ({percent} * n + 99) div 100 + 1 as int))"))
+    shared = materialize(mixed(index), "mixed")
+    hot = [r["token"] for r in shared.where(F.col("c") > often).orderBy(F.desc("c"), "token").limit(max_frequent).collect()]
     if hot:
-        frequent = {h % (1 << 64): 1 for h in hot}
-        touched = reps.where(F.arrays_overlap("prefix", F.lit(hot)))
-        anew = materialize(_signatures(_only(docs, materialize(touched.select("doc_id"), "ids"), broadcast_rows), k, percent, frequent), "anew")
-        anew = anew.dropDuplicates(["doc_id"]).withColumnRenamed("prefix", "other")
-        reps = reps.join(anew, "doc_id", "left").select("doc_id", "n", "component", F.coalesce("other", "prefix").alias("prefix"))
-    index = materialize(tokens(reps), "index")
-    mixed = index.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    index = index.join(mixed.select("token"), "token", "left_semi")
+        trimmed = materialize(_trim(reps, percent, hot, kind), "trimmed")
+        short = materialize(trimmed.where("prefix is null").select("doc_id", "n", "component"), "short")
+        anew = _signatures(_only(docs, short.select("doc_id"), broadcast_rows), k, percent, {h % (1 << 64): 1 for h in hot})
+        anew = anew.join(few(short), "doc_id").select("doc_id", "n", "component", "prefix")
+        index = tokens(materialize(trimmed.where("prefix is not null").unionByName(anew), "anew"), "prefix")
+        release(shared)
+        shared = materialize(mixed(index), "mixed")
+    index = materialize(index.join(few(shared.select("token")), "token", "left_semi"), "index")
     left = index.selectExpr("token", "doc_id as u", "n", "component as cu")
     right = index.selectExpr("token", "doc_id as v", "n as m", "component as cv")
     candidates = left.join(right, "token").where(f"cu > cv and {fits}").select("u", "v").distinct()
     more = verify(candidates, docs, k, percent, broadcast_rows)
-    found = connected_components(same.where("u <> v").unionByName(links).unionByName(more))
+    found = materialize(connected_components(same.where("u <> v").unionByName(links).unionByName(more)), "found")
     found = found.select(F.col("node").alias("doc_id"), F.col("component").cast(kind).alias("component_id"))
     rows = sets.select("doc_id", F.col("n").alias("n_shingles"))
-    return rows.join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return rows.join(few(found), "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
