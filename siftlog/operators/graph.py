@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from siftlog.scratch import materialize
+from siftlog.scratch import materialize, release
 
 
 def _tally(edges: DataFrame) -> tuple:
@@ -42,7 +42,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         large = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-        forest = materialize(small.where("u <> v").distinct(), "edges")
+        old, forest = forest, materialize(small.where("u <> v").distinct(), "edges")
+        release(old)
         before, seen = seen, _tally(forest)
         if before == seen:
             break
