@@ -65,7 +65,8 @@ def violations(sessions: DataFrame, events: DataFrame) -> DataFrame:
         (F.count_distinct("event_id") != F.count("*")).alias("repeated_event"),
     )
     order = sessions.join(members.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "at"))).alias("path")), "session_id")
-    unsorted = order.where(F.exists(F.sequence(F.lit(0), F.size("path") - 2), lambda i: F.element_at("path", i + 1)["at"] > F.try_element_at("path", i + 2)["at"]) & (F.size("path") > 1)).select("session_id", F.lit("unordered").alias("rule"))
+    steps = F.zip_with(F.expr("slice(path, 1, size(path) - 1)"), F.expr("slice(path, 2, size(path))"), lambda x, y: x["at"] > y["at"])
+    unsorted = order.where(F.exists(steps, lambda x: x)).select("session_id", F.lit("unordered").alias("rule"))
     rules = ["missing_event", "event_outside", "other_entity", "wrong_start", "wrong_end", "wrong_count", "repeated_event"]
     listed = per.select("session_id", F.explode(F.filter(F.array(*(F.when(F.col(r), F.lit(r)) for r in rules)), lambda x: x.isNotNull())).alias("rule"))
     return listed.unionByName(unsorted)

@@ -108,7 +108,7 @@ def with_years(lines: DataFrame) -> DataFrame:
     and the month. The state follows all lines with a stamp, also those that fail later. A line's step
     depends on the last month before it, so one window by source carries both; sources are files.
     """
-    month = F.when(F.col("stamp").rlike("^[0-9]{4}-"), F.substring("stamp", 6, 2).try_cast("int")).otherwise(F.nullif((F.locate(F.substring("stamp", 1, 3), F.lit(MONTHS)) + 2) / 3, F.lit(2 / 3)).cast("int"))
+    month = F.when(F.col("stamp").rlike("^[0-9]{4}-"), F.substring("stamp", 6, 2).try_cast("int")).otherwise(F.expr(f"cast(nullif(instr('{MONTHS}', substring(stamp, 1, 3)), 0) + 2 as int) div 3").cast("int"))
     w = Window.partitionBy("source").orderBy("line_no")
     out = lines.withColumns({"_iso": F.coalesce(F.col("stamp").rlike("^[0-9]{4}-"), F.lit(False)), "_month": F.when(F.col("stamp").isNotNull(), month)})
     out = out.withColumn("_last", F.last("_month", True).over(w.rowsBetween(Window.unboundedPreceding, -1)))

@@ -1,4 +1,5 @@
 """Registered queries of the log-evidence operators and the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from siftlog.plans.reports import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

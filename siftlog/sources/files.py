@@ -106,13 +106,17 @@ def read_sessions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SESSION_SCHEMA).parquet(path)
 
 
+#: Timestamps keep their microseconds in JSON.
+JSON_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def to_json(events: DataFrame) -> DataFrame:
     """One JSON text per row."""
-    return events.select(F.to_json(F.struct("*")).alias("value"))
+    return events.select(F.to_json(F.struct("*"), JSON_TIMES).alias("value"))
 
 
 def from_json(lines: DataFrame, schema: str = EVENT_SCHEMA) -> DataFrame:
-    return lines.select(F.from_json("value", schema).alias("e")).select("e.*")
+    return lines.select(F.from_json("value", schema, JSON_TIMES).alias("e")).select("e.*")
 
 
 def import_sources(stored: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
