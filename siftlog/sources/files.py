@@ -63,7 +63,7 @@ def start_year(text: str = "text"):
 def read_labels_csv(spark: SparkSession, path: str) -> DataFrame:
     """Labels from CSV; true values are 1, true and yes; technique ids are a comma list."""
     raw = spark.read.option("header", True).schema("source string, line_no bigint, attack string, attack_family string, technique_ids string").csv(path)
-    ids = F.filter(F.transform(F.split(F.coalesce("technique_ids", F.lit("")), ","), F.trim), lambda x: x != "")
+    ids = F.filter(F.transform(F.split(F.coalesce("technique_ids", F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     return raw.select(F.element_at(F.split("source", "/"), -1).alias("source"), "line_no", F.lower(F.trim("attack")).isin("1", "true", "yes").alias("attack"), F.nullif(F.trim("attack_family"), F.lit("")).alias("attack_family"), ids.alias("technique_ids"))
 
 
@@ -135,7 +135,7 @@ def read_traces(spark: SparkSession, labels: str, traces: str) -> DataFrame:
     """Block labels and event lists from CSV; ``[E1,E2]`` becomes an array."""
     a = spark.read.option("header", True).schema("BlockId string, Label string").csv(labels)
     b = spark.read.option("header", True).schema("BlockId string, Label string, Type string, Features string, TimeInterval string, Latency string").csv(traces)
-    events = F.transform(F.split(F.expr("substring(Features, 2, length(Features) - 2)"), ","), F.trim)
+    events = F.transform(F.split(F.expr("substring(Features, 2, length(Features) - 2)"), ","), lambda x: F.trim(x))
     return b.select(F.col("BlockId").alias("block"), events.alias("events")).join(a.select(F.col("BlockId").alias("block"), (F.col("Label") == "Anomaly").alias("anomaly")), "block", "left")
 
 
