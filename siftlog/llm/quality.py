@@ -112,7 +112,7 @@ def fit_labellers(counts: dict[str, int], rounds: int = 200, prior: float = 0.15
     """Posterior of 'bad' for each vote pattern by EM over pattern counts (at most 3^8 of them).
 
     Votes are independent given the class; each labeller has its own rates of b, g and no vote in either
-    class. Starts from votes that are mostly right; smoothed, so that no rate is 0.
+    class. Starts from votes that are mostly right; those rates also count as ten documents of each class.
     """
     patterns = sorted(counts)
     if not patterns:
@@ -120,8 +120,8 @@ def fit_labellers(counts: dict[str, int], rounds: int = 200, prior: float = 0.15
     weight = np.array([counts[p] for p in patterns], float)
     vote = np.array([["bg-".index(c) for c in p] for p in patterns])
     m = vote.shape[1]
-    rate = np.empty((2, m, 3))
-    rate[1], rate[0] = [0.3, 0.1, 0.6], [0.02, 0.4, 0.58]
+    start = np.array([[[0.02, 0.4, 0.58]] * m, [[0.3, 0.1, 0.6]] * m])
+    rate = start.copy()
     share = prior
     post = np.zeros(len(patterns))
     for _ in range(rounds):
@@ -130,8 +130,7 @@ def fit_labellers(counts: dict[str, int], rounds: int = 200, prior: float = 0.15
         before, post = post, 1 / (1 + np.exp(-gap))
         for k, r in ((1, post * weight), (0, (1 - post) * weight)):
             for v in range(3):
-                rate[k, :, v] = ((vote == v) * r[:, None]).sum(axis=0) + 1
-            rate[k] /= rate[k].sum(axis=1, keepdims=True)
+                rate[k, :, v] = (((vote == v) * r[:, None]).sum(axis=0) + 10 * start[k, :, v]) / (r.sum() + 10)
         share = float(np.clip((post * weight).sum() / weight.sum(), 0.001, 0.5))
         if np.abs(post - before).max() < 1e-9:
             break
