@@ -866,3 +866,158 @@ def s14_import(spark, sf_dir):
     stored = d.where("doc_id % 3 <> 0").withColumn("sha256", F.when(F.col("doc_id") % 5 == 0, "old").otherwise(F.col("sha256")))
     new, hit = import_sources(stored, d)
     return new.select("path", F.lit("new").alias("kind")).unionByName(hit.select("path", F.lit("collision").alias("kind")))
+
+
+# --- the rest of the inventory -------------------------------------------------------------------
+
+
+@query(f"""select line_no, case when line_no % 97 <> 0 then host end as host, case when line_no % 97 <> 0 and event_type <> 'sudo_command' then line_no end as pid from ({EVENTS_SQL})""")
+def p1_headers(spark, sf_dir):
+    return parse.split_header(v.auth_lines(spark, sf_dir)).select("line_no", "host", "pid")
+
+
+@query(
+    f"""with ev as ({EVENTS_SQL}), l as (select line_no, ts, case line_no % 3 when 0 then 'UTC' when 1 then 'Asia/Kolkata' else 'Asia/Tokyo' end as zone from ev)
+    select line_no, date_trunc('second', ts) - case zone when 'UTC' then interval 0 minutes when 'Asia/Kolkata' then interval 330 minutes else interval 540 minutes end as instant from l"""
+)
+def p5_timestamps(spark, sf_dir):
+    zone = F.when(F.col("line_no") % 3 == 0, "UTC").when(F.col("line_no") % 3 == 1, "Asia/Kolkata").otherwise("Asia/Tokyo")
+    lines = v.auth_events(spark, sf_dir).select("line_no", F.date_format("ts", "MMM d HH:mm:ss").alias("stamp"), F.lit(2024).alias("year"), zone.alias("zone"), F.lit(None).cast("int").alias("dst_fold"))
+    return parse.parse_timestamps(lines).select("line_no", F.col("timestamp").cast("timestamp_ntz").alias("instant"))
+
+
+@query("""select doc_id, case doc_id % 4 when 0 then 'q' || doc_id when 1 then 't' || doc_id when 2 then 'run' || doc_id end as campaign from documents""")
+def e1_campaigns(spark, sf_dir):
+    d = v.table(spark, sf_dir, "documents")
+    path = F.expr("case doc_id % 4 when 0 then concat('a/sequences/q', doc_id, '/x') when 1 then concat('a/steps/t', doc_id, '/x') when 2 then concat('b/techniques/T1/run', doc_id, '/y') else concat('c/', doc_id) end")
+    return d.select("doc_id", path.alias("path")).select("doc_id", evaluate.campaign_id().alias("campaign"))
+
+
+@query("""select cast(doc_id % 700 as varchar) as item_id, count(*) as n from documents group by 1 having count(*) > 1""")
+def e5_repeated_items(spark, sf_dir):
+    return evaluate.repeated_items(v.table(spark, sf_dir, "documents").select((F.col("doc_id") % 700).cast("string").alias("item_id")))
+
+
+@query("""select 's' || doc_id as item_id, case when doc_id % 4 <> 0 then source end as source from documents where doc_id % 4 = 0 or doc_id % 6 = 0 or doc_id % 10 = 1""".replace(" or doc_id % 10 = 1", ""))
+def e6_hash_mismatches(spark, sf_dir):
+    d = v.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("session_id"), "source")
+    sources = d.select("source").distinct().withColumn("content_hash", F.lit("h"))
+    entries = d.select(F.col("session_id").alias("item_id"), F.when(F.col("doc_id") % 6 == 0, "old").otherwise("h").alias("content_hash"))
+    return evaluate.hash_mismatches(entries, d.where("doc_id % 4 <> 0").select("session_id", "source"), sources)
+
+
+@query("""with c as (select case toxic when 1 then 'attack' else 'normal' end as truth, source from documents join labels using (doc_id))
+    select (select count(*) from (select source from c where truth = 'attack' intersect select source from c where truth = 'normal')) = 0 as truth_follows_dataset, cast(0 as bigint) as several_techniques""")
+def e23_confounds(spark, sf_dir):
+    both = v.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("dataset_id")).join(v.table(spark, sf_dir, "labels"), "doc_id")
+    return evaluate.confounds(both.select("dataset_id", F.when(F.col("toxic") == 1, "attack").otherwise("normal").alias("truth"), F.array(F.lit("T1")).alias("techniques")))
+
+
+@query(f"""{BLOCKS_SQL} select cast(t as bigint) as train_end, cast(v as bigint) as validation_end from ends""")
+def b2_boundaries(spark, sf_dir):
+    ends = tr.boundary_lines(materialize(v.traces(spark, sf_dir).select("first_line"), "bounds"))
+    return spark.createDataFrame([ends], "train_end bigint, validation_end bigint")
+
+
+@query(f"""{SCORES_SQL} select context, event, cast(c as bigint) as c from pc""")
+def b5_baseline(spark, sf_dir):
+    return tr.fit_baseline(_split_traces(spark, sf_dir).where("split = 'train' and not anomaly"))[0]
+
+
+@query(f"""{SCORES_SQL} select block, bin, round(rarity, 6) as rarity from scored""")
+def b10_length_rarity(spark, sf_dir):
+    t = materialize(_split_traces(spark, sf_dir), "traces")
+    return tr.length_rarity(t.where("split = 'train' and not anomaly"), t).select("block", "bin", r6("rarity"))
+
+
+@query(f"""{SCORES_SQL} select q as quantile, round(threshold, 6) as threshold from th where candidate = 'mean' and q = 0.95""")
+def b7_threshold(spark, sf_dir):
+    rows = _blended(spark, sf_dir).where("candidate = 'mean' and split = 'validation'")
+    return spark.createDataFrame([(0.95, tr.normal_threshold(rows, 0.95))], "quantile double, threshold double").select("quantile", r6("threshold"))
+
+
+@query(f"""{BM25_SQL} select doc_id as document_id, len(w) as length, array_to_string(w[1:5], ' ') as head from toks""")
+def k1_tokens(spark, sf_dir):
+    return v.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), retrieval.tokenize("text").alias("w")).select("document_id", F.size("w").cast("bigint").alias("length"), F.array_join(F.slice("w", 1, 5), " ").alias("head"))
+
+
+@query("""select 'd' || doc_id as document_id, length(text) as n from documents union all select 'b' || item_id, length(text) from benchmark""")
+def k8_corpus(spark, sf_dir):
+    one = lambda t, key, mark: v.table(spark, sf_dir, t).select(F.concat(F.lit(mark), F.col(key).cast("string")).alias("document_id"), "text")
+    docs = retrieval.assemble(one("documents", "doc_id", "d"), one("benchmark", "item_id", "b"))
+    return docs.select("document_id", F.length("text").cast("bigint").alias("n"))
+
+
+@query(
+    f"""with ev as ({EVENTS_SQL}), old as (select "user" as value, min(line_no) as f from ev where "user" is not null and line_no <= 200 group by 1), o as (select value, row_number() over (order by f, value) - 1 as n from old),
+    new as (select "user" as value, min(line_no) as f from ev where "user" is not null and "user" not in (select value from old) group by 1)
+    select value, 'TOKEN_user_' || n as token from o union all select value, 'TOKEN_user_' || ((select count(*) from o) + row_number() over (order by f, value) - 1) from new"""
+)
+def r3_extended_map(spark, sf_dir):
+    e = v.auth_events(spark, sf_dir)
+    known = materialize(redact.token_map(e.where("line_no <= 200"), ["user"], "line_no"), "tokens")
+    return redact.extend_map(known, e, ["user"], "line_no").select("value", "token")
+
+
+@query()
+def r7_outbound(spark, sf_dir):
+    return redact.outbound(v.auth_events(spark, sf_dir), redact.EVENT_FIELDS, b"salt", "ev", "event_id")
+
+
+@query(f"""with ev as ({EVENTS_SQL}) select host as run, event_id as payload, "user" as identifier from ev where line_no % 50 = 0 and "user" is not null and false""")
+def r8_leaked(spark, sf_dir):
+    e = v.auth_events(spark, sf_dir).withColumn("run", F.col("line_no"))
+    safe = e.select("run", F.concat_ws(" ", "event_type", "event_id").alias("payload"))
+    return redact.leaked(safe, e.where("user is not null").select("run", F.col("user").alias("identifier")), "run").select(F.col("run").cast("string").alias("run"), "payload", "identifier")
+
+
+@query(f"""with ev as ({EVENTS_SQL}) select event_id as run_id, 'user-' || (line_no % 5) as pseudonym, case when line_no % 5 <> 3 then 'v' || (line_no % 5) end as value from ev""")
+def r11_mentions(spark, sf_dir):
+    e = v.auth_events(spark, sf_dir).select(F.col("event_id").alias("run_id"), (F.col("line_no") % 5).cast("string").alias("k"))
+    texts = e.select("run_id", F.concat(F.lit("seen user-"), "k", F.lit(", then user-"), "k", F.lit(" again")).alias("text"))
+    names = e.where("k <> '3'").select("run_id", F.concat(F.lit("user-"), "k").alias("pseudonym"), F.concat(F.lit("v"), "k").alias("value"))
+    return redact.mentioned(texts, names)
+
+
+@query(f"""{SESSION_EVENTS_SQL} select 'case-' || left(sha256(session_id), 20) as case_id, cast(ordinal as integer) as ordinal, event_id from se where ordinal < 2""")
+def q4_case_details(spark, sf_dir):
+    s = v.sessions(spark, sf_dir)
+    return cases.case_details(s.select(cases.case_id().alias("case_id")), s, sess.session_events(s), v.auth_events(spark, sf_dir), 2).select("case_id", "ordinal", "event_id")
+
+
+@query()
+def q2_normality_context(spark, sf_dir):
+    s = materialize(v.sessions(spark, sf_dir), "sessions")
+    ready = models.readiness(_hours(spark, sf_dir).select(F.lit("login_hour_rarity").alias("model_id"), "entity"), models.registry(spark).where("parent is null"))
+    return cases.normality_context(s.select("session_id"), history.context(s, v.auth_events(spark, sf_dir)), ready)
+
+
+@query(
+    f"""with {SESSIONS_SQL}, page as (select 'user' as entity_type, "user" as entity_id, session_id, row_number() over (partition by "user" order by start_time, session_id) as place from sessions where end_time < timestamp '2024-01-15')
+    select entity_type, entity_id, session_id, cast(place as integer) as place from page where place <= 3"""
+)
+def q1_history_page(spark, sf_dir):
+    s = v.sessions(spark, sf_dir)
+    ent = s.select(F.lit("user").alias("entity_type"), F.col("user").alias("entity_id"), F.expr("timestamp_ntz '2024-01-15 00:00:00'").alias("before")).distinct()
+    return cases.history_page(ent, s, 3).select("entity_type", "entity_id", "session_id", "place")
+
+
+@query()
+def m7_training(spark, sf_dir):
+    from siftlog.plans.training import train
+
+    s = materialize(v.sessions(spark, sf_dir), "sessions")
+    splits = s.select("session_id", F.when(F.col("start_time") < F.expr("timestamp_ntz '2024-01-20 00:00:00'"), "reference").otherwise("evaluation").alias("split"))
+    return train(spark, s, v.auth_events(spark, sf_dir), splits)["readiness"]
+
+
+@query(f"""{HOURS_SQL}, n as (select entity, count(*) as n from obs group by 1) select 'login_hour_rarity' as model_id, entity, 'parameters' as rule from n where length(entity) = 2""")
+def m11_incompatible(spark, sf_dir):
+    states = _hours(spark, sf_dir).groupBy("entity").agg(F.count("*").alias("n")).select(F.lit("login_hour_rarity").alias("model_id"), "entity", "n", F.lit("1").alias("feature_schema"), F.when(F.length("entity") == 2, "alpha=2").otherwise("alpha=1").alias("parameters"))
+    return models.incompatible(states, models.registry(spark))
+
+
+@query(f"""{HOURS_SQL} select id, 'not_normal' as rule from obs where hour % 5 = 0 union all select id, 'not_training' from obs where hour % 7 = 0""")
+def m6_ineligible(spark, sf_dir):
+    obs = _hours(spark, sf_dir)
+    return models.ineligible(obs.select("id", F.when(F.col("hour") % 5 == 0, "unknown").otherwise("normal").alias("label"), F.when(F.col("hour") % 7 == 0, "evaluation").otherwise("training").alias("split"), F.lit("declared").alias("reason"), F.sha2("id", 256).alias("sha256")))
