@@ -70,8 +70,32 @@ def _compare(x: np.ndarray, ids: np.ndarray, names: np.ndarray, window: int, cos
     return np.concatenate(u) if u else ids[:0], np.concatenate(v) if v else ids[:0]
 
 
+class _Forest:
+    """Keeps of the pairs it is shown those that unite two sets: enough for the components, a row less than rows."""
+
+    def __init__(self):
+        self.parent: dict = {}
+
+    def root(self, x):
+        parent = self.parent
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def new(self, u, v) -> tuple[list, list]:
+        out: tuple[list, list] = ([], [])
+        for a, b in zip(u.tolist(), v.tolist()):
+            x, y = self.root(a), self.root(b)
+            if x != y:
+                self.parent[y] = x
+                out[0].append(a)
+                out[1].append(b)
+        return out
+
+
 def _windows(keyed: DataFrame, window: int, cosine: float, parts: int, kind: str) -> DataFrame:
-    """Verified neighbours. The rows at the ends of a partition come out too and meet in a second step."""
+    """Verified neighbours, of those within a partition a spanning forest. The rows at the ends of a partition come out too and meet in a second step."""
     ordered = keyed.repartitionByRange(parts, "pass", "key", "vec_id").sortWithinPartitions("pass", "key", "vec_id")
     schema = f"u {kind}, v {kind}, seam int, side int, place int, pass string, embedding array<double>"
 
@@ -85,7 +109,7 @@ def _windows(keyed: DataFrame, window: int, cosine: float, parts: int, kind: str
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        kept, head = None, []
+        kept, head, forest = None, [], _Forest()
         for batch in batches:
             ids, names = np.asarray(batch.column("vec_id")), np.asarray(batch.column("pass").to_pylist())
             vectors = batch.column("embedding").to_pylist()
@@ -100,7 +124,8 @@ def _windows(keyed: DataFrame, window: int, cosine: float, parts: int, kind: str
                 x = np.array(vectors[at : at + size], float)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 u, v = _compare(x, ids[at : at + size], names[at : at + size], window, cosine)
-                if len(u):
+                u, v = forest.new(u, v)
+                if u:
                     yield rows(u, v)
                 at += size
             kept = ids[-window:], names[-window:], vectors[-window:]
@@ -156,7 +181,8 @@ def _count_links(members: DataFrame, cosine: float, block: int, kind: str) -> Da
         back = a["copies"].to_numpy() @ near[:, b["core"].to_numpy(bool)]
         return pd.DataFrame({"vec_id": np.concatenate([a["vec_id"], b["vec_id"][b["core"].astype(bool)]]), "n": np.concatenate([own, back]).astype(np.int64)})
 
-    met = rows.unionByName(columns).groupBy("component", "cell", "other").applyInPandas(count, f"vec_id {kind}, n bigint")
+    dealt = rows.unionByName(columns).repartition("component", "cell", "other")
+    met = dealt.groupBy("component", "cell", "other").applyInPandas(count, f"vec_id {kind}, n bigint")
     return base.unionByName(met).groupBy("vec_id").agg(F.sum("n").alias("n"))
 
 
