@@ -147,7 +147,8 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, max_toxic: int = 4000, max
 
     The sample is bounded by ``max_toxic`` and ``max_other`` rows, so what the driver gets is bounded too.
     An entry must lie in enough toxic texts and hardly any other; entries are taken greedily until every
-    toxic text that can be has three. Seed words always belong. Without rows of both classes the seeds
+    toxic text that can be has three. Seed words always belong, and what they cover or begin with is not
+    learned again. Without rows of both classes the seeds
     keep a fixed weight and calibration.
     """
     rows, sizes = _sample(docs, labels, {1: max_toxic, 0: max_other})
@@ -173,20 +174,22 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, max_toxic: int = 4000, max
     found = found.groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).withColumn("odds", odds)
     floor = max(6, math.ceil(min_share * bad))
     kept = found.where((F.col("bad") >= floor) & (F.col("odds") >= min_odds)).orderBy(F.desc("bad"), "good", "entry").limit(20_000)
-    weights = {r["entry"]: r["odds"] for r in kept.collect()}
-    chosen = _cover(rows, weights, shortest, longest, floor, max_entries)
+    weights = {r["entry"]: r["odds"] for r in kept.collect() if not any(s.startswith(r["entry"]) for s in seeds)}
+    chosen = _cover(rows, weights, set(seeds), shortest, longest, floor, max_entries)
     lexicon = Lexicon(seeds | {e: min(weights[e], 6.0) / 4 for e in chosen})
     return Lexicon(lexicon.entries, lexicon.exceptions, _calibrate(rows, lexicon, sizes))
 
 
-def _cover(rows: DataFrame, weights: dict[str, float], shortest: int, longest: int, floor: int, most: int) -> list[str]:
+def _cover(rows: DataFrame, weights: dict[str, float], seeds: set[str], shortest: int, longest: int, floor: int, most: int) -> list[str]:
+    wanted = weights.keys() | seeds
+
     def postings(batches):
         for batch in batches:
             for part in slices(batch):
                 texts = part.column("text").to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array([sorted(c for c in _candidates(fold(t or ""), shortest, longest) if c in weights) for t in texts], pa.list_(pa.string()))], names=["entries"])
+                yield pa.RecordBatch.from_arrays([pa.array([sorted(c for c in _candidates(fold(t or ""), shortest, longest) if c in wanted) for t in texts], pa.list_(pa.string()))], names=["entries"])
 
-    left = [[set(r["entries"]), 3] for r in rows.where("toxic = 1").select("text").mapInArrow(postings, "entries array<string>").distinct().collect()]
+    left = [[set(r["entries"]) - seeds, max(0, 3 - len(seeds.intersection(r["entries"])))] for r in rows.where("toxic = 1").select("text").mapInArrow(postings, "entries array<string>").distinct().collect()]
     chosen: list[str] = []
     while len(chosen) < most:
         gain = Counter(e for entries, need in left if need for e in entries)
