@@ -5,7 +5,8 @@ with ``n`` tokens a similar one can lack at most ``slack = floor(n * (100 - perc
 that link share one of the first ``slack + 1`` rare tokens of either. If a prefix reaches into the
 frequent tokens it is extended by one more, and pairs of frequent tokens are indexed in place of single
 ones: with ``r`` rare and ``f`` frequent tokens in it, a similar set that shared no rare token and no
-pair would lack at least ``r + f - 1 > slack`` of them. Candidates are verified on the texts.
+pair would lack at least ``r + f - 1 > slack`` of them. The number of tokens that two prefixes share bounds
+their sets' intersection, which drops nearly all chance meetings; the other candidates are verified on the texts.
 
 Only links between different components matter for the classes, so copies and near copies are first
 joined to a pivot; the index then meets components, not their members.
@@ -156,28 +157,35 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, heads: in
     named = materialize(named, "named")
     reps = known.select("doc_id", "n", "prefix").join(few(named), "doc_id")
 
-    def tokens(frame: DataFrame, prefix) -> DataFrame:
-        return frame.select("doc_id", "n", "component", F.explode(prefix).alias("token"))
+    def tokens(frame: DataFrame) -> DataFrame:
+        """A row per token; ``p`` and ``last`` describe a prefix of single tokens, ``last`` in unsigned order."""
+        known = frame.select("doc_id", "n", "component", "prefix", F.when(F.col("single"), F.size("prefix")).alias("p"), F.element_at("prefix", -1).bitwiseXOR(F.lit(-(1 << 63))).alias("last"))
+        return known.select("doc_id", "n", "component", "p", "last", F.explode("prefix").alias("token"))
 
     def mixed(index: DataFrame) -> DataFrame:
         counts = index.groupBy("token").agg(F.count("*").alias("c"), F.min("component").alias("low"), F.max("component").alias("high"))
         return counts.where("low <> high").select("token", "c")
 
-    index = tokens(reps, F.expr(f"slice(prefix, 1, cast(n - ({percent} * n + 99) div 100 + 1 as int))"))
+    own = reps.withColumns({"prefix": F.expr(f"slice(prefix, 1, cast(n - ({percent} * n + 99) div 100 + 1 as int))"), "single": F.lit(True)})
+    index = tokens(own)
     shared = materialize(mixed(index), "mixed")
     hot = [r["token"] for r in shared.where(F.col("c") > often).orderBy(F.desc("c"), "token").limit(max_frequent).collect()]
     if hot:
         trimmed = materialize(_trim(reps, percent, hot, kind), "trimmed")
         short = materialize(trimmed.where("prefix is null").select("doc_id", "n", "component"), "short")
         anew = _signatures(_only(docs, short.select("doc_id"), broadcast_rows), k, percent, {h % (1 << 64): 1 for h in hot})
-        anew = anew.join(few(short), "doc_id").select("doc_id", "n", "component", "prefix")
-        index = tokens(materialize(trimmed.where("prefix is not null").unionByName(anew), "anew"), "prefix")
+        anew = materialize(anew.join(few(short), "doc_id").select("doc_id", "n", "component", "prefix", F.lit(False).alias("single")), "anew")
+        index = tokens(trimmed.where("prefix is not null").withColumn("single", F.lit(True)).unionByName(anew))
         release(shared)
         shared = materialize(mixed(index), "mixed")
     index = materialize(index.join(few(shared.select("token")), "token", "left_semi"), "index")
-    left = index.selectExpr("token", "doc_id as u", "n", "component as cu")
-    right = index.selectExpr("token", "doc_id as v", "n as m", "component as cv")
-    candidates = left.join(right, "token").where(f"cu > cv and {fits}").select("u", "v").distinct()
+    left = index.selectExpr("token", "doc_id as u", "n", "component as cu", "p as pu", "last as lu")
+    right = index.selectExpr("token", "doc_id as v", "n as m", "component as cv", "p as pv", "last as lv")
+    met = left.join(right, "token").where(f"cu > cv and {fits}")
+    met = met.groupBy("u", "v", "n", "m", "pu", "pv", "lu", "lv").agg(F.count("*").alias("common"))
+    # Of the prefix that ends first every token is settled: what isn't common is missing in the other set.
+    most = F.expr("case when pu is null or pv is null then least(n, m) when lu <= lv then n - pu + common else m - pv + common end")
+    candidates = met.where(most * (100 + percent) >= percent * (F.col("n") + F.col("m"))).select("u", "v").distinct()
     more = verify(candidates, docs, k, percent, broadcast_rows)
     found = materialize(connected_components(same.where("u <> v").unionByName(links).unionByName(more)), "found")
     found = found.select(F.col("node").alias("doc_id"), F.col("component").cast(kind).alias("component_id"))
