@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from siftlog.llm.shingles import shingles
@@ -99,30 +100,57 @@ def _only(docs: DataFrame, ids: DataFrame, broadcast_rows: int) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, "doc_id", "left_semi")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int, broadcast_rows: int) -> DataFrame:
-    """``pairs(u, v)`` whose texts' shingle sets have 100 * intersection >= percent * union."""
-    pairs = materialize(pairs, "pairs")
-    ids = materialize(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "ids")
-    texts = materialize(_only(docs.select("doc_id", "text"), ids, broadcast_rows), "texts")
-    both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
-    both = both.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v").select("u", "v", "text_u", "text_v")
+CELL = 64
 
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text_u"):
-                keep = []
-                for x, y in zip(shingles(part.column("text_u"), k), shingles(part.column("text_v"), k)):
-                    x, y = np.unique(x), np.unique(y)
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common))
-                yield part.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
+def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int, broadcast_rows: int) -> DataFrame:
+    """``pairs(u, v)`` whose texts' shingle sets have 100 * intersection >= percent * union.
+
+    Texts of a connected group of pairs are dealt to cells of about ``CELL``; a task sees two cells and
+    the pairs between them. So a text travels once for each cell that it has a partner in, not for each partner.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    links = materialize(both.mapInArrow(run, f"u {kind}, v {kind}"), "links")
-    release(pairs, ids, texts)
+    pairs = materialize(pairs, "pairs")
+    groups = materialize(connected_components(pairs), "groups")
+    few = lambda frame: F.broadcast(frame) if frame.count() <= broadcast_rows else frame
+    texts = materialize(_only(docs.select("doc_id", "text"), groups.select(F.col("node").alias("doc_id")), broadcast_rows), "texts")
+    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
+    bins = max(1, groups.count() // CELL)
+    cell = F.expr(f"pmod(xxhash64(node), cast(ceil(size / {CELL}) as bigint))")
+    group = F.when(F.col("size") > CELL, F.col("component").cast("string")).otherwise(F.concat(F.lit("bin"), F.pmod(F.xxhash64("component"), F.lit(bins)).cast("string")))
+    place = materialize(groups.join(sizes, "component").select("node", group.alias("group"), cell.alias("cell")), "place")
+    at = lambda end: few(place).select(F.col("node").alias(end), *([F.col("group")] if end == "u" else []), F.col("cell").alias(f"c{end}"))
+    dealt = materialize(pairs.join(at("u"), "u").join(at("v"), "v").select("group", "cu", "cv", "u", "v"), "dealt")
+    wanted = dealt.select("group", "cu", "cv", F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    sent = wanted.join(texts, "doc_id").select("group", "cu", "cv", F.col("doc_id").alias("u"), F.lit(None).cast(kind).alias("v"), "text")
+    rows = dealt.select("group", "cu", "cv", "u", "v", F.lit(None).cast("string").alias("text")).unionByName(sent)
+
+    def run(table: pa.Table) -> pa.Table:
+        texts_ = table.filter(pc.is_valid(table.column("text"))).combine_chunks()
+        wanted_ = table.filter(pc.is_valid(table.column("v"))).select(["u", "v"])
+        sets: dict = {}
+        for batch in texts_.select(["u", "text"]).to_batches():
+            for part in slices(batch):
+                for key, grams in zip(part.column("u").to_pylist(), shingles(part.column("text"), k)):
+                    sets.setdefault(key, []).append(np.unique(grams))
+        keep = []
+        for u, v in zip(wanted_.column("u").to_pylist(), wanted_.column("v").to_pylist()):
+            keep.append(any(_alike(x, y, percent) for x in sets.get(u, ()) for y in sets.get(v, ())))
+        return wanted_.filter(pa.array(keep, pa.bool_()))
+
+    met = rows.repartition("group", "cu", "cv").groupBy("group", "cu", "cv").applyInArrow(run, f"u {kind}, v {kind}")
+    links = materialize(met, "links")
+    release(pairs, groups, texts, place, dealt)
     return links
 
 
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, heads: int = 16, pivots: int = 4, often: int = 200, max_frequent: int = 4096, broadcast_rows: int = 1_000_000) -> DataFrame:
     """``doc_id, n_shingles, component_id``: classes of texts linked by Jaccard likeness of at least ``percent``.
 
