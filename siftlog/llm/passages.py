@@ -1,10 +1,14 @@
 """Operator 7: fuzzy passages that repeat across documents, by seeds, collinear chains and alignment.
 
 Winnowed word k-grams are seeds. The occurrence of a seed in the smallest document is its pivot, and
-every other document meets the pivot only, so a passage in ``n`` documents makes ``n - 1`` pairs. The
+every other document meets the pivot first, so a passage in ``n`` documents makes ``n - 1`` pairs. The
 seeds that a document shares with one pivot document are chained in order with a linear gap cost by a
 Fenwick tree over positions in the pivot; chains break at long gaps. Slices of words around each chain
 are then aligned, which finds the ends of the passage and how much of it agrees.
+
+Runs of shared seeds that no found passage covers may have lost their pivots to documents with a part of
+them. Such a run meets the smallest document with each of its spans of 2, 4, 8, 16 seeds and of nearly
+``min_words`` words, and is chained and aligned again by these spans' first and last seeds.
 """
 
 from __future__ import annotations
@@ -16,11 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from siftlog.llm.shingles import shingles, words
+from siftlog.llm.shingles import mix, shingles, words
 from siftlog.llm.texts import slices
 from siftlog.scratch import materialize, release
 
 STEP = 32
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def winnow(grams: np.ndarray, window: int) -> np.ndarray:
@@ -97,7 +102,7 @@ def chains(pos: np.ndarray, at: np.ndarray, k: int, gap_cost: float, max_gap: in
     return out
 
 
-def _chained(anchors: DataFrame, k: int, gap_cost: float, max_gap: int, min_words: int, window: int, kind: str) -> DataFrame:
+def _chained(anchors: DataFrame, k: int, gap_cost: float, max_gap: int, extent: int, window: int, kind: str) -> DataFrame:
     """Chains of each (document, pivot document), streamed over rows sorted by both."""
     ordered = anchors.repartition("doc_id").sortWithinPartitions("doc_id", "src", "pos", "at")
 
@@ -123,7 +128,7 @@ def _chained(anchors: DataFrame, k: int, gap_cost: float, max_gap: int, min_word
             if b - a < 2:
                 continue
             for c in chains(pos[a:b], at[a:b], k, gap_cost, max_gap):
-                if c[4] > 1 and c[1] - c[0] + k + 2 * window >= min_words // 2:
+                if c[4] > 1 and c[1] - c[0] + k + 2 * window >= extent:
                     rows.append(a)
                     found.append(c)
         if rows:
@@ -151,30 +156,44 @@ def _stretch(x: np.ndarray, y: np.ndarray, reach: int) -> tuple[int, int, int]:
             return i, j, same
 
 
-def align(x: np.ndarray, y: np.ndarray, x1: int, x2: int, y1: int, y2: int, reach: int = 8) -> tuple[int, int, int, int, int]:
+def align(x: np.ndarray, y: np.ndarray, x1: int, x2: int, y1: int, y2: int, reach: int = 8, min_words: int = 0, identity: float = 0.0) -> tuple[int, int, int, int, int]:
     """Passage around a chain from x1 to x2 and y1 to y2: its ends in both word lists and the equal words.
 
-    A chain on one diagonal that mostly agrees is stretched to both sides; else matching blocks are joined
-    from the chain outward while gaps stay within ``reach`` words and blocks have three.
+    A chain on one diagonal that mostly agrees is stretched to both sides; if that is too short or agrees
+    too little, matching blocks are joined from the chain outward while the words between blocks of three
+    that differ stay within ``reach``; if these agree too little, the longest part that agrees enough.
     """
+    enough = lambda a, b, c, d, same: min(b - a, d - c) >= min_words and same >= identity * max(b - a, d - c)
     if x2 - x1 == y2 - y1:
         core = x[x1:x2] == y[y1:y2]
         if core.mean() >= 0.9:
             i, j, ahead = _stretch(x[x2:], y[y2:], reach // 2)
             a, b, back = _stretch(x[:x1][::-1], y[:y1][::-1], reach // 2)
-            return x1 - a, x2 + i, y1 - b, y2 + j, int(core.sum()) + ahead + back
-    blocks = [m for m in SequenceMatcher(None, x.tolist(), y.tolist(), autojunk=False).get_matching_blocks() if m.size > 2]
+            found = x1 - a, x2 + i, y1 - b, y2 + j, int(core.sum()) + ahead + back
+            if enough(*found):
+                return found
+    if int(np.isin(x, y).sum()) < identity * min_words:
+        return x1, x2, y1, y2, 0
+    every = SequenceMatcher(None, x.tolist(), y.tolist(), autojunk=False).get_matching_blocks()
+    blocks = [m for m in every if m.size > 2]
     inside = [i for i, m in enumerate(blocks) if m.a < x2 and m.a + m.size > x1 and m.b < y2 and m.b + m.size > y1]
     if not inside:
         return x1, x2, y1, y2, 0
     lo, hi = inside[0], inside[-1]
-    gap = lambda m, n: max(n.a - m.a - m.size, n.b - m.b - m.size)
+    starts = np.array([m.a for m in every])
+    sums = np.concatenate([[0], np.cumsum([m.size for m in every])])
+    equal = lambda m, n: int(sums[np.searchsorted(starts, n.a + n.size)] - sums[np.searchsorted(starts, m.a)])
+    gap = lambda m, n: max(n.a - m.a - m.size, n.b - m.b - m.size) - (equal(m, n) - m.size - n.size)
     while lo > 0 and gap(blocks[lo - 1], blocks[lo]) <= reach:
         lo -= 1
     while hi + 1 < len(blocks) and gap(blocks[hi], blocks[hi + 1]) <= reach:
         hi += 1
-    a, b = blocks[lo], blocks[hi]
-    return a.a, b.a + b.size, a.b, b.b + b.size, sum(m.size for m in blocks[lo : hi + 1])
+    span = lambda m, n: (m.a, n.a + n.size, m.b, n.b + n.size, equal(m, n))
+    found = span(blocks[lo], blocks[hi])
+    if not enough(*found):
+        parts = (span(blocks[i], blocks[j]) for i in range(lo, hi + 1) for j in range(i, hi + 1))
+        found = max((f for f in parts if enough(*f)), key=lambda f: f[1] - f[0], default=found)
+    return found
 
 
 def _slices(docs: DataFrame, wanted: DataFrame, kind: str) -> DataFrame:
@@ -199,7 +218,92 @@ def _slices(docs: DataFrame, wanted: DataFrame, kind: str) -> DataFrame:
     return joined.mapInArrow(run, f"doc_id {kind}, lo int, hi int, words binary")
 
 
-def repeated_passages(docs: DataFrame, min_words: int = 50, identity: float = 0.8, k: int = 8, window: int = 16, gap_cost: float = 0.05, max_gap: int = 64, broadcast_rows: int = 500_000) -> DataFrame:
+def _by_doc(rows: DataFrame, columns: list[str], make, schema: str) -> DataFrame:
+    """``make(columns of one document)`` over rows sorted by document and position, streamed."""
+    ordered = rows.select("doc_id", "pos", *columns).repartition("doc_id").sortWithinPartitions("doc_id", "pos")
+
+    def run(batches):
+        kept = None
+        for batch in batches:
+            table = pa.Table.from_batches([*([kept] if kept is not None else []), batch]).combine_chunks()
+            batch = table.to_batches()[0] if len(table) else batch
+            doc = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            cut = [0, *(np.flatnonzero(doc[1:] != doc[:-1]) + 1).tolist()]
+            for a, b in zip(cut, cut[1:]):
+                yield from make(batch.slice(a, b - a))
+            kept = batch.slice(cut[-1])
+        if kept is not None and len(kept):
+            yield from make(kept)
+
+    return ordered.mapInArrow(run, schema)
+
+
+def _runs(pos: np.ndarray, gap: int) -> list[tuple[int, int]]:
+    """Ranges of ``pos``, which is in order, without a step over ``gap``."""
+    cut = [0, *(np.flatnonzero(np.diff(pos) > gap) + 1).tolist(), len(pos)]
+    return list(zip(cut, cut[1:])) if len(pos) else []
+
+
+def spans(token: np.ndarray, pos: np.ndarray, reach: int, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of spans of 2, 4, 8 and 16 seeds and of the seeds within ``reach`` words, with first and last place."""
+    keys, first, last = [], [], []
+    for a, b in _runs(pos, gap):
+        own, n, size = mix(token[a:b].view(np.uint64)), b - a, 1
+        whole = [np.zeros(n, np.uint64), np.searchsorted(pos[a:b], pos[a:b] + reach, "right") - 1]
+        power = np.multiply.accumulate(np.full(n, _ODD, np.uint64))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * power)])
+        far = np.flatnonzero((whole[1] < n - 1) & (whole[1] > np.arange(n)))
+        # running sums in an odd base: shifting by the inverse power makes a key independent of its place
+        inverse = np.multiply.accumulate(np.full(n, pow(int(_ODD), -1, 1 << 64), np.uint64))
+        keys.append(mix((sums[whole[1][far] + 1] - sums[far]) * inverse[far]))
+        first.append(far + a)
+        last.append(whole[1][far] + a)
+        while size <= 8 and 2 * size <= n:
+            own = mix(own[:-size] * _ODD + own[size:])
+            size *= 2
+            keys.append(own ^ np.uint64(size))
+            first.append(np.arange(len(own)) + a)
+            last.append(np.arange(len(own)) + a + size - 1)
+    join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
+    return join(keys, np.uint64), join(first, int), join(last, int)
+
+
+def _other_pairs(held: DataFrame, found: DataFrame, k: int, window: int, min_words: int, gap: int, kind: str) -> DataFrame:
+    """Anchors of runs of shared seeds outside the found passages with the smallest holders of their spans."""
+    reach = min_words - k - 3 * (window - 1)
+    cover = found.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start_word").alias("a"), F.expr("start_word + n_words").alias("b"))).alias("cover"))
+    bare = held.where("doc_id <> src").join(cover, "doc_id", "left").where(f"cover is null or not exists(cover, c -> pos >= c.a and pos + {k} <= c.b)")
+
+    def left(doc):
+        pos = doc.column("pos").to_numpy().astype(np.int64)
+        keep = [np.arange(a, b) for a, b in _runs(pos, gap) if b - a > 1 and pos[b - 1] - pos[a] + k + 2 * (k + window) >= min_words]
+        if keep:
+            yield doc.take(pa.array(np.concatenate(keep)))
+
+    bare = materialize(_by_doc(bare, ["token"], left, f"doc_id {kind}, pos int, token bigint"), "bare")
+    tokens = bare.select("token").distinct()
+    marks = bare.select("doc_id", "pos", "token", F.lit(True).alias("bare")).distinct()
+    near = held.join(tokens, "token", "left_semi").select("doc_id", "pos", "token").distinct()
+    near = materialize(near.join(marks, ["doc_id", "pos", "token"], "left"), "near")
+
+    def keyed(doc):
+        token, pos = doc.column("token").to_numpy(), doc.column("pos").to_numpy().astype(np.int64)
+        sums = np.concatenate([[0], np.cumsum(doc.column("bare").fill_null(False).to_numpy(zero_copy_only=False).astype(int))])
+        key, a, b = spans(token, pos, reach, gap)
+        if len(key):
+            owner = doc.column("doc_id").take(pa.array(np.zeros(len(key), int)))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), owner, pa.array(sums[b + 1] > sums[a]), pa.array(pos[a], pa.int32()), pa.array(pos[b], pa.int32())], names=["key", "doc_id", "bare", "p1", "p2"])
+
+    keys = materialize(_by_doc(near, ["token", "bare"], keyed, f"key bigint, doc_id {kind}, bare boolean, p1 int, p2 int"), "keys")
+    release(bare, near, held)
+    first = keys.groupBy("key").agg(F.min(F.struct("doc_id", "p1", "p2")).alias("pivot"), F.max("doc_id").alias("last"), F.max("bare").alias("asked"))
+    first = first.where("pivot.doc_id <> last and asked").selectExpr("key", "pivot.doc_id as src", "pivot.p1 as q1", "pivot.p2 as q2")
+    met = keys.where("bare").join(first, "key").where("doc_id <> src")
+    ends = F.explode(F.array(F.struct(F.col("p1").alias("pos"), F.col("q1").alias("at")), F.struct(F.col("p2").alias("pos"), F.col("q2").alias("at"))))
+    return met.select("doc_id", "src", ends.alias("x")).select("doc_id", "src", "x.pos", "x.at").distinct()
+
+
+def repeated_passages(docs: DataFrame, min_words: int = 50, identity: float = 0.8, k: int = 4, window: int = 4, gap_cost: float = 0.05, max_gap: int = 64, broadcast_rows: int = 500_000) -> DataFrame:
     """One row per passage of a document that an earlier document (smaller ``doc_id``) has as well.
 
     ``doc_id, start_word, n_words, source_doc_id, source_start_word, source_n_words, equal_words``; words
@@ -214,14 +318,22 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, identity: float = 0.
     shared = seeds.groupBy("token").agg(F.min(F.struct("doc_id", "pos")).alias("pivot"), F.max("doc_id").alias("last")).where("pivot.doc_id <> last")
     shared = materialize(shared.selectExpr("token", "pivot.doc_id as src", "pivot.pos as at"), "shared")
     few = F.broadcast(shared) if shared.count() <= broadcast_rows else shared
-    anchors = seeds.join(few, "token").where("doc_id <> src")
-    found = _chained(anchors.select("doc_id", "src", "pos", "at"), k, gap_cost, max_gap, min_words, window, kind)
-    reach = window + k
+    held = materialize(seeds.join(few, "token").select("token", "doc_id", "pos", "src", "at"), "held")
+    release(seeds, shared)
+    settings = (min_words, identity, k, window, gap_cost, max_gap, kind)
+    found = _passages(docs, held.where("doc_id <> src").select("doc_id", "src", "pos", "at"), min_words // 2, *settings)
+    others = _passages(docs, _other_pairs(held, found, k, window, min_words, 32, kind), 0, *settings)
+    return found.unionByName(others).distinct()
+
+
+def _passages(docs: DataFrame, anchors: DataFrame, extent: int, min_words: int, identity: float, k: int, window: int, gap_cost: float, max_gap: int, kind: str) -> DataFrame:
+    """Aligned passages of the chains of ``anchors(doc_id, src, pos, at)`` over about ``extent`` words."""
+    found = _chained(anchors, k, gap_cost, max_gap, extent, window, kind)
+    reach = max(window + k, min_words)
     bound = lambda a, b: (f"greatest(0, ({a} - {reach}) div {STEP} * {STEP})", f"({b} + {k + reach + STEP - 1}) div {STEP} * {STEP}")
     (lo, hi), (slo, shi) = bound("p1", "p2"), bound("q1", "q2")
     found = found.withColumns({n: F.expr(e).cast("int") for n, e in (("lo", lo), ("hi", hi), ("slo", slo), ("shi", shi))})
     found = materialize(found, "chains")
-    release(seeds, shared)
     wanted = found.select("doc_id", "lo", "hi").unionByName(found.selectExpr("src as doc_id", "slo as lo", "shi as hi")).distinct()
     wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     cut = materialize(_slices(docs, wanted, kind).dropDuplicates(["doc_id", "lo", "hi"]), "slices")
@@ -234,7 +346,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, identity: float = 0.
             numbers = {c: batch.column(c).to_pylist() for c in ("lo", "slo", "p1", "p2", "q1", "q2", "x", "y")}
             for i, (lo_, slo_, p1, p2, q1, q2, x, y) in enumerate(zip(*numbers.values())):
                 x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                a, b, c, d, same = align(x, y, p1 - lo_, p2 + k - lo_, q1 - slo_, q2 + k - slo_)
+                a, b, c, d, same = align(x, y, p1 - lo_, p2 + k - lo_, q1 - slo_, q2 + k - slo_, min_words=min_words, identity=identity)
                 if min(b - a, d - c) >= min_words and same >= identity * max(b - a, d - c):
                     rows.append(i)
                     out.append((a + lo_, b - a, c + slo_, d - c, same))
@@ -243,7 +355,10 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, identity: float = 0.
             yield pa.RecordBatch.from_arrays([part.column(0), values[0], values[1], part.column(1), *values[2:]], names=NAMES)
 
     schema = f"doc_id {kind}, start_word bigint, n_words bigint, source_doc_id {kind}, source_start_word bigint, source_n_words bigint, equal_words bigint"
-    return pairs.select("doc_id", "src", "lo", "slo", "p1", "p2", "q1", "q2", "x", "y").mapInArrow(run, schema).distinct()
+    out = pairs.select("doc_id", "src", "lo", "slo", "p1", "p2", "q1", "q2", "x", "y").mapInArrow(run, schema)
+    out = materialize(out.distinct(), "passages")
+    release(found, cut)
+    return out
 
 
 NAMES = ["doc_id", "start_word", "n_words", "source_doc_id", "source_start_word", "source_n_words", "equal_words"]

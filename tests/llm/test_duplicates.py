@@ -193,3 +193,34 @@ def test_match_guarantee(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {x["doc_id"]: x["near_next"] for x in edited_neighbours(df).collect()}
     assert all(got[2 * i + 1] > 0 for i in range(20))
+
+
+def test_passages_stitched_from_two_documents(spark):
+    """Two earlier documents with the halves of a passage don't hide the document that has all of it."""
+    r = random.Random(4)
+    fresh = lambda n: [f"u{r.randint(0, 10**9)}" for _ in range(n)]
+    p, q = fresh(60), fresh(60)
+    rows = [(1, fresh(40) + p[:30] + fresh(40)), (2, fresh(50) + p[30:] + fresh(30)), (3, fresh(30) + p + fresh(40)), (4, fresh(20) + p + fresh(60))]
+    rows += [(i + 5, fresh(20) + q[10 * i : 10 * i + 20] + fresh(60)) for i in range(5)] + [(10, fresh(60) + q + fresh(20)), (11, q + fresh(60))]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")
+    got = {(x["doc_id"], x["source_doc_id"], x["start_word"], x["n_words"]) for x in repeated_passages(docs).collect()}
+    assert got == {(4, 3, 20, 60), (11, 10, 0, 60)}
+
+
+def test_passages_with_random_edits(spark):
+    """Every planted pair down to the identity is found; one well under it is not."""
+    r = random.Random(5)
+    fresh = lambda n: [f"u{r.randint(0, 10**9)}" for _ in range(n)]
+    rows, planted = [], {}
+    for n, edits in [(60, 3), (60, 6), (60, 12), (80, 8), (100, 15), (100, 20), (60, 24)] * 10:
+        p = fresh(n)
+        copy = list(p)
+        for i in r.sample(range(3, n - 3), edits):
+            copy[i] = fresh(1)[0]
+        planted[len(rows) + 1] = edits <= 0.2 * n
+        rows += [(len(rows), " ".join(fresh(30) + p + fresh(30))), (len(rows) + 1, " ".join(fresh(20) + copy + fresh(40)))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {x["doc_id"]: x for x in repeated_passages(docs).collect()}
+    assert all(x["source_doc_id"] == i - 1 and x["equal_words"] >= 0.8 * x["n_words"] for i, x in got.items())
+    caught = [i in got for i, wanted in planted.items() if wanted]
+    assert sum(caught) == len(caught) == 60
