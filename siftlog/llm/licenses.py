@@ -1,6 +1,6 @@
 """Operator 1: licence scans by sentence rules.
 
-Texts that have a cue are cut into sentences. A normalised sentence is mapped to the identifier of the
+Texts that have a cue are cut into sentences, which may be wrapped over lines and comments. A normalised sentence is mapped to the identifier of the
 first known licence sentence it matches, and the sequence of a document's identifiers is matched,
 leftmost first and in the order of the rules, against licence rules, each of which is a sequence.
 """
@@ -86,6 +86,21 @@ RULES = [
     ("All-Rights-Reserved", ["COPYRIGHT", "RIGHTS"]),
     ("All-Rights-Reserved", ["RIGHTS"]),
 ]
+# What the SQL, which looks at single lines only, leaves out: cues that every known sentence has one of, comment
+# leaders, and the sentences and rules of the standard headers.
+ANY_CUE = r"(?i)licen[sc]e|copyright|reserved|permission|domain|spdx|redistribution|warrant|creative|cc[^a-z0-9]*by|cc.by|cc0|attribution-|gnu|endorse"
+LEADER = r"(?m)^[ \t]*(?:[#*/;%!-]+(?=\s|$))?[ \t]*"
+HEADER_SENTENCES = [
+    ("LGPL3+", r"gnu lesser general public license.*(version |v)3.*or (at your option )?any later version"),
+    ("LGPL21+", r"gnu lesser general public license.*(version |v)2\.1.*or (at your option )?any later version"),
+    ("AGPL3+", r"gnu affero general public license.*(version |v)3.*or (at your option )?any later version"),
+]
+HEADER_RULES = [
+    *((licence, [i, "NO-WARRANTY", *["GPL"] * n]) for n in (2, 1) for licence, i in (("GPL-3.0-or-later", "GPL3+"), ("GPL-2.0-or-later", "GPL2+"))),
+    ("LGPL-3.0-or-later", ["LGPL3+"]),
+    ("LGPL-2.1-or-later", ["LGPL21+"]),
+    ("AGPL-3.0-or-later", ["AGPL3+"]),
+]
 BREAK, SIGNS = r"([.!?])\s+", r"[^a-z0-9.+-]+"
 
 
@@ -93,8 +108,8 @@ def _rule_text(ids: list[str]) -> str:
     return "".join(f"<{i}>" for i in ids)
 
 
-def _rule_pattern() -> str:
-    return "(" + "|".join(_rule_text(ids).replace("+", r"\+").replace(".", r"\.") for _, ids in RULES) + ")"
+def _rule_pattern(rules: list = RULES) -> str:
+    return "(" + "|".join(_rule_text(ids).replace("+", r"\+").replace(".", r"\.") for _, ids in rules) + ")"
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -105,15 +120,23 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     Null and empty texts have none; null ids and repeated rows pass; other columns are ignored. All in
     one projection without a shuffle: sentences stay in their row, and only texts with a cue are cut.
     """
-    case = " ".join(f"when rlike(s, r'{p}') then '<{i}>'" for i, p in SENTENCES)
-    name = " ".join(f"when '{_rule_text(ids)}' then '{licence}'" for licence, ids in RULES)
-    cued = docs.select("doc_id", "text").where(F.col("text").rlike(CUE))
-    cued = cued.withColumn("parts", F.split(F.regexp_replace("text", BREAK, "$1\n"), "\n"))
-    cued = cued.select("doc_id", F.expr(f"filter(parts, s -> rlike(s, r'{CUE}') or rlike(s, '(?i)you may|neither the name|as is'))").alias("parts"))
-    plain = cued.select("doc_id", F.expr(f"transform(parts, s -> trim(regexp_replace(lower(s), r'{SIGNS}', ' ')))").alias("parts"))
-    ids = plain.select("doc_id", F.expr(f"filter(transform(parts, s -> case {case} end), s -> s is not null)").alias("ids")).where(F.size("ids") > 0)
+    case = " ".join(f"when rlike(s, r'{p}') then '<{i}>'" for i, p in HEADER_SENTENCES + SENTENCES)
+    rules = HEADER_RULES + RULES
+    name = " ".join(f"when '{_rule_text(ids)}' then '{licence}'" for licence, ids in rules)
+    cued = docs.select("doc_id", "text").where(F.col("text").rlike(ANY_CUE))
+    lines = F.regexp_replace(F.regexp_replace("text", r"\r\n?", "\n"), LEADER, "")
+    cut = F.regexp_replace(F.regexp_replace(lines, BREAK, "$1\u0001"), r"\n\n+", "\u0001")
+    cued = cued.select("doc_id", F.split(cut, "\u0001").alias("parts"))
+    cued = cued.select("doc_id", F.expr(f"filter(parts, s -> rlike(s, r'{ANY_CUE}'))").alias("parts"))
+    plain = lambda s: f"trim(regexp_replace(lower({s}), r'{SIGNS}', ' '))"
+    known = lambda parts: f"filter(transform(transform({parts}, s -> {plain('s')}), s -> case {case} end), s -> s is not null)"
+    both = cued.select("doc_id", F.expr(f"transform(parts, part -> named_struct('lines', {known('split(part, chr(10))')}, 'whole', if(contains(part, chr(10)), {known('array(part)')}, array())))").alias("both"))
+    # a wrapped sentence takes the place of the less exact ones that its lines make: GPL3+ that of GPL
+    inexact = "exists(b.whole, w -> startswith(w, substring(i, 1, length(i) - 1)))"
+    merged = f"if(size(array_except(b.whole, b.lines)) = 0, b.lines, concat(filter(b.lines, i -> not {inexact}), b.whole))"
+    ids = both.select("doc_id", F.expr(f"flatten(transform(both, b -> {merged}))").alias("ids")).where(F.size("ids") > 0)
     ids = ids.select("doc_id", F.array_join("ids", "").alias("sentence_ids"), F.size("ids").cast("bigint").alias("n_sentences"))
-    found = F.expr(f"transform(regexp_extract_all(sentence_ids, r'{_rule_pattern()}', 1), r -> case r {name} end)")
+    found = F.expr(f"transform(regexp_extract_all(sentence_ids, r'{_rule_pattern(rules)}', 1), r -> case r {name} end)")
     return ids.select("doc_id", "sentence_ids", F.array_join(F.array_sort(F.array_distinct(found)), ", ").alias("licenses"), "n_sentences")
 
 

@@ -129,3 +129,28 @@ def test_pipeline(spark, tmp_path):
     assert seen["passages"][122] == texts[122] and len(seen["passages"][123].split()) == 40
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {x["doc_id"] for x in rows} == set(seen["passages"])
+
+
+def header(kind, version, what):
+    return f"""This {what} is free software: you can redistribute it and/or modify
+it under the terms of the GNU {kind}General Public License as published by
+the Free Software Foundation, either version {version} of the License, or
+(at your option) any later version.
+
+This {what} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {kind}General Public License for more details.
+
+You should have received a copy of the GNU {kind}General Public License
+along with this {what}.  If not, see <https://www.gnu.org/licenses/>."""
+
+
+def test_wrapped_licence_headers(spark):
+    commented = "\n".join(" * " + x for x in header("", "3", "program").split("\n"))
+    texts = [
+        header("", "3", "program"), "/*\n" + commented + "\n */\nint main", header("Lesser ", "2.1", "library"), header("Affero ", "3", "program").replace("\n", "\r\n"), header("", "2", "program"),
+        "Available under CC-BY-SA 4.0.", "-- Released under\n-- the MIT License", "Notes\nCopyright 2020 X\nAll rights reserved\nReleased under the\nMIT License", "All rights\n\nreserved",
+    ]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(docs(spark, texts)).collect()}
+    assert got == {0: "GPL-3.0-or-later", 1: "GPL-3.0-or-later", 2: "LGPL-2.1-or-later", 3: "AGPL-3.0-or-later", 4: "GPL-2.0-or-later", 5: "CC-BY-SA-4.0", 6: "MIT", 7: "All-Rights-Reserved, MIT"}
