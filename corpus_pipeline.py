@@ -13,30 +13,40 @@ from siftlog.llm import jaccard, packing, passages, quality, toxicity
 from siftlog.scratch import materialize
 
 
-def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows whose id has no verdict against it; ``verdicts(doc_id)`` holds the rejected ids, null for a null id."""
-    bad = verdicts.select(F.col("doc_id").alias("rejected")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("rejected")), "left_anti")
+def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` as they are written once with a key ``row`` of each row, and the same with the key as ``doc_id``."""
+    rows = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    return rows, rows.withColumn("doc_id", F.col("row")).drop("row")
+
+
+def _keep(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Rows without a verdict against them; ``verdicts(row)`` holds the keys of the rejected rows."""
+    return rows.join(verdicts.select("row").distinct(), "row", "left_anti").drop("row")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents that operator 4 predicts to be toxic; it learns from ``labels`` of this folder."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    found = toxicity.toxicity(docs, labels)
-    return _keep(docs, found.where("predicted = 1"))
+    rows, keyed = _keyed(docs)
+    found = toxicity.score(keyed, toxicity.learn_lexicon(docs, labels))
+    return _keep(rows, found.where(F.col("score") >= toxicity.THRESHOLD).select(F.col("doc_id").alias("row")))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents that operator 3 predicts to be of poor quality."""
-    return _keep(docs, quality.classify(docs).where("predicted = 0"))
+    rows, keyed = _keyed(docs)
+    return _keep(rows, quality.classify(keyed).where("predicted = 0").select(F.col("doc_id").alias("row")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each class of operator 9 (five words, likeness 0.8) the smallest id, and one row of it."""
-    found = jaccard.jaccard_components(docs, k=5, percent=80)
-    kept = _keep(docs, found.where("component_id <> doc_id"))
-    named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(kept.where("doc_id is null"))
+    """Keep of each class of operator 9 (five words, likeness 0.8) the row with the smallest id; rows without an id stay."""
+    rows, _ = _keyed(docs)
+    keyed = rows.where("doc_id is not null").select(F.col("row").alias("doc_id"), "text")
+    found = jaccard.jaccard_components(keyed, k=5, percent=80)
+    found = found.where("component_id is not null").select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    named = rows.where("doc_id is not null").select("row", "doc_id").join(found, "row")
+    first = named.groupBy("group").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    return _keep(rows, named.join(first, "group").where("row <> first.row"))
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,6 +61,10 @@ def fold(text: str) -> str:
     return " " + " ".join(text.translate(_letters()).split()) + " "
 
 
+#: A text of this score or more is predicted to be toxic.
+THRESHOLD = 0.3
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
 
@@ -246,7 +250,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     return map_texts(docs, make, "score double, n_matches bigint")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Learn from ``labels(doc_id, toxic)`` and score all documents: ``doc_id, held_out, score, predicted, n_matches``."""
     found = score(docs, learn_lexicon(docs, labels))
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_matches")

@@ -154,3 +154,16 @@ def test_wrapped_licence_headers(spark):
     ]
     got = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(docs(spark, texts)).collect()}
     assert got == {0: "GPL-3.0-or-later", 1: "GPL-3.0-or-later", 2: "LGPL-2.1-or-later", 3: "AGPL-3.0-or-later", 4: "GPL-2.0-or-later", 5: "CC-BY-SA-4.0", 6: "MIT", 7: "All-Rights-Reserved, MIT"}
+
+
+def test_stages_keep_clean_rows_of_null_and_repeated_ids(spark, tmp_path):
+    r = random.Random(8)
+    clean = [prose(r, 60) for _ in range(60)]
+    bad = ["you idiot scum trash loser", junk(r, 0), junk(r, 1), junk(r, 2)]
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else 100 + i, t) for i, t in enumerate(clean)]
+    rows += [(i, t) for t in bad for i in (None, 7)] + [(7, clean[1])]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        d = stage(spark, d, str(tmp_path))
+    assert sorted(map(str, ((x["doc_id"], x["text"]) for x in d.collect()))) == sorted(map(str, rows[:60]))
