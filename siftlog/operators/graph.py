@@ -27,7 +27,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """``edges(u, v)`` of one ordered type → ``(node, component)``, component = smallest reachable node.
 
     Nulls and loops are ignored; nodes without an edge do not appear. Every round is written to the
-    shared checkpoint folder, so neither lineage nor driver memory grows with the number of rounds.
+    shared checkpoint folder, so neither lineage nor driver memory grows with the number of rounds. The
+    result is such a table too; ``release`` frees it.
     """
     forest = edges.where("u is not null and v is not null and u <> v").select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
@@ -50,6 +51,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = forest.select(F.col("v").alias("node")).distinct()
-    return forest.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+    found = forest.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         roots.select("node", F.col("node").alias("component"))
     )
+    found = materialize(found, "components")
+    release(forest)
+    return found
