@@ -5,18 +5,24 @@ with ``n`` tokens a similar one can lack at most ``slack = floor(n * (100 - perc
 that link share one of the first ``slack + 1`` rare tokens of either. If a prefix reaches into the
 frequent tokens it is extended by one more, and pairs of frequent tokens are indexed in place of single
 ones: with ``r`` rare and ``f`` frequent tokens in it, a similar set that shared no rare token and no
-pair would lack at least ``r + f - 1 > slack`` of them. The number of tokens that two prefixes share bounds
-their sets' intersection, which drops nearly all chance meetings; the other candidates are verified on the texts.
+pair would lack at least ``r + f - 1 > slack`` of them. Entries are kept apart by the magnitude of
+``n``, as sets that link have nearly one size.
 
 Only links between different components matter for the classes, so copies and near copies are first
-joined to a pivot; the index then meets components, not their members.
+joined to a pivot; the index then meets components, not their members. No row is made for a candidate
+pair: sets of one index entry meet inside a task, in blocks where they are many, with a sketch of the
+parities of their tokens. Where two sketches differ the sets differ, so their distance bounds the
+likeness from above, which drops nearly all chance meetings and just-too-different copies. Of what
+passes, a task gives a spanning forest of the components, the likeliest pairs first, and only these
+are verified on the texts. An entry with a pair that failed is asked again for another one.
 """
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from siftlog.llm.shingles import shingles
@@ -27,14 +33,62 @@ from siftlog.scratch import materialize, release
 
 #: Tokens kept beyond a prefix: a set with as few frequent tokens need not be read again.
 SPARE = 8
+#: Bits of a sketch for each token, and of the largest one: at first, and where a likely pair has failed.
+PLAIN, SHARP = (1, 2048), (32, 65536)
 
 
 def _slack(n: int, percent: int) -> int:
     return n - -(-percent * n // 100)
 
 
-def _sets(docs: DataFrame, k: int, percent: int, heads: int) -> DataFrame:
-    """Size, a 128-bit digest of the set, its smallest tokens and its prefix in hash order, for each text."""
+def sketch(tokens: np.ndarray, size: tuple[int, int] = PLAIN) -> bytes:
+    """Parities of the numbers of tokens by their low bits, in a power of two bits."""
+    bits = min(size[1], max(64, size[0] << max(0, len(tokens) - 1).bit_length()))
+    places = (tokens & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(places, minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+class Sketches:
+    """Sketches of the rows of a batch, ready to be compared: of two sizes the larger is folded to the smaller."""
+
+    def __init__(self, column: pa.Array):
+        raw = column.to_pylist()
+        self.size = np.array([len(r) if r else 0 for r in raw], np.int64)
+        self.by_size = {}
+        for size in np.unique(self.size[self.size > 0]).tolist():
+            own, twice = np.flatnonzero(self.size == size), np.flatnonzero(self.size == 2 * size)
+            rows = [np.frombuffer(b"".join(raw[i] for i in own.tolist()), np.uint64).reshape(len(own), -1)]
+            if len(twice):
+                large = np.frombuffer(b"".join(raw[i] for i in twice.tolist()), np.uint64).reshape(len(twice), -1)
+                rows.append(large[:, : large.shape[1] // 2] ^ large[:, large.shape[1] // 2 :])
+            place = np.full(len(raw), -1)
+            place[np.concatenate([own, twice])] = np.arange(len(own) + len(twice))
+            self.by_size[size] = np.concatenate(rows), place
+        #: All folded to 256 bits, for a first look.
+        self.coarse = np.zeros((len(raw), 4), np.uint64)
+        for size, (rows, place) in self.by_size.items():
+            own = np.flatnonzero(self.size == size)
+            if size >= 32:
+                self.coarse[own] = np.bitwise_xor.reduce(rows[place[own]].reshape(len(own), -1, 4), axis=1)
+
+    def differ(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """At most the number of tokens in which the sets of rows ``i`` and ``j`` differ; 0 for very unlike sizes."""
+        out, size = np.zeros(len(i), np.int64), np.minimum(self.size[i], self.size[j])
+        for s, (rows, place) in self.by_size.items():
+            at = np.flatnonzero((size == s) & (place[i] >= 0) & (place[j] >= 0))
+            out[at] = np.bitwise_count(rows[place[i[at]]] ^ rows[place[j[at]]]).sum(axis=1)
+        return out
+
+    def near(self, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the pairs may differ in at most ``most`` tokens, and in how many they differ at least."""
+        look = np.flatnonzero((self.size[i] < 32) | (self.size[j] < 32) | (np.bitwise_count(self.coarse[i] ^ self.coarse[j]).sum(axis=1) <= most))
+        apart = self.differ(i[look], j[look])
+        keep = apart <= most[look]
+        return look[keep], apart[keep]
+
+
+def _sets(docs: DataFrame, k: int, percent: int, pivots: int) -> DataFrame:
+    """Size, a 128-bit digest of the set, its smallest tokens, its prefix in hash order and its sketch, for each text."""
 
     def run(batches):
         for batch in batches:
@@ -44,18 +98,21 @@ def _sets(docs: DataFrame, k: int, percent: int, heads: int) -> DataFrame:
                     s = np.unique(grams)
                     signed = s.view(np.int64)
                     odd = s * np.uint64(0xD6E8FEB86659FD93) ^ (s >> np.uint64(32))
-                    rows.append((len(s), int(s.sum().view(np.int64)) if len(s) else 0, int(np.bitwise_xor.reduce(odd).view(np.int64)) if len(s) else 0, signed[:heads], signed[: _slack(len(s), percent) + 1 + SPARE]))
+                    a, b = (int(s.sum().view(np.int64)), int(np.bitwise_xor.reduce(odd).view(np.int64))) if len(s) else (0, 0)
+                    rows.append((len(s), a, b, signed[:pivots], signed[: _slack(len(s), percent) + 1 + SPARE], sketch(s)))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.list_(pa.int64())), pa.array([r[4] for r in rows], pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "a", "b", "heads", "prefix"],
+                    [part.column("doc_id"), *(pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds))],
+                    names=["doc_id", "n", "a", "b", "heads", "prefix", "sketch"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, a bigint, b bigint, heads array<bigint>, prefix array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, a bigint, b bigint, heads array<bigint>, prefix array<bigint>, sketch binary")
 
 
 def _trim(sets: DataFrame, percent: int, frequent: list[int], kind: str) -> DataFrame:
     """Prefixes of rare tokens from the stored ones; null where those run out before the prefix is full."""
+    names = ["doc_id", "n", "component", "sketch", "prefix"]
 
     def run(batches):
         common = np.array(sorted(frequent), np.int64)
@@ -65,19 +122,19 @@ def _trim(sets: DataFrame, percent: int, frequent: list[int], kind: str) -> Data
                 kept = np.array(kept, np.int64)
                 need, rare = _slack(n, percent) + 1, kept[~np.isin(kept, common)]
                 out.append(rare[:need] if len(rare) >= need else None)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n", "component")), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "n", "component", "prefix"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), pa.array(out, pa.list_(pa.int64()))], names=names)
 
-    return sets.select("doc_id", "n", "component", "prefix").mapInArrow(run, f"doc_id {kind}, n bigint, component {kind}, prefix array<bigint>")
+    return sets.select(*names).mapInArrow(run, f"doc_id {kind}, n bigint, component {kind}, sketch binary, prefix array<bigint>")
 
 
-def _signatures(docs: DataFrame, k: int, percent: int, frequent: dict[int, int]) -> DataFrame:
-    """Rare tokens and pairs of frequent ones in the extended prefix of each text."""
+def _signatures(docs: DataFrame, k: int, percent: int, frequent: list[int]) -> DataFrame:
+    """Rare tokens and pairs of frequent ones in the extended prefix of each text, with its sketch."""
 
     def run(batches):
-        common = np.array(sorted(frequent), np.uint64)
+        common = np.array(sorted(h % (1 << 64) for h in frequent), np.uint64)
         for batch in batches:
             for part in slices(batch):
-                out = []
+                out, sizes, marks = [], [], []
                 for grams in shingles(part.column("text"), k):
                     s = np.unique(grams)
                     hot = np.isin(s, common)
@@ -89,10 +146,25 @@ def _signatures(docs: DataFrame, k: int, percent: int, frequent: dict[int, int])
                         pairs = often[i] * np.uint64(0xD6E8FEB86659FD93) + (often[j] ^ np.uint64(0xA5A5A5A5A5A5A5A5))
                         rare = np.concatenate([rare, pairs])
                     out.append(rare.view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "prefix"])
+                    sizes.append(len(s))
+                    marks.append(sketch(s))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "n", "sketch", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, prefix array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, sketch binary, prefix array<bigint>")
+
+
+def _sharp(docs: DataFrame, k: int) -> DataFrame:
+    """``doc_id, n, sharp``: the larger sketch of each text."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                sets = [np.unique(grams) for grams in shingles(part.column("text"), k)]
+                columns = pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s, SHARP) for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "n", "sharp"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, sharp binary")
 
 
 def _only(docs: DataFrame, ids: DataFrame, broadcast_rows: int) -> DataFrame:
@@ -100,47 +172,42 @@ def _only(docs: DataFrame, ids: DataFrame, broadcast_rows: int) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, "doc_id", "left_semi")
 
 
-CELL = 64
+def _likely(pairs: DataFrame, percent: int, kind: str) -> DataFrame:
+    """``pairs(u, v, n, m, sketch, other)`` that the two sketches don't rule out."""
+
+    def run(batches):
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
+            both = Sketches(pa.concat_arrays([batch.column("sketch"), batch.column("other")]))
+            i = np.arange(len(batch))
+            keep, _ = both.near(i, i + len(batch), (100 - percent) * (n + m) // (100 + percent))
+            yield batch.select(["u", "v"]).take(pa.array(keep))
+
+    return pairs.select("u", "v", "n", "m", "sketch", "other").mapInArrow(run, f"u {kind}, v {kind}")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int, broadcast_rows: int) -> DataFrame:
-    """``pairs(u, v)`` whose texts' shingle sets have 100 * intersection >= percent * union.
+    """``pairs(u, v)``, each once, whose texts' shingle sets have 100 * intersection >= percent * union.
 
-    Texts of a connected group of pairs are dealt to cells of about ``CELL``; a task sees two cells and
-    the pairs between them. So a text travels once for each cell that it has a partner in, not for each partner.
+    Both texts travel to a row of the pair by plain equi-joins, which adaptive execution splits where one
+    text has many partners. Of an id with several texts any one counts. Null texts have no shingles and never link.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    pairs = materialize(pairs, "pairs")
-    groups = materialize(connected_components(pairs), "groups")
-    few = lambda frame: F.broadcast(frame) if frame.count() <= broadcast_rows else frame
-    texts = materialize(_only(docs.select("doc_id", "text"), groups.select(F.col("node").alias("doc_id")), broadcast_rows), "texts")
-    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-    bins = max(1, groups.count() // CELL)
-    cell = F.expr(f"pmod(xxhash64(node), cast(ceil(size / {CELL}) as bigint))")
-    group = F.when(F.col("size") > CELL, F.col("component").cast("string")).otherwise(F.concat(F.lit("bin"), F.pmod(F.xxhash64("component"), F.lit(bins)).cast("string")))
-    place = materialize(groups.join(sizes, "component").select("node", group.alias("group"), cell.alias("cell")), "place")
-    at = lambda end: few(place).select(F.col("node").alias(end), *([F.col("group")] if end == "u" else []), F.col("cell").alias(f"c{end}"))
-    dealt = materialize(pairs.join(at("u"), "u").join(at("v"), "v").select("group", "cu", "cv", "u", "v"), "dealt")
-    wanted = dealt.select("group", "cu", "cv", F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    sent = wanted.join(texts, "doc_id").select("group", "cu", "cv", F.col("doc_id").alias("u"), F.lit(None).cast(kind).alias("v"), "text")
-    rows = dealt.select("group", "cu", "cv", "u", "v", F.lit(None).cast("string").alias("text")).unionByName(sent)
-
-    def run(table: pa.Table) -> pa.Table:
-        texts_ = table.filter(pc.is_valid(table.column("text"))).combine_chunks()
-        wanted_ = table.filter(pc.is_valid(table.column("v"))).select(["u", "v"])
-        sets: dict = {}
-        for batch in texts_.select(["u", "text"]).to_batches():
-            for part in slices(batch):
-                for key, grams in zip(part.column("u").to_pylist(), shingles(part.column("text"), k)):
-                    sets.setdefault(key, []).append(np.unique(grams))
-        keep = []
-        for u, v in zip(wanted_.column("u").to_pylist(), wanted_.column("v").to_pylist()):
-            keep.append(any(_alike(x, y, percent) for x in sets.get(u, ()) for y in sets.get(v, ())))
-        return wanted_.filter(pa.array(keep, pa.bool_()))
-
-    met = rows.repartition("group", "cu", "cv").groupBy("group", "cu", "cv").applyInArrow(run, f"u {kind}, v {kind}")
-    links = materialize(met, "links")
-    release(pairs, groups, texts, place, dealt)
+    pairs = materialize(pairs.select("u", "v").distinct(), "pairs")
+    ids = materialize(pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct(), "ends")
+    texts = materialize(_only(docs.select("doc_id", "text"), ids, broadcast_rows), "texts")
+    rows = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("x")), "u")
+    rows = rows.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("y")), "v").select("u", "v", "x", "y")
+
+    def run(batches):
+        for batch in batches:
+            for half in slices(batch, "x"):
+                for part in slices(half, "y"):
+                    keep = [_alike(np.unique(x), np.unique(y), percent) for x, y in zip(shingles(part.column("x"), k), shingles(part.column("y"), k))]
+                    yield part.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    links = materialize(rows.mapInArrow(run, f"u {kind}, v {kind}").distinct(), "links")
+    release(pairs, ids, texts)
     return links
 
 
@@ -151,7 +218,97 @@ def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, heads: int = 16, pivots: int = 4, often: int = 200, max_frequent: int = 4096, broadcast_rows: int = 1_000_000) -> DataFrame:
+def _forest(edges: list[tuple]) -> list[int]:
+    """Numbers of those of ``edges(cu, cv)`` that unite two sets, in their order."""
+    parent: dict = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for i, (a, b) in enumerate(edges):
+        a, b = root(a), root(b)
+        if a != b:
+            parent[b] = a
+            out.append(i)
+    return out
+
+
+def _meet(rows: DataFrame, percent: int, kind: str, spare: int = 0) -> DataFrame:
+    """Likely pairs of different components in each unit, ``unit, u, v, cu, cv, more``: all if they are at
+    most ``spare`` for each row of the unit, else a spanning forest of the components.
+
+    ``rows(unit, side, doc_id, n, component, sketch, other)`` come sorted by unit, units are bounded.
+    Sides -1 all meet; 0 and 1 meet each other. A row with ``other`` is a pair that has failed already.
+    ``more``: the unit has likely pairs that are not given.
+    """
+    schema = f"unit bigint, u {kind}, v {kind}, cu {kind}, cv {kind}, more boolean"
+    names = ["unit", "u", "v", "cu", "cv", "more"]
+
+    def emit(table):
+        dead = table.column("other").is_valid()
+        failed = {(r["unit"], r["doc_id"], r["other"]) for r in table.filter(dead).select(["unit", "doc_id", "other"]).to_pylist()}
+        table = table.filter(pa.compute.invert(dead))
+        if len(table) < 2:
+            return
+        unit, side, n = (table.column(c).to_numpy(zero_copy_only=False) for c in ("unit", "side", "n"))
+        ids, comp = (np.array(table.column(c).to_pylist(), object) if not pa.types.is_integer(table.schema.field(c).type) else table.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "component"))
+        marks = Sketches(table.column("sketch"))
+        found, at, d = [], np.arange(len(unit)), 0
+        while len(at):
+            d += 1
+            at = at[at + d < len(unit)]
+            at = at[unit[at] == unit[at + d]]
+            i, j = at, at + d
+            few = (comp[i] != comp[j]) & ((side[i] != side[j]) | (side[i] < 0))
+            few &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+            i, j = i[few], j[few]
+            near, apart = marks.near(i, j, (100 - percent) * (n[i] + n[j]) // (100 + percent))
+            found.append((i[near], j[near], apart))
+        if not found:
+            return
+        i, j, apart = (np.concatenate(x) for x in zip(*found))
+        if failed:
+            live = np.array([(unit[a], ids[a], ids[b]) not in failed and (unit[a], ids[b], ids[a]) not in failed for a, b in zip(i.tolist(), j.tolist())], bool)
+            i, j, apart = i[live], j[live], apart[live]
+        if not len(i):
+            return
+        _, number = np.unique(comp, return_inverse=True)
+        _, rank = np.unique(ids, return_inverse=True)
+        low, high = np.minimum(number[i], number[j]), np.maximum(number[i], number[j])
+        order = np.lexsort((rank[j], rank[i], apart / (n[i] + n[j]), unit[i]))
+        i, j, low, high = i[order], j[order], low[order], high[order]
+        sizes = dict(zip(*(x.tolist() for x in np.unique(unit, return_counts=True))))
+        take, more, start = [], [], 0
+        for u, group in groupby(unit[i].tolist()):
+            count = len(list(group))
+            chosen = range(count) if count <= spare * sizes[u] else _forest(list(zip(low[start : start + count].tolist(), high[start : start + count].tolist())))
+            take += [start + c for c in chosen]
+            more += [count > len(chosen)] * len(chosen)
+            start += count
+        i, j = i[take], j[take]
+        out = [pa.array(unit[i], pa.int64()), *(table.column(c).take(pa.array(x)) for c, x in (("doc_id", i), ("doc_id", j), ("component", i), ("component", j))), pa.array(more, pa.bool_())]
+        yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in out], names=names)
+
+    def run(batches):
+        kept = None
+        for batch in batches:
+            table = pa.Table.from_batches([*([kept] if kept is not None else []), batch]).combine_chunks()
+            batch = table.to_batches()[0] if len(table) else batch
+            unit = batch.column("unit").to_numpy()
+            last = int(np.searchsorted(unit, unit[-1])) if len(unit) else 0
+            yield from emit(batch.slice(0, last))
+            kept = batch.slice(last)
+        if kept is not None and len(kept):
+            yield from emit(kept)
+
+    return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, schema)
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, pivots: int = 4, often: int = 500, max_frequent: int = 4096, block: int = 1024, broadcast_rows: int = 200_000) -> DataFrame:
     """``doc_id, n_shingles, component_id``: classes of texts linked by Jaccard likeness of at least ``percent``.
 
     Exact up to 64-bit hash equality. Sets are of distinct ``k``-word shingles of whole texts; a shorter
@@ -159,63 +316,92 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, heads: in
     give a row that links with nothing; a repeated id counts as one document per row with that id. Other
     columns are ignored; an empty table gives no rows.
 
-    ``often``: a token that lies in the prefixes of more sets, of several components, is frequent; at most
-    ``max_frequent`` of them, the most frequent ones, are (any choice gives the same links). Equal sets
-    are joined by digest; one of them stands for all. ``heads`` smallest tokens serve as a sketch to find
-    pivots, by which most copies are joined early; what that misses the index finds.
+    ``often``: a token that lies in the prefixes of more sets of one magnitude, of several components, is
+    frequent; at most ``max_frequent`` of them, the most frequent ones, are (any choice gives the same
+    links). Equal sets are joined by digest; one of them stands for all. ``pivots``: by so many smallest
+    tokens sets meet a pivot; what that misses the index finds. Sets of an entry meet in blocks of ``block``.
     """
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sets = materialize(_sets(docs, k, percent, heads), "sets")
-    known = sets.where("n > 0 and doc_id is not null")
-    classes = known.groupBy("a", "b", "n").agg(F.min("doc_id").alias("v"))
-    same = materialize(known.select("doc_id", "a", "b", "n").join(classes, ["a", "b", "n"]).select(F.col("doc_id").alias("u"), "v").distinct(), "same")
-    one = same.where("u = v").select(F.col("u").alias("doc_id"))
     few = lambda frame: F.broadcast(frame) if frame.count() <= broadcast_rows else frame
-    reps = known.join(few(one), "doc_id", "left_semi")
+    sets = materialize(_sets(docs, k, percent, pivots), "sets")
+    known = sets.where("n > 0 and doc_id is not null")
+    classes = known.groupBy("a", "b", "n").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("w"))
+    classes = materialize(classes.where("v <> w").select("a", "b", "n", "v"), "copies")
+    same = known.select("doc_id", "a", "b", "n").join(few(classes), ["a", "b", "n"]).where("doc_id <> v")
+    same = materialize(same.select(F.col("doc_id").alias("u"), "v", "a", "b", "n").distinct(), "same")
+    reps = known.join(few(same.select(F.col("u").alias("doc_id"), "a", "b", "n")), ["doc_id", "a", "b", "n"], "left_anti")
 
     fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-    first = reps.select("doc_id", "n", "heads", F.explode(F.slice("heads", 1, pivots)).alias("token"))
-    low = first.groupBy("token").agg(F.min_by(F.struct("doc_id", "n", "heads"), F.col("doc_id")).alias("p"), F.count("*").alias("c")).where("c > 1")
-    stars = first.join(low, "token").selectExpr("doc_id as u", "p.doc_id as v", "n", "p.n as m", "size(array_intersect(heads, p.heads)) as common", "least(size(heads), size(p.heads)) as most")
-    stars = stars.where(f"u <> v and {fits} and 2 * common >= most").select("u", "v").distinct()
+    first = reps.select("doc_id", "n", "sketch", F.explode("heads").alias("token"))
+    low = first.groupBy("token").agg(F.min_by(F.struct("doc_id", "n", "sketch"), F.col("doc_id")).alias("p"), F.count("*").alias("c")).where("c > 1")
+    stars = first.join(low, "token").selectExpr("doc_id as u", "p.doc_id as v", "n", "p.n as m", "sketch", "p.sketch as other")
+    stars = _likely(stars.where(f"u <> v and {fits}"), percent, kind)
     links = verify(stars, docs, k, percent, broadcast_rows)
-    groups = materialize(connected_components(links), "groups")
-    named = one.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
-    named = materialize(named, "named")
-    reps = known.select("doc_id", "n", "prefix").join(few(named), "doc_id")
-
-    def tokens(frame: DataFrame) -> DataFrame:
-        """A row per token; ``p`` and ``last`` describe a prefix of single tokens, ``last`` in unsigned order."""
-        known = frame.select("doc_id", "n", "component", "prefix", F.when(F.col("single"), F.size("prefix")).alias("p"), F.element_at("prefix", -1).bitwiseXOR(F.lit(-(1 << 63))).alias("last"))
-        return known.select("doc_id", "n", "component", "p", "last", F.explode("prefix").alias("token"))
-
-    def mixed(index: DataFrame) -> DataFrame:
-        counts = index.groupBy("token").agg(F.count("*").alias("c"), F.min("component").alias("low"), F.max("component").alias("high"))
-        return counts.where("low <> high").select("token", "c")
-
-    own = reps.withColumns({"prefix": F.expr(f"slice(prefix, 1, cast(n - ({percent} * n + 99) div 100 + 1 as int))"), "single": F.lit(True)})
-    index = tokens(own)
-    shared = materialize(mixed(index), "mixed")
-    hot = [r["token"] for r in shared.where(F.col("c") > often).orderBy(F.desc("c"), "token").limit(max_frequent).collect()]
+    groups = connected_components(links)
+    named = few(groups.withColumnRenamed("node", "doc_id"))
+    reps = reps.select("doc_id", "n", "sketch", "prefix").join(named, "doc_id", "left")
+    reps = reps.withColumn("component", F.coalesce("component", "doc_id"))
+    own = reps.withColumn("prefix", F.expr(f"slice(prefix, 1, cast(n - ({percent} * n + 99) div 100 + 1 as int))"))
+
+    def entries(frame: DataFrame, *more: str) -> DataFrame:
+        """A row per entry of a prefix; sets that link meet in one magnitude of ``n`` at least."""
+        sized = frame.withColumn("magnitude", F.explode(F.expr(f"sequence(cast(floor(log2(n)) as int), cast(floor(log2(n * 100 div {percent})) as int))")))
+        return sized.select("doc_id", "component", *more, "magnitude", F.explode("prefix").alias("token")).withColumn("entry", F.xxhash64("token", "magnitude"))
+
+    def mixed(frame: DataFrame) -> DataFrame:
+        """Entries with sets of several components."""
+        counts = entries(frame).groupBy("entry").agg(F.count("*").alias("c"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("token").alias("token"))
+        return counts.where("low <> high").select("entry", "c", "token")
+
+    shared = materialize(mixed(own), "mixed")
+    hot = shared.where(F.col("c") > often).groupBy("token").agg(F.max("c").alias("c"))
+    hot = [r["token"] for r in hot.orderBy(F.desc("c"), "token").limit(max_frequent).collect()]
     if hot:
         trimmed = materialize(_trim(reps, percent, hot, kind), "trimmed")
-        short = materialize(trimmed.where("prefix is null").select("doc_id", "n", "component"), "short")
-        anew = _signatures(_only(docs, short.select("doc_id"), broadcast_rows), k, percent, {h % (1 << 64): 1 for h in hot})
-        anew = materialize(anew.join(few(short), "doc_id").select("doc_id", "n", "component", "prefix", F.lit(False).alias("single")), "anew")
-        index = tokens(trimmed.where("prefix is not null").withColumn("single", F.lit(True)).unionByName(anew))
+        short = materialize(trimmed.where("prefix is null").select("doc_id", "component").distinct(), "short")
+        anew = _signatures(_only(docs, short.select("doc_id"), broadcast_rows), k, percent, hot).join(few(short), "doc_id")
+        anew = materialize(anew.select("doc_id", "n", "component", "sketch", "prefix"), "anew")
+        own = trimmed.where("prefix is not null").unionByName(anew)
         release(shared)
-        shared = materialize(mixed(index), "mixed")
-    index = materialize(index.join(few(shared.select("token")), "token", "left_semi"), "index")
-    left = index.selectExpr("token", "doc_id as u", "n", "component as cu", "p as pu", "last as lu")
-    right = index.selectExpr("token", "doc_id as v", "n as m", "component as cv", "p as pv", "last as lv")
-    met = left.join(right, "token").where(f"cu > cv and {fits}")
-    met = met.groupBy("u", "v", "n", "m", "pu", "pv", "lu", "lv").agg(F.count("*").alias("common"))
-    # Of the prefix that ends first every token is settled: what isn't common is missing in the other set.
-    most = F.expr("case when pu is null or pv is null then least(n, m) when lu <= lv then n - pu + common else m - pv + common end")
-    candidates = met.where(most * (100 + percent) >= percent * (F.col("n") + F.col("m"))).select("u", "v").distinct()
-    more = verify(candidates, docs, k, percent, broadcast_rows)
-    found = materialize(connected_components(same.where("u <> v").unionByName(links).unionByName(more)), "found")
-    found = found.select(F.col("node").alias("doc_id"), F.col("component").cast(kind).alias("component_id"))
-    rows = sets.select("doc_id", F.col("n").alias("n_shingles"))
-    return rows.join(few(found), "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+        shared = materialize(mixed(own), "mixed")
+
+    index = entries(own, "n", "sketch").join(few(shared.select("entry", "c")), "entry")
+    cells = F.ceil(F.col("c") / block).cast("int")
+    cell = F.pmod(F.xxhash64("doc_id"), cells).cast("int")
+    index = index.withColumns({"cells": cells, "cell": cell}).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    index = index.withColumn("unit", F.when(F.col("cells") == 1, F.col("entry")).otherwise(F.xxhash64("entry", F.least("cell", "with"), F.greatest("cell", "with"))))
+    index = index.withColumn("side", F.expr("case when cell = with then -1 when cell < with then 0 else 1 end"))
+    wanted = ["unit", "side", "doc_id", "n", "component", "sketch"]
+    rows = index.select(*wanted, F.lit(None).cast(kind).alias("other"))
+    every, spent = [links], []
+    while True:
+        met = materialize(_meet(rows, percent, kind, 0 if len(every) == 1 else 32), "met")
+        more = verify(met, docs, k, percent, broadcast_rows)
+        every.append(more)
+        failed = met.join(few(more.withColumn("linked", F.lit(True))), ["u", "v"], "left").where("linked is null")
+        asked = materialize(failed.where("more").select("unit").distinct(), "asked")
+        spent += [met, asked]
+        if not asked.count():
+            break
+        again = rows.join(few(asked), "unit", "left_semi")
+        if len(every) == 2:
+            ids = materialize(again.select("doc_id").distinct(), "ends")
+            sharp = materialize(_sharp(_only(docs, ids, broadcast_rows), k), "sharp")
+            again = again.drop("sketch").join(sharp.withColumnRenamed("sharp", "sketch"), ["doc_id", "n"])
+            spent += [ids, sharp]
+        united = connected_components(met.join(few(more), ["u", "v"], "left_semi").select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+        united_ = few(united.select(F.col("node").alias("component"), F.col("component").alias("with")))
+        again = again.join(united_, "component", "left").withColumn("component", F.coalesce("with", "component"))
+        dead = failed.where("more").select("unit", F.lit(-1).alias("side"), F.col("u").alias("doc_id"), F.lit(0).cast("bigint").alias("n"), F.col("cu").alias("component"), F.lit(None).cast("binary").alias("sketch"), F.col("v").alias("other"))
+        rows = materialize(again.select(*wanted, "other").unionByName(dead), "again")
+        spent += [united, rows]
+    pairs = same.select("u", "v")
+    for found in every:
+        pairs = pairs.unionByName(found)
+    found = connected_components(pairs)
+    ids = few(found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id")))
+    out = sets.select("doc_id", F.col("n").alias("n_shingles")).join(ids, "doc_id", "left")
+    out = materialize(out.withColumn("component_id", F.coalesce("component_id", "doc_id")), "classes")
+    release(sets, classes, same, groups, shared, found, *every, *spent, *((trimmed, short, anew) if hot else ()))
+    return out

@@ -4,10 +4,11 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from siftlog.llm.fingerprints import edited_neighbours, fingerprints
-from siftlog.llm.jaccard import jaccard_components
+from siftlog.llm.jaccard import Sketches, jaccard_components, sketch
 from siftlog.llm.passages import align, chains, remove_passages, repeated_passages, winnow, without
 from siftlog.llm.vectors import near_vectors
 
@@ -224,3 +225,39 @@ def test_passages_with_random_edits(spark):
     assert all(x["source_doc_id"] == i - 1 and x["equal_words"] >= 0.8 * x["n_words"] for i, x in got.items())
     caught = [i in got for i, wanted in planted.items() if wanted]
     assert sum(caught) == len(caught) == 60
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_jaccard_of_many_copies_just_under_the_threshold(spark, kind):
+    """One text with 1 to 5 changed words in 300 copies, in small blocks: many pairs lie close to the threshold."""
+    r = random.Random(8)
+    base = [f"w{r.randint(0, 10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(300):
+        own = list(base)
+        for j in r.sample(range(len(own)), r.randint(1, 5)):
+            own[j] = f"x{r.randint(0, 10**6)}"
+        rows.append((i, " ".join(own)))
+    sets = {i: shingle_set(t, 4) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    want = roots(sets, links)
+    assert len(links) > 300 and len(set(want.values())) > 20
+    name = (lambda i: i) if kind == "bigint" else (lambda i: f"d{i:04d}")
+    df = spark.createDataFrame([(name(i), t) for i, t in rows], f"doc_id {kind}, text string")
+    got = {x["doc_id"]: x["component_id"] for x in jaccard_components(df, 4, 85, block=64).collect()}
+    assert got == {name(i): name(c) for i, c in want.items()}
+
+
+def test_sketches_bound_the_difference():
+    """A sketch never claims more differing tokens than there are, whatever the sizes, and few less for small sets."""
+    r = np.random.default_rng(4)
+    pool = r.integers(0, 1 << 63, 9000).astype(np.uint64)
+    sets = [np.unique(r.choice(pool, n, replace=False)) for n in (1, 2, 60, 64, 65, 120, 130, 255, 257, 1000, 1100, 2500, 5000)]
+    close = [np.concatenate([s[2:], r.integers(0, 1 << 63, 2).astype(np.uint64)]) for s in sets]
+    marks = Sketches(pa.array([sketch(s) for s in sets + close]))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets + close):
+            if max(len(x), len(y)) <= 2 * min(len(x), len(y)):
+                differ = len(np.setxor1d(x, y))
+                assert marks.differ(np.array([i]), np.array([j]))[0] <= differ
+                assert j != len(sets) + i or differ - marks.differ(np.array([i]), np.array([j]))[0] <= 2
