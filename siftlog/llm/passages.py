@@ -377,17 +377,27 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*keep, text[at[end] :]]) if end else text
 
 
-def remove_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """``docs`` with the passages cut out of ``text`` and ``n_chars`` counted again; other columns stay."""
-    spans = passages.select("doc_id", "start_word", "n_words").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "n_words")).alias("spans"))
-    spans = spans.withColumnRenamed("doc_id", "spans_of")
+def remove_passages(docs: DataFrame, passages: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
+    """``docs`` with the passages cut out of ``text`` and ``n_chars`` counted again; other columns stay.
+
+    Rows with a repeated id share their cuts, null ids and null texts stay as they are. The cuts are
+    broadcast only if they are few.
+    """
+    cuts = passages.select("doc_id", "start_word", "n_words").distinct()
+    few = cuts.count() <= broadcast_rows
+    cuts = cuts.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "n_words")).alias("spans"))
+    names = docs.columns
+    # columns by place, so that no name of the table can clash
+    rows = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    columns = rows.columns
+    key, text = f"c{names.index('doc_id')}", f"c{names.index('text')}"
+    joined = rows.join(F.broadcast(cuts) if few else cuts, rows[key] == cuts["doc_id"], "left").drop("doc_id")
 
     def cut(batches):
         for batch in batches:
-            texts = [t if t is None or not s else without(t, [(x["start_word"], x["n_words"]) for x in s]) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())]
-            names = batch.schema.names
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names if n != "spans"], names=[n for n in names if n != "spans"])
+            spans = batch.column("spans").to_pylist()
+            texts = [t if t is None or not s else without(t, [(x["start_word"], x["n_words"]) for x in s]) for t, s in zip(batch.column(text).to_pylist(), spans)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == text else batch.column(n) for n in columns], names=columns)
 
-    joined = docs.join(spans, docs["doc_id"] == spans["spans_of"], "left").drop("spans_of")
-    out = joined.mapInArrow(cut, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    out = joined.mapInArrow(cut, rows.schema).toDF(*names)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from siftlog.llm.bpe import Words
 from siftlog.llm.texts import map_texts
-from siftlog.scratch import materialize
+from siftlog.scratch import materialize, release
 
 #: Labellers in the order of their votes in a pattern; each vote is b (bad), g (good) or - (none).
 LABELLERS = ("upper", "signs", "stutter", "variety", "bars", "lines", "prose", "rhythm")
@@ -159,22 +159,27 @@ def classify(docs: DataFrame, max_sample: int = 6000, threshold: float = 0.5) ->
     """``doc_id, pattern, weak_bad, score, predicted`` for every document; predicted 1 means good quality.
 
     ``score`` is the scorer's probability of good quality. Vote counts cover all documents; the scorer is
-    fitted on at most ``max_sample`` of them: half with a posterior over one half, half under, in the
-    order of a hash of their features, so that copies don't crowd it out. Null and empty texts have no features and, with them, the intercept's score raised to good:
+    fitted on at most ``max_sample`` of them: half with a posterior over one half, half under, those with
+    the smallest hash of their features, so that copies don't crowd it out; rows are counted first, and
+    only hashes under about twice the bound leave a task. Null and empty texts have no features and, with them, the intercept's score raised to good:
     nothing speaks against them. Repeated rows and null ids pass; other columns are ignored; an empty
     table gives no rows. No key is shuffled but the vote pattern, whose counts are aggregated map-side.
     """
     spark = docs.sparkSession
-    seen = materialize(observe(docs), "quality")
+    seen = observed = materialize(observe(docs), "observed")
     counts = {r["pattern"]: r["n"] for r in seen.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
     posterior = fit_labellers(counts)
     table = spark.createDataFrame([(p, float(v)) for p, v in posterior.items()] or [("", 0.0)], "pattern string, weak_bad double")
     seen = seen.join(F.broadcast(table), "pattern")
-    order = [F.xxhash64("buckets", "shares"), F.col("pattern")]
+    hashed = F.xxhash64("buckets", "shares")
     sample = []
-    for kind in ("weak_bad > 0.5", "weak_bad <= 0.5 and pattern like '%g%'"):
-        part = seen.where(kind).select("buckets", "shares", "weak_bad", "pattern").dropDuplicates(["buckets", "shares"])
-        sample += [(r["buckets"], r["shares"], r["weak_bad"]) for r in part.orderBy(*order).limit(max_sample // 2).collect()]
+    for bad in (True, False):
+        kind = "weak_bad > 0.5" if bad else "weak_bad <= 0.5 and pattern like '%g%'"
+        rows = sum(n for p, n in counts.items() if (posterior[p] > 0.5) == bad and (bad or "g" in p))
+        share = min(1.0, max_sample / max(1, rows))
+        part = seen.where(kind).where(F.pmod(hashed, F.lit(1 << 30)) < int(share * (1 << 30)))
+        part = part.select("buckets", "shares", "weak_bad", "pattern").dropDuplicates(["buckets", "shares"])
+        sample += [(r["buckets"], r["shares"], r["weak_bad"]) for r in part.orderBy(hashed, "pattern").limit(max_sample // 2).collect()]
     if sample and min(r[2] for r in sample) < 0.5 < max(r[2] for r in sample):
         w = fit_scorer(sample)
     else:
@@ -185,4 +190,7 @@ def classify(docs: DataFrame, max_sample: int = 6000, threshold: float = 0.5) ->
     linear = F.expr("aggregate(zip_with(buckets, shares, (b, x) -> x * element_at(weights, b + 1)), 0D, (a, x) -> a + x)")
     bad = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), linear + F.lit(float(w[-1]))))))
     score = F.when(F.size("buckets") == 7, F.lit(1.0)).otherwise(1 - bad)
-    return seen.select("doc_id", "pattern", "weak_bad", score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    out = seen.select("doc_id", "pattern", "weak_bad", score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    out = materialize(out, "quality")
+    release(observed)
+    return out

@@ -16,7 +16,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siftlog.llm.texts import map_texts, slices
+from siftlog.llm.texts import filter_texts, map_texts, slices
 
 # Look-alike letters, digits read as letters, seed words and phrases in which they are harmless.
 LOOKALIKES = dict(zip("аеорсухіѕјһԁԛԝкмтвнαοεικνρτυχ", "aeopcyxisjhdqwkmtbhaoeikvptux"))
@@ -250,6 +250,11 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     return map_texts(docs, make, "score double, n_matches bigint")
 
 
+def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of ``docs`` whose text scores under ``threshold``, with all their columns; the verdict stays on its row, so ids don't matter."""
+    return filter_texts(docs, lambda texts: [lexicon.score(t)[0] < threshold for t in texts])
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Learn from ``labels(doc_id, toxic)`` and score all documents: ``doc_id, held_out, score, predicted, n_matches``."""
     found = score(docs, learn_lexicon(docs, labels))
