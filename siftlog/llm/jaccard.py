@@ -34,7 +34,7 @@ from siftlog.scratch import materialize, release
 #: Tokens kept beyond a prefix: a set with as few frequent tokens need not be read again.
 SPARE = 8
 #: Bits of a sketch for each token, and of the largest one: at first, and where a likely pair has failed.
-PLAIN, SHARP = (1, 2048), (32, 65536)
+PLAIN, SHARP = (1, 2048), (8, 131072)
 
 
 def _slack(n: int, percent: int) -> int:
@@ -186,15 +186,27 @@ def _likely(pairs: DataFrame, percent: int, kind: str) -> DataFrame:
     return pairs.select("u", "v", "n", "m", "sketch", "other").mapInArrow(run, f"u {kind}, v {kind}")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int, broadcast_rows: int) -> DataFrame:
+def _ends(pairs: DataFrame) -> DataFrame:
+    return materialize(pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct(), "ends")
+
+
+def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int, broadcast_rows: int, doubtful: bool = False) -> DataFrame:
     """``pairs(u, v)``, each once, whose texts' shingle sets have 100 * intersection >= percent * union.
 
     Both texts travel to a row of the pair by plain equi-joins, which adaptive execution splits where one
     text has many partners. Of an id with several texts any one counts. Null texts have no shingles and never link.
+    ``doubtful``: most pairs will fail, so their larger sketches, a fifth of a text or less, are compared first.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     pairs = materialize(pairs.select("u", "v").distinct(), "pairs")
-    ids = materialize(pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct(), "ends")
+    ids = _ends(pairs)
+    if doubtful:
+        sharp = materialize(_sharp(_only(docs, ids, broadcast_rows), k), "sharp")
+        rows = pairs.join(sharp.select(F.col("doc_id").alias("u"), "n", F.col("sharp").alias("sketch")), "u")
+        rows = rows.join(sharp.select(F.col("doc_id").alias("v"), F.col("n").alias("m"), F.col("sharp").alias("other")), "v")
+        likely = materialize(_likely(rows, percent, kind).distinct(), "pairs")
+        release(pairs, ids, sharp)
+        pairs, ids = likely, _ends(likely)
     texts = materialize(_only(docs.select("doc_id", "text"), ids, broadcast_rows), "texts")
     rows = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("x")), "u")
     rows = rows.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("y")), "v").select("u", "v", "x", "y")
@@ -376,8 +388,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, pivots: i
     rows = index.select(*wanted, F.lit(None).cast(kind).alias("other"))
     every, spent = [links], []
     while True:
-        met = materialize(_meet(rows, percent, kind, 0 if len(every) == 1 else 32), "met")
-        more = verify(met, docs, k, percent, broadcast_rows)
+        met = materialize(_meet(rows, percent, kind, 4 if len(every) == 1 else 32), "met")
+        more = verify(met, docs, k, percent, broadcast_rows, doubtful=True)
         every.append(more)
         failed = met.join(few(more.withColumn("linked", F.lit(True))), ["u", "v"], "left").where("linked is null")
         asked = materialize(failed.where("more").select("unit").distinct(), "asked")
