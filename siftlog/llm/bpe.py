@@ -28,12 +28,14 @@ def byte_letters() -> list[str]:
 
 
 class Words(dict):
-    """A cache by word of bounded size: when it is full it starts again."""
+    """A cache by word of bounded size: when it is full it starts again. Long words are made anew each time."""
 
-    def __init__(self, make, size: int = 250_000):
-        self.make, self.size = make, size
+    def __init__(self, make, size: int = 250_000, longest: int = 100):
+        self.make, self.size, self.longest = make, size, longest
 
     def __missing__(self, word):
+        if isinstance(word, str) and len(word) > self.longest:
+            return self.make(word)
         if len(self) >= self.size:
             self.clear()
         value = self[word] = self.make(word)

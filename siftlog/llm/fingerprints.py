@@ -1,6 +1,7 @@
 """Operator 10: document fingerprints by winnowing, in DataFrame functions only.
 
-A text is a row of units: its words, and for short texts also its characters. Every run of ``k`` units
+A text is a row of units: its words, and for short texts also its characters; a long text gets them
+too where it is compared with one that has nothing else. Every run of ``k`` units
 is hashed; in each window of hashes the smallest is chosen, the rightmost of equal ones. Any run of
 ``window + k - 1`` units that two texts share leaves at least one common hash, and the kept positions
 say where. A chosen hash and its position share one long, hash first and the position counted down,
@@ -58,10 +59,19 @@ def shown(prefix: str) -> Column:
     return F.expr(f"array_join(concat(array('w'), {part('w')}, array('c'), {part('c')}), ' ')")
 
 
+def _with_characters(df: DataFrame, text: str, prefix: str, needed: str) -> DataFrame:
+    """Add the characters' longs to ``{prefix}_c`` where ``needed`` holds and the text was too long to have them."""
+    c, g = f"{prefix}_chars", f"{prefix}_gc"
+    step = df.withColumn(c, F.expr(f"if(size({prefix}_c) = 0 and ({needed}) and length({text}) > 0, split(lower({text}), ''), cast(array() as array<string>))"))
+    step = step.withColumn(g, F.expr(_grams(c, CHARS[0]))).withColumn(g, F.expr(_chosen(g, CHARS[1])))
+    return step.withColumn(f"{prefix}_c", F.expr(f"if(size({g}) > 0, {g}, {prefix}_c)")).drop(c, g)
+
+
 def likeness(a: str, b: str) -> Column:
     """Jaccard likeness of the hashes of two fingerprints, by words if both have them, else by characters.
 
-    Two empty fingerprints are alike (1), an empty one and another are not (0).
+    Where one text has words only and the other characters only, ``_with_characters`` comes first. Two
+    empty fingerprints are alike (1), an empty one and another are not (0).
     """
     hashes = lambda x: f"array_distinct(transform({x}, v -> shiftright(v, 24)))"
 
@@ -119,13 +129,20 @@ def edited_neighbours(docs: DataFrame, rows_per_bucket: int = 1000, max_buckets:
     pairs = pairs.withColumn("n_chars", F.length("text").cast("bigint")).withColumn(
         "edited", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 2 as int)), substring(next_text, 1, cast(n_chars div 2 as int)))")
     )
-    pairs = with_fingerprint(pairs.drop("text", "next_text"), "edited", "edited")
+    pairs = with_fingerprint(pairs, "edited", "edited")
+    pairs = pairs.withColumns({"fingerprint": shown("own"), "edited_fingerprint": shown("edited")})
+    # A text of words only meets one of characters only: compare them by characters.
+    lone = lambda x: f"size({x}_w) = 0 and size({x}_c) > 0"
+    pairs = pairs.withColumns({f"{x}_lone": F.expr(lone(x)) for x in ("own", "edited", "next")})
+    pairs = _with_characters(pairs, "text", "own", "edited_lone or next_lone")
+    pairs = _with_characters(pairs, "edited", "edited", "own_lone")
+    pairs = _with_characters(pairs, "next_text", "next", "own_lone")
     return pairs.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        shown("own").alias("fingerprint"),
-        shown("edited").alias("edited_fingerprint"),
+        "fingerprint",
+        "edited_fingerprint",
         likeness("own", "edited").alias("near_edited"),
         likeness("own", "next").alias("near_next"),
     )

@@ -10,6 +10,7 @@ its place in its queue alone, in any partition, and the deficits agree across pa
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from functools import lru_cache
 
@@ -18,11 +19,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from siftlog.llm.bpe import byte_letters, pattern
+from siftlog.llm.bpe import byte_letters, encoder, pattern
 from siftlog.llm.texts import slices
 from siftlog.scratch import materialize
 
 FIXED = 16
+#: Characters of white space in a row beyond which a text doesn't go to the library.
+LONG_RUN = 50_000
+_blanks = re.compile(r"\s+")
 PIECES = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, window_id bigint, queue string"
 
 
@@ -32,6 +36,7 @@ class ByteIds:
     def __init__(self, path: str):
         import tiktoken
 
+        self.path = path
         spec = json.load(open(path, encoding="utf-8"))
         vocab = spec["model"]["vocab"]
         merges = [m.split(" ", 1) if isinstance(m, str) else m for m in spec["model"]["merges"]]
@@ -47,7 +52,13 @@ class ByteIds:
         self.encode = tiktoken.Encoding("ids", pat_str=pattern("bytes"), mergeable_ranks=ranks, special_tokens=self.special)
 
     def __call__(self, text: str) -> list[np.ndarray]:
-        """Parts of the ids of ``text``; special strings in it become their id."""
+        """Parts of the ids of ``text``; special strings in it become their id.
+
+        The library's pattern can't step back over very long runs of white space; texts with one go
+        through the automaton of the same file.
+        """
+        if len(text) > LONG_RUN and any(m.end() - m.start() > LONG_RUN for m in _blanks.finditer(text)):
+            return [np.array(encoder(self.path).encode(text), np.int64)]
         return [self.encode.encode_to_numpy(text, allowed_special="all")]
 
 

@@ -162,3 +162,16 @@ def test_layout_is_a_permutation():
                 assert (number, offset + i) not in seen
                 seen.add((number, offset + i))
     assert len(seen) == 457
+
+
+def test_packing_of_very_long_blanks(spark):
+    """A run of over a million blanks gets the ids that the automaton gives; a shorter run those of the library."""
+    library = Tokenizer.from_file(BYTES)
+    texts = ["a" + " " * 1_100_000 + "b", "x" + " " * 60_000 + "y" + "\n" * 30, " " * 60_000]
+    got = {}
+    for r in pack(spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id int, text string, source string"), BYTES).collect():
+        got.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["ids_crc32"]))
+    for i in (0, 1, 2):
+        ids = (library.encode(texts[i], add_special_tokens=False).ids if i else encoder(BYTES).encode(texts[i])) + [0]
+        assert sorted(got[i]) == [(a, n, zlib.crc32(struct.pack(f"<{n}I", *ids[a : a + n]))) for a, n, _ in sorted(got[i])]
+        assert sum(n for _, n, _ in got[i]) == len(ids)
