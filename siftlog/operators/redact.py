@@ -97,8 +97,14 @@ def forbidden_fields(df: DataFrame) -> list[str]:
 
 
 def leaked(payloads: DataFrame, identifiers: DataFrame, run: str) -> DataFrame:
-    """Payloads that hold a real identifier of their own run."""
-    return payloads.join(identifiers, run).where(F.col("payload").contains(F.col("identifier"))).select(run, "payload", "identifier")
+    """Payloads that hold a real identifier of their own run as a word; each payload and identifier once.
+
+    Words are runs of letters, digits and ``_ . : @ - / \\ $`` without points and colons at their ends, so a
+    payload meets the identifiers of its run by an equi-join on the word.
+    """
+    word = F.explode(F.array_distinct(F.transform(F.regexp_extract_all("payload", F.lit(r"([\p{L}\p{N}_.:@/\\$-]+)"), 1), lambda w: F.regexp_replace(w, r"^[.:]+|[.:]+$", ""))))
+    words = payloads.select(run, "payload", word.alias("identifier")).distinct()
+    return words.join(identifiers.select(run, "identifier").distinct(), [run, "identifier"], "left_semi").select(run, "payload", "identifier")
 
 
 def check_citations(citations: DataFrame, retrieved: DataFrame, resolved: DataFrame, events: DataFrame) -> DataFrame:

@@ -199,9 +199,23 @@ def f4_auth_frequency(spark, sf_dir):
     return history.auth_frequency(s, v.auth_events(spark, sf_dir))
 
 
-@query("select cast(null as varchar) as session_id, cast(null as varchar) as rule where false")
+@query(
+    f"""with {SESSIONS_SQL}, f as (select session_id, event_count % 7 = 3 as more, event_count % 5 = 1 as late, event_count % 11 = 2 as other, event_count % 13 = 4 as again from sessions)
+    select session_id, unnest(list_filter([case when more <> again then 'wrong_count' end, case when late then 'wrong_start' end, case when late then 'event_outside' end, case when other then 'other_entity' end,
+      case when again then 'repeated_event' end, case when again then 'unordered' end], lambda x: x is not null)) as rule from f"""
+)
 def f5_violations(spark, sf_dir):
-    return history.violations(materialize(v.sessions(spark, sf_dir), "sessions"), v.auth_events(spark, sf_dir))
+    """Sessions with faults put in by their number of events: a wrong count, a late start, another user, a repeated event."""
+    s = v.sessions(spark, sf_dir).withColumn("n", F.col("event_count"))
+    s = s.withColumns(
+        {
+            "event_count": F.when(F.col("n") % 7 == 3, F.col("n") + 1).otherwise(F.col("n")),
+            "start_time": F.when(F.col("n") % 5 == 1, F.col("start_time") + F.expr("interval 1 second")).otherwise(F.col("start_time")),
+            "user": F.when(F.col("n") % 11 == 2, F.lit("nobody")).otherwise(F.col("user")),
+            "events": F.expr("if(n % 13 = 4, array_append(events, element_at(events, 1)), events)"),
+        }
+    ).drop("n")
+    return history.violations(materialize(s, "sessions"), v.auth_events(spark, sf_dir))
 
 
 @query(
@@ -257,14 +271,15 @@ def m1_frozen_hours(spark, sf_dir):
 
 
 @query(
-    f"""with {SESSIONS_SQL}, obs as (select "user" as entity, cast(event_count as double) as y, start_time as t0, session_id as id from sessions),
-    st as (select *, row_number() over (partition by entity order by t0, id) - 1 as seen, avg(y) over w as m, stddev_samp(y) over w as s from obs window w as (partition by entity order by t0, id rows between unbounded preceding and 1 preceding))
-    select id, seen, round(case when seen >= 2 and coalesce(s, 0) > 0 then abs(y - coalesce(m, 0)) / (coalesce(s, 0) + 1e-10) end, 6) as score from st"""
+    f"""with {SESSIONS_SQL}, obs as (select "user" as entity, cast(event_count as bigint) as y, start_time as t0, session_id as id from sessions),
+    st as (select *, row_number() over (partition by entity order by t0, id) - 1 as seen, sum(y) over w as s1, sum(y * y) over w as s2 from obs window w as (partition by entity order by t0, id rows between unbounded preceding and 1 preceding)),
+    ms as (select *, case when seen > 0 then s1 / cast(seen as double) else 0 end as m, case when seen > 1 then sqrt(cast(seen * s2 - s1 * s1 as double) / (seen * (seen - 1))) else 0 end as sd from st)
+    select id, seen, round(least(1e6, abs(y - m) / (sd + 1e-10)), 6) as score from ms"""
 )
 def m2_deviation(spark, sf_dir):
     obs = v.sessions(spark, sf_dir).select(F.col("user").alias("entity"), F.col("event_count").cast("double").alias("y"), F.col("start_time").alias("at"), F.col("session_id").alias("id"))
     found = models.frequency_deviation(obs)
-    return found.select("id", F.col("seen").cast("bigint").alias("seen"), F.round(F.when((F.col("seen") >= 2) & (F.col("score") < 1e8), F.col("score")), 6).alias("score"))
+    return found.select("id", F.col("seen").cast("bigint").alias("seen"), F.round(F.least(F.lit(1e6), "score"), 6).alias("score"))
 
 
 @query(
@@ -964,11 +979,13 @@ def r7_outbound(spark, sf_dir):
     return redact.outbound(v.auth_events(spark, sf_dir), redact.EVENT_FIELDS, b"salt", "ev", "event_id")
 
 
-@query(f"""with ev as ({EVENTS_SQL}) select host as run, event_id as payload, "user" as identifier from ev where line_no % 50 = 0 and "user" is not null and false""")
+@query(f"""with ev as ({EVENTS_SQL}) select host as run, event_type || ' ' || event_id || ' for ' || "user" as payload, "user" as identifier from ev where line_no % 50 = 0 and "user" is not null""")
 def r8_leaked(spark, sf_dir):
-    e = v.auth_events(spark, sf_dir).withColumn("run", F.col("line_no"))
-    safe = e.select("run", F.concat_ws(" ", "event_type", "event_id").alias("payload"))
-    return redact.leaked(safe, e.where("user is not null").select("run", F.col("user").alias("identifier")), "run").select(F.col("run").cast("string").alias("run"), "payload", "identifier")
+    """A run per host; every 50th payload holds the user."""
+    e = v.auth_events(spark, sf_dir).withColumn("run", F.col("host"))
+    payload = F.concat_ws(" ", "event_type", "event_id", F.when(F.col("line_no") % 50 == 0, F.concat(F.lit("for "), "user")))
+    identifiers = e.where("user is not null").select("run", F.col("user").alias("identifier"))
+    return redact.leaked(e.select("run", payload.alias("payload")), identifiers, "run").select("run", "payload", "identifier")
 
 
 @query(f"""with ev as ({EVENTS_SQL}) select event_id as run_id, 'user-' || (line_no % 5) as pseudonym, case when line_no % 5 <> 3 then 'v' || (line_no % 5) end as value from ev""")
