@@ -25,21 +25,26 @@ def folder(spark: SparkSession) -> str:
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back: later steps restart from the files, not from its lineage.
 
-    Shuffle files of the write are freed when it ends, as nothing reads them again.
+    Shuffle files of the write are freed when it ends, as nothing reads them again. Rows go to Python
+    workers a few thousand at a time, so that batches of long texts stay small.
     """
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    settings = {CLEANUP: "true", ARROW_ROWS: "2000"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
