@@ -320,7 +320,7 @@ def _meet(rows: DataFrame, percent: int, kind: str, spare: int = 0) -> DataFrame
     return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, schema)
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, pivots: int = 4, often: int = 500, max_frequent: int = 4096, block: int = 1024, broadcast_rows: int = 200_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, pivots: int = 4, often: int = 500, max_frequent: int = 4096, block: int = 1024, broadcast_rows: int = 200_000, broadcast_entries: int = 1_000_000) -> DataFrame:
     """``doc_id, n_shingles, component_id``: classes of texts linked by Jaccard likeness of at least ``percent``.
 
     Exact up to 64-bit hash equality. Sets are of distinct ``k``-word shingles of whole texts; a shorter
@@ -332,6 +332,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, pivots: i
     frequent; at most ``max_frequent`` of them, the most frequent ones, are (any choice gives the same
     links). Equal sets are joined by digest; one of them stands for all. ``pivots``: by so many smallest
     tokens sets meet a pivot; what that misses the index finds. Sets of an entry meet in blocks of ``block``.
+    Tables of at most ``broadcast_rows`` ids, and entries of 16 bytes up to ``broadcast_entries``, are
+    broadcast after they were counted; others are shuffled.
     """
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -369,8 +371,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, pivots: i
     shared = materialize(mixed(own), "mixed")
     hot = shared.where(F.col("c") > often).groupBy("token").agg(F.max("c").alias("c"))
     hot = [r["token"] for r in hot.orderBy(F.desc("c"), "token").limit(max_frequent).collect()]
+    sizes = materialize(sets.select("doc_id", F.col("n").alias("n_shingles")), "sizes")
     if hot:
         trimmed = materialize(_trim(reps, percent, hot, kind), "trimmed")
+        release(sets)
         short = materialize(trimmed.where("prefix is null").select("doc_id", "component").distinct(), "short")
         anew = _signatures(_only(docs, short.select("doc_id"), broadcast_rows), k, percent, hot).join(few(short), "doc_id")
         anew = materialize(anew.select("doc_id", "n", "component", "sketch", "prefix"), "anew")
@@ -378,14 +382,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, pivots: i
         release(shared)
         shared = materialize(mixed(own), "mixed")
 
-    index = entries(own, "n", "sketch").join(few(shared.select("entry", "c")), "entry")
+    index = entries(own, "n").join(F.broadcast(shared.select("entry", "c")) if shared.count() <= broadcast_entries else shared.select("entry", "c"), "entry")
+    marks = own.select("doc_id", "n", "sketch").distinct()
     cells = F.ceil(F.col("c") / block).cast("int")
     cell = F.pmod(F.xxhash64("doc_id"), cells).cast("int")
     index = index.withColumns({"cells": cells, "cell": cell}).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     index = index.withColumn("unit", F.when(F.col("cells") == 1, F.col("entry")).otherwise(F.xxhash64("entry", F.least("cell", "with"), F.greatest("cell", "with"))))
     index = index.withColumn("side", F.expr("case when cell = with then -1 when cell < with then 0 else 1 end"))
     wanted = ["unit", "side", "doc_id", "n", "component", "sketch"]
-    rows = index.select(*wanted, F.lit(None).cast(kind).alias("other"))
+    # sketches join only what is left of the entries, so that most of them never carry one
+    rows = index.join(marks, ["doc_id", "n"]).select(*wanted, F.lit(None).cast(kind).alias("other"))
     every, spent = [links], []
     while True:
         met = materialize(_meet(rows, percent, kind, 4 if len(every) == 1 else 32), "met")
@@ -413,7 +419,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, pivots: i
         pairs = pairs.unionByName(found)
     found = connected_components(pairs)
     ids = few(found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id")))
-    out = sets.select("doc_id", F.col("n").alias("n_shingles")).join(ids, "doc_id", "left")
+    out = sizes.join(ids, "doc_id", "left")
     out = materialize(out.withColumn("component_id", F.coalesce("component_id", "doc_id")), "classes")
-    release(sets, classes, same, groups, shared, found, *every, *spent, *((trimmed, short, anew) if hot else ()))
+    release(sizes, classes, same, groups, shared, found, *every, *spent, *((trimmed, short, anew) if hot else (sets,)))
     return out

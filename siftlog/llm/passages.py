@@ -223,15 +223,19 @@ def _by_doc(rows: DataFrame, columns: list[str], make, schema: str) -> DataFrame
     ordered = rows.select("doc_id", "pos", *columns).repartition("doc_id").sortWithinPartitions("doc_id", "pos")
 
     def run(batches):
-        kept = None
+        kept, out = None, []
         for batch in batches:
             table = pa.Table.from_batches([*([kept] if kept is not None else []), batch]).combine_chunks()
             batch = table.to_batches()[0] if len(table) else batch
             doc = batch.column("doc_id").to_numpy(zero_copy_only=False)
             cut = [0, *(np.flatnonzero(doc[1:] != doc[:-1]) + 1).tolist()]
             for a, b in zip(cut, cut[1:]):
-                yield from make(batch.slice(a, b - a))
+                out += make(batch.slice(a, b - a))
             kept = batch.slice(cut[-1])
+            # documents' rows leave together: a batch of its own for each costs more than its rows
+            if out:
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+                out = []
         if kept is not None and len(kept):
             yield from make(kept)
 
