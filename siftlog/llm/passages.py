@@ -172,7 +172,9 @@ def align(x: np.ndarray, y: np.ndarray, x1: int, x2: int, y1: int, y2: int, reac
             found = x1 - a, x2 + i, y1 - b, y2 + j, int(core.sum()) + ahead + back
             if enough(*found):
                 return found
-    if int(np.isin(x, y).sum()) < identity * min_words:
+    # an unequal word of either text opens at most one gap, so that enough equal words leave this many equal pairs
+    pairs = [z[:-1].astype(np.uint64) << np.uint64(32) | z[1:] for z in (x, y)]
+    if int(np.isin(x, y).sum()) < identity * min_words or int(np.isin(*pairs).sum()) < (3 * identity - 2) * min_words - 1:
         return x1, x2, y1, y2, 0
     every = SequenceMatcher(None, x.tolist(), y.tolist(), autojunk=False).get_matching_blocks()
     blocks = [m for m in every if m.size > 2]
@@ -295,8 +297,13 @@ def _other_pairs(held: DataFrame, found: DataFrame, k: int, window: int, min_wor
         sums = np.concatenate([[0], np.cumsum(doc.column("bare").fill_null(False).to_numpy(zero_copy_only=False).astype(int))])
         key, a, b = spans(token, pos, reach, gap)
         if len(key):
+            asked = sums[b + 1] > sums[a]
+            # text that repeats itself: of one key's places close together the first speaks for all
+            cell = (pos[a] // max(1, min_words // 2) * 2 + asked).astype(np.uint64)
+            kept = np.sort(np.unique(mix(key ^ mix(cell)), return_index=True)[1])
+            key, a, b, asked = key[kept], a[kept], b[kept], asked[kept]
             owner = doc.column("doc_id").take(pa.array(np.zeros(len(key), int)))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), owner, pa.array(sums[b + 1] > sums[a]), pa.array(pos[a], pa.int32()), pa.array(pos[b], pa.int32())], names=["key", "doc_id", "bare", "p1", "p2"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), owner, pa.array(asked), pa.array(pos[a], pa.int32()), pa.array(pos[b], pa.int32())], names=["key", "doc_id", "bare", "p1", "p2"])
 
     keys = materialize(_by_doc(near, ["token", "bare"], keyed, f"key bigint, doc_id {kind}, bare boolean, p1 int, p2 int"), "keys")
     release(bare, near, held)
