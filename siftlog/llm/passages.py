@@ -26,6 +26,7 @@ from siftlog.scratch import materialize, release
 
 STEP = 32
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 
 
 def winnow(grams: np.ndarray, window: int) -> np.ndarray:
@@ -156,6 +157,15 @@ def _stretch(x: np.ndarray, y: np.ndarray, reach: int) -> tuple[int, int, int]:
             return i, j, same
 
 
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two multisets."""
+    (u, n), (v, m) = (np.unique(z, return_counts=True) for z in (x, y))
+    if not len(v):
+        return 0
+    at = np.minimum(np.searchsorted(v, u), len(v) - 1)
+    return int(np.minimum(n, m[at])[v[at] == u].sum())
+
+
 def align(x: np.ndarray, y: np.ndarray, x1: int, x2: int, y1: int, y2: int, reach: int = 8, min_words: int = 0, identity: float = 0.0) -> tuple[int, int, int, int, int]:
     """Passage around a chain from x1 to x2 and y1 to y2: its ends in both word lists and the equal words.
 
@@ -174,7 +184,7 @@ def align(x: np.ndarray, y: np.ndarray, x1: int, x2: int, y1: int, y2: int, reac
                 return found
     # an unequal word of either text opens at most one gap, so that enough equal words leave this many equal pairs
     pairs = [z[:-1].astype(np.uint64) << np.uint64(32) | z[1:] for z in (x, y)]
-    if int(np.isin(x, y).sum()) < identity * min_words or int(np.isin(*pairs).sum()) < (3 * identity - 2) * min_words - 1:
+    if _common(x, y) < identity * min_words or _common(*pairs) < (3 * identity - 2) * min_words - 1:
         return x1, x2, y1, y2, 0
     every = SequenceMatcher(None, x.tolist(), y.tolist(), autojunk=False).get_matching_blocks()
     blocks = [m for m in every if m.size > 2]
@@ -221,57 +231,59 @@ def _slices(docs: DataFrame, wanted: DataFrame, kind: str) -> DataFrame:
 
 
 def _by_doc(rows: DataFrame, columns: list[str], make, schema: str) -> DataFrame:
-    """``make(columns of one document)`` over rows sorted by document and position, streamed."""
+    """``make(rows of whole documents)`` over rows sorted by document and position, streamed."""
     ordered = rows.select("doc_id", "pos", *columns).repartition("doc_id").sortWithinPartitions("doc_id", "pos")
 
     def run(batches):
-        kept, out = None, []
+        kept: list[pa.RecordBatch] = []
         for batch in batches:
-            table = pa.Table.from_batches([*([kept] if kept is not None else []), batch]).combine_chunks()
-            batch = table.to_batches()[0] if len(table) else batch
+            if not len(batch):
+                continue
             doc = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            cut = [0, *(np.flatnonzero(doc[1:] != doc[:-1]) + 1).tolist()]
-            for a, b in zip(cut, cut[1:]):
-                out += make(batch.slice(a, b - a))
-            kept = batch.slice(cut[-1])
-            # documents' rows leave together: a batch of its own for each costs more than its rows
-            if out:
-                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
-                out = []
-        if kept is not None and len(kept):
-            yield from make(kept)
+            cut = np.flatnonzero(doc[1:] != doc[:-1]) + 1
+            if kept and kept[-1].column("doc_id")[-1].as_py() != doc[0]:
+                yield from make(_whole(kept))
+                kept = []
+            if len(cut):
+                yield from make(_whole([*kept, batch.slice(0, int(cut[-1]))]))
+                kept = []
+            kept.append(batch.slice(int(cut[-1]) if len(cut) else 0))
+        if kept:
+            yield from make(_whole(kept))
 
     return ordered.mapInArrow(run, schema)
 
 
-def _runs(pos: np.ndarray, gap: int) -> list[tuple[int, int]]:
-    """Ranges of ``pos``, which is in order, without a step over ``gap``."""
-    cut = [0, *(np.flatnonzero(np.diff(pos) > gap) + 1).tolist(), len(pos)]
-    return list(zip(cut, cut[1:])) if len(pos) else []
-
-
-def spans(token: np.ndarray, pos: np.ndarray, reach: int, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of spans of 2, 4, 8 and 16 seeds and of the seeds within ``reach`` words, with first and last place."""
-    keys, first, last = [], [], []
-    for a, b in _runs(pos, gap):
-        own, n, size = mix(token[a:b].view(np.uint64)), b - a, 1
-        whole = [np.zeros(n, np.uint64), np.searchsorted(pos[a:b], pos[a:b] + reach, "right") - 1]
-        power = np.multiply.accumulate(np.full(n, _ODD, np.uint64))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * power)])
-        far = np.flatnonzero((whole[1] < n - 1) & (whole[1] > np.arange(n)))
-        # running sums in an odd base: shifting by the inverse power makes a key independent of its place
-        inverse = np.multiply.accumulate(np.full(n, pow(int(_ODD), -1, 1 << 64), np.uint64))
-        keys.append(mix((sums[whole[1][far] + 1] - sums[far]) * inverse[far]))
-        first.append(far + a)
-        last.append(whole[1][far] + a)
-        while size <= 8 and 2 * size <= n:
-            own = mix(own[:-size] * _ODD + own[size:])
-            size *= 2
-            keys.append(own ^ np.uint64(size))
-            first.append(np.arange(len(own)) + a)
-            last.append(np.arange(len(own)) + a + size - 1)
-    join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-    return join(keys, np.uint64), join(first, int), join(last, int)
+def _whole(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
+def _runs(rows: pa.RecordBatch, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``pos``, the number of the document and the number of the run of each row; a step over ``gap`` ends a run."""
+    doc, pos = rows.column("doc_id").to_numpy(zero_copy_only=False), rows.column("pos").to_numpy().astype(np.int64)
+    other = doc[1:] != doc[:-1]
+    number = lambda new: np.concatenate([[0], np.cumsum(new)])
+    return pos, number(other), number(other | (np.diff(pos) > gap))
+
+
+def spans(token: np.ndarray, pos: np.ndarray, run: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of spans of 2, 4, 8 and 16 seeds of a run and of the seeds within ``reach`` words, with first and last row."""
+    own, n, size = mix(token.view(np.uint64)), len(token), 1
+    place = pos + (run << 40)
+    end = np.searchsorted(place, place + reach, "right") - 1
+    far = np.flatnonzero((end > np.arange(n)) & (run[np.minimum(end + 1, n - 1)] == run) & (end < n - 1))
+    # running sums in an odd base: shifting by the inverse power makes a key independent of its place
+    power, inverse = (np.multiply.accumulate(np.full(n, base, np.uint64)) for base in (_ODD, _INVERSE))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * power)])
+    keys, first, last = [mix((sums[end[far] + 1] - sums[far]) * inverse[far])], [far], [end[far]]
+    while size <= 8 and 2 * size <= n:
+        own = mix(own[:-size] * _ODD + own[size:])
+        size *= 2
+        inside = np.flatnonzero(run[: len(own)] == run[size - 1 :])
+        keys.append(own[inside] ^ np.uint64(size))
+        first.append(inside)
+        last.append(inside + size - 1)
+    return np.concatenate(keys), np.concatenate(first), np.concatenate(last)
 
 
 def _other_pairs(held: DataFrame, found: DataFrame, k: int, window: int, min_words: int, gap: int, kind: str) -> DataFrame:
@@ -280,11 +292,12 @@ def _other_pairs(held: DataFrame, found: DataFrame, k: int, window: int, min_wor
     cover = found.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start_word").alias("a"), F.expr("start_word + n_words").alias("b"))).alias("cover"))
     bare = held.where("doc_id <> src").join(cover, "doc_id", "left").where(f"cover is null or not exists(cover, c -> pos >= c.a and pos + {k} <= c.b)")
 
-    def left(doc):
-        pos = doc.column("pos").to_numpy().astype(np.int64)
-        keep = [np.arange(a, b) for a, b in _runs(pos, gap) if b - a > 1 and pos[b - 1] - pos[a] + k + 2 * (k + window) >= min_words]
-        if keep:
-            yield doc.take(pa.array(np.concatenate(keep)))
+    def left(rows):
+        pos, _, run = _runs(rows, gap)
+        starts = np.flatnonzero(np.diff(run, prepend=-1))
+        sizes = np.diff(starts, append=len(pos))
+        wide = (sizes > 1) & (pos[starts + sizes - 1] - pos[starts] + k + 2 * (k + window) >= min_words)
+        yield rows.filter(pa.array(np.repeat(wide, sizes)))
 
     bare = materialize(_by_doc(bare, ["token"], left, f"doc_id {kind}, pos int, token bigint"), "bare")
     tokens = bare.select("token").distinct()
@@ -292,18 +305,18 @@ def _other_pairs(held: DataFrame, found: DataFrame, k: int, window: int, min_wor
     near = held.join(tokens, "token", "left_semi").select("doc_id", "pos", "token").distinct()
     near = materialize(near.join(marks, ["doc_id", "pos", "token"], "left"), "near")
 
-    def keyed(doc):
-        token, pos = doc.column("token").to_numpy(), doc.column("pos").to_numpy().astype(np.int64)
-        sums = np.concatenate([[0], np.cumsum(doc.column("bare").fill_null(False).to_numpy(zero_copy_only=False).astype(int))])
-        key, a, b = spans(token, pos, reach, gap)
-        if len(key):
-            asked = sums[b + 1] > sums[a]
-            # text that repeats itself: of one key's places close together the first speaks for all
-            cell = (pos[a] // max(1, min_words // 2) * 2 + asked).astype(np.uint64)
-            kept = np.sort(np.unique(mix(key ^ mix(cell)), return_index=True)[1])
-            key, a, b, asked = key[kept], a[kept], b[kept], asked[kept]
-            owner = doc.column("doc_id").take(pa.array(np.zeros(len(key), int)))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), owner, pa.array(asked), pa.array(pos[a], pa.int32()), pa.array(pos[b], pa.int32())], names=["key", "doc_id", "bare", "p1", "p2"])
+    def keyed(rows):
+        pos, doc, run = _runs(rows, gap)
+        token = rows.column("token").to_numpy()
+        sums = np.concatenate([[0], np.cumsum(rows.column("bare").fill_null(False).to_numpy(zero_copy_only=False).astype(int))])
+        key, a, b = spans(token, pos, run, reach)
+        asked = sums[b + 1] > sums[a]
+        # text that repeats itself: of one key's places close together in a document the first speaks for all
+        cell = ((doc[a] << 32) + pos[a] // max(1, min_words // 2) * 2 + asked).astype(np.uint64)
+        kept = np.sort(np.unique(mix(key ^ mix(cell)), return_index=True)[1])
+        key, a, b, asked = key[kept], a[kept], b[kept], asked[kept]
+        owner = rows.column("doc_id").take(pa.array(a))
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), owner, pa.array(asked), pa.array(pos[a], pa.int32()), pa.array(pos[b], pa.int32())], names=["key", "doc_id", "bare", "p1", "p2"])
 
     keys = materialize(_by_doc(near, ["token", "bare"], keyed, f"key bigint, doc_id {kind}, bare boolean, p1 int, p2 int"), "keys")
     release(bare, near, held)
@@ -353,11 +366,13 @@ def _passages(docs: DataFrame, anchors: DataFrame, extent: int, min_words: int,
 
     def run(batches):
         for batch in batches:
-            rows, out = [], []
+            rows, out, known = [], [], {}  # copies bring the same words, which are aligned once a batch
             numbers = {c: batch.column(c).to_pylist() for c in ("lo", "slo", "p1", "p2", "q1", "q2", "x", "y")}
             for i, (lo_, slo_, p1, p2, q1, q2, x, y) in enumerate(zip(*numbers.values())):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                a, b, c, d, same = align(x, y, p1 - lo_, p2 + k - lo_, q1 - slo_, q2 + k - slo_, min_words=min_words, identity=identity)
+                case = x, y, p1 - lo_, p2 + k - lo_, q1 - slo_, q2 + k - slo_
+                if case not in known:
+                    known[case] = align(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), *case[2:], min_words=min_words, identity=identity)
+                a, b, c, d, same = known[case]
                 if min(b - a, d - c) >= min_words and same >= identity * max(b - a, d - c):
                     rows.append(i)
                     out.append((a + lo_, b - a, c + slo_, d - c, same))
