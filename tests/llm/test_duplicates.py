@@ -289,3 +289,12 @@ def test_fingerprint_positions_equal_brute_force(spark):
         want = [f"{hashes[i][p]:x}@{p}" for p in winnowed(hashes[i], window)]
         own = got[i].split(" c")[0].split()[1:] if len(texts[i].split()) >= 32 else got[i].split(" c ")[1].split()
         assert own == want
+
+
+def test_passages_of_text_that_repeats_itself(spark):
+    prose = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    rows = [(1, prose("a", 80) + ["na"] * 130 + prose("b", 80)), (2, prose("c", 80) + ["na"] * 400 + prose("d", 80))]
+    found = repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id int, text string")).collect()
+    covered = {p for r in found for p in range(r.start_word, r.start_word + r.n_words)}
+    assert {r.doc_id for r in found} == {2} and all(r.equal_words >= 0.8 * r.n_words for r in found)
+    assert len(covered & set(range(80, 480))) >= 375 and len(covered - set(range(80, 480))) <= 16
