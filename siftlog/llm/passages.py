@@ -286,7 +286,7 @@ def spans(token: np.ndarray, pos: np.ndarray, run: np.ndarray, reach: int) -> tu
     return np.concatenate(keys), np.concatenate(first), np.concatenate(last)
 
 
-def _other_pairs(held: DataFrame, found: DataFrame, k: int, window: int, min_words: int, gap: int, kind: str) -> DataFrame:
+def _other_pairs(held: DataFrame, found: DataFrame, k: int, window: int, min_words: int, gap: int, broadcast_rows: int, kind: str) -> DataFrame:
     """Anchors of runs of shared seeds outside the found passages with the smallest holders of their spans."""
     reach = min_words - k - 3 * (window - 1)
     cover = found.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start_word").alias("a"), F.expr("start_word + n_words").alias("b"))).alias("cover"))
@@ -300,9 +300,10 @@ def _other_pairs(held: DataFrame, found: DataFrame, k: int, window: int, min_wor
         yield rows.filter(pa.array(np.repeat(wide, sizes)))
 
     bare = materialize(_by_doc(bare, ["token"], left, f"doc_id {kind}, pos int, token bigint"), "bare")
-    tokens = bare.select("token").distinct()
+    tokens = materialize(bare.select("token").distinct(), "tokens")
+    few = F.broadcast(tokens) if tokens.count() <= broadcast_rows else tokens
     marks = bare.select("doc_id", "pos", "token", F.lit(True).alias("bare")).distinct()
-    near = held.join(tokens, "token", "left_semi").select("doc_id", "pos", "token").distinct()
+    near = held.join(few, "token", "left_semi").select("doc_id", "pos", "token").distinct()
     near = materialize(near.join(marks, ["doc_id", "pos", "token"], "left"), "near")
 
     def keyed(rows):
@@ -319,7 +320,7 @@ def _other_pairs(held: DataFrame, found: DataFrame, k: int, window: int, min_wor
         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), owner, pa.array(asked), pa.array(pos[a], pa.int32()), pa.array(pos[b], pa.int32())], names=["key", "doc_id", "bare", "p1", "p2"])
 
     keys = materialize(_by_doc(near, ["token", "bare"], keyed, f"key bigint, doc_id {kind}, bare boolean, p1 int, p2 int"), "keys")
-    release(bare, near, held)
+    release(bare, tokens, near, held)
     first = keys.groupBy("key").agg(F.min(F.struct("doc_id", "p1", "p2")).alias("pivot"), F.max("doc_id").alias("last"), F.max("bare").alias("asked"))
     first = first.where("pivot.doc_id <> last and asked").selectExpr("key", "pivot.doc_id as src", "pivot.p1 as q1", "pivot.p2 as q2")
     met = keys.where("bare").join(first, "key").where("doc_id <> src")
@@ -346,7 +347,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, identity: float = 0.
     release(seeds, shared)
     settings = (min_words, identity, k, window, gap_cost, max_gap, kind)
     found = _passages(docs, held.where("doc_id <> src").select("doc_id", "src", "pos", "at"), min_words // 2, *settings)
-    others = _passages(docs, _other_pairs(held, found, k, window, min_words, 32, kind), 0, *settings)
+    others = _passages(docs, _other_pairs(held, found, k, window, min_words, 32, broadcast_rows, kind), 0, *settings)
     return found.unionByName(others).distinct()
 
 
