@@ -2,12 +2,15 @@
 
 In each pass vectors get a key: the signs of their projections on a pass's own random directions, one
 bit after another. Sorted by key, near vectors come close together, and each is compared with a bounded
-window of neighbours. Verified pairs of all passes are united into components. As a dense component has
-more links than windows show, its links are then counted exactly in blocks inside the component.
+window of neighbours. The number of passes follows from the number of vectors. Verified pairs of all
+passes are united into components. As a dense component has more links than windows show, its links are
+then counted exactly in blocks inside the component.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
@@ -17,11 +20,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from siftlog.operators.graph import connected_components
-from siftlog.scratch import materialize
+from siftlog.scratch import materialize, release
 
 
-def _directions(seed: int, passes: int, bits: int, size: int) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((passes, bits, size)).astype(np.float64)
+def passes_for(rows: int, cosine: float, window: int, miss: float) -> int:
+    """Passes that miss a pair at ``cosine`` with a chance of about ``miss`` among ``rows`` evenly spread vectors.
+
+    ``log2(rows / window)`` bits tell the rows of a window from the others, and a pair shares each bit with
+    the chance ``1 - angle / pi``; so passes grow with a small power of the rows (0.22 at cosine 0.9).
+    """
+    met = (1 - math.acos(cosine) / math.pi) ** max(0.0, math.log2(max(1, rows) / window))
+    return 1 if met >= 1 else math.ceil(math.log(miss) / math.log1p(-met))
+
+
+def _directions(seed: int, number: int, bits: int, size: int) -> np.ndarray:
+    return np.random.default_rng((seed, number)).standard_normal((bits, size))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -32,10 +45,14 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _usable(vectors: DataFrame) -> DataFrame:
     fine = "embedding is not null and size(embedding) > 0 and vec_id is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"
-    return vectors.where(fine).select("vec_id", F.expr("transform(embedding, x -> double(x))").alias("embedding"))
+    out = vectors.where(fine).select("vec_id", F.expr("transform(embedding, x -> double(x))").alias("embedding"))
+    # squares of very large or small components leave the range of doubles: such vectors are scaled
+    out = out.select("vec_id", "embedding", F.expr("array_max(transform(embedding, x -> abs(x)))").alias("top"))
+    scaled = F.expr("if(top between 1e-100D and 1e100D, embedding, transform(embedding, x -> x / top))")
+    return out.select("vec_id", scaled.alias("embedding"))
 
 
-def _keyed(vectors: DataFrame, numbers: list[int], passes: int, bits: int, seed: int, kind: str) -> DataFrame:
+def _keyed(vectors: DataFrame, numbers: list[int], bits: int, seed: int, kind: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             if not len(batch):
@@ -44,9 +61,8 @@ def _keyed(vectors: DataFrame, numbers: list[int], passes: int, bits: int, seed:
             for size in np.unique(lengths):
                 part = batch.filter(pa.array(lengths == size))
                 x = _matrix(part.column("embedding"))
-                planes = _directions(seed, passes, bits, int(size))
                 for p in numbers:
-                    key = np.packbits(x @ planes[p].T > 0, axis=1)
+                    key = np.packbits(x @ _directions(seed, p, bits, int(size)).T > 0, axis=1)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([f"{size}/{p}"] * len(part)), pa.array([k.tobytes() for k in key], pa.binary()), part.column("vec_id"), part.column("embedding")],
                         names=["pass", "key", "vec_id", "embedding"],
@@ -95,7 +111,7 @@ class _Forest:
 
 
 def _windows(keyed: DataFrame, window: int, cosine: float, parts: int, kind: str) -> DataFrame:
-    """Verified neighbours, of those within a partition a spanning forest. The rows at the ends of a partition come out too and meet in a second step."""
+    """Distinct pairs of verified neighbours, of those within a partition a spanning forest. The rows at the ends of a partition come out too and meet in a second step."""
     ordered = keyed.repartitionByRange(parts, "pass", "key", "vec_id").sortWithinPartitions("pass", "key", "vec_id")
     schema = f"u {kind}, v {kind}, seam int, side int, place int, pass string, embedding array<double>"
 
@@ -147,7 +163,10 @@ def _windows(keyed: DataFrame, window: int, cosine: float, parts: int, kind: str
         return pd.DataFrame({"u": np.concatenate([o[0] for o in out]), "v": np.concatenate([o[1] for o in out])})
 
     seams = found.where("seam is not null").groupBy("seam").applyInPandas(join, f"u {kind}, v {kind}")
-    return found.where("seam is null").select("u", "v").unionByName(seams)
+    pairs = found.where("seam is null").select("u", "v").unionByName(seams)
+    links = materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
+    release(found)
+    return links
 
 
 def _count_links(members: DataFrame, cosine: float, block: int, kind: str) -> DataFrame:
@@ -183,10 +202,12 @@ def _count_links(members: DataFrame, cosine: float, block: int, kind: str) -> Da
 
     dealt = rows.unionByName(columns).repartition("component", "cell", "other")
     met = dealt.groupBy("component", "cell", "other").applyInPandas(count, f"vec_id {kind}, n bigint")
-    return base.unionByName(met).groupBy("vec_id").agg(F.sum("n").alias("n"))
+    counted = materialize(base.unionByName(met).groupBy("vec_id").agg(F.sum("n").alias("n")), "counted")
+    release(held)
+    return counted
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.9, passes: int = 16, passes_per_job: int = 4, window: int = 32, bits: int = 64, seed: int = 7, rows_per_part: int = 20_000, block: int = 1024) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.9, passes: int | None = None, passes_per_job: int = 4, window: int = 32, bits: int = 64, seed: int = 7, rows_per_part: int = 20_000, block: int = 1024, miss: float = 0.04, least_passes: int = 16) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every vector.
 
     Cosines are in double precision. A vector that is null, empty, zero or holds a null or a non-finite
@@ -194,7 +215,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, passes: int = 16, pass
     Equal vectors are one until the end: they link with each other and share their links. A repeated id
     is its first vector. Labels and other columns are ignored; an empty table gives no rows.
 
-    ``passes`` are sorted a few per job, so that a job shuffles the vectors a few times at most.
+    ``passes`` follow from the counted vectors (``passes_for``, at least ``least_passes``) unless they are
+    given. They are sorted a few per job, so that a job shuffles the vectors a few times at most.
     """
     kind = vectors.schema["vec_id"].dataType.simpleString()
     usable = _usable(vectors).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
@@ -203,17 +225,20 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, passes: int = 16, pass
     copies = usable.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     copies = materialize(copies, "copies")
     reps = materialize(usable.join(copies.select(F.col("rep").alias("vec_id")), "vec_id", "left_semi").select("vec_id", "embedding"), "reps")
-    parts = max(1, -(-reps.count() * passes_per_job // rows_per_part))
-    links = None
+    rows = reps.count()
+    passes = passes or max(least_passes, passes_for(rows, cosine, window, miss))
+    parts = max(1, -(-rows * passes_per_job // rows_per_part))
+    found = []
     for at in range(0, passes, passes_per_job):
-        keyed = _keyed(reps, list(range(at, min(passes, at + passes_per_job))), passes, bits, seed, kind)
-        found = _windows(keyed, window, cosine, parts, kind)
-        found = materialize(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
-        links = found if links is None else links.unionByName(found)
-    groups = materialize(connected_components(links), "groups")
+        keyed = _keyed(reps, list(range(at, min(passes, at + passes_per_job))), bits, seed, kind)
+        found.append(_windows(keyed, window, cosine, parts, kind))
+    groups = materialize(connected_components(reduce(DataFrame.unionByName, found)), "groups")
+    release(*found)
     members = reps.join(groups.withColumnRenamed("node", "vec_id"), "vec_id")
     members = members.join(copies.select(F.col("rep").alias("vec_id"), "copies"), "vec_id")
-    counted = _count_links(materialize(members, "grouped"), cosine, block, kind)
+    members = materialize(members, "grouped")
+    counted = _count_links(members, cosine, block, kind)
+    release(members, reps)
     info = copies.join(counted.withColumnRenamed("vec_id", "rep"), "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     info = info.select("digest", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("component"))
     linked = usable.select("vec_id", "digest").join(info, "digest").select("vec_id", "n", "component")

@@ -5,12 +5,13 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from siftlog.llm.fingerprints import edited_neighbours, fingerprints
 from siftlog.llm.jaccard import Sketches, jaccard_components, sketch
 from siftlog.llm.passages import align, chains, remove_passages, repeated_passages, winnow, without
-from siftlog.llm.vectors import near_vectors
+from siftlog.llm.vectors import near_vectors, passes_for
 
 
 def roots(nodes, links):
@@ -298,3 +299,32 @@ def test_passages_of_text_that_repeats_itself(spark):
     covered = {p for r in found for p in range(r.start_word, r.start_word + r.n_words)}
     assert {r.doc_id for r in found} == {2} and all(r.equal_words >= 0.8 * r.n_words for r in found)
     assert len(covered & set(range(80, 480))) >= 375 and len(covered - set(range(80, 480))) <= 16
+
+
+def test_vectors_out_of_the_range_of_squares(spark):
+    a, b = np.array([1.0, 2.0, 3.0]), np.array([1.0, 2.0, 3.1])
+    rows = [(i, (v * f).tolist()) for i, (v, f) in enumerate((v, f) for v in (a, b) for f in (1e200, 1.0, 1e-200))] + [(9, [-1e200, 0.0, 1e200])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    assert got == {i: (5, 0) for i in range(6)} | {9: (0, 9)}
+
+
+def test_passes_grow_slowly_with_the_vectors():
+    found = [passes_for(10**n, 0.9, 32, 0.04) for n in range(10)]
+    assert found == sorted(found) and found[0] == 1 and found[5] < 25 and found[9] < 200
+
+
+def test_vectors_recall(spark, tmp_path):
+    """Links of all rows by brute force against those found, for pairs close to the threshold."""
+    r = np.random.default_rng(11)
+    x = r.standard_normal((20_000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = r.standard_normal((600, 32))
+    side -= (side * x[:600]).sum(axis=1, keepdims=True) * x[:600]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = r.uniform(0.9, 0.93, (600, 1))
+    x = np.concatenate([x, c * x[:600] + np.sqrt(1 - c * c) * side])
+    want = {(i + a, int(j)) for a in range(0, len(x), 2000) for i, j in zip(*np.nonzero(x[a : a + 2000] @ x.T >= 0.9)) if i + a < j}
+    table = pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 32).cast(pa.list_(pa.float64()))})
+    pq.write_table(table, str(tmp_path / "vectors.parquet"))
+    got = {v["vec_id"]: v["component_id"] for v in near_vectors(spark.read.parquet(str(tmp_path / "vectors.parquet"))).collect()}
+    assert len(want) >= 600 and sum(got[u] == got[v] for u, v in want) >= 0.95 * len(want)
