@@ -688,7 +688,7 @@ STOP_SQL = ", ".join(f"'{w}'" for w in retrieval.STOP)
 BM25_SQL = f"""with toks as (select doc_id, list_filter(regexp_extract_all(lower(text), '([a-z0-9][a-z0-9_.\\-]*)', 1), lambda w: length(w) > 1 and w not in ({STOP_SQL})) as w from documents),
   tf as (select doc_id, term, count(*) as tf from (select doc_id, unnest(w) as term from toks) group by all), len as (select doc_id, len(w) as n from toks), df as (select term, count(*) as df from tf group by 1),
   stats as (select count(*) as docs, avg(n) as mean from len),
-  q as (select distinct item_id, unnest(list_filter(regexp_extract_all(lower(left(text, 60)), '([a-z0-9][a-z0-9_.\\-]*)', 1), lambda w: length(w) > 1 and w not in ({STOP_SQL}))) as term from benchmark),
+  q as (select distinct item_id, unnest(list_filter(regexp_extract_all(lower(text), '([a-z0-9][a-z0-9_.\\-]*)', 1), lambda w: length(w) > 1 and w not in ({STOP_SQL}))) as term from benchmark),
   share as (select item_id, doc_id, term, round(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / mean)), 6) as s from q join df using (term) join tf using (term) join len using (doc_id), stats),
   scored as (select item_id, doc_id, round(sum(s), 6) as score, count(*) as terms from share group by all)"""
 
@@ -696,7 +696,7 @@ BM25_SQL = f"""with toks as (select doc_id, list_filter(regexp_extract_all(lower
 @query(f"""{BM25_SQL} select item_id as query_id, doc_id as document_id, score, terms, cast(rank as integer) as rank from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored) where rank <= 10""")
 def k3_bm25(spark, sf_dir):
     docs = v.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text")
-    queries = v.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("text"))
+    queries = v.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return retrieval.bm25(queries, docs, 10).select("query_id", "document_id", "score", F.size("terms").cast("bigint").alias("terms"), "rank")
 
 

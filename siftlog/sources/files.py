@@ -61,8 +61,16 @@ def start_year(text: str = "text"):
 
 
 def read_labels_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Labels from CSV; true values are 1, true and yes; technique ids are a comma list."""
-    raw = spark.read.option("header", True).schema("source string, line_no bigint, attack string, attack_family string, technique_ids string").csv(path)
+    """Labels from CSV, columns by name; true values are 1, true and yes; technique ids are a comma list.
+
+    ``ValueError`` names the required columns that the header lacks; the family and the ids may be absent.
+    """
+    raw = spark.read.option("header", True).csv(path)
+    missing = [c for c in ("source", "line_no", "attack") if c not in raw.columns]
+    if missing:
+        raise ValueError(f"label file lacks the columns {', '.join(missing)}")
+    raw = raw.withColumns({c: F.lit(None).cast("string") for c in ("attack_family", "technique_ids") if c not in raw.columns})
+    raw = raw.withColumn("line_no", F.expr("try_cast(line_no as bigint)"))
     ids = F.filter(F.transform(F.split(F.coalesce("technique_ids", F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     return raw.select(F.element_at(F.split("source", "/"), -1).alias("source"), "line_no", F.lower(F.trim("attack")).isin("1", "true", "yes").alias("attack"), F.nullif(F.trim("attack_family"), F.lit("")).alias("attack_family"), ids.alias("technique_ids"))
 

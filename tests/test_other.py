@@ -133,6 +133,11 @@ def test_labels(spark, tmp_path):
     (tmp_path / "l.csv").write_text("source,line_no,attack,attack_family,technique_ids\nx/auth.log,2,1,brute_force,\"T1110, T1078\"\nauth.log,3,no,,\n")
     got = [tuple(r) for r in files.read_labels_csv(spark, str(tmp_path / "l.csv")).orderBy("line_no").collect()]
     assert got == [("auth.log", 2, True, "brute_force", ["T1110", "T1078"]), ("auth.log", 3, False, None, [])]
+    (tmp_path / "m.csv").write_text("attack,line_no,source\nYES,7,x/auth.log\n")
+    assert [tuple(r) for r in files.read_labels_csv(spark, str(tmp_path / "m.csv")).collect()] == [("auth.log", 7, True, None, [])]
+    (tmp_path / "n.csv").write_text("line_no,attack_family\n7,x\n")
+    with pytest.raises(ValueError, match="source, attack"):
+        files.read_labels_csv(spark, str(tmp_path / "n.csv"))
     (tmp_path / "l.json").write_text('{"line":3,"labels":["attacker_change_user"],"rules":{}}\n{"line":3,"labels":[]}\n')
     labels = files.read_labels_json(spark, str(tmp_path / "l.json"))
     assert labels.where("attack").first()["attack_family"] == "attacker_change_user"
