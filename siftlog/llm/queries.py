@@ -83,5 +83,11 @@ def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode_pieces(_docs(spark, sf_dir), _path("piece_bpe_32k.model"), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_bpe_round_trip, op3_quality, op4_toxicity, op5_packing, op6_near_vectors, op7_repeated_passages, op8_token_counts, op9_jaccard, op10_fingerprints, op11_pieces)}
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftlog.llm.whitening import whiten
+
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=32)
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_bpe_round_trip, op3_quality, op4_toxicity, op5_packing, op6_near_vectors, op7_repeated_passages, op8_token_counts, op9_jaccard, op10_fingerprints, op11_pieces, op12_whitening)}
 ORACLES: dict[str, str] = {"op1_license_scan": licenses.oracle()}
