@@ -89,5 +89,11 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=32)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_bpe_round_trip, op3_quality, op4_toxicity, op5_packing, op6_near_vectors, op7_repeated_passages, op8_token_counts, op9_jaccard, op10_fingerprints, op11_pieces, op12_whitening)}
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftlog.llm.spelling import spelling_variants
+
+    return spelling_variants(_docs(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_bpe_round_trip, op3_quality, op4_toxicity, op5_packing, op6_near_vectors, op7_repeated_passages, op8_token_counts, op9_jaccard, op10_fingerprints, op11_pieces, op12_whitening, op13_spelling)}
 ORACLES: dict[str, str] = {"op1_license_scan": licenses.oracle()}
