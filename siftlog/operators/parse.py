@@ -6,6 +6,8 @@ first of an ordered table that matches, and fields come from that family's group
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Header pattern, and message families in match order with their patterns and the field of
@@ -65,59 +67,128 @@ FIELDS = ("src_ip", "src_port", "user", "target_user", "method", "key_fingerprin
 MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
 
 
-def _pattern(p: str) -> str:
-    return "(?U)" + p
+def _alternatives() -> tuple[str, list[int], list[list[int]]]:
+    """All families in one pattern, the group that marks each family, and the groups of its fields.
+
+    Alternatives are tried in order, so the first family that matches wins, and only its own end is
+    reached: there a group takes the last character, which marks it.
+    """
+    parts, marks, fields, at = [], [], [], 0
+    for _, pattern, names in FAMILIES:
+        size = re.compile(pattern).groups
+        parts.append(rf"(?:{pattern}(?<=([\s\S])))")
+        fields.append([at + 1 + i for i in range(size)])
+        marks.append(at + size + 1)
+        at += size + 1
+    return "^(?:" + "|".join(parts) + r")[\s\S]*", marks, fields
 
 
-def _group(text: str, pattern: str, i: int) -> Column:
-    """A group, null where it took no part."""
-    return F.nullif(F.regexp_extract(text, _pattern(pattern), i), F.lit(""))
+ALL_FAMILIES, MARKS, GROUPS = _alternatives()
+
+
+def _groups(text: str, pattern: str, groups: list[int]) -> Column:
+    """The groups of a pattern that matches a whole text, by one search; null where it doesn't, '' for a group that took no part.
+
+    They are joined by a control character that the text doesn't hold and split again.
+    """
+    sign = F.lit(None).cast("string")
+    for c in reversed("\x01\x02\x03\x04"):
+        sign = F.when(~F.col(text).contains(c), F.lit(c)).otherwise(sign)
+    shown = F.concat(*(x for i in groups for x in (sign, F.lit(f"${i}"))))
+    joined = F.regexp_replace(F.col(text), F.lit("(?Ud)" + pattern), shown)
+    return F.when(joined.startswith(sign), F.split(joined, sign))
 
 
 def split_header(lines: DataFrame) -> DataFrame:
     """Stamp, host, process, pid and message; all null where the header doesn't match."""
-    hit = F.col("raw_line").rlike(_pattern(HEADER))
     names = ("stamp", "host", "process", "pid", "message")
-    out = lines.withColumns({n: F.when(hit, F.regexp_extract("raw_line", _pattern(HEADER), i)) for i, n in enumerate(names, 1)})
+    out = lines.withColumn("_header", _groups("raw_line", HEADER, [*range(1, 6)]))
+    out = out.withColumns({n: F.col("_header")[i] for i, n in enumerate(names, 1)}).drop("_header")
     return out.withColumn("pid", F.expr("try_cast(nullif(pid, '') as bigint)"))
 
 
 def classify(lines: DataFrame) -> DataFrame:
-    """Number and name of the first family that matches ``message``, and the outcome it implies."""
-    number = F.coalesce(*(F.when(F.col("message").rlike(_pattern(p)), F.lit(i)) for i, (_, p, _) in enumerate(FAMILIES)))
+    """Number and name of the first family that matches ``message``, and the outcome it implies.
+
+    ``groups`` keeps what the one search for all families found, for ``extract_fields``.
+    """
+    found = _groups("message", ALL_FAMILIES, MARKS + [g for own in GROUPS for g in own])
+    out = lines.withColumn("groups", found)
+    marks = F.transform(F.slice("groups", 2, len(MARKS)), lambda x: x != "")
+    out = out.withColumn("family", F.nullif(F.array_position(marks, F.lit(True)), F.lit(0)).cast("int") - 1)
     names = F.array(*(F.lit(n) for n, _, _ in FAMILIES))
-    out = lines.withColumn("family", number)
     out = out.withColumn("event_type", F.try_element_at(names, F.col("family") + 1))
     return out.withColumn("success", F.when(F.col("event_type").isin(*SUCCESS), True).when(F.col("event_type").isin(*FAILURE), False))
 
 
 def extract_fields(classified: DataFrame) -> DataFrame:
-    """The fields of the line's own family; absent groups are null, ports and uids are numbers."""
+    """The fields of the line's own family; absent groups are null, ports and uids are numbers.
+
+    ``ruser`` and ``session_hint`` belong to the record, but no family has a group for them.
+    """
+    first = [2 + len(MARKS) + sum(len(g) for g in GROUPS[:i]) for i in range(len(GROUPS))]
     columns = {}
     for field in FIELDS:
-        cases = [(i, p, names.split().index(field) + 1) for i, (_, p, names) in enumerate(FAMILIES) if field in names.split()]
-        value = F.coalesce(*(F.when(F.col("family") == i, _group("message", p, g)) for i, p, g in cases))
+        places = [first[i] + names.split().index(field) if field in names.split() else None for i, (_, _, names) in enumerate(FAMILIES)]
+        place = F.try_element_at(F.array(*(F.lit(p).cast("int") for p in places)), F.col("family") + 1)
+        value = F.nullif(F.try_element_at("groups", place), F.lit(""))
         columns[field] = value.try_cast("bigint") if field in ("src_port", "uid") else value
-    return classified.withColumns(columns)
+    columns |= {c: F.lit(None).cast("string") for c in ("ruser", "session_hint")}
+    return classified.withColumns(columns).drop("groups")
+
+
+def _dated(lines: DataFrame) -> DataFrame:
+    """Month of a stamp, and the year that a full date sets."""
+    iso = F.coalesce(F.col("stamp").rlike("^[0-9]{4}-"), F.lit(False))
+    named = F.expr(f"cast(nullif(instr('{MONTHS}', substring(stamp, 1, 3)), 0) + 2 as int) div 3").cast("int")
+    out = lines.withColumns({"_iso": iso, "_month": F.when(F.col("stamp").isNotNull(), F.when(iso, F.substring("stamp", 6, 2).try_cast("int")).otherwise(named))})
+    return out.withColumn("_full", F.when(iso, F.substring("stamp", 1, 4).try_cast("int")))
 
 
-def with_years(lines: DataFrame) -> DataFrame:
+def _turns(dated: DataFrame, before: Column | None = None) -> DataFrame:
+    """Inside a chunk: full dates so far (``_era``) and turns of the year since the last one (``_turn``)."""
+    w = Window.partitionBy("source", "_chunk").orderBy("line_no")
+    last = F.last("_month", True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    over = ~F.col("_iso") & ((last if before is None else F.coalesce(last, before)) >= 11) & (F.col("_month") <= 2)
+    out = dated.withColumns({"_over": F.coalesce(over, F.lit(False)).cast("int"), "_era": F.count("_full").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    era = Window.partitionBy("source", "_chunk", "_era").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    return out.withColumns({"_turn": F.sum("_over").over(era), "_base": F.max("_full").over(era)})
+
+
+def with_years(lines: DataFrame, chunk: int = 100_000) -> DataFrame:
     """``year`` of each line of ``lines(source, line_no, stamp, default_year)`` in the order of the source.
 
     A month of 11 or more followed by one of 2 or less adds a year; a line with a full date sets the year
-    and the month. The state follows all lines with a stamp, also those that fail later. A line's step
-    depends on the last month before it, so one window by source carries both; sources are files.
+    and the month. The state follows all lines with a stamp, also those that fail later. A source of any
+    length is a prefix scan over chunks of ``chunk`` line numbers: each chunk is folded to one row (first
+    and last month, last full year, turns since), the few folds of a source are combined in order, and
+    each chunk starts from the state that the folds before it leave.
     """
-    month = F.when(F.col("stamp").rlike("^[0-9]{4}-"), F.substring("stamp", 6, 2).try_cast("int")).otherwise(F.expr(f"cast(nullif(instr('{MONTHS}', substring(stamp, 1, 3)), 0) + 2 as int) div 3").cast("int"))
-    w = Window.partitionBy("source").orderBy("line_no")
-    out = lines.withColumns({"_iso": F.coalesce(F.col("stamp").rlike("^[0-9]{4}-"), F.lit(False)), "_month": F.when(F.col("stamp").isNotNull(), month)})
-    out = out.withColumn("_last", F.last("_month", True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    out = out.withColumn("_over", F.when(~F.col("_iso") & (F.col("_last") >= 11) & (F.col("_month") <= 2), 1).otherwise(0))
-    out = out.withColumn("_era", F.sum(F.col("_iso").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    era = Window.partitionBy("source", "_era").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    base = F.first(F.when(F.col("_iso"), F.substring("stamp", 1, 4).try_cast("int")), True).over(era)
-    out = out.withColumn("year", F.coalesce(base, F.col("default_year")) + F.sum("_over").over(era))
-    return out.drop("_iso", "_month", "_last", "_over", "_era")
+    dated = _dated(lines.withColumn("_chunk", F.floor(F.col("line_no") / chunk)))
+    inner = _turns(dated.select("source", "line_no", "_chunk", "_iso", "_month", "_full", "default_year"))
+    known = F.col("_month").isNotNull()
+    at = lambda pick: pick(F.when(known, F.struct("line_no", "_month", "_iso")))
+    folds = inner.groupBy("source", "_chunk").agg(
+        F.max("source").alias("_source"), at(F.min).alias("f"), at(F.max).alias("l"), F.max(F.struct("_era", "_base")).alias("e"),
+        F.max(F.struct("_era", "_turn")).alias("t"), F.min(F.struct("line_no", "default_year"))["default_year"].alias("_default"),
+    )
+    # In order of the chunks: the month before each, a turn at its start, and turns since the last full year.
+    w = Window.partitionBy("_source").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    folds = folds.withColumn("_before", F.last("l._month", True).over(w))
+    start = F.coalesce(~F.col("f._iso") & (F.col("_before") >= 11) & (F.col("f._month") <= 2), F.lit(False)).cast("int")
+    own = F.col("t._turn") + F.when(F.col("e._base").isNull(), start).otherwise(0)
+    folds = folds.withColumns({"_own": own, "_eras": F.coalesce(F.count("e._base").over(w), F.lit(0)), "_year": F.last("e._base", True).over(w)})
+    # A chunk with a full year starts a new sum, which counts for the chunks after it.
+    after = Window.partitionBy("_source", F.col("_eras") + F.when(F.col("e._base").isNotNull(), 1).otherwise(0)).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, 0)
+    folds = folds.withColumn("_sum", F.sum("_own").over(after))
+    ordered = Window.partitionBy("_source").orderBy("_chunk")
+    folds = folds.select(
+        F.col("_source").alias("source"), "_chunk", "_before",
+        (F.coalesce(F.col("_year"), F.first("_default").over(ordered)) + F.coalesce(F.lag("_sum").over(ordered), F.lit(0))).alias("_enter"),
+    )
+    whole = _turns(dated.join(folds, ["source", "_chunk"]), F.col("_before"))
+    year = F.coalesce("_base", "_enter", F.lit(None).cast("int")) + F.col("_turn")
+    return whole.withColumn("year", year.cast("int")).drop("_chunk", "_iso", "_month", "_full", "_over", "_era", "_turn", "_base", "_before", "_enter")
 
 
 def parse_timestamps(lines: DataFrame) -> DataFrame:

@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siftlog.functions.scalars import keyed_handle
 from siftlog.operators.running import prefix_by_chunk
+from siftlog.scratch import materialize
 
 # Envelope marker, patterns of addresses and digests, keys that never leave, allowed fields.
 MARKER, IPV4, HEX = r"(?i)</?untrusted-log-content>", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", r"(?i)\b[0-9a-f]{16,}\b"
-FORBIDDEN = ("api_key", "attack", "attack_family", "label", "labels", "truth")
+FORBIDDEN = (
+    "api_key", "attack", "attack_family", "authorization", "content_hash", "credential", "env", "environment", "ground_truth", "is_attack", "key_fingerprint",
+    "label", "labels", "password", "raw_line", "raw_message", "secret", "source_path", "source_sha256", "token",
+)
 EVENT_FIELDS = ("timestamp", "process", "event_type", "success", "method", "message")
 SESSION_FIELDS = ("start_time", "end_time", "event_count", "failure_count", "has_escalation", "has_persistence", "primary_method")
 PSEUDONYM_FIELDS = ("host", "user", "target_user", "src_ip", "ruser")
@@ -96,15 +100,48 @@ def forbidden_fields(df: DataFrame) -> list[str]:
     return found
 
 
-def leaked(payloads: DataFrame, identifiers: DataFrame, run: str) -> DataFrame:
-    """Payloads that hold a real identifier of their own run as a word; each payload and identifier once.
+def json_keys(text: str) -> Column:
+    """The keys of all objects of a JSON text, at any depth, unescaped."""
+    # Strings are read one after the other; those that no colon follows leave an empty group.
+    strings = r'"(?:[^"\\]|\\.)*+"(?!\s*:)|"((?:[^"\\]|\\.)*+)"\s*:'
+    raw = F.filter(F.regexp_extract_all(F.col(text), F.lit("(?s)" + strings), 1), lambda k: k != "")
+    return F.transform(raw, lambda k: F.coalesce(F.from_json(F.concat(F.lit('["'), k, F.lit('"]')), "array<string>")[0], k))
 
-    Words are runs of letters, digits and ``_ . : @ - / \\ $`` without points and colons at their ends, so a
-    payload meets the identifiers of its run by an equi-join on the word.
+
+def forbidden_keys(rows: DataFrame, identifier: str, texts: tuple[str, ...] = ()) -> DataFrame:
+    """``identifier, key`` of forbidden keys in a row: fields and map keys at any depth, and keys inside the JSON ``texts``."""
+    whole = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+    shown = rows.select(F.col(identifier), F.explode(F.array(whole, *(F.col(t) for t in texts))).alias("text")).where("text is not null")
+    keys = shown.select(identifier, F.explode(F.array_distinct(json_keys("text"))).alias("key"))
+    return keys.where(F.lower("key").isin(*FORBIDDEN)).distinct()
+
+
+def _grams(text: str, size: int) -> Column:
+    return F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{size}}}))"), 1)
+
+
+def leaked(payloads: DataFrame, identifiers: DataFrame, run: str, size: int = 4) -> DataFrame:
+    """``run, payload, identifier`` of real identifiers of a run that are contained in its payloads, inside words too.
+
+    An identifier of up to ``size`` characters is itself a gram of every payload that holds it. A longer one
+    is indexed by the gram of its own that is in fewest payloads of the run, so that payloads meet it by an
+    equi-join on the gram, and only those that hold the gram are searched. Each payload and identifier
+    comes once; null ones and empty identifiers never leak.
     """
-    word = F.explode(F.array_distinct(F.transform(F.regexp_extract_all("payload", F.lit(r"([\p{L}\p{N}_.:@/\\$-]+)"), 1), lambda w: F.regexp_replace(w, r"^[.:]+|[.:]+$", ""))))
-    words = payloads.select(run, "payload", word.alias("identifier")).distinct()
-    return words.join(identifiers.select(run, "identifier").distinct(), [run, "identifier"], "left_semi").select(run, "payload", "identifier")
+    spark = payloads.sparkSession
+    known = identifiers.where("identifier <> ''").select(run, "identifier").distinct()
+    sizes = sorted(r[0] for r in known.select(F.least(F.length("identifier"), F.lit(size))).distinct().collect())  # at most ``size`` numbers
+    if not sizes:
+        return spark.createDataFrame([], payloads.select(run, "payload", F.col("payload").alias("identifier")).schema)
+    own = materialize(payloads.where("payload is not null").select(run, "payload").distinct().withColumn("_id", F.monotonically_increasing_id()), "payloads")
+    parts = known.select(run, "identifier", F.explode(F.array_distinct(F.when(F.length("identifier") <= size, F.array("identifier")).otherwise(_grams("identifier", size)))).alias("_gram"))
+    marks = own.select(run, "_id", F.explode(F.array_distinct(F.concat(*(_grams("payload", n) for n in sizes)))).alias("_gram"))
+    seen = materialize(marks.join(parts.select(run, "_gram").distinct(), [run, "_gram"], "left_semi"), "grams")
+    held = seen.groupBy(run, "_gram").agg(F.count("*").alias("_n"))
+    rarest = parts.join(held, [run, "_gram"], "left").groupBy(run, "identifier").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_a"))
+    anchors = rarest.where("_a.n > 0").select(run, "identifier", F.col("_a.gram").alias("_gram"))
+    pairs = seen.join(anchors, [run, "_gram"]).select("_id", "identifier")
+    return own.join(pairs, "_id").where(F.col("payload").contains(F.col("identifier"))).select(run, "payload", "identifier")
 
 
 def check_citations(citations: DataFrame, retrieved: DataFrame, resolved: DataFrame, events: DataFrame) -> DataFrame:

@@ -979,13 +979,30 @@ def r7_outbound(spark, sf_dir):
     return redact.outbound(v.auth_events(spark, sf_dir), redact.EVENT_FIELDS, b"salt", "ev", "event_id")
 
 
-@query(f"""with ev as ({EVENTS_SQL}) select host as run, event_type || ' ' || event_id || ' for ' || "user" as payload, "user" as identifier from ev where line_no % 50 = 0 and "user" is not null""")
+LEAK_SQL = f"""with ev as ({EVENTS_SQL}), p as (select distinct host as run, case line_no % 9 when 0 then 'user=' || "user" when 1 then "user" || '@web01' when 2 then src_ip || ':' || src_port when 3 then '/home/' || "user" || '/x'
+      when 4 then "user" || '-laptop' when 5 then '{{"host":"' || src_ip || '"}}' when 6 then 'John' || "user" || 'Doe' end as payload from ev),
+    ids as (select distinct host as run, "user" as identifier from ev union select distinct host, src_ip from ev)"""
+
+
+@query(f"""{LEAK_SQL} select p.run, payload, identifier from p join ids on p.run = ids.run and contains(payload, identifier)""")
 def r8_leaked(spark, sf_dir):
-    """A run per host; every 50th payload holds the user."""
+    """A run per host: users and addresses inside words, paths, JSON and with ports."""
     e = v.auth_events(spark, sf_dir).withColumn("run", F.col("host"))
-    payload = F.concat_ws(" ", "event_type", "event_id", F.when(F.col("line_no") % 50 == 0, F.concat(F.lit("for "), "user")))
-    identifiers = e.where("user is not null").select("run", F.col("user").alias("identifier"))
-    return redact.leaked(e.select("run", payload.alias("payload")), identifiers, "run").select("run", "payload", "identifier")
+    payload = F.expr(
+        """case line_no % 9 when 0 then 'user=' || user when 1 then user || '@web01' when 2 then src_ip || ':' || src_port when 3 then '/home/' || user || '/x'
+        when 4 then user || '-laptop' when 5 then '{"host":"' || src_ip || '"}' when 6 then 'John' || user || 'Doe' end"""
+    )
+    identifiers = e.select("run", F.col("user").alias("identifier")).unionByName(e.select("run", F.col("src_ip").alias("identifier")))
+    return redact.leaked(e.select("run", payload.alias("payload")), identifiers, "run")
+
+
+@query(f"""with ev as ({EVENTS_SQL}) select event_id, unnest(list_filter([case when line_no % 4 = 0 then 'label' end, case when line_no % 6 = 0 then 'Token' end, 'raw_message'], lambda k: k is not null)) as key from ev""")
+def r8_forbidden_keys(spark, sf_dir):
+    """Keys inside JSON texts and maps, and a field."""
+    e = v.auth_events(spark, sf_dir)
+    text = F.when(F.col("line_no") % 4 == 0, F.lit('{"a": [{"\\u006cabel" : 1}], "b": "label"}')).otherwise(F.lit('{"a": "label: \\"label\\" :"}'))
+    rows = e.select("event_id", "raw_message", text.alias("text"), F.expr("map(if(line_no % 6 = 0, 'Token', 'user'), user)").alias("fields"))
+    return redact.forbidden_keys(rows, "event_id", ("text",))
 
 
 @query(f"""with ev as ({EVENTS_SQL}) select event_id as run_id, 'user-' || (line_no % 5) as pseudonym, case when line_no % 5 <> 3 then 'v' || (line_no % 5) end as value from ev""")

@@ -113,6 +113,24 @@ def test_redaction(spark):
     assert df.select(redact.redact_text("text", "v")).first()[0] == "user-1 at [ip] and user-2, [digest]"
 
 
+def test_leaks_inside_words(spark):
+    """Identifiers count wherever they are contained, and only in their own run."""
+    held = ["user=jdoe", "jdoe@web01", "10.0.0.3:22", "/home/jdoe/x", "jdoe-laptop", '{"host":"web01"}', "seen John Doe here", "é漢z!", "nothing", None, ""]
+    payloads = spark.createDataFrame([(r, p) for r in ("a", "b") for p in held] + [("a", "user=jdoe")], "run string, payload string")
+    names = ["jdoe", "web01", "10.0.0.3", "John Doe", "漢", "z!", "absent", "", None, "jdoe"]
+    ids = spark.createDataFrame([("a", n) for n in names] + [("b", "nothin"), (None, "jdoe")], "run string, identifier string")
+    got = sorted(map(tuple, redact.leaked(payloads, ids, "run").collect()))
+    want = sorted({("a", p, n) for p in held if p for n in names if n and n in p} | {("b", "nothing", "nothin")})
+    assert got == want and len(want) == 11
+    assert redact.leaked(payloads, ids.limit(0), "run").count() == 0 and redact.leaked(payloads.limit(0), ids, "run").count() == 0
+
+
+def test_forbidden_keys_at_any_depth(spark):
+    rows = [(1, '{"x": [{"Secret": {}}], "y": "token"}', {"a": "b"}), (2, '{"t": "a \\"label\\": b"}', {"LABELS": "b"}), (3, "no json", {}), (4, None, None)]
+    df = spark.createDataFrame(rows, "id int, body string, m map<string,string>")
+    assert sorted(map(tuple, redact.forbidden_keys(df, "id", ("body",)).collect())) == [(1, "Secret"), (2, "LABELS")]
+
+
 def test_forbidden_fields(spark):
     df = spark.createDataFrame([], "a string, b struct<label string, c array<struct<api_key string>>>")
     assert redact.forbidden_fields(df) == ["b.label", "b.c.api_key"]
