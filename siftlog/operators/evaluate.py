@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siftlog.functions.scalars import wilson
 from siftlog.operators.graph import connected_components
+from siftlog.operators.quantiles import quantiles
 from siftlog.operators.running import prefix_by_chunk
 
 # Failure kinds by a phrase of the reason, in order; run outcomes; verdict classes.
@@ -164,7 +165,7 @@ def confusion(rows: DataFrame) -> DataFrame:
 
 def latency(rows: DataFrame, column: str = "seconds") -> DataFrame:
     """Interpolated median and nearest-rank 95th percentile."""
-    return rows.agg(F.percentile(column, 0.5).alias("p50_seconds"), F.expr(f"percentile_disc(0.95) within group (order by {column})").alias("p95_seconds"))
+    return quantiles(rows, column, {"p50_seconds": (0.5, "linear"), "p95_seconds": (0.95, "nearest")})
 
 
 def false_alert_rate(alerts: str, hours: str) -> Column:
@@ -206,9 +207,9 @@ def measure_runs(runs: DataFrame) -> DataFrame:
         F.count("*").alias("cases_run"), F.count_if(done).alias("completed"), F.count_if(abstain).alias("abstained"), F.count("grounded").alias("reports_checked"),
         F.count_if("grounded").alias("grounded"), F.count_if("repaired").alias("repair_attempted"), F.count_if(F.col("repaired") & F.col("grounded")).alias("repair_succeeded"),
         F.sum("cited").alias("cited_handles"), F.sum("calls").alias("tool_calls"), F.avg("calls").alias("calls_per_run_mean"), F.max("calls").alias("calls_per_run_max"),
-        F.sum("tokens_in").alias("input_tokens"), F.sum("tokens_out").alias("output_tokens"), F.percentile("seconds", 0.5).alias("p50_seconds"),
-        F.expr("percentile_disc(0.95) within group (order by seconds)").alias("p95_seconds"),
+        F.sum("tokens_in").alias("input_tokens"), F.sum("tokens_out").alias("output_tokens"),
     )
+    out = out.crossJoin(F.broadcast(latency(runs)))  # one row each
     rates = {"abstention_rate": "try_divide(abstained, cases_run)", "decisive_rate": "try_divide(completed - abstained, cases_run)", "completion_rate": "try_divide(completed, cases_run)", "citation_validity": "try_divide(grounded, reports_checked)"}
     return out.withColumns({k: F.expr(v) for k, v in rates.items()})
 

@@ -6,7 +6,8 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from siftlog.operators.running import count_before
+from siftlog.operators.running import count_before, count_dominated
+from siftlog.scratch import materialize
 
 # Entity columns with the other entity whose distinct values are counted.
 DISTINCT = (("user", "host", "distinct_hosts_for_user"), ("src_ip", "user", "distinct_users_for_src_ip"), ("host", "user", "distinct_users_for_host"), ("host", "src_ip", "distinct_src_ips_for_host"))
@@ -36,13 +37,25 @@ def distinct_counts(sessions: DataFrame) -> DataFrame:
 def auth_frequency(sessions: DataFrame, events: DataFrame, hours: int = 24) -> DataFrame:
     """the user's ssh_auth_ events in the window before the start, from sessions of the history.
 
-    An equi-join on user and day of the event (the days that the window touches), then the exact bounds.
+    Such an event lies in a session that ended before the start, in the same span of ``hours`` or the one
+    before. Ends in the span before are all early enough, so only the event's time is counted; ends in the
+    same span are counted, less those whose event is too old, which only sessions over a border of spans have:
+    they are the points that are earlier in both times. No join pairs the sessions of a user with its events.
     """
+    span = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (hours * 3_600_000_000))
     ends = sessions.select(F.explode("events").alias("event_id"), F.col("end_time").alias("ended"))
-    auth = events.where(F.col("event_type").startswith("ssh_auth_")).select("event_id", "user", "ts").join(ends, "event_id").withColumn("day", F.to_date("ts"))
-    spans = sessions.select("session_id", "user", "start_time", F.explode(F.expr(f"sequence(to_date(start_time - interval {hours} hours), to_date(start_time))")).alias("day"))
-    hit = spans.join(auth.drop("event_id"), ["user", "day"]).where(f"ts >= start_time - interval {hours} hours and ts < start_time and ended < start_time")
-    counts = hit.groupBy("session_id").agg(F.count("*").alias("n"))
+    auth = events.where(F.col("event_type").startswith("ssh_auth_")).select("event_id", "user", "ts").join(ends, "event_id").select("user", "ts", "ended", span("ended").alias("span"))
+    auth = materialize(auth.where("user is not null"), "auth")
+    asks = sessions.select("session_id", "user", F.col("start_time").alias("ended"), F.expr(f"start_time - interval {hours} hours").alias("ts"), span("start_time").alias("span")).where("user is not null")
+    asks = materialize(asks, "starts")
+    sizes = auth.groupBy("user", "span").agg(F.count("*").alias("n")).withColumn("span", F.col("span") + 1)
+    last = asks.join(sizes, ["user", "span"]).select("session_id", "n")
+    before = asks.select("session_id", "user", (F.col("span") - 1).alias("span"), F.col("ts").alias("at"))
+    old = count_before(before, auth.select("user", "span", F.col("ts").alias("at")), ["user", "span"], "at", "n").select("session_id", (-F.col("n")).alias("n"))
+    same = count_before(asks.select("session_id", "user", "span", F.col("ended").alias("at")), auth.select("user", "span", F.col("ended").alias("at")), ["user", "span"], "at", "n").select("session_id", "n")
+    crossing = auth.where(span("ts") < F.col("span"))
+    late = count_dominated(asks, crossing, ["user", "span"], "session_id", "ended", "ts", "n").select("session_id", (-F.col("n")).alias("n"))
+    counts = last.unionByName(old).unionByName(same).unionByName(late).groupBy("session_id").agg(F.sum("n").alias("n"))
     return sessions.select("session_id").join(counts, "session_id", "left").select("session_id", F.coalesce("n", F.lit(0)).alias("auth_frequency_window_count"))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from siftlog.scratch import materialize
+
 
 def prefix_by_chunk(chunks: DataFrame, keys: list[str], chunk: str, value: str, out: str) -> DataFrame:
     """Sum of ``value`` over earlier chunks of a key; ``chunks`` has one row per key and chunk."""
@@ -29,3 +31,36 @@ def count_before(opens: DataFrame, closes: DataFrame, keys: list[str], at: str,
     found = inside.join(days, same, "left")
     known = F.expr(" and ".join(f"{k} is not null" for k in keys))
     return found.withColumn(out, F.when(known, F.col("_in") + F.coalesce("_before", F.lit(0))).otherwise(F.lit(0)).cast("bigint")).drop("_in", "_before", "_d", "_day", *[f"_{k}" for k in keys])
+
+
+def numbered(rows: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """``rows`` with their place from 0 by key in ``order``, whose first column is a time: days are numbered alone and shifted."""
+    own = rows.withColumn("_day", F.to_date(order[0]))
+    days = own.groupBy(*keys, "_day").agg(F.count("*").alias("_n"))
+    days = prefix_by_chunk(days, keys, "_day", "_n", "_before").select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_day").alias("_d"), "_before")
+    w = Window.partitionBy(*keys, "_day").orderBy(*order)
+    same = F.expr(" and ".join([*(f"{k} <=> _{k}" for k in keys), "_day <=> _d"]))
+    placed = own.withColumn("_in", F.row_number().over(w) - 1).join(days, same)
+    return placed.withColumn(out, F.col("_before") + F.col("_in")).drop("_in", "_before", "_d", "_day", *[f"_{k}" for k in keys])
+
+
+def count_dominated(queries: DataFrame, points: DataFrame, keys: list[str], identifier: str, x: str, y: str, out: str) -> DataFrame:
+    """``identifier, out``: points of the query's key that are strictly earlier in both times ``x`` and ``y``.
+
+    Points are numbered by ``x``. The points before a query in ``x`` are then a prefix of numbers, which falls
+    into at most one aligned block of each power of two; a point tells its block of every size, so each pair
+    of block and query is a count of one time only (``count_before``). Rows grow by the logarithm of a key's
+    points, whatever the key. ``identifier`` names the queries; queries without such points have no row.
+    """
+    placed = count_before(queries.select(identifier, *keys, F.col(x).alias("_at"), F.col(y).alias("_y")), points.select(*keys, F.col(x).alias("_at")), keys, "_at", "_prefix")
+    ranked = numbered(points.select(*keys, F.col(x).alias("_at"), F.col(y).alias("_y")), keys, ["_at", "_y"], "_place")
+    placed, ranked = materialize(placed.where("_prefix > 0"), "prefixes"), materialize(ranked, "places")
+    most = ranked.agg(F.max("_place")).first()[0] or 0
+    sizes = F.sequence(F.lit(0), F.lit(int(most).bit_length()))
+    # A prefix of length p has the block (p >> s) - 1 of size 2^s for every bit s that it sets; these are even blocks.
+    asked = F.filter(F.transform(sizes, lambda s: F.struct(s.alias("_size"), (F.call_function("shiftright", F.col("_prefix"), s) - 1).alias("_block"))), lambda b: b["_block"] % 2 == 0)
+    told = F.filter(F.transform(sizes, lambda s: F.struct(s.alias("_size"), F.call_function("shiftright", F.col("_place"), s).alias("_block"))), lambda b: b["_block"] % 2 == 0)
+    opens = placed.select(identifier, *keys, F.col("_y").alias("_at"), F.explode(asked).alias("b")).select(identifier, *keys, "_at", "b.*")
+    closes = ranked.select(*keys, F.col("_y").alias("_at"), F.explode(told).alias("b")).select(*keys, "_at", "b.*")
+    found = count_before(opens, closes, [*keys, "_size", "_block"], "_at", out)
+    return found.groupBy(identifier).agg(F.sum(out).alias(out))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from siftlog.functions.scalars import isoformat, seconds_between
+from siftlog.operators.quantiles import quantiles
 from siftlog.operators.running import prefix_by_chunk
 
 ENTITY = ["source", "host", "src_ip", "user"]
@@ -41,7 +42,7 @@ def gaps(events: DataFrame) -> DataFrame:
 
 def fit_percentile(gap: DataFrame, q: float = 0.95) -> DataFrame:
     """Interpolated percentile, floored."""
-    return gap.agg(F.greatest(F.percentile("gap", q), F.lit(FLOOR)).alias("threshold"))
+    return quantiles(gap, "gap", {"p": (q, "linear")}).select(F.greatest("p", F.lit(FLOOR)).alias("threshold"))
 
 
 def fit_mean_std(gap: DataFrame) -> DataFrame:

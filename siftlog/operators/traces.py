@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siftlog.functions.scalars import wilson
+from siftlog.operators.quantiles import quantiles
 
 # Start symbol, length bins, blends in order of simplicity, quantiles.
 START = "<start>"
@@ -101,7 +102,7 @@ def blends(scored: DataFrame) -> DataFrame:
 
 def normal_threshold(scores: DataFrame, q: float) -> float:
     """Nearest-rank quantile of normal scores; an alert lies above it."""
-    return scores.where("not anomaly").select(F.expr(f"percentile_disc({q}) within group (order by score)")).first()[0]
+    return quantiles(scores.where("not anomaly"), "score", {"threshold": (q, "nearest")}).first()[0]
 
 
 def confusion(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -117,7 +118,7 @@ def confusion(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 def selection_grid(validation: DataFrame) -> DataFrame:
     """Confusion of every (candidate, quantile) with the threshold of the normals' scores."""
-    thresholds = validation.groupBy("candidate", "rank").agg(*(F.expr(f"percentile_disc({q}) within group (order by if(anomaly, null, score))").alias(f"t{i}") for i, q in enumerate(QUANTILES)))
+    thresholds = quantiles(validation.where("not anomaly"), "score", {f"t{i}": (q, "nearest") for i, q in enumerate(QUANTILES)}, ("candidate", "rank"))
     listed = F.explode(F.array(*(F.struct(F.lit(q).alias("quantile"), F.col(f"t{i}").alias("threshold")) for i, q in enumerate(QUANTILES))))
     thresholds = thresholds.select("candidate", listed.alias("x")).select("candidate", "x.*")
     rows = validation.join(F.broadcast(thresholds), "candidate").withColumn("alert", F.col("score") > F.col("threshold"))
