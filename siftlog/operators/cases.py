@@ -74,11 +74,14 @@ def case_id(session: str = "session_id") -> Column:
 
 
 def case_queue(sessions: DataFrame, candidates: DataFrame, runs: DataFrame, dispositions: DataFrame, ready: bool, offset: int = 0, limit: int = 50) -> DataFrame:
-    """Q3: sessions with latest score, run and disposition; by score (unscored last) when a model is ready, else by time."""
-    w = Window.partitionBy("session_id").orderBy(F.desc("created_at"))
+    """Q3: sessions with latest score, run and disposition; by score (unscored last) when a model is ready, else by time.
+
+    Of scores and dispositions of the same time the larger one counts.
+    """
+    w = Window.partitionBy("session_id").orderBy(F.desc("created_at"), F.desc_nulls_last("score"))
     scores = candidates.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("session_id", "score")
     last = latest_runs(runs, "session_id").select("session_id", "run_id", "state")
-    w = Window.partitionBy("case_id").orderBy(F.desc("decided_at"))
+    w = Window.partitionBy("case_id").orderBy(F.desc("decided_at"), F.desc_nulls_last("disposition"))
     decided = dispositions.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("case_id", "disposition")
     out = sessions.withColumn("case_id", case_id()).join(scores, "session_id", "left").join(last, "session_id", "left").join(decided, "case_id", "left")
     order = ([F.desc_nulls_last("score")] if ready else []) + [F.col("start_time"), F.col("session_id")]

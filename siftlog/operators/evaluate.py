@@ -214,6 +214,60 @@ def measure_runs(runs: DataFrame) -> DataFrame:
     return out.withColumns({k: F.expr(v) for k, v in rates.items()})
 
 
+#: Nested records of agent runs, as they are stored: one JSON object per run.
+RUN_RECORD = (
+    "run_id string, state string, incomplete_reason string, "
+    "report struct<verdict: string, findings: array<struct<evidence_handles: array<string>>>>, "
+    "grounding struct<grounded: boolean, repair_attempted: boolean, issues: array<struct<kind: string>>>, "
+    "traces array<struct<tool: string, available: boolean, error: string, duration_ms: double>>, hypotheses array<string>, "
+    "usage struct<requests: bigint, provider_attempts: bigint, input_tokens: bigint, output_tokens: bigint, total_tokens: bigint, wall_seconds: double, rate_limited: bigint, rate_limit_wait_seconds: double>"
+)
+
+
+def measure_records(records: DataFrame) -> DataFrame:
+    """Measures over nested run records (``RUN_RECORD``), long: ``measure, name, value``.
+
+    Kinds are counted by one explosion of each run's own few marks (verdict, failure, issues, tools); totals
+    and rates come from one aggregation, spreads of tool and run times and of tokens from exact quantiles. A
+    rate without a denominator is null.
+    """
+    done = (F.col("state") == "completed") & F.col("report").isNotNull()
+    traces = F.coalesce("traces", F.array().cast("array<struct<tool: string, available: boolean, error: string, duration_ms: double>>"))
+    mark = lambda measure, name: F.struct(F.lit(measure).alias("measure"), name.alias("name"))
+    none = F.array().cast("array<struct<measure: string, name: string>>")
+    marks = F.concat(
+        F.when(done, F.array(mark("verdict", F.col("report.verdict")))).otherwise(none),
+        F.when(F.col("state") != "completed", F.array(mark("incomplete", failure_kind("incomplete_reason")))).otherwise(none),
+        F.coalesce(F.transform("grounding.issues", lambda i: mark("issue", i["kind"])), none),
+        F.transform(traces, lambda t: mark("tool", t["tool"])),
+    )
+    kinds = records.select(F.explode(marks).alias("m")).select("m.*").groupBy("measure", "name").agg(F.count("*").cast("double").alias("value"))
+    n = lambda c: F.coalesce(c, F.lit(0))
+    broken = F.size(F.filter(traces, lambda t: ~F.coalesce(t["available"], F.lit(False)) | t["error"].isNotNull()))
+    cited = n(F.aggregate("report.findings", F.lit(0), lambda a, f: a + n(F.size(f["evidence_handles"]))))
+    total = records.agg(
+        F.count("*").alias("cases_run"), F.count_if(done).alias("completed"), F.count_if(done & (F.col("report.verdict") == "insufficient_evidence")).alias("abstained"),
+        F.count("grounding").alias("reports_checked"), F.count_if("grounding.grounded").alias("grounded"), F.count_if("grounding.repair_attempted").alias("repair_attempted"),
+        F.count_if(F.col("grounding.repair_attempted") & F.col("grounding.grounded")).alias("repair_succeeded"), F.sum(cited).alias("cited_handles"), F.sum(F.size(traces)).alias("tool_calls"),
+        F.max(F.size(traces)).alias("calls_per_run_max"), F.sum(broken).alias("unavailable_or_error"), F.sum(n(F.size("hypotheses"))).alias("hypotheses"),
+        *(F.sum(f"usage.{c}").alias(c) for c in ("requests", "provider_attempts", "input_tokens", "output_tokens", "total_tokens", "rate_limited", "rate_limit_wait_seconds")),
+    )
+    rates = {"abstention_rate": "try_divide(abstained, cases_run)", "decisive_rate": "try_divide(completed - abstained, cases_run)", "completion_rate": "try_divide(completed, cases_run)", "citation_validity": "try_divide(grounded, reports_checked)", "calls_per_run_mean": "try_divide(tool_calls, cases_run)"}
+    total = total.withColumns({k: F.expr(v) for k, v in rates.items()})
+    long = total.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in total.columns))).alias("t")).select(F.lit("total").alias("measure"), "t.*")
+    spread = lambda rows, column, measure: _long(quantiles(rows, column, {"p50": (0.5, "linear"), "p95": (0.95, "nearest")}), measure)
+    calls = records.select(F.explode(traces).alias("t")).select("t.duration_ms")
+    out = kinds.unionByName(long).unionByName(spread(calls, "duration_ms", "tool_ms"))
+    runs = records.select("usage.wall_seconds", "usage.total_tokens")
+    return out.unionByName(spread(runs, "wall_seconds", "run_seconds")).unionByName(spread(runs, "total_tokens", "run_tokens"))
+
+
+def _long(one: DataFrame, measure: str) -> DataFrame:
+    """A single row of numbers as ``measure, name, value``."""
+    cells = F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in one.columns))
+    return one.select(F.explode(cells).alias("c")).select(F.lit(measure).alias("measure"), "c.*")
+
+
 def cost(input_tokens: str, output_tokens: str, price_in: float, price_out: float) -> Column:
     """List price per million tokens."""
     return F.round(F.col(input_tokens) * price_in / 1e6 + F.col(output_tokens) * price_out / 1e6, 6)
@@ -239,5 +293,6 @@ def technique_matches(cases: DataFrame) -> DataFrame:
 
 def confounds(cases: DataFrame) -> DataFrame:
     """Whether attack and normal cases come from disjoint datasets, and truth sets with several ids."""
-    out = cases.agg(F.collect_set(F.when(F.col("truth") == "attack", F.col("dataset_id"))).alias("a"), F.collect_set(F.when(F.col("truth") == "normal", F.col("dataset_id"))).alias("n"), F.count_if(F.size("techniques") > 1).alias("several_techniques"))
-    return out.select((~F.arrays_overlap("a", "n")).alias("truth_follows_dataset"), "several_techniques")
+    has = lambda t: F.coalesce(F.bool_or(F.col("truth") == t), F.lit(False))
+    by_dataset = cases.groupBy("dataset_id").agg((has("attack") & has("normal")).alias("mixed"), F.count_if(F.size("techniques") > 1).alias("several"))
+    return by_dataset.agg((~F.coalesce(F.bool_or(F.col("dataset_id").isNotNull() & F.col("mixed")), F.lit(False))).alias("truth_follows_dataset"), F.coalesce(F.sum("several"), F.lit(0)).alias("several_techniques"))

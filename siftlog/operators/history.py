@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from siftlog.operators.running import count_before, count_dominated
+from siftlog.operators.running import count_before, count_dominated, numbered
 from siftlog.scratch import materialize
 
 # Entity columns with the other entity whose distinct values are counted.
@@ -64,23 +64,65 @@ def context(sessions: DataFrame, events: DataFrame) -> DataFrame:
     return observation_counts(sessions).join(distinct_counts(sessions), "session_id").join(auth_frequency(sessions, events), "session_id")
 
 
+def reference_pages(sessions: DataFrame, page: int = 1000) -> DataFrame:
+    """all sessions in the order of their ends, as numbered pages of a shared list that only grows.
+
+    The history of any session is a prefix of this list. Each page has its references, their number, the
+    first and last of them and a digest, so that ``page_faults`` proves order and uniqueness from page to page.
+    """
+    placed = numbered(sessions.select(F.col("end_time").alias("at"), F.col("session_id").alias("ref")), [], ["at", "ref"], "place")
+    listed = placed.withColumn("page", F.floor(F.col("place") / page)).groupBy("page").agg(F.array_sort(F.collect_list(F.struct("at", "ref"))).alias("refs"))
+    text = F.array_join(F.transform("refs", lambda r: r["ref"]), "\n")
+    return listed.select("page", "refs", F.size("refs").cast("bigint").alias("n"), F.element_at("refs", 1).alias("first"), F.element_at("refs", -1).alias("last"), F.sha2(text, 256).alias("digest"))
+
+
+def page_faults(pages: DataFrame) -> DataFrame:
+    """``page, fault`` of pages whose digest, inner order or order after the page before is broken."""
+    text = F.array_join(F.transform("refs", lambda r: r["ref"]), "\n")
+    inner = F.exists(F.zip_with(F.expr("slice(refs, 1, size(refs) - 1)"), F.expr("slice(refs, 2, size(refs))"), lambda a, b: a >= b), lambda x: x)
+    ends = pages.select((F.col("page") + 1).alias("page"), F.col("last").alias("before"))
+    rules = F.array(F.when(F.sha2(text, 256) != F.col("digest"), "digest"), F.when(inner, "order"), F.when(F.col("before") >= F.col("first"), "border"), F.when((F.col("page") > 0) & F.col("before").isNull(), "missing_page"))
+    return pages.join(ends, "page", "left").select("page", F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("fault"))
+
+
+def reference_counts(sessions: DataFrame) -> DataFrame:
+    """``session_id, n_refs``: how long a prefix of the shared list is the session's history; one number instead of its rows."""
+    opens = sessions.select("session_id", F.col("start_time").alias("at"), F.lit(1).alias("all"))
+    closes = sessions.select(F.col("end_time").alias("at"), F.lit(1).alias("all"))
+    return count_before(opens, closes, ["all"], "at", "n_refs").select("session_id", "n_refs")
+
+
+def expand_references(counts: DataFrame, pages: DataFrame, page: int = 1000) -> DataFrame:
+    """``session_id, ref`` of the sessions of ``counts`` that a reader asks for; whole pages, the last one cut."""
+    asked = counts.where("n_refs > 0").select("session_id", "n_refs", F.explode(F.expr(f"sequence(0, (n_refs - 1) div {int(page)})")).alias("page"))
+    mine = asked.join(pages.select("page", "refs"), "page")
+    return mine.select("session_id", F.explode(F.slice("refs", F.lit(1), F.least(F.lit(page), F.col("n_refs") - F.col("page") * page).cast("int"))).alias("r")).select("session_id", F.col("r.ref").alias("ref"))
+
+
 def violations(sessions: DataFrame, events: DataFrame) -> DataFrame:
-    """``session_id, rule`` of sessions that break an invariant; empty for sound data."""
-    ev = events.select("event_id", F.col("ts").alias("at"), F.col("user").alias("u"), F.col("src_ip").alias("ip"), F.col("host").alias("h"))
-    members = sessions.select("*", F.posexplode("events").alias("ordinal", "event_id")).join(ev, "event_id", "left")
+    """``session_id, rule`` of sessions that break an invariant; empty for sound data.
+
+    Sessions and events have a ``source``. Null users and addresses must agree too; a session without events is one.
+    """
+    ev = events.select("event_id", F.col("ts").alias("at"), F.col("source").alias("src"), F.col("user").alias("u"), F.col("src_ip").alias("ip"), F.col("host").alias("h"))
+    members = sessions.select("*", F.posexplode_outer("events").alias("ordinal", "event_id")).join(ev, "event_id", "left")
+    other = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
+    held = F.col("at").isNotNull()
     per = members.groupBy("session_id").agg(
-        F.bool_or(F.col("at").isNull()).alias("missing_event"),
+        (F.count("event_id") == 0).alias("no_events"),
+        F.bool_or(F.col("event_id").isNotNull() & ~held).alias("missing_event"),
         F.bool_or((F.col("at") < F.col("start_time")) | (F.col("at") > F.col("end_time"))).alias("event_outside"),
-        F.bool_or((F.col("u") != F.col("user")) | (F.col("ip") != F.col("src_ip")) | (F.col("h") != F.col("host"))).alias("other_entity"),
+        F.bool_or(held & (other("u", "user") | other("ip", "src_ip") | other("h", "host"))).alias("other_entity"),
+        F.bool_or(held & other("src", "source")).alias("other_source"),
         (F.min("at") != F.first("start_time")).alias("wrong_start"),
         (F.max("at") != F.first("end_time")).alias("wrong_end"),
-        (F.count("*") != F.first("event_count")).alias("wrong_count"),
-        (F.count_distinct("event_id") != F.count("*")).alias("repeated_event"),
+        (F.count("event_id") != F.first("event_count")).alias("wrong_count"),
+        (F.count_distinct("event_id") != F.count("event_id")).alias("repeated_event"),
     )
-    order = sessions.join(members.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "at"))).alias("path")), "session_id")
-    steps = F.zip_with(F.expr("slice(path, 1, size(path) - 1)"), F.expr("slice(path, 2, size(path))"), lambda x, y: x["at"] > y["at"])
-    unsorted = order.where(F.exists(steps, lambda x: x)).select("session_id", F.lit("unordered").alias("rule"))
-    rules = ["missing_event", "event_outside", "other_entity", "wrong_start", "wrong_end", "wrong_count", "repeated_event"]
+    w = Window.partitionBy("session_id").orderBy("ordinal")
+    back = members.where(held).withColumn("back", F.col("at") < F.lag("at").over(w)).where("back")
+    unsorted = back.select("session_id", F.lit("unordered").alias("rule")).distinct()
+    rules = ["no_events", "missing_event", "event_outside", "other_entity", "other_source", "wrong_start", "wrong_end", "wrong_count", "repeated_event"]
     listed = per.select("session_id", F.explode(F.filter(F.array(*(F.when(F.col(r), F.lit(r)) for r in rules)), lambda x: x.isNotNull())).alias("rule"))
     return listed.unionByName(unsorted)
 
@@ -122,9 +164,10 @@ MODEL_INPUTS = {
 
 
 def model_inputs(table: DataFrame) -> DataFrame:
-    """F8: ``session_id, model_id, entity, vector`` long over the models of numeric input."""
-    parts = [table.select("session_id", F.lit(m).alias("model_id"), F.col(e).alias("entity"), F.array(*(F.col(c).cast("double") for c in cols)).alias("vector")) for m, (e, cols) in MODEL_INPUTS.items()]
-    out = parts[0]
-    for p in parts[1:]:
+    """F8: ``session_id, model_id, entity, vector, items`` long over all models: numbers, or the event types in order."""
+    none = F.lit(None)
+    parts = [table.select("session_id", F.lit(m).alias("model_id"), F.col(e).alias("entity"), F.array(*(F.col(c).cast("double") for c in cols)).alias("vector"), none.cast("array<string>").alias("items")) for m, (e, cols) in MODEL_INPUTS.items()]
+    out = table.select("session_id", F.lit("transition_surprise").alias("model_id"), F.col("user").alias("entity"), none.cast("array<double>").alias("vector"), F.col("event_types").alias("items"))
+    for p in parts:
         out = out.unionByName(p)
     return out

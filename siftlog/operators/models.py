@@ -7,9 +7,13 @@ from the published algorithms; they agree with those in method, not bit by bit.
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from siftlog.operators.running import numbered
+from siftlog.scratch import materialize
+
 # Models, their entity, warm-up and parameters; each has a drift companion.
 REGISTRY = [
     ("login_hour_rarity", "user", 2, "alpha=1"),
@@ -20,6 +24,7 @@ REGISTRY = [
 ]
 DRIFT = "delta=0.002 clock=32 max_buckets=5 min_window=5 grace=10"
 SCHEMA_VERSION = "1"
+SEED = 42
 
 
 def registry(spark) -> DataFrame:
@@ -119,16 +124,44 @@ def readiness(scores: DataFrame, models: DataFrame) -> DataFrame:
     return out.withColumn("ready", reason == "ready").withColumn("reason", reason)
 
 
+def catalogue(states: DataFrame, models: DataFrame) -> DataFrame:
+    """Every entity's state of every model, ready or with the observations it lacks; invalid ones (M11) are not listed.
+
+    ``states(model_id, entity, n, ...)``; a model without states has one row without an entity.
+    """
+    sound = states.join(incompatible(states, models).select("model_id", "entity").distinct(), ["model_id", "entity"], "left_anti").select("model_id", "entity", "n")
+    out = models.where("parent is null").select("model_id", "entity_kind", "warmup").join(sound, "model_id", "left")
+    reason = F.when(F.col("n").isNull(), "no_artifact").when(F.col("n") < F.col("warmup"), F.concat(F.lit("warmup incomplete: "), F.col("n").cast("string"), F.lit("/"), F.col("warmup").cast("string")))
+    return out.select("model_id", "entity_kind", "entity", F.coalesce("n", F.lit(0)).alias("observations"), reason.isNull().alias("ready"), reason.alias("reason"))
+
+
 def incompatible(states: DataFrame, models: DataFrame) -> DataFrame:
-    """``model_id, entity, rule`` of states whose metadata disagree with the registry."""
+    """``model_id, entity, rule`` of states whose metadata disagree with the registry or with themselves.
+
+    ``states(model_id, entity, n, feature_schema, parameters)``, and where they have them ``entity_kind``,
+    ``seed`` (42 for all models) and ``hashes``, the training digests: unique, of 64 hex digits, ``n`` of them.
+    """
     both = states.alias("s").join(F.broadcast(models.alias("r")), "model_id", "left")
-    rules = F.array(
+    rules = [
         F.when(F.col("r.warmup").isNull(), F.lit("unknown_model")),
+        F.when(F.col("r.parent").isNotNull(), F.lit("not_a_parent")),
+        F.when(F.coalesce(F.col("s.entity"), F.lit("")) == "", F.lit("entity")),
         F.when(F.col("s.feature_schema") != F.col("r.feature_schema"), F.lit("feature_schema")),
         F.when(F.col("s.parameters") != F.col("r.parameters"), F.lit("parameters")),
         F.when(F.col("s.n") < 0, F.lit("count")),
-    )
-    return both.select("model_id", "entity", F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("rule"))
+    ]
+    if "entity_kind" in states.columns:
+        rules.append(F.when(F.col("s.entity_kind") != F.col("r.entity_kind"), F.lit("entity_kind")))
+    if "seed" in states.columns:
+        rules.append(F.when(~F.col("s.seed").eqNullSafe(F.lit(SEED)), F.lit("seed")))
+    if "hashes" in states.columns:
+        held = F.coalesce("s.hashes", F.array().cast("array<string>"))
+        rules += [
+            F.when(F.size(F.array_distinct(held)) != F.size(held), F.lit("repeated_hash")),
+            F.when(F.exists(held, lambda h: ~F.coalesce(h.rlike("^[0-9a-f]{64}$"), F.lit(False))), F.lit("bad_hash")),
+            F.when(~F.col("s.n").eqNullSafe(F.size(held).cast("bigint")), F.lit("hash_count")),
+        ]
+    return both.select("model_id", "entity", F.explode(F.filter(F.array(*rules), lambda x: x.isNotNull())).alias("rule"))
 
 
 def frozen_scores(sessions: DataFrame, states: DataFrame, raw: DataFrame, models: DataFrame) -> DataFrame:
@@ -164,17 +197,8 @@ def select_alerts(scores: DataFrame, floor: float, k: int) -> DataFrame:
     return scores.where(F.col("raw_score") >= floor).orderBy(F.desc("raw_score"), "ref").limit(k)
 
 
-def half_space_trees(obs: DataFrame, trees: int = 10, height: int = 8, window: int = 250, seed: int = 42) -> DataFrame:
-    """M3: prequential scores of ``obs(entity, id, at, vector)`` by streaming half-space trees.
-
-    Vectors are scaled by the running extremes of the entity. The seeded trees are a constant of
-    ``trees * 2^height`` splits; a vector's nodes come from comparing it with them, masses are counts by
-    (entity, window, tree, node), and a row's score uses the masses of the window before its own:
-    1 - sum(mass * 2^depth) / largest possible. Without an earlier window the score is null.
-    """
-    import numpy as np
-
-    size = obs.select(F.max(F.size("vector"))).first()[0] or 1
+def half_space_splits(size: int, trees: int, height: int, seed: int):
+    """M3: feature and cut of every inner node of seeded trees over the unit cube, each cut away from its cell's borders."""
     rng = np.random.default_rng(seed)
     nodes = 2**height - 1
     feature, cut = rng.integers(0, size, (trees, nodes)), np.empty((trees, nodes))
@@ -188,32 +212,93 @@ def half_space_trees(obs: DataFrame, trees: int = 10, height: int = 8, window: i
                 if child < nodes:
                     low[child], high[child] = low[n], high[n]
                     bound[child, f] = cut[t, n]
-    w = Window.partitionBy("entity").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0)
-    scaled = obs.select("entity", "id", "at", ((F.row_number().over(Window.partitionBy("entity").orderBy("at", "id")) - 1) / window).cast("int").alias("win"), "vector")
-    lows, highs = ([f(F.col("vector")[i]).over(w) for i in range(size)] for f in (F.min, F.max))
-    scaled = scaled.select("entity", "id", "win", F.array(*(F.coalesce(F.try_divide(F.col("vector")[i] - lows[i], highs[i] - lows[i]), F.lit(0.0)) for i in range(size))).alias("x"))
-
-    def walk(frames):
-        for pdf in frames:
-            x = np.array(pdf["x"].tolist()).reshape(len(pdf), size)
-            out = []
-            for t in range(trees):
-                at = np.zeros(len(pdf), int)
-                for depth in range(height + 1):
-                    out.append(pd.DataFrame({"entity": pdf["entity"], "id": pdf["id"], "win": pdf["win"], "tree": t, "node": at.copy(), "depth": depth}))
-                    if depth < height:
-                        at = 2 * at + 1 + (x[np.arange(len(pdf)), feature[t, at]] >= cut[t, at])
-            yield pd.concat(out) if len(pdf) else pd.DataFrame(columns=["entity", "id", "win", "tree", "node", "depth"])
+    return feature, cut
+
+
+def _paths(x, feature, cut, height: int):
+    """Nodes of every row and tree from the root to a leaf: rows x trees x (height + 1)."""
+    at = np.zeros((len(x), len(feature)), int)
+    out, tree, row = [at], np.arange(len(feature)), np.arange(len(x))[:, None]
+    for _ in range(height):
+        at = 2 * at + 1 + (x[row, feature[tree, at]] >= cut[tree, at])
+        out.append(at)
+    return np.stack(out, axis=2)
+
+
+def _scaled(x, low, high):
+    with np.errstate(all="ignore"):
+        return np.where(high > low, (x - low) / (high - low), 0.0)
+
+
+def _window_scores(before, low0, high0, x, low1, high1, feature, cut, height: int, window: int):
+    """Scores of the rows ``x`` of a window by the masses of the whole window ``before`` it."""
+    lows, highs = (f.accumulate(np.vstack([e[None], before])) for f, e in ((np.fmin, low0), (np.fmax, high0)))
+    paths = _paths(_scaled(before, lows[1:], highs[1:]), feature, cut, height)
+    mass = np.zeros((len(feature), 2 ** (height + 1) - 1))
+    np.add.at(mass, (np.arange(len(feature))[None, :, None], paths), 1)
+    lows, highs = (f.accumulate(np.vstack([e[None], x])) for f, e in ((np.fmin, low1), (np.fmax, high1)))
+    paths = _paths(_scaled(x, lows[:-1], highs[:-1]), feature, cut, height)
+    held = mass[np.arange(len(feature))[None, :, None], paths]
+    # A tree adds the masses along the path, up to the first that is under a tenth of the window.
+    goes_on = np.cumprod(held >= 0.1 * window, axis=2)
+    goes_on = np.concatenate([np.ones_like(goes_on[:, :, :1]), goes_on[:, :, :-1]], axis=2)
+    total = (held * goes_on * 2.0 ** np.arange(height + 1)).sum(axis=(1, 2))
+    return 1 - total / (len(feature) * window * (2 ** (height + 1) - 1))
+
+
+def half_space_trees(obs: DataFrame, trees: int = 10, height: int = 8, window: int = 250, seed: int = 42) -> DataFrame:
+    """M3: prequential scores of ``obs(entity, id, at, vector)`` by streaming half-space trees; 0 in an entity's first window.
+
+    A row is scored by the node masses that the whole window before its own left, on vectors scaled by the
+    extremes of the entity's earlier rows; a window learns on vectors scaled by the extremes up to each row.
+    Both follow from the rows of two windows and the extremes before them, so an entity of any length is
+    dealt over tasks by windows: each row goes to its own window and to the next, and a task holds two.
+    """
+    size = obs.select(F.max(F.size("vector"))).first()[0] or 1
+    feature, cut = half_space_splits(size, trees, height, seed)
+    rows = materialize(numbered(obs.select("entity", "id", "at", "vector"), ["entity"], ["at", "id"], "place").withColumn("win", F.floor(F.col("place") / window)), "windows")
+    ends = rows.groupBy("entity", "win").agg(*(f(F.col("vector")[i]).alias(f"{n}{i}") for n, f in (("l", F.min), ("h", F.max)) for i in range(size)))
+    w = Window.partitionBy("entity").orderBy("win").rowsBetween(Window.unboundedPreceding, -1)
+    side = lambda n, f, none: F.array(*(F.coalesce(f(f"{n}{i}").over(w), F.lit(none)) for i in range(size)))
+    ends = ends.select("entity", "win", side("l", F.min, float("inf")).alias("low"), side("h", F.max, float("-inf")).alias("high"))
+    both = rows.join(ends, ["entity", "win"]).select("entity", "id", "place", "vector", "low", "high", F.explode(F.array(F.struct(F.col("win").alias("g"), F.lit(1).alias("own")), F.struct((F.col("win") + 1).alias("g"), F.lit(0).alias("own")))).alias("r"))
+    both = both.select("entity", "id", "place", "vector", "low", "high", "r.*").repartition("entity", "g").sortWithinPartitions("entity", "g", "own", "place")
+    names = ["entity", "id", "g", "own", "vector", "low", "high"]
+
+    def run(batches):
+        left = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if left is None else pa.concat_tables([left, table])
+            left = yield from score(table, False)
+        if left is not None:
+            yield from score(left, True)
+
+    def score(table, last):
+        """Scores all groups but the one that may go on, which is returned."""
+        if not table.num_rows:
+            return None
+        key = table.column("entity").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(), table.column("g").to_numpy()
+        starts = np.flatnonzero(np.r_[True, (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])])
+        stops = np.r_[starts[1:], table.num_rows]
+        for a, b in list(zip(starts, stops))[: None if last else -1]:
+            own = table.column("own").slice(a, b - a).to_numpy()
+            cut_at = int((own == 0).sum())
+            n = b - a - cut_at
+            if not n:
+                continue
+            part = table.slice(a, b - a)
+            if key[1][a] == 0 or not cut_at:
+                found = np.zeros(n)
+            else:
+                x, low, high = (np.asarray(part.column(c).combine_chunks().flatten(), float).reshape(b - a, -1) for c in ("vector", "low", "high"))
+                found = _window_scores(x[:cut_at], low[0], high[0], x[cut_at:], low[cut_at], high[cut_at], feature, cut, height, window)
+            mine = part.slice(cut_at)
+            yield from pa.table({"entity": mine.column("entity"), "id": mine.column("id"), "score": pa.array(found)}).combine_chunks().to_batches()
+        return None if last else table.slice(starts[-1])
 
     kinds = dict(obs.dtypes)
-    steps = scaled.mapInPandas(walk, f"entity {kinds['entity']}, id {kinds['id']}, win int, tree int, node int, depth int")
-    mass = steps.groupBy("entity", "win", "tree", "node").agg(F.count("*").alias("mass"))
-    before = steps.join(mass.withColumn("win", F.col("win") + 1), ["entity", "win", "tree", "node"], "left")
-    limit = 0.1 * window
-    deep = before.withColumn("mass", F.coalesce("mass", F.lit(0)))
-    stop = deep.groupBy("entity", "id", "win", "tree").agg(F.min_by(F.struct("mass", "depth"), F.when(F.col("mass") <= limit, F.col("depth")).otherwise(F.lit(height))).alias("s"))
-    score = stop.groupBy("entity", "id", "win").agg(F.sum(F.col("s.mass") * F.pow(F.lit(2.0), F.col("s.depth"))).alias("s"))
-    return score.select("entity", "id", F.when(F.col("win") > 0, 1 - F.col("s") / (trees * window * float(2**height))).alias("score"))
+    return both.select(*names).mapInArrow(run, f"entity {kinds['entity']}, id {kinds['id']}, score double")
 
 
 class Adwin:
@@ -268,17 +353,44 @@ class Adwin:
         return found
 
 
-def drift(scores: DataFrame) -> DataFrame:
-    """Drift positions of each (model, entity) in its ordered series ``scores(model_id, entity, at, id, score)``.
+def detections(scores: DataFrame) -> DataFrame:
+    """Detections of each (model, entity) in its ordered series ``scores(model_id, entity, at, id, score)``.
 
-    The detector is sequential, so each series is one group; a series is the history of one entity.
+    A row for every drift, with its ``place`` from 0, and one row that ends a series, with its
+    ``observations`` and ``drifts`` and the place of the last one. Null and NaN scores are passed over.
+    The detector is sequential: a task reads its series sorted and carries one detector, whose state grows
+    with the logarithm of the series, so a series of any length passes in bounded memory.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        detector, hits = Adwin(), []
-        for i, x in enumerate(pdf.sort_values(["at", "id"])["score"]):
-            if x == x and detector.update(float(x)):
-                hits.append(i)
-        return pd.DataFrame({"model_id": [pdf["model_id"].iloc[0]], "entity": [pdf["entity"].iloc[0]], "observations": [len(pdf)], "drifts": [len(hits)], "last": [hits[-1] if hits else None], "positions": [hits]})
+    def run(batches):
+        series = detector = None
+        place = count = 0
+        last = None
+        for batch in batches:
+            out = []
+            for model, entity, x in zip(*(batch.column(c).to_pylist() for c in ("model_id", "entity", "score"))):
+                if (model, entity) != series:
+                    if series is not None:
+                        out.append((*series, last, place, count))
+                    series, detector, place, count, last = (model, entity), Adwin(), 0, 0, None
+                if x is not None and x == x and detector.update(x):
+                    out.append((model, entity, place, None, None))
+                    count, last = count + 1, place
+                place += 1
+            if out:
+                yield _detected(out)
+        if series is not None:
+            yield _detected([(*series, last, place, count)])
+
+    ordered = scores.select("model_id", "entity", "at", "id", F.col("score").cast("double")).repartition("model_id", "entity").sortWithinPartitions("model_id", "entity", "at", "id")
+    return ordered.select("model_id", "entity", "score").mapInArrow(run, "model_id string, entity string, place bigint, observations bigint, drifts bigint")
 
-    return scores.groupBy("model_id", "entity").applyInPandas(run, "model_id string, entity string, observations bigint, drifts bigint, last bigint, positions array<bigint>")
+
+def _detected(rows: list) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["model_id", "entity", "place", "observations", "drifts"])
+
+
+def drift(scores: DataFrame) -> DataFrame:
+    """One row per series with its observations, drifts and the place of the last one."""
+    return detections(scores).where("observations is not null").select("model_id", "entity", "observations", "drifts", F.col("place").alias("last"))

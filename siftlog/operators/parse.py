@@ -239,7 +239,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
 def events_of(parsed: DataFrame) -> DataFrame:
     """The events, ordered by time and line within partitions."""
-    return parsed.where("reason is null").drop("reason", "time_fault", "family", "stamp", "default_year", "zone", "dst_fold", "year").sortWithinPartitions("timestamp", "line_no")
+    return parsed.where("reason is null").withColumnRenamed("raw_line", "raw_message").drop("reason", "time_fault", "family", "stamp", "default_year", "zone", "dst_fold", "year").sortWithinPartitions("timestamp", "line_no")
 
 
 def failures_of(parsed: DataFrame) -> DataFrame:

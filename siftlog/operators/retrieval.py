@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from siftlog.scratch import materialize
+
 # Stop words, BM25 parameters, data sources that make a technique relevant.
 STOP = "a an and are as at be by for from has in is it its of on or that the this to was were with".split()
 K1, B = 1.5, 0.75
@@ -26,14 +28,18 @@ def postings(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """K3: the ``k`` best documents of every query of ``queries(query_id, text)`` with their terms' shares.
 
-    Only postings of query terms are scored. A term's share is rounded to six digits; ties by id.
+    Only postings of query terms are made: words meet the distinct query terms before the first shuffle of
+    postings, and carry their document's length. A term's share is rounded to six digits; ties by id.
     """
-    tf, lengths, df = postings(docs)
+    terms = materialize(queries.select("query_id", F.explode(F.array_distinct(tokenize("text"))).alias("term")), "terms")
+    words = docs.select("document_id", tokenize("text").alias("w"))
+    words = materialize(words.select("document_id", F.size("w").alias("length"), F.explode_outer("w").alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy("document_id", "length", "term").agg(F.count("*").alias("tf")), "postings")
+    tf, lengths = words.select("document_id", "term", "tf", "length"), docs.select(F.size(tokenize("text")).alias("length"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
     stats = lengths.agg(F.count("*").alias("docs"), F.avg("length").alias("mean_length"))
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokenize("text"))).alias("term"))
     known = terms.join(df, "term").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    hit = known.join(tf, "term").join(lengths, "document_id")
+    hit = known.join(tf, "term")
     share = F.round(idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length"))), 6)
     hit = hit.select("query_id", "document_id", "term", share.alias("share"))
     scored = hit.groupBy("query_id", "document_id").agg(F.round(F.sum("share"), 6).alias("score"), F.transform(F.array_sort(F.collect_list(F.struct((-F.col("share")).alias("s"), "term"))), lambda x: F.struct(x["term"].alias("term"), (-x["s"]).alias("share"))).alias("terms"))
@@ -52,11 +58,11 @@ def folder_corpus(files: DataFrame, excluded: DataFrame, per_technique: int = 3,
 
 
 def filter_techniques(objects: DataFrame, extra_ids: list[str]) -> DataFrame:
-    """K5: live attack patterns with an id and a relevant data source, or an id of ``extra_ids``; by id."""
+    """K5: live attack patterns with an id and a relevant data source, or an id of ``extra_ids``."""
     ext = F.filter("external_references", lambda r: r["source_name"] == "mitre-attack")
     own = objects.where("type = 'attack-pattern' and not coalesce(revoked, false) and not coalesce(x_mitre_deprecated, false)").withColumn("technique_id", F.try_element_at(ext, F.lit(1))["external_id"])
     relevant = F.exists(F.coalesce("x_mitre_data_sources", F.array().cast("array<string>")), lambda d: F.array_contains(F.array(*(d.startswith(s) for s in AUTH_DATA_SOURCES)), True))
-    return own.where(F.col("technique_id").isNotNull() & (relevant | F.col("technique_id").isin(extra_ids))).orderBy("technique_id")
+    return own.where(F.col("technique_id").isNotNull() & (relevant | F.col("technique_id").isin(extra_ids)))
 
 
 def technique_documents(techniques: DataFrame) -> DataFrame:
@@ -73,14 +79,14 @@ def held_out_paths(entries: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def assemble(*collections: DataFrame) -> DataFrame:
-    """K8: one corpus by id; raises on an id that two documents have."""
+    """K8: one corpus; raises on an id that two documents have."""
     out = collections[0]
     for c in collections[1:]:
         out = out.unionByName(c)
     again = out.groupBy("document_id").count().where("count > 1").limit(1).collect()
     if again:
         raise ValueError(f"document id twice: {again[0]['document_id']}")
-    return out.orderBy("document_id")
+    return out
 
 
 def corpus_digest(docs: DataFrame) -> DataFrame:

@@ -113,9 +113,16 @@ def p2_parsed_events(spark, sf_dir):
     return parsed.select("event_id", "host", "event_type", "success", "user", F.col("timestamp").cast("timestamp_ntz").alias("event_time"), "src_ip", "src_port", "method", "command", "target_user", "uid")
 
 
-@query(f"""select source, line_no, raw_line, 'Unrecognized header' as reason from ({LINES_SQL}) where line_no % 97 = 0""")
+@query(
+    f"""select source, line_no, case when line_no % 89 = 0 then left(raw_line, 36) || 'app: nothing known' else raw_line end as raw_line,
+      case when line_no % 97 = 0 then 'Unrecognized header' else 'Unrecognized auth message family' end as reason, case when line_no % 97 <> 0 then ts end as salvaged_time
+    from ({LINES_SQL}) where line_no % 97 = 0 or line_no % 89 = 0"""
+)
 def p6_parse_failures(spark, sf_dir):
-    return parse.failures_of(parse.parse_lines(v.auth_lines(spark, sf_dir))).drop("timestamp")
+    """Lines without a header, and every 89th with an unknown message, whose time is kept."""
+    lines = v.auth_lines(spark, sf_dir).withColumn("raw_line", F.expr("if(line_no % 89 = 0 and line_no % 97 <> 0, concat(left(raw_line, 36), 'app: nothing known'), raw_line)"))
+    failed = parse.failures_of(parse.parse_lines(lines))
+    return failed.select("source", "line_no", "raw_line", "reason", F.col("timestamp").cast("timestamp_ntz").alias("salvaged_time"))
 
 
 @query(
@@ -173,7 +180,7 @@ def p12_session_pages(spark, sf_dir):
     select *, user_observations = 0 as user_first_seen, src_ip_observations = 0 as src_ip_first_seen, host_observations = 0 as host_first_seen from n"""
 )
 def f2_asof_counts(spark, sf_dir):
-    return history.observation_counts(v.sessions(spark, sf_dir))
+    return history.observation_counts(materialize(v.sessions(spark, sf_dir), "sessions"))
 
 
 @query(
@@ -186,7 +193,7 @@ def f2_asof_counts(spark, sf_dir):
       (select count(*) from hip h where h.host = s.host and h.e < s.start_time) as distinct_src_ips_for_host from sessions s"""
 )
 def f3_asof_distinct(spark, sf_dir):
-    return history.distinct_counts(v.sessions(spark, sf_dir))
+    return history.distinct_counts(materialize(v.sessions(spark, sf_dir), "sessions"))
 
 
 @query(
@@ -200,19 +207,20 @@ def f4_auth_frequency(spark, sf_dir):
 
 
 @query(
-    f"""with {SESSIONS_SQL}, f as (select session_id, event_count % 7 = 3 as more, event_count % 5 = 1 as late, event_count % 11 = 2 as other, event_count % 13 = 4 as again from sessions)
-    select session_id, unnest(list_filter([case when more <> again then 'wrong_count' end, case when late then 'wrong_start' end, case when late then 'event_outside' end, case when other then 'other_entity' end,
-      case when again then 'repeated_event' end, case when again then 'unordered' end], lambda x: x is not null)) as rule from f"""
+    f"""with {SESSIONS_SQL}, f as (select session_id, event_count % 7 = 3 as more, event_count % 5 = 1 as late, event_count % 11 = 2 as other, event_count % 13 = 4 as again, event_count % 17 = 5 as moved, event_count % 19 = 6 as gone from sessions)
+    select session_id, unnest(case when gone then ['no_events', 'wrong_count'] else list_filter([case when more <> again then 'wrong_count' end, case when late then 'wrong_start' end, case when late then 'event_outside' end,
+      case when other then 'other_entity' end, case when moved then 'other_source' end, case when again then 'repeated_event' end, case when again then 'unordered' end], lambda x: x is not null) end) as rule from f"""
 )
 def f5_violations(spark, sf_dir):
-    """Sessions with faults put in by their number of events: a wrong count, a late start, another user, a repeated event."""
+    """Sessions with faults put in by their number of events: a wrong count, a late start, another user or source, a repeated event, no events."""
     s = v.sessions(spark, sf_dir).withColumn("n", F.col("event_count"))
     s = s.withColumns(
         {
             "event_count": F.when(F.col("n") % 7 == 3, F.col("n") + 1).otherwise(F.col("n")),
             "start_time": F.when(F.col("n") % 5 == 1, F.col("start_time") + F.expr("interval 1 second")).otherwise(F.col("start_time")),
             "user": F.when(F.col("n") % 11 == 2, F.lit("nobody")).otherwise(F.col("user")),
-            "events": F.expr("if(n % 13 = 4, array_append(events, element_at(events, 1)), events)"),
+            "source": F.when(F.col("n") % 17 == 5, F.lit("elsewhere")).otherwise(F.col("source")),
+            "events": F.expr("if(n % 19 = 6, slice(events, 1, 0), if(n % 13 = 4, array_append(events, element_at(events, 1)), events))"),
         }
     ).drop("n")
     return history.violations(materialize(s, "sessions"), v.auth_events(spark, sf_dir))
@@ -312,16 +320,49 @@ def _vectors(spark, sf_dir):
 
 @query()
 def m3_half_space_trees(spark, sf_dir):
-    obs = materialize(_vectors(spark, sf_dir).where("model_id = 'src_ip_behavior'").select("entity", "id", "at", "vector"), "vectors")
-    return models.half_space_trees(obs)
+    """Both models of this kind."""
+    rows = materialize(_vectors(spark, sf_dir).where("vector is not null"), "vectors")
+    one = lambda m: models.half_space_trees(rows.where(F.col("model_id") == m).select("entity", "id", "at", "vector")).withColumn("model_id", F.lit(m))
+    return one("src_ip_behavior").unionByName(one("host_access"))
 
 
 @query(
-    f"""with {SESSIONS_SQL} select session_id as id, 'login_hour_rarity' as model_id, "user" as entity, 1 as size from sessions union all select session_id, 'auth_frequency', "user", 1 from sessions
-    union all select session_id, 'src_ip_behavior', src_ip, 6 from sessions union all select session_id, 'host_access', host, 7 from sessions"""
+    f"""{SESSION_EVENTS_SQL}, m as (select session_id, ordinal, e.* from se join ev e using (event_id)),
+    pairs as (select "user", host, min(end_time) as e from sessions group by all), ipu as (select src_ip, "user", min(end_time) as e from sessions group by all), hip as (select host, src_ip, min(end_time) as e from sessions group by all),
+    auth as (select ev."user", ev.ts, s.end_time from se join ev using (event_id) join sessions s using (session_id) where ev.event_type like 'ssh\\_auth\\_%' escape '\\'),
+    shape as (select session_id, count(*) filter (where success = false) / count(*) as failed, count(*) filter (where success) / count(*) as fine, count(distinct host) as hosts, list(event_type order by ordinal) as types from m group by 1),
+    wide as (select s.*, failed, fine, hosts, types, sin(hour(start_time) * 2 * pi() / 24) as sine, cos(hour(start_time) * 2 * pi() / 24) as cosine,
+      (select count(*) from ipu h where h.src_ip = s.src_ip and h.e < s.start_time) as ip_users, (select count(*) from pairs h where h.host = s.host and h.e < s.start_time) as host_users,
+      (select count(*) from hip h where h.host = s.host and h.e < s.start_time) as host_ips,
+      (select count(*) from auth a where a."user" = s."user" and a.ts >= s.start_time - interval 24 hours and a.ts < s.start_time and a.end_time < s.start_time) as auths from sessions s join shape using (session_id)),
+    long as (select session_id, 'login_hour_rarity' as model_id, "user" as entity, [cast(hour(start_time) as double)] as vector from wide union all select session_id, 'auth_frequency', "user", [cast(auths as double)] from wide
+      union all select session_id, 'src_ip_behavior', src_ip, [failed, fine, hosts, ip_users, sine, cosine] from wide union all select session_id, 'host_access', host, [failed, fine, event_count, host_users, host_ips, sine, cosine] from wide)
+    select session_id as id, model_id, entity, cast(unnest(range(len(vector))) as integer) as place, round(unnest(vector), 6) + 0.0 as value, null as item from long
+    union all select session_id, 'transition_surprise', "user", cast(unnest(range(len(types))) as integer), null, unnest(types) from wide"""
 )
 def f8_model_inputs(spark, sf_dir):
-    return _vectors(spark, sf_dir).select("id", "model_id", "entity", F.size("vector").alias("size"))
+    """Every number and item of all five inputs."""
+    rows = materialize(_vectors(spark, sf_dir), "inputs").select("id", "model_id", "entity", "vector", "items")
+    numbers = rows.select("id", "model_id", "entity", F.posexplode("vector").alias("place", "v")).select("id", "model_id", "entity", "place", (F.round("v", 6) + 0.0).alias("value"), F.lit(None).cast("string").alias("item"))
+    return numbers.unionByName(rows.select("id", "model_id", "entity", F.posexplode("items").alias("place", "item")).withColumn("value", F.lit(None).cast("double")))
+
+
+HISTORY_SQL = f"""with {SESSIONS_SQL}, placed as (select session_id, end_time, row_number() over (order by end_time, session_id) as rn from sessions),
+    ends as (select end_time, max(rn) as rn from placed group by 1), counted as (select s.session_id, coalesce(h.rn, 0) as n_refs from sessions s asof left join ends h on s.start_time > h.end_time)"""
+
+
+@query(f"""{HISTORY_SQL} select c.session_id, n_refs, p.session_id as last_ref from counted c left join placed p on p.rn = c.n_refs""")
+def f5_history_references(spark, sf_dir):
+    """How many references each session's history has, and the last of them, read from the shared pages."""
+    s = materialize(v.sessions(spark, sf_dir), "sessions")
+    pages = history.reference_pages(s).select("page", "refs")
+    counts = history.reference_counts(s).withColumn("page", F.expr("(n_refs - 1) div 1000"))
+    return counts.join(pages, "page", "left").select("session_id", "n_refs", F.when(F.col("n_refs") > 0, F.expr("element_at(refs, cast((n_refs - 1) % 1000 + 1 as int)).ref")).alias("last_ref"))
+
+
+@query(f"""{HISTORY_SQL} select (rn - 1) // 1000 as page, count(*) as n, sha256(string_agg(session_id, chr(10) order by rn)) as digest from placed group by 1""")
+def f5_reference_pages(spark, sf_dir):
+    return history.reference_pages(v.sessions(spark, sf_dir)).select("page", "n", "digest")
 
 
 @query(
@@ -353,18 +394,42 @@ def m9_candidates(spark, sf_dir):
 
 @query()
 def m12_drift(spark, sf_dir):
-    scored = models.hour_rarity(_hours(spark, sf_dir))
-    return models.drift(scored.select(F.lit("login_hour_rarity").alias("model_id"), "entity", "at", "id", "score"))
+    """The streams of all five models."""
+    return models.drift(_streams(spark, sf_dir)["scores"])
 
 
-BUDGET_SQL = f"""{HOURS_SQL}, scored as (select id, round(-ln(((row_number() over (partition by entity, hour order by t0, id) - 1) + 1.0) / ((row_number() over (partition by entity order by t0, id) - 1) + 24.0)), 6) as raw_score from obs)"""
+@query()
+def m12_detections(spark, sf_dir):
+    """Where in its series each drift is found, and where each series ends."""
+    return models.detections(_streams(spark, sf_dir)["scores"])
+
+
+def _streams(spark, sf_dir):
+    """A training run that learns from every session."""
+    from siftlog.plans.training import train
+
+    s = materialize(v.sessions(spark, sf_dir), "sessions")
+    return train(spark, s, v.auth_events(spark, sf_dir), s.select("session_id", F.lit("reference").alias("split")))
+
+
+@query(
+    f"""{HOURS_SQL}, n as (select entity, count(*) as n from obs group by 1) select 'login_hour_rarity' as model_id, entity, n as observations, n >= 2 as ready, case when n < 2 then 'warmup incomplete: ' || n || '/2' end as reason from n where length(entity) > 2
+    union all select m, null, 0, false, 'no_artifact' from (select unnest(['auth_frequency', 'src_ip_behavior', 'host_access', 'transition_surprise']) as m)"""
+)
+def m10_catalogue(spark, sf_dir):
+    """States of one model, those of short names invalid."""
+    states = _hours(spark, sf_dir).groupBy("entity").agg(F.count("*").alias("n")).select(F.lit("login_hour_rarity").alias("model_id"), "entity", "n", F.lit("1").alias("feature_schema"), F.when(F.length("entity") == 2, "alpha=2").otherwise("alpha=1").alias("parameters"))
+    return models.catalogue(states, models.registry(spark)).select("model_id", "entity", "observations", "ready", "reason")
+
+
+BUDGET_SQL = f"""{HOURS_SQL}, scored as (select id, hour, round(-ln(((row_number() over (partition by entity, hour order by t0, id) - 1) + 1.0) / ((row_number() over (partition by entity order by t0, id) - 1) + 24.0)), 6) as raw_score from obs)"""
 
 
 def _budget_scores(spark, sf_dir):
-    return models.hour_rarity(_hours(spark, sf_dir)).select(F.col("id").alias("ref"), r6("score", "raw_score"), F.lit(True).alias("normal"))
+    return models.hour_rarity(_hours(spark, sf_dir)).select(F.col("id").alias("ref"), r6("score", "raw_score"), (F.hour("at") % 4 != 1).alias("normal"))
 
 
-@query(f"""{BUDGET_SQL} select min(raw_score) as floor, 25 as max_alerts from (select * from scored order by raw_score desc, id limit 25)""")
+@query(f"""{BUDGET_SQL} select min(raw_score) as floor, 25 as max_alerts from (select * from scored where hour % 4 <> 1 order by raw_score desc, id limit 25)""")
 def m13_alert_budget(spark, sf_dir):
     return models.calibrate_budget(_budget_scores(spark, sf_dir), 25)
 
@@ -1045,9 +1110,24 @@ def m7_training(spark, sf_dir):
     return train(spark, s, v.auth_events(spark, sf_dir), splits)["readiness"]
 
 
-@query(f"""{HOURS_SQL}, n as (select entity, count(*) as n from obs group by 1) select 'login_hour_rarity' as model_id, entity, 'parameters' as rule from n where length(entity) = 2""")
+@query(
+    f"""{HOURS_SQL}, n as (select entity, cast(substr(entity, 2) as bigint) % 12 as k, count(*) as n from obs group by 1)
+    select case k when 1 then 'unheard_of' when 2 then 'login_hour_rarity_drift' else 'login_hour_rarity' end as model_id, case when k = 3 then '' else entity end as entity,
+      unnest(case k when 1 then ['unknown_model'] when 2 then ['not_a_parent', 'parameters'] when 3 then ['entity'] when 4 then ['feature_schema'] when 5 then ['parameters'] when 6 then ['count', 'hash_count'] when 7 then ['entity_kind']
+        when 8 then ['seed'] when 9 then ['repeated_hash'] when 10 then ['bad_hash'] when 11 then ['hash_count'] else [] end) as rule from n"""
+)
 def m11_incompatible(spark, sf_dir):
-    states = _hours(spark, sf_dir).groupBy("entity").agg(F.count("*").alias("n")).select(F.lit("login_hour_rarity").alias("model_id"), "entity", "n", F.lit("1").alias("feature_schema"), F.when(F.length("entity") == 2, "alpha=2").otherwise("alpha=1").alias("parameters"))
+    """States with one fault of each kind, by the number of the user."""
+    k = F.substring("entity", 2, 20).cast("bigint") % 12
+    is_ = lambda n, wrong, right: F.when(k == n, wrong).otherwise(right)
+    digests = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.sha2(F.concat("entity", F.lit(":"), i.cast("string")), 256))
+    own = _hours(spark, sf_dir).groupBy("entity").agg(F.count("*").alias("n")).withColumn("hashes", digests)
+    states = own.select(
+        F.when(k == 1, "unheard_of").when(k == 2, "login_hour_rarity_drift").otherwise("login_hour_rarity").alias("model_id"), is_(3, "", F.col("entity")).alias("entity"), is_(7, "host", F.lit("user")).alias("entity_kind"),
+        F.when(k == 6, F.lit(-1)).when(k == 11, F.col("n") + 1).when(k == 9, F.col("n") + 1).otherwise(F.col("n")).cast("bigint").alias("n"), is_(4, "0", F.lit("1")).alias("feature_schema"), is_(5, "alpha=2", F.lit("alpha=1")).alias("parameters"),
+        is_(8, F.lit(7), F.lit(42)).alias("seed"),
+        F.when(k == 9, F.array_append("hashes", F.element_at("hashes", 1))).when(k == 10, F.transform("hashes", lambda h: F.upper(F.concat(F.lit("a"), F.substring(h, 2, 63))))).otherwise(F.col("hashes")).alias("hashes"),
+    )
     return models.incompatible(states, models.registry(spark))
 
 
@@ -1055,3 +1135,237 @@ def m11_incompatible(spark, sf_dir):
 def m6_ineligible(spark, sf_dir):
     obs = _hours(spark, sf_dir)
     return models.ineligible(obs.select("id", F.when(F.col("hour") % 5 == 0, "unknown").otherwise("normal").alias("label"), F.when(F.col("hour") % 7 == 0, "evaluation").otherwise("training").alias("split"), F.lit("declared").alias("reason"), F.sha2("id", 256).alias("sha256")))
+
+
+# --- through files -------------------------------------------------------------------------------
+
+
+def _place(spark) -> str:
+    """A new folder in the shared one."""
+    import uuid
+
+    from siftlog.scratch import folder
+
+    return f"{folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+def _log_files(spark, sf_dir, extra: str = "") -> str:
+    """The raw lines as one file for each 2,000 of them, in a folder named by its number; returns the root."""
+    lines = v.auth_lines(spark, sf_dir).withColumn("part", F.expr("line_no div 2000"))
+    path = _place(spark)
+    lines.repartition("part").sortWithinPartitions("part", "line_no").select("part", "raw_line").write.partitionBy("part").text(path)
+    return path
+
+
+PART = r"/part=([0-9]+)/"
+PARTS_SQL = f"""with l as (select *, line_no // 2000 as part, row_number() over (partition by line_no // 2000 order by line_no) as n from ({LINES_SQL}))"""
+
+
+@query(f"""{PARTS_SQL} select cast(part as bigint) as part, n as line_no, raw_line from l""")
+def s1_raw_lines(spark, sf_dir):
+    from siftlog.sources.files import read_lines
+
+    lines = read_lines(spark, _log_files(spark, sf_dir))
+    return lines.select(F.regexp_extract("source", PART, 1).cast("bigint").alias("part"), "line_no", "raw_line")
+
+
+@query(f"""{PARTS_SQL} select cast(part as bigint) as part, count(*) as lines, count(*) filter (where line_no % 97 <> 0) as events, count(*) filter (where line_no % 97 = 0) as failures from l group by 1""")
+def s2_loaded_logs(spark, sf_dir):
+    from siftlog.sources.files import load_logs
+
+    parsed = parse.parse_lines(load_logs(spark, _log_files(spark, sf_dir), 2024, "UTC"))
+    return parsed.groupBy(F.regexp_extract("source", PART, 1).cast("bigint").alias("part")).agg(F.count("*").alias("lines"), F.count_if(F.col("reason").isNull()).alias("events"), F.count("reason").alias("failures"))
+
+
+@query(f"""{PARTS_SQL} select cast(part as bigint) as part, count(*) as lines, cast(sum(strlen(raw_line) + 1) as bigint) as size, sha256(string_agg(raw_line || chr(10), '' order by line_no)) as sha256, 'metadata' as role from l group by 1""")
+def p9_source_digests(spark, sf_dir):
+    """Line counts and digests of whole files, and their roles (S3)."""
+    from siftlog.sources.files import file_digests, role_of
+
+    found = file_digests(spark, _log_files(spark, sf_dir))
+    return found.select(F.regexp_extract("path", PART, 1).cast("bigint").alias("part"), "lines", "size", "sha256", role_of(F.regexp_extract("path", "(/part=.*)$", 1)).alias("role"))
+
+
+@query("""select 'a' || doc_id || '.log' as source, doc_id as line_no, doc_id % 3 = 0 as attack, case when doc_id % 4 = 0 then 'fam' || (doc_id % 7) end as attack_family, case when doc_id % 5 = 0 then 'T1001,T1002' else '' end as technique_ids from documents""")
+def s8_label_csv(spark, sf_dir):
+    from siftlog.sources.files import read_labels_csv
+
+    d = v.table(spark, sf_dir, "documents").selectExpr(
+        "concat('x/y/a', doc_id, '.log') as source", "doc_id as line_no", "case doc_id % 6 when 0 then '1' when 3 then ' Yes' else 'no' end as attack",
+        "if(doc_id % 4 = 0, concat('fam', doc_id % 7), null) as attack_family", "if(doc_id % 5 = 0, ' T1001, ,T1002', null) as technique_ids",
+    )
+    path = _place(spark)
+    d.write.option("header", True).csv(path)
+    return read_labels_csv(spark, path).withColumn("technique_ids", F.array_join("technique_ids", ","))
+
+
+@query("""select doc_id + 1 as line_no, doc_id % 3 = 0 as attack, case when doc_id % 3 = 0 then 'escalate,fam' || (doc_id % 7) end as attack_family from documents""")
+def s9_label_json(spark, sf_dir):
+    from siftlog.sources.files import read_labels_json
+
+    path = _place(spark)
+    v.table(spark, sf_dir, "documents").selectExpr("doc_id + 1 as line", "if(doc_id % 3 = 0, array('escalate', concat('fam', doc_id % 7)), cast(array() as array<string>)) as labels").write.json(path)
+    return read_labels_json(spark, path)
+
+
+@query(
+    """with d as (select doc_id, 'r/techniques/T1' || lpad(cast(doc_id % 30 as varchar), 3, '0') || '/run' || doc_id || case when doc_id % 2 = 0 then '/steps/s' || (doc_id % 4) else '/sequences/q' || (doc_id % 4) end || '/web' || (doc_id % 3) as folder from documents)
+    select folder || '/auth.log' as path, 'T1' || lpad(cast(doc_id % 30 as varchar), 3, '0') as technique, case when doc_id % 2 = 0 then 's' || (doc_id % 4) end as step, case when doc_id % 2 = 1 then 'q' || (doc_id % 4) end as sequence,
+      'web' || (doc_id % 3) as host, case when doc_id % 5 = 0 then 'syslog=' || folder || '/syslog' else '' end as related from d where doc_id % 7 <> 0"""
+)
+def s10_attack_runs(spark, sf_dir):
+    from siftlog.sources.files import attack_runs
+
+    folder = "concat('r/techniques/T1', lpad(doc_id % 30, 3, '0'), '/run', doc_id, if(doc_id % 2 = 0, concat('/steps/s', doc_id % 4), concat('/sequences/q', doc_id % 4)), '/web', doc_id % 3)"
+    names = "filter(array(if(doc_id % 7 <> 0, 'auth.log', null), if(doc_id % 5 = 0, 'syslog', null)), x -> x is not null)"
+    paths = v.table(spark, sf_dir, "documents").selectExpr(f"{folder} as folder", f"explode({names}) as name").select(F.concat_ws("/", "folder", "name").alias("path"))
+    related = F.array_join(F.transform(F.map_entries("related"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return attack_runs(paths).withColumn("related", related)
+
+
+@query("""select 'run' || doc_id as run, case when doc_id % 3 = 0 then 'Linux AUTH log' else 'auth' end as data_source from documents where doc_id % 3 <> 1""")
+def s11_catalogue(spark, sf_dir):
+    from siftlog.sources.files import auth_runs
+
+    path = _place(spark)
+    v.table(spark, sf_dir, "documents").selectExpr("concat('run', doc_id) as run", "case doc_id % 3 when 0 then 'Linux AUTH log' when 1 then 'netflow' else 'auth' end as data_source").write.option("header", True).csv(path)
+    return auth_runs(spark.read.schema("run string, data_source string").option("header", True).csv(path))
+
+
+@query(f"""with ev as ({EVENTS_SQL}) select event_id, line_no, ts as event_time, "user", success, cast(null as varchar) as ruser from ev""")
+def s12_event_store(spark, sf_dir):
+    from siftlog.schemas import EVENT_SCHEMA
+    from siftlog.sources.files import read_events, write_events
+
+    e = v.auth_events(spark, sf_dir).withColumn("timestamp", F.col("ts").cast("timestamp"))
+    missing = [c for c in (x.split()[0] for x in EVENT_SCHEMA.split(", ")) if c not in e.columns]
+    path = _place(spark)
+    write_events(e.withColumns({c: F.lit(None).cast("string") for c in missing}), path)
+    return read_events(spark, path).select("event_id", "line_no", F.col("timestamp").cast("timestamp_ntz").alias("event_time"), "user", "success", "ruser")
+
+
+@query("""select 'blk_' || o_orderkey as block, 'E' || (o_orderkey % 5) || ',E' || (o_custkey % 5) as events, case when o_orderkey % 9 <> 0 then o_orderkey % 4 = 0 end as anomaly, o_orderkey % 9 = 0 as faulty from orders""")
+def s15_traces(spark, sf_dir):
+    """Labels and traces as CSV; blocks without a label are faults."""
+    from siftlog.sources.files import bad_blocks, read_traces
+
+    o = v.table(spark, sf_dir, "orders")
+    labels, path = _place(spark), _place(spark)
+    o.where("o_orderkey % 9 <> 0").selectExpr("concat('blk_', o_orderkey) as BlockId", "if(o_orderkey % 4 = 0, 'Anomaly', 'Normal') as Label").write.option("header", True).csv(labels)
+    o.selectExpr("concat('blk_', o_orderkey) as BlockId", "'x' as Label", "1 as Type", "concat('[E', o_orderkey % 5, ', E', o_custkey % 5, ']') as Features", "'[]' as TimeInterval", "0 as Latency").write.option("header", True).csv(path)
+    t = read_traces(spark, labels, path)
+    return t.join(bad_blocks(t).select("block", F.lit(True).alias("bad")), "block", "left").select("block", F.array_join("events", ",").alias("events"), "anomaly", F.coalesce("bad", F.lit(False)).alias("faulty"))
+
+
+STIX_SQL = """with a as (select p_partkey as k, 'T' || lpad(cast(p_partkey as varchar), 4, '0') as technique_id, p_name as name, p_type as description, p_partkey % 7 = 0 as revoked, p_partkey % 11 = 0 as deprecated,
+    case p_partkey % 3 when 0 then ['Logon Session: Logon', 'File'] when 1 then ['File'] end as sources, case when p_partkey % 5 = 0 then 'tool' else 'attack-pattern' end as type from part where p_partkey < 10000),
+    kept as (select * from a where type = 'attack-pattern' and not revoked and not deprecated and (k % 3 = 0 or technique_id in ('T0004', 'T0007', 'T0008')))"""
+
+
+def _bundle(spark, sf_dir) -> DataFrame:
+    """An attack bundle written as one JSON document per 500 objects and read again."""
+    from siftlog.sources.files import read_stix
+
+    o = v.table(spark, sf_dir, "part").where("p_partkey < 10000").selectExpr(
+        "p_partkey div 500 as bundle",
+        """struct(if(p_partkey % 5 = 0, 'tool', 'attack-pattern') as type, concat('id-', p_partkey) as id, p_name as name, p_type as description, p_partkey % 7 = 0 as revoked, p_partkey % 11 = 0 as x_mitre_deprecated,
+        array(struct('other' as source_name, 'X' as external_id, 'u' as url), struct('mitre-attack' as source_name, concat('T', lpad(p_partkey, 4, '0')) as external_id, 'u' as url)) as external_references,
+        array(struct('k' as kill_chain_name, 'persistence' as phase_name)) as kill_chain_phases, array('Linux') as x_mitre_platforms,
+        case p_partkey % 3 when 0 then array('Logon Session: Logon', 'File') when 1 then array('File') end as x_mitre_data_sources) as object""",
+    )
+    path = _place(spark)
+    o.groupBy("bundle").agg(F.to_json(F.struct(F.collect_list("object").alias("objects"))).alias("value")).select("value").repartition("value").write.option("maxRecordsPerFile", 1).text(path)
+    return read_stix(spark, path)
+
+
+@query(f"""{STIX_SQL} select 'id-' || k as id, type, name from a""")
+def s16_bundle(spark, sf_dir):
+    return _bundle(spark, sf_dir).select("id", "type", "name")
+
+
+@query(f"""{STIX_SQL} select technique_id from kept""")
+def k5_techniques(spark, sf_dir):
+    return retrieval.filter_techniques(_bundle(spark, sf_dir), ["T0004", "T0007", "T0008"]).select("technique_id")
+
+
+@query(
+    f"""{STIX_SQL}, t as (select *, technique_id || ' ' || name || ' ' || description || ' persistence' || case when sources is null then '' else ' ' || array_to_string(sources, ' ') end as txt from kept)
+    select 'attack-' || technique_id as document_id, name as title, 'persistence' as tactics, txt as indexed_text, sha256(txt) as sha256 from t"""
+)
+def k6_documents(spark, sf_dir):
+    docs = retrieval.technique_documents(retrieval.filter_techniques(_bundle(spark, sf_dir), ["T0004", "T0007", "T0008"]))
+    return docs.select("document_id", "title", F.array_join("tactics", ",").alias("tactics"), "indexed_text", "source.sha256")
+
+
+@query("""select doc_id, lang, n_chars from documents""")
+def s17_write_once(spark, sf_dir):
+    """A result written once, named by its content, and read back; a second write is refused."""
+    from pyspark.errors import AnalysisException
+
+    from siftlog.sources.files import write_once
+
+    d = v.table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    root = _place(spark)
+    path = write_once(d, root)
+    try:
+        write_once(d, root)
+    except AnalysisException:
+        return spark.read.schema(d.schema).parquet(path)
+    raise AssertionError("a second write of the same result was not refused")
+
+
+@query(f"""with {ITEMS_SQL} select item_id, case when eligible then 'reference' else 'excluded' end as split from items""")
+def s19_sidecar(spark, sf_dir):
+    from siftlog.sources.files import read_sidecar, write_sidecar
+
+    path = _place(spark)
+    write_sidecar(v.split_items(spark, sf_dir).select("item_id", F.when(F.col("eligible"), "reference").otherwise("excluded").alias("split")), path)
+    return read_sidecar(spark, path, "item_id string, split string")
+
+
+@query("""select 'd/' || doc_id as path, case when doc_id % 3 = 0 then 'fresh' else 'conflict' end as kind from documents where doc_id % 3 = 0 or doc_id % 5 = 0""")
+def s5_import_conflicts(spark, sf_dir):
+    from siftlog.sources.files import conflicts, fresh
+
+    d = v.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path"), F.sha2("text", 256).alias("sha256"))
+    old = d.where("doc_id % 3 <> 0").withColumn("sha256", F.when(F.col("doc_id") % 5 == 0, "other").otherwise(F.col("sha256")))
+    return fresh(old, d).select("path", F.lit("fresh").alias("kind")).unionByName(conflicts(old, d).select("path", F.lit("conflict").alias("kind")))
+
+
+@query("""select cast(doc_id as varchar) as source, case doc_id % 4 when 0 then 2021 when 1 then 2022 end as default_year, case when doc_id % 4 < 2 then 'UTC' end as zone from documents""")
+def s7_profiles(spark, sf_dir):
+    """Profiles of sources from their metadata texts; sources of half the data sets have none."""
+    from siftlog.sources.files import start_year, with_profile
+
+    d = v.table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("name"), F.concat(F.lit("d"), (F.col("doc_id") % 4).cast("string")).alias("source"))
+    texts = spark.createDataFrame([("d0", "x: 1\nstart: '2021-03-01'\n"), ("d1", "start: 2022-01-01")], "source string, text string")
+    profiles = texts.select("source", start_year().alias("default_year"), F.lit("UTC").alias("zone"))
+    return with_profile(d, profiles).select(F.col("name").alias("source"), "default_year", "zone")
+
+
+RECORDS_SQL = """with o as (select *, row_number() over () as r from orders), t as (select o_orderkey as k, i, case (o_orderkey + i) % 3 when 0 then 'search' when 1 then 'history' else 'lookup' end as tool, (o_orderkey + i) % 10 = 0 or (o_orderkey + i) % 13 = 0 as broken,
+      cast((o_orderkey * 7 + i * 31) % 1000 as double) as ms from orders, range(4) x(i) where i < o_orderkey % 4),
+    runs as (select o_orderkey as k, case o_orderstatus when 'F' then 'completed' when 'O' then 'failed' else 'running' end as state, case o_orderkey % 4 when 0 then 'malicious' when 1 then 'benign' when 2 then 'suspicious' else 'insufficient_evidence' end as verdict,
+      o_orderkey % 5 as why, o_orderkey % 3 <> 0 as grounded, o_orderkey % 7 = 0 as repaired, o_orderkey % 3 as findings, cast(floor(o_totalprice) as bigint) as tokens, cast(floor(o_totalprice) as double) / 100 as seconds from orders),
+    done as (select * from runs where state = 'completed')
+    select 'verdict' as measure, verdict as name, cast(count(*) as double) as value from done group by 2
+    union all select 'incomplete', case why when 0 then 'budget' when 1 then 'provider_error' when 2 then 'grounding_refused' when 3 then 'cancelled' else 'other' end, count(*) from runs where state <> 'completed' group by 2
+    union all select 'issue', case when i = 0 then 'uncited_handle' else 'excerpt_mismatch' end, count(*) from done, range(2) x(i) where not grounded and i <= k % 2 group by 2
+    union all select 'tool', tool, count(*) from t group by 2
+    union all select 'total', unnest(['cases_run', 'completed', 'abstained', 'reports_checked', 'grounded', 'repair_attempted', 'repair_succeeded', 'cited_handles', 'tool_calls', 'calls_per_run_max', 'unavailable_or_error', 'input_tokens', 'completion_rate', 'citation_validity', 'abstention_rate']),
+      unnest([(select count(*) from runs), (select count(*) from done), (select count(*) from done where verdict = 'insufficient_evidence'), (select count(*) from done), (select count(*) from done where grounded), (select count(*) from done where repaired),
+        (select count(*) from done where repaired and grounded), (select sum(findings * 2) from done), (select count(*) from t), 3, (select count(*) from t where broken), (select sum(tokens) from runs),
+        round((select count(*) from done) / (select count(*) from runs), 6), round((select count(*) from done where grounded) / (select count(*) from done), 6), round((select count(*) from done where verdict = 'insufficient_evidence') / (select count(*) from runs), 6)]::double[])
+    union all select 'tool_ms', 'p50', quantile_cont(ms, 0.5) from t union all select 'tool_ms', 'p95', quantile_disc(ms, 0.95) from t
+    union all select 'run_seconds', 'p50', round(quantile_cont(seconds, 0.5), 6) from runs union all select 'run_seconds', 'p95', quantile_disc(seconds, 0.95) from runs
+    union all select 'run_tokens', 'p50', quantile_cont(tokens, 0.5) from runs union all select 'run_tokens', 'p95', quantile_disc(tokens, 0.95) from runs"""
+
+
+@query(RECORDS_SQL)
+def e21_nested_records(spark, sf_dir):
+    """Run records as nested JSON objects, written, read by their schema, and measured."""
+    path = _place(spark)
+    v.run_records(spark, sf_dir).write.json(path)
+    found = evaluate.measure_records(spark.read.schema(evaluate.RUN_RECORD).json(path))
+    shown = ("cases_run", "completed", "abstained", "reports_checked", "grounded", "repair_attempted", "repair_succeeded", "cited_handles", "tool_calls", "calls_per_run_max", "unavailable_or_error", "input_tokens", "completion_rate", "citation_validity", "abstention_rate")
+    return found.where((F.col("measure") != "total") | F.col("name").isin(*shown)).select("measure", "name", r6("value"))

@@ -22,7 +22,7 @@ def train(spark: SparkSession, sessions: DataFrame, events: DataFrame, splits: D
     hours = models.hour_rarity(table.select(F.col("user").alias("entity"), F.col("login_hour_local").alias("hour"), "at", F.col("session_id").alias("id")))
     counts = models.frequency_deviation(table.select(F.col("user").alias("entity"), F.col("auth_frequency_window_count").cast("double").alias("y"), "at", F.col("session_id").alias("id")))
     moves = models.transition_surprise(table.select(F.col("user").alias("entity"), "at", F.col("session_id").alias("id"), F.col("event_types").alias("items")))
-    vectors = history.model_inputs(table).join(known.select("session_id", "at"), "session_id").withColumnRenamed("session_id", "id")
+    vectors = history.model_inputs(table).where("vector is not null").drop("items").join(known.select("session_id", "at"), "session_id").withColumnRenamed("session_id", "id")
     part = lambda df, model: df.select(F.lit(model).alias("model_id"), "entity", "at", "id", "score")
     scores = part(hours, "login_hour_rarity").unionByName(part(counts, "auth_frequency")).unionByName(part(moves, "transition_surprise"))
     for model in ("src_ip_behavior", "host_access"):

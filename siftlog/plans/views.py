@@ -182,3 +182,20 @@ def case_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey % 6 as cited", "o_orderkey % 9 as calls", "cast(floor(o_totalprice) as bigint) as tokens_in", "cast(floor(o_totalprice / 10) as bigint) as tokens_out",
         "cast(floor(o_totalprice) as double) / 100 as seconds", "o_orderkey % 11 = 0 as interrupted", "o_orderkey % 13 = 0 as grounding_failed",
     )
+
+
+def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested run records, one per order."""
+    return table(spark, sf_dir, "orders").selectExpr(
+        "concat('r', o_orderkey) as run_id", "case o_orderstatus when 'F' then 'completed' when 'O' then 'failed' else 'running' end as state",
+        "case when o_orderstatus <> 'F' then case o_orderkey % 5 when 0 then 'Turn budget exhausted' when 1 then 'provider request failed: 429' when 2 then 'citation validation refused' when 3 then 'cancelled by user' else 'unknown' end end as incomplete_reason",
+        """if(o_orderstatus = 'F', struct(case o_orderkey % 4 when 0 then 'malicious' when 1 then 'benign' when 2 then 'suspicious' else 'insufficient_evidence' end as verdict,
+          transform(slice(array(1, 2, 3), 1, cast(o_orderkey % 3 as int)), i -> struct(array(concat('ev-', i), concat('ev-', i + 10)) as evidence_handles)) as findings), null) as report""",
+        """if(o_orderstatus = 'F', struct(o_orderkey % 3 <> 0 as grounded, o_orderkey % 7 = 0 as repair_attempted,
+          if(o_orderkey % 3 <> 0, cast(array() as array<struct<kind: string>>), slice(array(struct('uncited_handle' as kind), struct('excerpt_mismatch' as kind)), 1, cast(o_orderkey % 2 + 1 as int))) as issues), null) as grounding""",
+        """transform(slice(array(0, 1, 2, 3), 1, cast(o_orderkey % 4 as int)), i -> struct(case (o_orderkey + i) % 3 when 0 then 'search' when 1 then 'history' else 'lookup' end as tool, (o_orderkey + i) % 10 <> 0 as available,
+          if((o_orderkey + i) % 13 = 0, 'timeout', null) as error, cast((o_orderkey * 7 + i * 31) % 1000 as double) as duration_ms)) as traces""",
+        "array('h') as hypotheses",
+        """struct(o_orderkey % 9 as requests, o_orderkey % 9 as provider_attempts, cast(floor(o_totalprice) as bigint) as input_tokens, 0L as output_tokens, cast(floor(o_totalprice) as bigint) as total_tokens,
+          cast(floor(o_totalprice) as double) / 100 as wall_seconds, 0L as rate_limited, 0D as rate_limit_wait_seconds) as usage""",
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from siftlog.schemas import EVENT_SCHEMA, SESSION_SCHEMA
+from siftlog.scratch import materialize
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -20,6 +21,70 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return raw.join(blocks, ["source", "block"]).select("source", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line_no"), "raw_line")
 
 
+def load_logs(spark: SparkSession, path: str, default_year: int | None = None, zone: str | None = None, dst_fold: int | None = None, source: str | None = None) -> DataFrame:
+    """The lines under ``path`` as ``parse.parse_lines`` takes them, with a source tag and the profile of their stamps.
+
+    Without a tag the source is the file; a tag is for one file, as lines are numbered by file.
+    """
+    lines = read_lines(spark, path)
+    if source is not None:
+        lines = lines.withColumn("source", F.lit(source))
+    return lines.withColumns({"default_year": F.lit(default_year).cast("int"), "zone": F.lit(zone).cast("string"), "dst_fold": F.lit(dst_fold).cast("int")})
+
+
+#: Files that the text reader would unpack.
+PACKED = r"\.(gz|bz2|deflate|lz4|snappy|zst|xz)$"
+
+
+def file_digests(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """``path, size, sha256, lines`` of every file under ``path``, of any size.
+
+    A task reads whole files as lines that end at line feeds, which keeps every byte, and carries digest and
+    count over its batches: a file is never one value. ``lines`` are what ``str.splitlines`` gives for the
+    text read as UTF-8. Packed files, which the line reader would unpack, are read as one value each (2 GB).
+    """
+    reader = lambda: spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+    listed = reader().format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"))
+    raw = reader().option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("value"))
+    whole = materialize(raw.where(~F.col("path").rlike(PACKED)).mapInArrow(_digest, "path string, sha256 string, lines bigint"), "digests", WHOLE_FILES)
+    packed = reader().format("binaryFile").load(path).where(F.col("_metadata.file_path").rlike(PACKED)).select(F.col("_metadata.file_path").alias("path"), F.sha2("content", 256).alias("sha256"), F.lit(None).cast("bigint").alias("lines"))
+    empty = F.sha2(F.lit("").cast("binary"), 256)
+    return listed.join(whole.unionByName(packed), "path", "left").select("path", "size", F.coalesce("sha256", empty).alias("sha256"), F.when(F.col("path").rlike(PACKED), F.col("lines")).otherwise(F.coalesce("lines", F.lit(0))).alias("lines"))
+
+
+#: Each file is one partition: opening a file counts as more than any file holds.
+WHOLE_FILES = {"spark.sql.files.maxPartitionBytes": str(2**61), "spark.sql.files.openCostInBytes": str(2**61)}
+
+
+def _digest(batches):
+    from hashlib import sha256
+
+    import pyarrow as pa
+
+    file = state = None
+    seen = size = lines = 0
+
+    def done():
+        if seen < size:  # the file ends with a line feed
+            state.update(b"\n")
+        return pa.RecordBatch.from_arrays([pa.array([file]), pa.array([state.hexdigest()]), pa.array([lines])], names=["path", "sha256", "lines"])
+
+    for batch in batches:
+        for path, n, value in zip(batch.column("path").to_pylist(), batch.column("size").to_pylist(), batch.column("value").to_pylist()):
+            if path != file:
+                if file is not None:
+                    yield done()
+                file, state, seen, size, lines = path, sha256(), 0, n, 0
+            else:
+                state.update(b"\n")
+                seen += 1
+            state.update(value)
+            seen += len(value)
+            lines += len((value.decode("utf-8", "replace") + "\n").splitlines())
+    if file is not None:
+        yield done()
+
+
 def role_of(path: str = "path"):
     """S3: annotation, log or metadata by path."""
     p = F.lower(path)
@@ -28,8 +93,7 @@ def role_of(path: str = "path"):
 
 def manifest(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """Path, size, SHA-256 and role of every file under ``root`` that matches ``glob``."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root)
-    return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), role_of().alias("role"))
+    return file_digests(spark, root, glob).select("path", "size", "sha256", role_of().alias("role"))
 
 
 def conflicts(old: DataFrame, new: DataFrame) -> DataFrame:

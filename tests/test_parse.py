@@ -2,7 +2,6 @@ import random
 from datetime import datetime
 
 import pytest
-from pyspark.sql import functions as F
 
 from siftlog.operators import parse
 from siftlog.sources import files
@@ -116,7 +115,7 @@ def test_fields_of_a_record_survive_files(spark, tmp_path):
     lines = [H + "Accepted password for a\x01b from 10.0.0.9 port 7 ssh2", H + "Removed session 4."]
     rows = [("s", i, line, 2026, "UTC", None) for i, line in enumerate(lines, 1)]
     events = parse.events_of(parse.parse_lines(spark.createDataFrame(rows, SCHEMA)))
-    files.write_events(events.withColumn("raw_message", F.col("raw_line")), str(tmp_path / "e"))
+    files.write_events(events, str(tmp_path / "e"))
     got = files.read_events(spark, str(tmp_path / "e")).orderBy("line_no").collect()
     assert [(x["user"], x["src_port"], x["ruser"], x["session_hint"]) for x in got] == [("a\x01b", 7, None, None), (None, None, None, None)]
 
