@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from siftlog.llm.shingles import shingles
-from siftlog.llm.texts import slices
+from siftlog.llm.texts import give_back, slices
 from siftlog.operators.graph import connected_components
 from siftlog.scratch import materialize, release
 
@@ -314,6 +314,7 @@ def _meet(rows: DataFrame, percent: int, kind: str, spare: int = 0) -> DataFrame
             last = int(np.searchsorted(unit, unit[-1])) if len(unit) else 0
             yield from emit(batch.slice(0, last))
             kept = batch.slice(last)
+            give_back()
         if kept is not None and len(kept):
             yield from emit(kept)
 

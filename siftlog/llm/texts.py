@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,8 +12,17 @@ from pyspark.sql import DataFrame
 SLICE_BYTES = 1_000_000
 
 
+def give_back() -> None:
+    """Return freed memory of this Python worker to the system, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that the texts of a slice have about ``SLICE_BYTES`` bytes, or are one text."""
+    """Cut a batch so that the texts of a slice have about ``SLICE_BYTES`` bytes, or are one text; afterwards ``give_back``."""
     sizes = pc.binary_length(batch.column(text)).fill_null(0).to_pylist()
     at = total = 0
     for i, n in enumerate(sizes):
@@ -22,6 +32,7 @@ def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch
         total += n
     if at < len(sizes):
         yield batch.slice(at)
+    give_back()
 
 
 def map_texts(docs: DataFrame, make: Callable[[list, list], list[list]], schema: str, key: str = "doc_id", text: str = "text") -> DataFrame:
