@@ -261,7 +261,8 @@ def half_space_trees(obs: DataFrame, trees: int = 10, height: int = 8, window: i
     w = Window.partitionBy("entity").orderBy("win").rowsBetween(Window.unboundedPreceding, -1)
     side = lambda n, f, none: F.array(*(F.coalesce(f(f"{n}{i}").over(w), F.lit(none)) for i in range(size)))
     ends = ends.select("entity", "win", side("l", F.min, float("inf")).alias("low"), side("h", F.max, float("-inf")).alias("high"))
-    both = rows.join(ends, ["entity", "win"]).select("entity", "id", "place", "vector", "low", "high", F.explode(F.array(F.struct(F.col("win").alias("g"), F.lit(1).alias("own")), F.struct((F.col("win") + 1).alias("g"), F.lit(0).alias("own")))).alias("r"))
+    ends = ends.select(F.col("entity").alias("_e"), F.col("win").alias("_w"), "low", "high")
+    both = rows.join(ends, F.expr("entity <=> _e and win = _w")).select("entity", "id", "place", "vector", "low", "high", F.explode(F.array(F.struct(F.col("win").alias("g"), F.lit(1).alias("own")), F.struct((F.col("win") + 1).alias("g"), F.lit(0).alias("own")))).alias("r"))
     both = both.select("entity", "id", "place", "vector", "low", "high", "r.*").repartition("entity", "g").sortWithinPartitions("entity", "g", "own", "place")
     names = ["entity", "id", "g", "own", "vector", "low", "high"]
 
