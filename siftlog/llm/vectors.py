@@ -1,8 +1,10 @@
 """Operator 6: near-duplicate vectors by sorted projection passes.
 
 In each pass vectors get a key: the signs of their projections on a pass's own random directions, one
-bit after another. Sorted by key, near vectors come close together, and each is compared with a bounded
-window of neighbours. The number of passes follows from the number of vectors. Verified pairs of all
+bit after another. The vectors' mean is taken off first, as the directions of embeddings that all lean to
+one side would share most bits. Sorted by key, near vectors come close together, and each is compared with
+a bounded window of neighbours. The number of passes follows from the number of vectors, and is doubled
+while the later half of the passes still unites much that the first half did not. Verified pairs of all
 passes are united into components. As a dense component has more links than windows show, its links are
 then counted exactly in blocks inside the component.
 """
@@ -52,7 +54,29 @@ def _usable(vectors: DataFrame) -> DataFrame:
     return out.select("vec_id", scaled.alias("embedding"))
 
 
-def _keyed(vectors: DataFrame, numbers: list[int], bits: int, seed: int, kind: str) -> DataFrame:
+def _means(vectors: DataFrame, most: int = 16) -> dict[int, np.ndarray]:
+    """Mean unit vector of each of the ``most`` commonest lengths; others are keyed as they are."""
+
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            lengths = np.diff(np.asarray(batch.column("embedding").offsets))
+            for size in np.unique(lengths).tolist():
+                own = _matrix(batch.column("embedding").filter(pa.array(lengths == size)))
+                sums[size] = sums.get(size, 0.0) + np.append(own.sum(axis=0), len(own))
+        for size, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([size] * len(total), pa.int32()), pa.array(range(len(total)), pa.int32()), pa.array(total)], names=["size", "i", "value"])
+
+    sums = materialize(vectors.select("embedding").mapInArrow(run, "size int, i int, value double").groupBy("size", "i").agg(F.sum("value").alias("value")), "means")
+    common = sums.where("i = size").orderBy(F.desc("value"), "size").limit(most).select("size")
+    out: dict[int, np.ndarray] = {}
+    for r in sums.join(F.broadcast(common), "size").collect():
+        out.setdefault(r["size"], np.zeros(r["size"] + 1))[r["i"]] = r["value"]
+    release(sums)
+    return {size: total[:-1] / total[-1] for size, total in out.items()}
+
+
+def _keyed(vectors: DataFrame, numbers: list[int], bits: int, seed: int, kind: str, means: dict[int, np.ndarray]) -> DataFrame:
     def run(batches):
         for batch in batches:
             if not len(batch):
@@ -60,7 +84,7 @@ def _keyed(vectors: DataFrame, numbers: list[int], bits: int, seed: int, kind: s
             lengths = np.diff(np.asarray(batch.column("embedding").offsets))
             for size in np.unique(lengths):
                 part = batch.filter(pa.array(lengths == size))
-                x = _matrix(part.column("embedding"))
+                x = _matrix(part.column("embedding")) - means.get(int(size), 0.0)
                 for p in numbers:
                     key = np.packbits(x @ _directions(seed, p, bits, int(size)).T > 0, axis=1)
                     yield pa.RecordBatch.from_arrays(
@@ -216,7 +240,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, passes: int | None = N
     is its first vector. Labels and other columns are ignored; an empty table gives no rows.
 
     ``passes`` follow from the counted vectors (``passes_for``, at least ``least_passes``) unless they are
-    given. They are sorted a few per job, so that a job shuffles the vectors a few times at most.
+    given. If the second half of them adds the share ``q`` to what the first half united, about ``q * q`` is
+    missing, and while that is more than ``miss`` as many passes again follow. They are sorted a few per
+    job, so that a job shuffles the vectors a few times at most.
     """
     kind = vectors.schema["vec_id"].dataType.simpleString()
     usable = _usable(vectors).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
@@ -226,13 +252,31 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, passes: int | None = N
     copies = materialize(copies, "copies")
     reps = materialize(usable.join(copies.select(F.col("rep").alias("vec_id")), "vec_id", "left_semi").select("vec_id", "embedding"), "reps")
     rows = reps.count()
-    passes = passes or max(least_passes, passes_for(rows, cosine, window, miss))
+    fixed, passes = passes is not None, passes or max(least_passes, passes_for(rows, cosine, window, miss))
     parts = max(1, -(-rows * passes_per_job // rows_per_part))
-    found = []
-    for at in range(0, passes, passes_per_job):
-        keyed = _keyed(reps, list(range(at, min(passes, at + passes_per_job))), bits, seed, kind)
-        found.append(_windows(keyed, window, cosine, parts, kind))
-    groups = materialize(connected_components(reduce(DataFrame.unionByName, found)), "groups")
+    means = _means(reps)
+    found: list[DataFrame] = []
+
+    def sort_passes(first: int, stop: int) -> DataFrame:
+        """Links of more passes."""
+        new = []
+        for at in range(first, stop, passes_per_job):
+            keyed = _keyed(reps, list(range(at, min(stop, at + passes_per_job))), bits, seed, kind, means)
+            new.append(_windows(keyed, window, cosine, parts, kind))
+        found.extend(new)
+        return reduce(DataFrame.unionByName, new)
+
+    half = passes if fixed or passes < 2 else passes // 2
+    early, done = connected_components(sort_passes(0, half)), half
+    while done < passes:
+        sort_passes(done, passes)
+        groups = connected_components(reduce(DataFrame.unionByName, found))
+        before, after = (g.count() - g.select("component").distinct().count() for g in (early, groups))
+        release(early)
+        early, done = groups, passes
+        if before < after and ((after - before) / max(1, before)) ** 2 > miss:
+            passes *= 2
+    groups = early
     release(*found)
     members = reps.join(groups.withColumnRenamed("node", "vec_id"), "vec_id")
     members = members.join(copies.select(F.col("rep").alias("vec_id"), "copies"), "vec_id")

@@ -315,18 +315,21 @@ def test_passes_grow_slowly_with_the_vectors():
     assert found == sorted(found) and found[0] == 1 and found[5] < 25 and found[9] < 200
 
 
-def test_vectors_recall(spark, tmp_path):
-    """Links of all rows by brute force against those found, for pairs close to the threshold."""
+@pytest.mark.parametrize("lean", [0.0, 0.7, 0.8])
+def test_vectors_recall(spark, tmp_path, lean):
+    """Links of all rows by brute force against those found, for pairs close to the threshold; ``lean``: cosine of any two vectors."""
     r = np.random.default_rng(11)
-    x = r.standard_normal((20_000, 32))
+    x = r.standard_normal((20_000 if not lean else 12_000, 32 if not lean else 128))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    side = r.standard_normal((600, 32))
+    x = np.sqrt(1 - lean) * x + np.sqrt(lean / x.shape[1])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = r.standard_normal((600, x.shape[1])) + (0 if not lean else np.sqrt(lean / (1 - lean)) * np.ones(x.shape[1]))
     side -= (side * x[:600]).sum(axis=1, keepdims=True) * x[:600]
     side /= np.linalg.norm(side, axis=1, keepdims=True)
     c = r.uniform(0.9, 0.93, (600, 1))
     x = np.concatenate([x, c * x[:600] + np.sqrt(1 - c * c) * side])
     want = {(i + a, int(j)) for a in range(0, len(x), 2000) for i, j in zip(*np.nonzero(x[a : a + 2000] @ x.T >= 0.9)) if i + a < j}
-    table = pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 32).cast(pa.list_(pa.float64()))})
+    table = pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), x.shape[1]).cast(pa.list_(pa.float64()))})
     pq.write_table(table, str(tmp_path / "vectors.parquet"))
     got = {v["vec_id"]: v["component_id"] for v in near_vectors(spark.read.parquet(str(tmp_path / "vectors.parquet"))).collect()}
     assert len(want) >= 600 and sum(got[u] == got[v] for u, v in want) >= 0.95 * len(want)
