@@ -86,21 +86,67 @@ RULES = [
     ("All-Rights-Reserved", ["COPYRIGHT", "RIGHTS"]),
     ("All-Rights-Reserved", ["RIGHTS"]),
 ]
+CC_NAMES = [
+    ("by-nc-sa", "attribution-noncommercial-sharealike"), ("by-nc-nd", "attribution-noncommercial-noderivs"), ("by-nc", "attribution-noncommercial"),
+    ("by-nd", "attribution-noderivs"), ("by-sa", "attribution-sharealike"), ("by", "attribution"),
+]
 # What the SQL, which looks at single lines only, leaves out: cues that every known sentence has one of, comment
 # leaders, and the sentences and rules of the standard headers.
-ANY_CUE = r"(?i)licen[sc]e|copyright|reserved|permission|domain|spdx|redistribution|warrant|creative|cc[^a-z0-9]*by|cc.by|cc0|attribution-|gnu|endorse"
+ANY_CUE = r"(?i)licen[sc]e|copyright|reserved|permission|domain|spdx|redistribution|warrant|creative|cc[^a-z0-9]*by|cc.by|cc0|attribution|gnu|endorse"
 LEADER = r"(?m)^[ \t]*(?:[#*/;%!-]+(?=\s|$))?[ \t]*"
 HEADER_SENTENCES = [
     ("LGPL3+", r"gnu lesser general public license.*(version |v)3.*or (at your option )?any later version"),
     ("LGPL21+", r"gnu lesser general public license.*(version |v)2\.1.*or (at your option )?any later version"),
+    ("LGPL2", r"gnu library general public license"),
     ("AGPL3+", r"gnu affero general public license.*(version |v)3.*or (at your option )?any later version"),
+    ("GFDL", r"gnu free documentation license"),
+    ("ISC-GRANT", r"permission to use copy modify and( or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("ISC-NAME", r"under (the )?isc license"),
+    ("ZLIB-GRANT", r"permission is granted to anyone to use this software for any purpose including commercial applications"),
+    ("ZLIB-NAME", r"under (the )?zlib license"),
+    ("BSL1", r"boost software license( -)? ?(version |v)?1\.0|permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("EPL2", r"eclipse public license( -)? ?(version |v\. ?|v ?)?2\.0"),
+    ("EPL1", r"eclipse public license( -)? ?(version |v\. ?|v ?)?1\.0"),
+    ("MPL11", r"mozilla public license,? ?(v\. |version |v)?1\.1"),
+    ("CDDL", r"common development and distribution license"),
+    ("ARTISTIC2", r"artistic license,? ?(version |v)?2\.0"),
+    ("EUPL12", r"european union public licen[cs]e( -)? ?(version |v\. ?|v ?)?1\.2"),
+    ("OFL11", r"sil open font license,? ?(version |v)?1\.1"),
+    ("AFL3", r"academic free license,? ?(version |v\. ?|v)?3\.0"),
+    ("MSPL", r"microsoft public license"),
+    ("MSRL", r"microsoft reciprocal license"),
+    ("PSF", r"(psf|python software foundation) license"),
+    ("POSTGRESQL", r"under (the )?postgresql license"),
+    ("UNLICENSE", r"this is free and unencumbered software released into the public domain"),
+    ("WTFPL", r"do what the f[a-z]+ you want to public license"),
+    ("APACHE11", r"licensed under (the )?apache( software)? license,? ?(version )?1\.1"),
+    *((f"CC-{t.upper()}-{v}", rf"cc.{t} {v[0]}\.{v[1]}|creative commons {n} {v[0]}\.{v[1]}") for v in ("30", "25", "20") for t, n in CC_NAMES),
 ]
+# Identifiers that expressions name, in their published spelling.
+SPDX_IDS = (
+    "0BSD AFL-3.0 AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-2.0 BSD-1-Clause BSD-2-Clause BSD-2-Clause-Patent BSD-3-Clause BSD-4-Clause BSL-1.0 "
+    "CC-BY-3.0 CC-BY-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC-BY-NC-4.0 CC-BY-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-4.0 CC0-1.0 CDDL-1.0 CDDL-1.1 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 "
+    "GFDL-1.3-only GFDL-1.3-or-later GPL-1.0-or-later GPL-2.0 GPL-2.0+ GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0+ GPL-3.0-only GPL-3.0-or-later ISC "
+    "LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1 LGPL-2.1+ LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0+ LGPL-3.0-only LGPL-3.0-or-later MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL MS-RL "
+    "NCSA OFL-1.1 OpenSSL PostgreSQL PSF-2.0 Python-2.0 Unicode-DFS-2016 Unlicense UPL-1.0 Vim W3C WTFPL X11 Zlib ZPL-2.1"
+).split()
+TERM = r"[a-z0-9.+-]*[a-z0-9+](?: with [a-z0-9.+-]*[a-z0-9+])?"
+EXPRESSION = rf"spdx-license-identifier ({TERM}(?: (?:or|and) {TERM})*)"
+# Expressions that known sentences read already, and sentences that deny a licence.
+KNOWN_TERMS = ("apache-2.0", "mit", "gpl-3.0", "gpl-3.0-only", "gpl-2.0", "gpl-2.0-only", "bsd-3-clause")
+NEGATED = r"\b(not|never|no longer|isn t|aren t|wasn t) (yet |be |been |being )?(re)?(licensed|released|distributed|available|covered|published)\b.*\bunder\b"
 HEADER_RULES = [
     *((licence, [i, "NO-WARRANTY", *["GPL"] * n]) for n in (2, 1) for licence, i in (("GPL-3.0-or-later", "GPL3+"), ("GPL-2.0-or-later", "GPL2+"))),
     ("LGPL-3.0-or-later", ["LGPL3+"]),
     ("LGPL-2.1-or-later", ["LGPL21+"]),
     ("AGPL-3.0-or-later", ["AGPL3+"]),
-]
+    *((licence, [i]) for licence, i in (
+        ("LGPL-2.0", "LGPL2"), ("GFDL", "GFDL"), ("ISC", "ISC-GRANT"), ("ISC", "ISC-NAME"), ("Zlib", "ZLIB-GRANT"), ("Zlib", "ZLIB-NAME"), ("BSL-1.0", "BSL1"), ("EPL-2.0", "EPL2"), ("EPL-1.0", "EPL1"),
+        ("MPL-1.1", "MPL11"), ("CDDL", "CDDL"), ("Artistic-2.0", "ARTISTIC2"), ("EUPL-1.2", "EUPL12"), ("OFL-1.1", "OFL11"), ("AFL-3.0", "AFL3"), ("MS-PL", "MSPL"), ("MS-RL", "MSRL"), ("PSF-2.0", "PSF"),
+        ("PostgreSQL", "POSTGRESQL"), ("Unlicense", "UNLICENSE"), ("WTFPL", "WTFPL"), ("Apache-1.1", "APACHE11"),
+        *((f"CC-{t.upper()}-{v[0]}.{v[1]}", f"CC-{t.upper()}-{v}") for v in ("30", "25", "20") for t, _ in CC_NAMES),
+    )),
+]
 BREAK, SIGNS = r"([.!?])\s+", r"[^a-z0-9.+-]+"
 
 
@@ -116,13 +162,20 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """``doc_id, sentence_ids, licenses, n_sentences`` of documents with a known licence sentence.
 
     Whole texts; a row per row of the input with a hit. ``sentence_ids`` is the sequence in order, each in
-    angle brackets; ``licenses`` the distinct licences of the matched rules, sorted and joined by ', '.
+    angle brackets; ``licenses`` the distinct licences of the matched rules, sorted and joined by ', '. The
+    terms of an SPDX expression are licences each, with OR as with AND. A sentence that denies a licence has none.
     Null and empty texts have none; null ids and repeated rows pass; other columns are ignored. All in
     one projection without a shuffle: sentences stay in their row, and only texts with a cue are cut.
     """
-    case = " ".join(f"when rlike(s, r'{p}') then '<{i}>'" for i, p in HEADER_SENTENCES + SENTENCES)
+    # An expression becomes one identifier a term, all of one sentence; a term is a rule by itself.
+    terms = f"transform(regexp_extract_all(regexp_extract(s, r'{EXPRESSION}', 1), r'(?:^|(?:or|and) )({TERM})', 1), t -> concat('<SPDX:', t, '>'))"
+    known_terms = ", ".join(f"'{t}'" for t in KNOWN_TERMS)
+    case = f"when rlike(s, r'{NEGATED}') then null when rlike(s, r'{EXPRESSION}') and regexp_extract(s, r'{EXPRESSION}', 1) not in ({known_terms}) then array_join({terms}, '') "
+    case += " ".join(f"when rlike(s, r'{p}') then '<{i}>'" for i, p in HEADER_SENTENCES + SENTENCES)
     rules = HEADER_RULES + RULES
     name = " ".join(f"when '{_rule_text(ids)}' then '{licence}'" for licence, ids in rules)
+    spelled = " ".join(f"when '{i.lower()}' then '{i}'" for i in SPDX_IDS)
+    named = f"if(startswith(r, '<SPDX:'), concat(case regexp_extract(r, ':([^ >]+)', 1) {spelled} else regexp_extract(r, ':([^ >]+)', 1) end, replace(regexp_extract(r, '( with [^>]+)>', 1), ' with ', ' WITH ')), case r {name} end)"
     cued = docs.select("doc_id", "text").where(F.col("text").rlike(ANY_CUE))
     lines = F.regexp_replace(F.regexp_replace("text", r"\r\n?", "\n"), LEADER, "")
     cut = F.regexp_replace(F.regexp_replace(lines, BREAK, "$1\u0001"), r"\n\n+", "\u0001")
@@ -136,7 +189,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     merged = f"if(size(array_except(b.whole, b.lines)) = 0, b.lines, concat(filter(b.lines, i -> not {inexact}), b.whole))"
     ids = both.select("doc_id", F.expr(f"flatten(transform(both, b -> {merged}))").alias("ids")).where(F.size("ids") > 0)
     ids = ids.select("doc_id", F.array_join("ids", "").alias("sentence_ids"), F.size("ids").cast("bigint").alias("n_sentences"))
-    found = F.expr(f"transform(regexp_extract_all(sentence_ids, r'{_rule_pattern(rules)}', 1), r -> case r {name} end)")
+    found = F.expr(f"transform(regexp_extract_all(sentence_ids, r'(<SPDX:[^>]+>|{_rule_pattern(rules)[1:]}', 1), r -> {named})")
     return ids.select("doc_id", "sentence_ids", F.array_join(F.array_sort(F.array_distinct(found)), ", ").alias("licenses"), "n_sentences")
 
 

@@ -167,3 +167,29 @@ def test_stages_keep_clean_rows_of_null_and_repeated_ids(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:3]:
         d = stage(spark, d, str(tmp_path))
     assert sorted(map(str, ((x["doc_id"], x["text"]) for x in d.collect()))) == sorted(map(str, rows[:60]))
+
+
+def test_published_notices(spark):
+    """Notices of licences beyond the commonest, expressions, and denials."""
+    cases = {
+        "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice appear in all copies.": "ISC",
+        "Permission is granted to anyone to use this software for any purpose,\n  including commercial applications, and to alter it.": "Zlib",
+        " * Distributed under the Boost Software License, Version 1.0. (See accompanying file)": "BSL-1.0",
+        "This program is made available under the terms of the Eclipse Public License v2.0 which accompanies it.": "EPL-2.0",
+        "Available under the Creative Commons Attribution 3.0 License.": "CC-BY-3.0",
+        "Text under CC BY-SA 3.0.": "CC-BY-SA-3.0",
+        "// SPDX-License-Identifier: MIT OR Apache-2.0": "Apache-2.0, MIT",
+        "# SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0-or-later",
+        "# SPDX-License-Identifier: LGPL-2.1-only": "LGPL-2.1-only",
+        "/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) AND MIT-0 */": "GPL-2.0-only WITH linux-syscall-note, MIT-0",
+        "SPDX-License-Identifier: MIT": "MIT",
+        "SPDX-License-Identifier: GPL-3.0-only": "GPL-3.0-only",
+        "This file is not licensed under the Apache License, Version 2.0.": None,
+        "The code is no longer distributed under the MIT License.": None,
+        "This is free and unencumbered software released into the public domain.": "Unlicense",
+        "This Font Software is licensed under the SIL Open Font License, Version 1.1.": "OFL-1.1",
+    }
+    texts = list(cases)
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(docs(spark, texts)).collect()}
+    first = docs(spark, texts).collect()[0]["doc_id"]
+    assert {t: got.get(i) for i, t in enumerate(texts, first)} == cases
