@@ -26,18 +26,19 @@ def folder(spark: SparkSession) -> str:
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def materialize(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` once and read it back: later steps restart from the files, not from its lineage.
 
     Shuffle files of the write are freed when it ends, as nothing reads them again. Rows go to Python
-    workers a few thousand at a time, so that batches of long texts stay small. ``options`` are session
+    workers at most 2000 and 8 MB at a time, so that batches of long texts or of sketches stay small. ``options`` are session
     settings for this write alone.
     """
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    settings = {CLEANUP: "true", ARROW_ROWS: "2000"} | (options or {})
+    settings = {CLEANUP: "true", ARROW_ROWS: "2000", ARROW_BYTES: "8m"} | (options or {})
     before = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
