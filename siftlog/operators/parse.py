@@ -86,23 +86,29 @@ def _alternatives() -> tuple[str, list[int], list[list[int]]]:
 ALL_FAMILIES, MARKS, GROUPS = _alternatives()
 
 
-def _groups(text: str, pattern: str, groups: list[int]) -> Column:
-    """The groups of a pattern that matches a whole text, by one search; null where it doesn't, '' for a group that took no part.
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``value`` as a generated column: it is computed once a row, wherever later columns and filters use it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def _groups(df: DataFrame, out: str, text: str, pattern: str, groups: list[int]) -> DataFrame:
+    """Add the groups of a pattern that matches a whole text, by one search; null where it doesn't, '' for a group that took no part.
 
     They are joined by a control character that the text doesn't hold and split again.
     """
     sign = F.lit(None).cast("string")
     for c in reversed("\x01\x02\x03\x04"):
         sign = F.when(~F.col(text).contains(c), F.lit(c)).otherwise(sign)
-    shown = F.concat(*(x for i in groups for x in (sign, F.lit(f"${i}"))))
-    joined = F.regexp_replace(F.col(text), F.lit("(?Ud)" + pattern), shown)
-    return F.when(joined.startswith(sign), F.split(joined, sign))
+    df = _once(df, "_sign", sign)
+    shown = F.concat(*(x for i in groups for x in (F.col("_sign"), F.lit(f"${i}"))))
+    df = _once(df, "_joined", F.regexp_replace(F.col(text), F.lit("(?Ud)" + pattern), shown))
+    return _once(df, out, F.when(F.col("_joined").startswith(F.col("_sign")), F.split("_joined", F.col("_sign")))).drop("_sign", "_joined")
 
 
 def split_header(lines: DataFrame) -> DataFrame:
     """Stamp, host, process, pid and message; all null where the header doesn't match."""
     names = ("stamp", "host", "process", "pid", "message")
-    out = lines.withColumn("_header", _groups("raw_line", HEADER, [*range(1, 6)]))
+    out = _groups(lines, "_header", "raw_line", HEADER, [*range(1, 6)])
     out = out.withColumns({n: F.col("_header")[i] for i, n in enumerate(names, 1)}).drop("_header")
     return out.withColumn("pid", F.expr("try_cast(nullif(pid, '') as bigint)"))
 
@@ -112,10 +118,9 @@ def classify(lines: DataFrame) -> DataFrame:
 
     ``groups`` keeps what the one search for all families found, for ``extract_fields``.
     """
-    found = _groups("message", ALL_FAMILIES, MARKS + [g for own in GROUPS for g in own])
-    out = lines.withColumn("groups", found)
+    out = _groups(lines, "groups", "message", ALL_FAMILIES, MARKS + [g for own in GROUPS for g in own])
     marks = F.transform(F.slice("groups", 2, len(MARKS)), lambda x: x != "")
-    out = out.withColumn("family", F.nullif(F.array_position(marks, F.lit(True)), F.lit(0)).cast("int") - 1)
+    out = _once(out, "family", F.nullif(F.array_position(marks, F.lit(True)), F.lit(0)).cast("int") - 1)
     names = F.array(*(F.lit(n) for n, _, _ in FAMILIES))
     out = out.withColumn("event_type", F.try_element_at(names, F.col("family") + 1))
     return out.withColumn("success", F.when(F.col("event_type").isin(*SUCCESS), True).when(F.col("event_type").isin(*FAILURE), False))
