@@ -816,7 +816,13 @@ def r2_round_trip(spark, sf_dir):
     return redact.apply_map(hidden, tokens, fields, back=True).select("event_id", *fields)
 
 
-@query()
+_KEY = b"salt".ljust(64, b"\0")
+_IN, _OUT = ("".join(f"\\x{b ^ x:02x}" for b in _KEY) for x in (0x36, 0x5C))
+# HMAC by its definition, over the bytes of kind, NUL and identifier.
+HANDLE_SQL = f"""'ev-' || left(sha256('{_OUT}'::blob || unhex(sha256('{_IN}'::blob || encode('ev') || '\\x00'::blob || encode(event_id)))), 10)"""
+
+
+@query(f"""with ev as ({EVENTS_SQL}) select event_id, {HANDLE_SQL} as handle from ev""")
 def r4_handles(spark, sf_dir):
     return redact.handles(v.auth_events(spark, sf_dir), b"salt", "ev", "event_id").select("event_id", "handle")
 
@@ -1039,7 +1045,7 @@ def r3_extended_map(spark, sf_dir):
     return redact.extend_map(known, e, ["user"], "line_no").select("value", "token")
 
 
-@query()
+@query(f"""with ev as ({EVENTS_SQL}) select {HANDLE_SQL} as handle, host, src_ip, "user", event_type, success, method from ev""")
 def r7_outbound(spark, sf_dir):
     return redact.outbound(v.auth_events(spark, sf_dir), redact.EVENT_FIELDS, b"salt", "ev", "event_id")
 
@@ -1084,11 +1090,23 @@ def q4_case_details(spark, sf_dir):
     return cases.case_details(s.select(cases.case_id().alias("case_id")), s, sess.session_events(s), v.auth_events(spark, sf_dir), 2).select("case_id", "ordinal", "event_id")
 
 
-@query()
+@query(
+    f"""{SESSION_EVENTS_SQL}, pairs as (select "user", host, min(end_time) as e from sessions group by all), ipu as (select src_ip, "user", min(end_time) as e from sessions group by all), hip as (select host, src_ip, min(end_time) as e from sessions group by all),
+    auth as (select ev."user", ev.ts, s.end_time from se join ev using (event_id) join sessions s using (session_id) where ev.event_type like 'ssh\\_auth\\_%' escape '\\'),
+    n as (select min(c) as least from (select count(*) as c from sessions group by "user")), w as (select s.session_id,
+      (select count(*) from sessions h where h."user" = s."user" and h.end_time < s.start_time) as user_observations, (select count(*) from sessions h where h.src_ip = s.src_ip and h.end_time < s.start_time) as src_ip_observations,
+      (select count(*) from sessions h where h.host = s.host and h.end_time < s.start_time) as host_observations,
+      (select count(*) from pairs h where h."user" = s."user" and h.e < s.start_time) as distinct_hosts_for_user, (select count(*) from ipu h where h.src_ip = s.src_ip and h.e < s.start_time) as distinct_users_for_src_ip,
+      (select count(*) from pairs h where h.host = s.host and h.e < s.start_time) as distinct_users_for_host, (select count(*) from hip h where h.host = s.host and h.e < s.start_time) as distinct_src_ips_for_host,
+      (select count(*) from auth a where a."user" = s."user" and a.ts >= s.start_time - interval 24 hours and a.ts < s.start_time and a.end_time < s.start_time) as auth_frequency_window_count from sessions s)
+    select *, user_observations = 0 as user_first_seen, src_ip_observations = 0 as src_ip_first_seen, host_observations = 0 as host_first_seen,
+      'auth_frequency=no_artifact,host_access=no_artifact,login_hour_rarity=' || (select case when least >= 2 then 'ready' else 'warmup_incomplete' end from n) || ',src_ip_behavior=no_artifact,transition_surprise=no_artifact' as models from w"""
+)
 def q2_normality_context(spark, sf_dir):
     s = materialize(v.sessions(spark, sf_dir), "sessions")
     ready = models.readiness(_hours(spark, sf_dir).select(F.lit("login_hour_rarity").alias("model_id"), "entity"), models.registry(spark).where("parent is null"))
-    return cases.normality_context(s.select("session_id"), history.context(s, v.auth_events(spark, sf_dir)), ready)
+    found = cases.normality_context(s.select("session_id"), history.context(s, v.auth_events(spark, sf_dir)), ready)
+    return found.withColumn("models", F.array_join(F.transform("models", lambda m: F.concat_ws("=", m["model_id"], m["reason"])), ","))
 
 
 @query(
@@ -1101,7 +1119,13 @@ def q1_history_page(spark, sf_dir):
     return cases.history_page(ent, s, 3).select("entity_type", "entity_id", "session_id", "place")
 
 
-@query()
+@query(
+    f"""with {SESSIONS_SQL}, own as (select * from sessions where start_time < timestamp '2024-01-20'),
+    n as (select m as model_id, 2 as warmup, "user" as entity, count(*) as n from own, (select unnest(['login_hour_rarity', 'auth_frequency', 'transition_surprise']) as m) group by all
+      union all select 'src_ip_behavior', 250, src_ip, count(*) from own group by all union all select 'host_access', 250, host, count(*) from own group by all)
+    select model_id, warmup, count(*) as entities, count(*) filter (where n >= warmup) as ready_entities, count(*) filter (where n >= warmup) = count(*) as ready,
+      case when count(*) filter (where n >= warmup) < count(*) then 'warmup_incomplete' else 'ready' end as reason from n group by all"""
+)
 def m7_training(spark, sf_dir):
     from siftlog.plans.training import train
 
