@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siftlog.operators.evaluate import latest_runs
+from siftlog.operators.running import aggregate_before, count_before
 
 
 def search_events(events: DataFrame, unmatched: DataFrame, text: str | None = None, host: str | None = None, user: str | None = None, src_ip: str | None = None, start=None, end=None, membership: str = "any", after: tuple | None = None, limit: int = 50) -> DataFrame:
@@ -47,12 +48,21 @@ def page_of_session(session_events: DataFrame, events: DataFrame, after_ordinal:
 
 
 def entity_history(entities: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Q1: history of ``entities(entity_type, entity_id, before)`` from sessions that ended before."""
+    """Q1: history of ``entities(entity_type, entity_id, before)`` from sessions that ended before.
+
+    Running aggregates by entity and day; a distinct partner counts from the first end of a session that has
+    it. No boundary meets the sessions of its entity one by one.
+    """
+    keys = ["entity_type", "entity_id"]
     kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("entity_type"), F.col(k).alias("entity_id")) for k in ("user", "src_ip", "host"))))
-    long = sessions.select("*", kinds.alias("k")).select("*", "k.*")
-    hit = entities.join(long, ["entity_type", "entity_id"]).where("end_time < before")
-    per = hit.groupBy("entity_type", "entity_id", "before").agg(F.count("*").alias("sessions"), F.sum("event_count").alias("events"), F.min("start_time").alias("window_start"), F.max("end_time").alias("window_end"), F.count_distinct("host").alias("hosts"), F.count_distinct("user").alias("users"), F.count_distinct("src_ip").alias("src_ips"))
-    return entities.join(per, ["entity_type", "entity_id", "before"], "left").na.fill(0, ["sessions", "events", "hosts", "users", "src_ips"])
+    long = sessions.select(F.col("end_time").alias("at"), "start_time", "event_count", "user", "src_ip", "host", kinds.alias("k")).select("*", "k.*").drop("k").withColumn("one", F.lit(1).cast("bigint"))
+    wanted = {"sessions": ("sum", "one"), "events": ("sum", "event_count"), "window_start": ("min", "start_time"), "window_end": ("max", "at")}
+    out = aggregate_before(entities.select(*keys, "before").distinct().withColumn("at", F.col("before")), long, keys, "at", wanted)
+    for column, name in (("host", "hosts"), ("user", "users"), ("src_ip", "src_ips")):
+        first = long.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.min("at").alias("at"))
+        out = count_before(out, first.select(*keys, "at"), keys, "at", name)
+    per = out.drop("at")
+    return entities.join(per, [*keys, "before"], "left").na.fill(0, ["sessions", "events", "hosts", "users", "src_ips"])
 
 
 def history_page(entities: DataFrame, sessions: DataFrame, limit: int) -> DataFrame:

@@ -101,7 +101,7 @@ def coverage(events: DataFrame, labels: DataFrame, unmatched: DataFrame, session
 def derive_labels(events: DataFrame, listed: DataFrame, rules: DataFrame) -> DataFrame:
     """By the dataset's rule: ``listed`` (listed line = attack, others normal) or ``capture`` (all attack)."""
     hits = listed.select("source", "line_no").distinct().withColumn("hit", F.lit(True))
-    both = events.join(F.broadcast(rules), "dataset_id").join(hits, ["source", "line_no"], "left")
+    both = events.join(rules, "dataset_id").join(hits, ["source", "line_no"], "left")
     truth = F.when(F.col("rule") == "capture", "attack").when(F.col("rule") == "listed", F.when(F.col("hit"), "attack").otherwise("normal"))
     return both.select("event_id", "dataset_id", "source", "line_no", truth.alias("truth")).where("truth is not null")
 
@@ -129,7 +129,7 @@ def normal_pool(events: DataFrame, labels: DataFrame, complete_sources: DataFram
     """Events labelled benign, or without label in a source that is declared complete."""
     known = labels.select("event_id", "attack")
     full = complete_sources.select("source").distinct().withColumn("full", F.lit(True))
-    both = events.join(known, "event_id", "left").join(F.broadcast(full), "source", "left")
+    both = events.join(known, "event_id", "left").join(full, "source", "left")
     pool = both.where("attack = false or (attack is null and full)").drop("attack", "full")
     if clean_hosts_only:
         hit = events.join(known.where("attack"), "event_id").select("host").distinct()

@@ -64,3 +64,24 @@ def count_dominated(queries: DataFrame, points: DataFrame, keys: list[str], iden
     closes = ranked.select(*keys, F.col("_y").alias("_at"), F.explode(told).alias("b")).select(*keys, "_at", "b.*")
     found = count_before(opens, closes, [*keys, "_size", "_block"], "_at", out)
     return found.groupBy(identifier).agg(F.sum(out).alias(out))
+
+
+def aggregate_before(opens: DataFrame, closes: DataFrame, keys: list[str], at: str, wanted: dict[str, tuple[str, str]]) -> DataFrame:
+    """``opens`` with aggregates over the ``closes`` of the same keys at a strictly earlier ``at``: ``out: ("sum" | "min" | "max", column)``.
+
+    As in ``count_before``: days of a key are gone through alone, and earlier days come as one row. Without
+    such closes the aggregates are null.
+    """
+    over = {"sum": F.sum, "min": F.min, "max": F.max}
+    both = {"sum": lambda a, b: F.coalesce(a + b, a, b), "min": F.least, "max": F.greatest}
+    day = F.to_date(at)
+    marks = opens.withColumns({"_day": day, "_close": F.lit(0)}).unionByName(
+        closes.select(*keys, at, *(F.col(c).alias(f"_v_{out}") for out, (_, c) in wanted.items())).withColumns({"_day": day, "_close": F.lit(1)}), allowMissingColumns=True
+    )
+    w = Window.partitionBy(*keys, "_day").orderBy(at, "_close").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = marks.withColumns({f"_in_{out}": over[f](f"_v_{out}").over(w) for out, (f, _) in wanted.items()}).where("_close = 0")
+    days = marks.groupBy(*keys, "_day").agg(*(over[f](f"_v_{out}").alias(f"_d_{out}") for out, (f, _) in wanted.items()))
+    before = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_day").alias("_d"), *(over[f](f"_d_{out}").over(before).alias(f"_b_{out}") for out, (f, _) in wanted.items()))
+    found = inside.join(days, F.expr(" and ".join([*(f"{k} <=> _{k}" for k in keys), "_day <=> _d"])), "left")
+    return found.select(*opens.columns, *(both[f](F.col(f"_b_{out}"), F.col(f"_in_{out}")).alias(out) for out, (f, _) in wanted.items()))

@@ -124,7 +124,7 @@ def trace_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").withColumn("cell", F.expr("l_orderkey div 50"))
     counts = li.groupBy("cell").agg(F.count("*").alias("n")).withColumn("part", F.expr("cell div 1000"))
     parts = prefix_by_chunk(counts.groupBy("part").agg(F.sum("n").alias("s")).withColumn("all", F.lit(1)), ["all"], "part", "s", "base").select("part", "base")
-    cells = prefix_by_chunk(counts, ["part"], "cell", "n", "inner").join(F.broadcast(parts), "part").select("cell", (F.col("base") + F.col("inner")).alias("before"))
+    cells = prefix_by_chunk(counts, ["part"], "cell", "n", "inner").join(parts, "part").select("cell", (F.col("base") + F.col("inner")).alias("before"))
     w = Window.partitionBy("cell").orderBy("l_shipdate", "l_orderkey", "l_linenumber")
     flag = F.when(F.col("l_returnflag") == "A", "1").when(F.col("l_returnflag") == "N", "2").otherwise("3")
     event = F.concat(F.lit("E"), (F.col("l_linenumber") % 3).cast("string"), flag)

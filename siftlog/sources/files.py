@@ -115,8 +115,8 @@ def dataset_summary(recorded: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def with_profile(files: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Year, zone, fold and coverage of each source; profiles are a small table, one row per source."""
-    return files.join(F.broadcast(profiles), "source", "left")
+    """Year, zone, fold and coverage of each source; one row of profiles per source."""
+    return files.join(profiles, "source", "left")
 
 
 def start_year(text: str = "text"):

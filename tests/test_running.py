@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 
+from siftlog.operators.cases import entity_history
 from siftlog.operators.history import auth_frequency
 from siftlog.operators.quantiles import quantiles
 from siftlog.operators.running import count_dominated
@@ -62,3 +63,22 @@ def test_auth_frequency_of_long_sessions(spark):
     s = spark.createDataFrame(sessions, "session_id string, user string, start_time timestamp_ntz, end_time timestamp_ntz, events array<string>")
     e = spark.createDataFrame(events, "event_id string, user string, event_type string, ts timestamp_ntz")
     assert dict(map(tuple, auth_frequency(s, e).collect())) == want and sum(want.values()) > 100
+
+
+def test_entity_history_at_many_boundaries(spark):
+    """Boundaries of one entity within a day and over days, at the very end of a session, before all, of unknown entities."""
+    r = random.Random(4)
+    s = []
+    for i in range(150):
+        start = T + timedelta(minutes=r.randint(0, 7000))
+        s.append((f"s{i}", r.choice(["u", "v"]), r.choice(["a", "b", None]), r.choice("xyz"), start, start + timedelta(minutes=r.choice([0, 5, 2000])), r.randint(1, 9)))
+    asks = [(k, v, r.choice([r.choice(s)[5], T + timedelta(minutes=r.randint(-100, 9000))])) for _ in range(40) for k, v in (("user", "u"), ("src_ip", "a"), ("host", "y"), ("host", "none"))]
+    columns = {"user": 1, "src_ip": 2, "host": 3}
+    sessions = spark.createDataFrame(s, "session_id string, user string, src_ip string, host string, start_time timestamp_ntz, end_time timestamp_ntz, event_count bigint")
+    got = {tuple(x[:3]): x for x in entity_history(spark.createDataFrame(list(dict.fromkeys(asks)), "entity_type string, entity_id string, before timestamp_ntz"), sessions).collect()}
+    for k, v, before in asks:
+        own = [x for x in s if x[columns[k]] == v and x[5] < before]
+        x = got[k, v, before]
+        assert (x["sessions"], x["events"]) == (len(own), sum(y[6] for y in own))
+        assert (x["window_start"], x["window_end"]) == (min((y[4] for y in own), default=None), max((y[5] for y in own), default=None))
+        assert (x["hosts"], x["users"], x["src_ips"]) == (len({y[3] for y in own}), len({y[1] for y in own}), len({y[2] for y in own} - {None}))
