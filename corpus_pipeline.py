@@ -95,7 +95,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Learned models, chains and tokenisers are beyond SQL; tests hold the stages against brute force.
+#: Learned models, chains and tokenisers are beyond SQL; tests/llm/test_pipeline.py holds every stage against brute force.
 ORACLE_SQL = None
 
 
