@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from siftlog.scratch import materialize
+from siftlog.scratch import materialize, release
 
 # Stop words, BM25 parameters, data sources that make a technique relevant.
 STOP = "a an and are as at be by for from has in is it its of on or that the this to was were with".split()
 K1, B = 1.5, 0.75
+#: Levels of a term's postings by share, and what rounding to six digits can add to a score.
+LEVELS, SLACK = 8, 1e-6
 AUTH_DATA_SOURCES = ("Logon Session", "User Account", "Active Directory")
 
 
@@ -25,26 +27,86 @@ def postings(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return tf, words.select("document_id", F.size("w").alias("length")), tf.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """K3: the ``k`` best documents of every query of ``queries(query_id, text)`` with their terms' shares.
+def _impacts(terms: DataFrame, docs: DataFrame) -> DataFrame:
+    """``term, level, document_id, share`` of the postings of the asked terms, levels by share from 1 to ``LEVELS``.
 
-    Only postings of query terms are made: words meet the distinct query terms before the first shuffle of
-    postings, and carry their document's length. A term's share is rounded to six digits; ties by id.
+    Words meet the distinct query terms before their first shuffle. An empty term stands for the document itself, so that
+    one pass over the texts gives postings, the number of documents and their mean length.
     """
-    terms = materialize(queries.select("query_id", F.explode(F.array_distinct(tokenize("text"))).alias("term")), "terms")
-    words = docs.select("document_id", tokenize("text").alias("w"))
-    words = materialize(words.select("document_id", F.size("w").alias("length"), F.explode_outer("w").alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy("document_id", "length", "term").agg(F.count("*").alias("tf")), "postings")
-    tf, lengths = words.select("document_id", "term", "tf", "length"), docs.select(F.size(tokenize("text")).alias("length"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    stats = lengths.agg(F.count("*").alias("docs"), F.avg("length").alias("mean_length"))
-    known = terms.join(df, "term").crossJoin(F.broadcast(stats))
+    asked = terms.select("term").distinct().unionByName(terms.sparkSession.createDataFrame([("",)], "term string"))
+    words = docs.where("document_id is not null").select("document_id", tokenize("text").alias("w"))
+    words = words.select("document_id", F.size("w").alias("length"), F.explode(F.concat(F.coalesce("w", F.array().cast("array<string>")), F.array(F.lit("")))).alias("term"))
+    held = materialize(words.join(asked, "term", "left_semi").groupBy("document_id", "length", "term").agg(F.count("*").alias("tf")), "postings")
+    stats = held.where("term = ''").agg(F.sum("tf").alias("docs"), F.expr("sum(tf * length) / sum(if(length is null, null, tf))").alias("mean_length"))
+    weight = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length"))
+    tf = held.where("term <> ''").crossJoin(F.broadcast(stats)).withColumn("shape", F.col("tf") / weight)
+    known = tf.groupBy("term").agg(F.count("*").alias("df"), F.max("shape").alias("top"))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    hit = known.join(tf, "term")
-    share = F.round(idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length"))), 6)
-    hit = hit.select("query_id", "document_id", "term", share.alias("share"))
-    scored = hit.groupBy("query_id", "document_id").agg(F.round(F.sum("share"), 6).alias("score"), F.transform(F.array_sort(F.collect_list(F.struct((-F.col("share")).alias("s"), "term"))), lambda x: F.struct(x["term"].alias("term"), (-x["s"]).alias("share"))).alias("terms"))
+    share = F.round(idf * F.col("tf") * (K1 + 1) / weight, 6)
+    level = F.greatest(F.lit(1), F.ceil(F.col("shape") / F.col("top") * LEVELS).cast("int"))
+    out = materialize(tf.join(known, "term").select("term", level.alias("level"), "document_id", share.alias("share")), "impacts")
+    release(held)
+    return out
+
+
+def _shares(pairs: DataFrame, terms: DataFrame, impacts: DataFrame) -> DataFrame:
+    """All shares of ``pairs(query_id, document_id)``, asked by term and document."""
+    return pairs.select("query_id", "document_id").join(terms, "query_id").join(impacts.drop("level"), ["term", "document_id"])
+
+
+def _floors(lists: DataFrame, terms: DataFrame, impacts: DataFrame, k: int, seeds: int) -> DataFrame:
+    """``query_id, floor``: a score that ``k`` documents of the query reach, from those that its strongest ``seeds`` postings name."""
+    strongest = Window.partitionBy("query_id").orderBy(F.desc("bound"), "term", "level").rowsBetween(Window.unboundedPreceding, -1)
+    first = lists.withColumn("before", F.coalesce(F.sum("n").over(strongest), F.lit(0))).where(F.col("before") < seeds)
+    named = first.select("query_id", "term", "level").join(impacts, ["term", "level"]).groupBy("query_id", "document_id").agg(F.sum("share").alias("part"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("part"), "document_id")
+    named = named.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+    whole = _shares(named, terms, impacts).groupBy("query_id", "document_id").agg(F.round(F.sum("share"), 6).alias("score"))
+    return whole.groupBy("query_id").agg(F.count("*").alias("found"), F.min("score").alias("floor")).where(F.col("found") >= k).select("query_id", "floor")
+
+
+def essential_levels(lists: DataFrame, floors: DataFrame, skip: float = 1.0) -> DataFrame:
+    """The levels of ``lists(query_id, term, level, n, bound)`` that must be read, with ``cut, spare, floor``.
+
+    Of every term the levels up to a cut are skipped, so that the cuts' bounds together (``spare``) stay under the
+    share ``skip`` of the query's floor: a document must get the rest from the other levels to reach it. Levels with many postings for
+    their bound go first, those of one term from below.
+    """
+    up = Window.partitionBy("query_id", "term").orderBy("level")
+    steps = lists.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+    steps = steps.withColumn("cost", F.col("bound") - F.coalesce(F.lag("bound").over(up), F.lit(0.0)))
+    steps = steps.withColumn("rate", F.min(F.col("n") / F.greatest(F.col("cost"), F.lit(1e-9))).over(up.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    cheap = Window.partitionBy("query_id").orderBy(F.desc("rate"), "term", "level").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = steps.withColumn("skipped", F.sum("cost").over(cheap) < F.col("floor") * skip - SLACK)
+    saved = F.sum(F.when(F.col("skipped"), F.col("cost")).otherwise(0.0))
+    steps = steps.withColumns({"cut": saved.over(Window.partitionBy("query_id", "term")), "spare": saved.over(Window.partitionBy("query_id"))})
+    return steps.where("not skipped").drop("cost", "rate", "skipped")
+
+
+def bm25(queries: DataFrame, docs: DataFrame, k: int, seeds: int = 1000, skip: float = 0.35) -> DataFrame:
+    """K3: the ``k`` best documents of every query of ``queries(query_id, text)`` with their terms' shares.
+
+    A term's share is rounded to six digits; ties by id. Rows without an id are left out, null texts hold
+    nothing, and query rows with one id are one query. The strongest postings of a query (``seeds`` for each wanted document) name ``k``
+    documents whose scores are a floor; levels of postings whose bounds make up at most the share ``skip`` of
+    the floor aren't read, and of the documents in the other levels those that can still reach the
+    floor are scored in full. Any ``seeds`` and ``skip`` (0 to 1) give the same rows.
+    """
+    terms = materialize(queries.where("query_id is not null").select("query_id", F.explode(tokenize("text")).alias("term")).distinct(), "terms")
+    impacts = _impacts(terms, docs)
+    levels = impacts.groupBy("term", "level").agg(F.count("*").alias("n"), F.max("share").alias("bound"))
+    lists = materialize(terms.join(levels, "term"), "lists")
+    floors = materialize(_floors(lists, terms, impacts, k, seeds * k), "floors")
+    read = materialize(essential_levels(lists, floors, skip).select("query_id", "term", "level", "cut", "spare", "floor"), "read")
+    named = read.join(impacts, ["term", "level"]).groupBy("query_id", "document_id", "spare", "floor").agg(F.sum(F.col("share") - F.col("cut")).alias("over"))
+    able = materialize(named.where(F.col("over") + F.col("spare") >= F.col("floor") - SLACK), "able")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "document_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    best = _shares(able, terms, impacts).groupBy("query_id", "document_id").agg(F.round(F.sum("share"), 6).alias("score")).withColumn("rank", F.row_number().over(w))
+    best = materialize(best.where(F.col("rank") <= k), "best")
+    release(lists, floors, read, able)
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("share")).alias("s"), "term")))
+    told = _shares(best, terms, impacts).groupBy("query_id", "document_id").agg(F.transform(listed, lambda x: F.struct(x["term"].alias("term"), (-x["s"]).alias("share"))).alias("terms"))
+    return best.join(told, ["query_id", "document_id"]).select("query_id", "document_id", "score", "terms", "rank")
 
 
 def folder_corpus(files: DataFrame, excluded: DataFrame, per_technique: int = 3, lines: int = 40, chars: int = 4000) -> DataFrame:

@@ -1,6 +1,9 @@
+import collections
 import hashlib
 import hmac
+import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,6 +102,46 @@ def test_bm25_ties_by_id(spark):
     assert [r["document_id"] for r in retrieval.bm25(queries, docs, 5).orderBy("rank").collect()] == ["a", "b"]
 
 
+def _plain_bm25(queries, docs, k):
+    """Every document scored in full."""
+    words = {d: [w for w in re.findall(r"[a-z0-9][a-z0-9_.\-]*", (x or "").lower()) if len(w) > 1 and w not in retrieval.STOP] for d, x in docs.items()}
+    mean = sum(map(len, words.values())) / len(words)
+    df = collections.Counter(t for w in words.values() for t in set(w))
+    out = {}
+    for q, text in queries.items():
+        asked, scores = set(text.lower().split()), {}
+        for d, w in words.items():
+            shares = [round(math.log(1 + (len(docs) - df[t] + 0.5) / (df[t] + 0.5)) * w.count(t) * 2.5 / (w.count(t) + 1.5 * (0.25 + 0.75 * len(w) / mean)), 6) for t in asked & set(w)]
+            if shares:
+                scores[d] = round(sum(shares), 6)
+        out[q] = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:k]
+    return out
+
+
+def test_bm25_equals_scoring_every_document(spark):
+    """Frequent and rare terms, texts of all lengths, repeated texts, a query with fewer than k documents, empty and strange rows."""
+    r = random.Random(11)
+    word = lambda: f"w{int(r.paretovariate(0.6)) % 400}"
+    docs = {i: " ".join(word() for _ in range(r.choice([3, 20, 60, 200]))) for i in range(400)} | {400: "", 401: "rare w1 w2"}
+    docs |= {500 + i: docs[7] for i in range(15)}
+    queries = {q: " ".join(word() for _ in range(r.choice([1, 4, 25]))) for q in range(40)} | {98: "rare", 99: docs[7]}
+    d = spark.createDataFrame([*docs.items()], "document_id int, text string").withColumn("share", F.lit(1))
+    asked = spark.createDataFrame([*queries.items(), (100, None), (101, ""), (None, "w1"), (0, queries[0])], "query_id int, text string").withColumn("document_id", F.lit(1))
+    got = collections.defaultdict(list)
+    for x in retrieval.bm25(asked, d, 10).orderBy("query_id", "rank").collect():
+        got[x["query_id"]].append((x["document_id"], x["score"]))
+        assert abs(sum(t["share"] for t in x["terms"]) - x["score"]) < 1e-6
+    assert got == {q: rows for q, rows in _plain_bm25(queries, docs, 10).items() if rows}
+    assert retrieval.bm25(asked.limit(0), d, 3).count() == 0 and retrieval.bm25(asked, d.limit(0), 3).count() == 0
+
+
+def test_levels_that_cannot_reach_the_floor_are_skipped(spark):
+    lists = spark.createDataFrame([("q", "common", 1, 900, 0.5), ("q", "common", 2, 90, 1.0), ("q", "rare", 1, 3, 4.0), ("q", "rare", 2, 2, 5.0), ("new", "common", 1, 900, 0.5)], "query_id string, term string, level int, n bigint, bound double")
+    floors = spark.createDataFrame([("q", 4.5)], "query_id string, floor double")
+    got = {(x["query_id"], x["term"], x["level"]): (x["cut"], x["spare"]) for x in retrieval.essential_levels(lists, floors).collect()}
+    assert got == {("q", "rare", 1): (0.0, 1.0), ("q", "rare", 2): (0.0, 1.0), ("new", "common", 1): (0.0, 0.0)}
+
+
 def test_tokens(spark):
     rows = spark.createDataFrame([(1, "u1", "h"), (2, "u2", None), (3, "u1", "h")], "n bigint, user string, host string")
     tokens = redact.token_map(rows, ["user", "host"], "n")
