@@ -10,6 +10,9 @@ so that the smallest long is the rightmost smallest hash.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Units: (k, window). Texts under BOTH words have characters, texts of SHORT words or more have words.
@@ -93,31 +96,63 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", shown("fp").alias("fingerprint"))
 
 
+#: Parts of one id's range are counted within this number.
+PARTS = 65_536
+
+
+def _literal(values: list, suffix: str = "L") -> str:
+    return f"cast(array({', '.join(f'{v}{suffix}' for v in values)}) as array<{'double' if suffix == 'D' else 'bigint'}>)"
+
+
+def _with_bucket(docs: DataFrame, rows_per_bucket: int, max_buckets: int) -> DataFrame:
+    """Add ``tie``, a hash of the text, and ``bucket``: ranges of about equal numbers of rows, falling in the order of rows.
+
+    Ranges end at quantiles of the ids, which one aggregation of bounded size estimates, so neither a
+    few outlying ids nor gaps matter. An id that fills several ranges, or a null id, gets a range for
+    itself, cut into parts by equal ranges of ``tie``.
+    """
+    docs = docs.withColumn("tie", F.xxhash64("text"))
+    total = docs.agg(F.count("*"), F.expr("count_if(doc_id is null)")).first()
+    buckets = max(1, min(max_buckets, -(-total[0] // rows_per_bucket)))
+    shares = F.expr(_literal([i / buckets for i in range(1, buckets + 1)], "D"))
+    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("bigint"), shares, max(10_000, 4 * buckets))).first()[0] or []
+    repeats = {c: min(PARTS, n) for c, n in Counter(cuts).items() if n > 1}
+    cuts = sorted(set(cuts) | {c - 1 for c in repeats if c > -(2**63)})
+    side = max(1, math.isqrt(len(cuts)))
+    blocks = [cuts[i : i + side] for i in range(0, len(cuts), side)]
+    # the number of cuts below an id: first the blocks that end below it, then inside the next block
+    block = f"size(filter({_literal([x[-1] for x in blocks])}, c -> c < doc_id))"
+    inside = f"size(filter(coalesce(get(array({', '.join(map(_literal, blocks))}), _block), {_literal([])}), c -> c < doc_id))" if blocks else "0"
+    parts = F.lit(min(PARTS, max(1, -(-total[1] // rows_per_bucket))))
+    many = F.expr(f"coalesce(try_element_at(map_from_arrays({_literal([*repeats])}, {_literal([*repeats.values()])}), cast(doc_id as bigint)), 1L)") if repeats else F.lit(1)
+    parts = F.when(F.col("doc_id").isNull(), parts).otherwise(many)
+    part = F.expr(f"cast((shiftright(tie, 32) + {2**31}L) * _parts div {2**32}L as int)")
+    out = docs.withColumn("_block", F.expr(block)).withColumns({"_parts": parts, "_range": F.expr(f"if(doc_id is null, -1L, _block * {side}L + {inside})")})
+    return out.withColumn("bucket", F.col("_range") * PARTS + (PARTS - 1 - part)).drop("_block", "_parts", "_range")
+
+
 def edited_neighbours(docs: DataFrame, rows_per_bucket: int = 1000, max_buckets: int = 16_000) -> DataFrame:
     """Fingerprint every text, its edited text, and compare both and the next document's.
 
     Next is the document with the next smaller ``doc_id``, after the last the first; equal ids follow in
-    the order of their texts and null ids come last. The edited text replaces the last floor(n / 2) code
+    the order of hashes of their texts and null ids come last. The edited text replaces the last floor(n / 2) code
     points by as many from the start of the next text. Null texts are ''. One row per row; other columns
     are ignored; a single row is its own next; an empty table gives no rows.
 
-    Neighbours are found in ranges of ids, so texts are shuffled once and evenly whatever their source;
-    the last row of a range meets the top row of the next range by a join on the range. The list of
-    ranges that one task orders has at most ``max_buckets`` rows.
+    Neighbours are found in ranges of ids (``_with_bucket``), so texts are shuffled once and evenly whatever their source or
+    ids; only rows with one id and one text can't be told apart and stay together. The top row of a range meets the last row
+    of the range before by a join on the range. The list of ranges that one task orders has at most about ``2 * max_buckets`` rows
+    and those of null ids.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ids = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high, rows = ids[0] or 0, ids[1] or 0, ids[2]
-    buckets = max(1, min(max_buckets, -(-rows // rows_per_bucket)))
-    width = max(1, -(-(high - low + 1) // buckets))
-    ranged = docs.withColumn("bucket", F.expr(f"coalesce((doc_id - {low}L) div {width}L, -1L)"))
+    ranged = _with_bucket(docs, rows_per_bucket, max_buckets)
     first = ranged.groupBy("bucket").agg(F.max("doc_id").alias("top"))
     first = first.select("bucket", "top", F.coalesce(F.lead("bucket").over(Window.orderBy(F.desc("bucket"))), F.max("bucket").over(Window.partitionBy())).alias("after"))
     tops = ranged.alias("d").join(F.broadcast(first.alias("t")), F.expr("d.bucket = t.bucket and d.doc_id <=> t.top"), "left_semi")
-    tops = tops.groupBy("bucket").agg(F.min("text").alias("top_text"))
+    tops = tops.groupBy("bucket").agg(F.min(F.struct("tie", "text")).alias("row")).select("bucket", F.col("row.text").alias("top_text"))
     tops = tops.join(F.broadcast(first.select(F.col("bucket").alias("of"), F.col("after").alias("bucket"))), "bucket")
     tops = with_fingerprint(tops.select(F.col("of").alias("bucket"), "top_text"), "top_text", "top")
-    order = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), "text")
+    order = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), "tie", "text")
     own = with_fingerprint(ranged, "text", "own").withColumn("row", F.struct("text", "own_w", "own_c"))
     pairs = own.withColumn("next", F.lead("row").over(order)).drop("row").join(tops, "bucket")
     pairs = pairs.select(

@@ -7,8 +7,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
-from siftlog.llm.fingerprints import edited_neighbours, fingerprints
+from siftlog.llm.fingerprints import _with_bucket, edited_neighbours, fingerprints
 from siftlog.llm.jaccard import Sketches, jaccard_components, sketch
 from siftlog.llm.passages import align, chains, remove_passages, repeated_passages, winnow, without
 from siftlog.llm.vectors import near_vectors, passes_for
@@ -274,6 +275,24 @@ def test_short_text_against_long_one(spark):
     assert 0 < got[2]["near_edited"] <= 1 and got[1]["near_next"] == 0 and got[3]["fingerprint"] == got[1]["fingerprint"]
 
 
+def test_fingerprint_ranges_are_even(spark):
+    """Outlying ids, one id with a third of all rows and null ids: rows are spread, and each meets the next in the whole order."""
+    r = random.Random(8)
+    ids = [*range(1000, 1500), -(2**60), 2**61, *[77] * 500, *[None] * 400, *r.sample(range(10**9), 200)]
+    rows = [(i, f"text {n} " + "".join(r.choice("abcd") for _ in range(r.randint(0, 30)))) for n, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    held = _with_bucket(df, 50, 1000)
+    assert max(x["count"] for x in held.groupBy("bucket").count().collect()) <= 110
+    hashes = dict(df.select("text", F.xxhash64("text")).collect())
+    order = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), hashes[x[1]]))
+    got = {x["edited_sha256"] for x in edited_neighbours(df, 50, 1000).collect()}
+    want = set()
+    for (_, t), (_, u) in zip(order, order[1:] + order[:1]):
+        half = len(t) // 2
+        want.add(hashlib.sha256((t[: len(t) - half] + u[:half]).encode()).hexdigest())
+    assert got == want
+
+
 def test_fingerprint_positions_equal_brute_force(spark):
     """Chosen hashes and positions are the rightmost minima of every window of the grams' hashes."""
     r = random.Random(7)
