@@ -119,8 +119,8 @@ def p2_parsed_events(spark, sf_dir):
     from ({LINES_SQL}) where line_no % 97 = 0 or line_no % 89 = 0"""
 )
 def p6_parse_failures(spark, sf_dir):
-    """Lines without a header, and every 89th with an unknown message, whose time is kept."""
-    lines = v.auth_lines(spark, sf_dir).withColumn("raw_line", F.expr("if(line_no % 89 = 0 and line_no % 97 <> 0, concat(left(raw_line, 36), 'app: nothing known'), raw_line)"))
+    """Lines without a header, and every 89th with an unknown message, whose time is kept unless it is one of the former."""
+    lines = v.auth_lines(spark, sf_dir).withColumn("raw_line", F.expr("if(line_no % 89 = 0, concat(left(raw_line, 36), 'app: nothing known'), raw_line)"))
     failed = parse.failures_of(parse.parse_lines(lines))
     return failed.select("source", "line_no", "raw_line", "reason", F.col("timestamp").cast("timestamp_ntz").alias("salvaged_time"))
 

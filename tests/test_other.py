@@ -4,6 +4,7 @@ import hmac
 import math
 import random
 import re
+import tempfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -223,3 +224,20 @@ def test_attack_runs(spark):
     paths = ["d/techniques/T1110/steps/s1/web/auth.log", "d/techniques/T1110/steps/s1/web/syslog.log"]
     r = files.attack_runs(spark.createDataFrame([(p,) for p in paths], "path string")).first()
     assert (r["technique"], r["step"], r["host"], r["related"]) == ("T1110", "s1", "web", {"syslog.log": paths[1]})
+
+
+def test_parse_failures_of_lines_with_both_faults(spark):
+    """Line 8633 is the first that is garbage and gets the unknown message; the smallest tables don't reach it."""
+    import duckdb
+
+    from siftlog.plans.reports import ORACLES, QUERIES
+
+    c = duckdb.connect()
+    c.sql("create view events as select * from '/root/testdata/sf0.01/events.parquet' where event_id between 8600 and 8700")
+    d = spark.read.parquet("/root/testdata/sf0.01/events.parquet").where("event_id between 8600 and 8700")
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    d.write.mode("overwrite").parquet(f"{folder}/events.parquet")
+    columns = ["line_no", "raw_line", "reason", "salvaged_time"]
+    got = sorted(tuple(map(str, r)) for r in QUERIES["p6_parse_failures"](spark, folder).select(columns).collect())
+    want = sorted(tuple(map(str, r)) for r in c.sql(f"select {', '.join(columns)} from ({ORACLES['p6_parse_failures']})").fetchall())
+    assert got == want and any(r[1].endswith("8633app: nothing known") for r in got)
