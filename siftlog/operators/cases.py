@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siftlog.operators.evaluate import latest_runs
-from siftlog.operators.running import aggregate_before, count_before
+from siftlog.operators.running import aggregate_before
+from siftlog.scratch import materialize
 
 
 def search_events(events: DataFrame, unmatched: DataFrame, text: str | None = None, host: str | None = None, user: str | None = None, src_ip: str | None = None, start=None, end=None, membership: str = "any", after: tuple | None = None, limit: int = 50) -> DataFrame:
@@ -50,19 +51,26 @@ def page_of_session(session_events: DataFrame, events: DataFrame, after_ordinal:
 def entity_history(entities: DataFrame, sessions: DataFrame) -> DataFrame:
     """Q1: history of ``entities(entity_type, entity_id, before)`` from sessions that ended before.
 
-    Running aggregates by entity and day; a distinct partner counts from the first end of a session that has
-    it. No boundary meets the sessions of its entity one by one.
+    One pass of running aggregates by entity and day; a distinct partner counts from the first end of a session
+    that has it. No boundary meets the sessions of its entity one by one.
     """
-    keys = ["entity_type", "entity_id"]
-    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("entity_type"), F.col(k).alias("entity_id")) for k in ("user", "src_ip", "host"))))
-    long = sessions.select(F.col("end_time").alias("at"), "start_time", "event_count", "user", "src_ip", "host", kinds.alias("k")).select("*", "k.*").drop("k").withColumn("one", F.lit(1).cast("bigint"))
-    wanted = {"sessions": ("sum", "one"), "events": ("sum", "event_count"), "window_start": ("min", "start_time"), "window_end": ("max", "at")}
-    out = aggregate_before(entities.select(*keys, "before").distinct().withColumn("at", F.col("before")), long, keys, "at", wanted)
-    for column, name in (("host", "hosts"), ("user", "users"), ("src_ip", "src_ips")):
-        first = long.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.min("at").alias("at"))
-        out = count_before(out, first.select(*keys, "at"), keys, "at", name)
-    per = out.drop("at")
-    return entities.join(per, [*keys, "before"], "left").na.fill(0, ["sessions", "events", "hosts", "users", "src_ips"])
+    keys, partners = ["entity_type", "entity_id"], {"host": "hosts", "user": "users", "src_ip": "src_ips"}
+    asks = materialize(entities.select(*keys, "before").where("entity_id is not null").distinct(), "boundaries")
+    asked = {r[0] for r in asks.where(F.col("entity_type").isin("user", "src_ip", "host")).select("entity_type").distinct().collect()}
+    kinds = sorted(asked) or ["user"]
+    last = F.broadcast(asks.agg(F.max("before").alias("last")))
+    own = sessions.select(F.col("end_time").alias("at"), "start_time", F.col("event_count").cast("bigint").alias("event_count"), "user", "src_ip", "host").crossJoin(last).where("at < last").drop("last")
+    kind = lambda k: (F.lit(k).alias("entity_type"), F.col(k).cast("string").alias("entity_id"))
+    one = F.lit(1).cast("bigint")
+    ends = own.select("at", "start_time", "event_count", one.alias("one"), F.col("at").alias("ended"), F.inline(F.array(*(F.struct(*kind(k)) for k in kinds)))).where("entity_id is not null")
+    # The entity itself is a partner of its own kind as soon as it has a session.
+    pairs = F.inline(F.array(*(F.struct(*kind(k), F.lit(c).alias("column"), F.col(c).cast("string").alias("other")) for k in kinds for c in partners if c != k)))
+    first = own.select("at", pairs).where("entity_id is not null and other is not null").groupBy(*keys, "column", "other").agg(F.min("at").alias("at"))
+    first = first.select("at", *keys, *(F.when(F.col("column") == c, one).alias(name) for c, name in partners.items()))
+    wanted = {"sessions": ("sum", "one"), "events": ("sum", "event_count"), "window_start": ("min", "start_time"), "window_end": ("max", "ended")} | {n: ("sum", n) for n in partners.values()}
+    out = aggregate_before(asks.withColumn("at", F.col("before")), ends.unionByName(first, allowMissingColumns=True), keys, "at", wanted).drop("at")
+    out = out.withColumns({name: F.when((F.col("entity_type") == c) & (F.col("sessions") > 0), one).otherwise(F.col(name)) for c, name in partners.items()})
+    return entities.join(out, [*keys, "before"], "left").na.fill(0, ["sessions", "events", *partners.values()])
 
 
 def history_page(entities: DataFrame, sessions: DataFrame, limit: int) -> DataFrame:

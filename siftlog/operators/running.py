@@ -13,12 +13,18 @@ def prefix_by_chunk(chunks: DataFrame, keys: list[str], chunk: str, value: str,
     return chunks.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)))
 
 
-def count_before(opens: DataFrame, closes: DataFrame, keys: list[str], at: str, out: str) -> DataFrame:
+def count_before(opens: DataFrame, closes: DataFrame, keys: list[str], at: str, out: str, spread: bool = True) -> DataFrame:
     """``opens`` with the number of ``closes`` of the same keys at a strictly earlier ``at``.
 
     A null key counts as 0. Within a day closes are counted in order, with opens first at equal times;
-    earlier days come as one sum per key and day, so one key's rows are spread over its days.
+    earlier days come as one sum per key and day, so one key's rows are spread over its days. Without ``spread``,
+    for keys that hold a span of time themselves, it is one window.
     """
+    known = F.expr(" and ".join(f"{k} is not null" for k in keys))
+    if not spread:
+        marks = opens.withColumn("_close", F.lit(0)).unionByName(closes.select(*keys, at, F.lit(1).alias("_close")), allowMissingColumns=True)
+        w = Window.partitionBy(*keys).orderBy(at, "_close").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return marks.withColumn(out, F.when(known, F.sum("_close").over(w)).otherwise(F.lit(0)).cast("bigint")).where("_close = 0").drop("_close")
     day = F.to_date(at)
     marks = opens.withColumns({"_day": day, "_close": F.lit(0)}).unionByName(
         closes.select(*keys, at).withColumns({"_day": day, "_close": F.lit(1)}), allowMissingColumns=True
@@ -29,12 +35,13 @@ def count_before(opens: DataFrame, closes: DataFrame, keys: list[str], at: str,
     days = prefix_by_chunk(days, keys, "_day", "_n", "_before").select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_day").alias("_d"), "_before")
     same = F.expr(" and ".join([*(f"{k} <=> _{k}" for k in keys), "_day = _d"]))
     found = inside.join(days, same, "left")
-    known = F.expr(" and ".join(f"{k} is not null" for k in keys))
     return found.withColumn(out, F.when(known, F.col("_in") + F.coalesce("_before", F.lit(0))).otherwise(F.lit(0)).cast("bigint")).drop("_in", "_before", "_d", "_day", *[f"_{k}" for k in keys])
 
 
-def numbered(rows: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
-    """``rows`` with their place from 0 by key in ``order``, whose first column is a time: days are numbered alone and shifted."""
+def numbered(rows: DataFrame, keys: list[str], order: list[str], out: str, spread: bool = True) -> DataFrame:
+    """``rows`` with their place from 0 by key in ``order``, whose first column is a time: days are numbered alone and shifted (``spread`` as in ``count_before``)."""
+    if not spread:
+        return rows.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
     own = rows.withColumn("_day", F.to_date(order[0]))
     days = own.groupBy(*keys, "_day").agg(F.count("*").alias("_n"))
     days = prefix_by_chunk(days, keys, "_day", "_n", "_before").select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_day").alias("_d"), "_before")
@@ -44,7 +51,7 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str], out: str) -> Da
     return placed.withColumn(out, F.col("_before") + F.col("_in")).drop("_in", "_before", "_d", "_day", *[f"_{k}" for k in keys])
 
 
-def count_dominated(queries: DataFrame, points: DataFrame, keys: list[str], identifier: str, x: str, y: str, out: str) -> DataFrame:
+def count_dominated(queries: DataFrame, points: DataFrame, keys: list[str], identifier: str, x: str, y: str, out: str, spread: bool = True) -> DataFrame:
     """``identifier, out``: points of the query's key that are strictly earlier in both times ``x`` and ``y``.
 
     Points are numbered by ``x``. The points before a query in ``x`` are then a prefix of numbers, which falls
@@ -52,8 +59,8 @@ def count_dominated(queries: DataFrame, points: DataFrame, keys: list[str], iden
     of block and query is a count of one time only (``count_before``). Rows grow by the logarithm of a key's
     points, whatever the key. ``identifier`` names the queries; queries without such points have no row.
     """
-    placed = count_before(queries.select(identifier, *keys, F.col(x).alias("_at"), F.col(y).alias("_y")), points.select(*keys, F.col(x).alias("_at")), keys, "_at", "_prefix")
-    ranked = numbered(points.select(*keys, F.col(x).alias("_at"), F.col(y).alias("_y")), keys, ["_at", "_y"], "_place")
+    placed = count_before(queries.select(identifier, *keys, F.col(x).alias("_at"), F.col(y).alias("_y")), points.select(*keys, F.col(x).alias("_at")), keys, "_at", "_prefix", spread)
+    ranked = numbered(points.select(*keys, F.col(x).alias("_at"), F.col(y).alias("_y")), keys, ["_at", "_y"], "_place", spread)
     placed, ranked = materialize(placed.where("_prefix > 0"), "prefixes"), materialize(ranked, "places")
     most = ranked.agg(F.max("_place")).first()[0] or 0
     sizes = F.sequence(F.lit(0), F.lit(int(most).bit_length()))
@@ -62,7 +69,7 @@ def count_dominated(queries: DataFrame, points: DataFrame, keys: list[str], iden
     told = F.filter(F.transform(sizes, lambda s: F.struct(s.alias("_size"), F.call_function("shiftright", F.col("_place"), s).alias("_block"))), lambda b: b["_block"] % 2 == 0)
     opens = placed.select(identifier, *keys, F.col("_y").alias("_at"), F.explode(asked).alias("b")).select(identifier, *keys, "_at", "b.*")
     closes = ranked.select(*keys, F.col("_y").alias("_at"), F.explode(told).alias("b")).select(*keys, "_at", "b.*")
-    found = count_before(opens, closes, [*keys, "_size", "_block"], "_at", out)
+    found = count_before(opens, closes, [*keys, "_size", "_block"], "_at", out, spread)
     return found.groupBy(identifier).agg(F.sum(out).alias(out))
 
 

@@ -71,11 +71,18 @@ def fit_knee(gap: DataFrame, q: float = 0.95) -> DataFrame:
 
 def assign_sessions(events: DataFrame, gap_seconds: float) -> DataFrame:
     """Matched events with ``session_no``; a gap of more than ``gap_seconds`` starts a new one."""
-    flagged = with_previous(events).withColumn("fresh", F.when(F.col("previous").isNull() | (seconds_between("previous", "ts") > gap_seconds), 1).otherwise(0))
-    days = flagged.groupBy(*ENTITY, "day").agg(F.sum("fresh").alias("n"))
-    days = prefix_by_chunk(days, ENTITY, "day", "n", "before").select(*ENTITY, "day", "before")
-    w = Window.partitionBy(*ENTITY, "day").orderBy("ts", "line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return flagged.withColumn("inside", F.sum("fresh").over(w)).join(days, [*ENTITY, "day"]).withColumn("session_no", F.col("before") + F.col("inside")).drop("before", "inside", "fresh", "day", "previous")
+    own = matched(events).withColumn("day", F.to_date("ts"))
+    w = Window.partitionBy(*ENTITY, "day").orderBy("ts", "line_no")
+    far = lambda a, b: F.when(seconds_between(a, b) > gap_seconds, 1).otherwise(0)
+    own = own.withColumn("_last", F.lag("ts").over(w))
+    own = own.withColumn("inside", F.sum(far("_last", "ts")).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_last")
+    # A day of an entity folds to its first and last time and its turns; the folds in order number the first session of each.
+    days = own.groupBy(*ENTITY, "day").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.max("inside").alias("n"))
+    order = Window.partitionBy(*ENTITY).orderBy("day")
+    days = days.withColumn("_last", F.lag("last").over(order)).withColumn("fresh", F.when(F.col("_last").isNull(), 1).otherwise(far("_last", "first")))
+    upto = F.sum(F.col("fresh") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    days = days.select(*ENTITY, "day", upto.alias("before"))
+    return own.join(days, [*ENTITY, "day"]).withColumn("session_no", F.col("before") + F.col("inside")).drop("before", "inside", "day")
 
 
 def summarize(assigned: DataFrame, gap_seconds: float) -> DataFrame:

@@ -314,8 +314,9 @@ def m4_transitions(spark, sf_dir):
 def _vectors(spark, sf_dir):
     s = materialize(v.sessions(spark, sf_dir), "sessions")
     e = v.auth_events(spark, sf_dir)
-    table = s.select("session_id", "user", "src_ip", "host", "start_time").join(history.features(s, e), "session_id").join(history.context(s, e), "session_id")
-    return history.model_inputs(table).join(s.select("session_id", F.col("start_time").alias("at")), "session_id").withColumnRenamed("session_id", "id")
+    held = materialize(history.members(s, e), "members")
+    table = s.select("session_id", "user", "src_ip", "host", "start_time").join(history.features(s, e, held=held), "session_id").join(history.context(s, e, held), "session_id")
+    return history.model_inputs(table.withColumnRenamed("start_time", "at"), "at").withColumnRenamed("session_id", "id")
 
 
 @query()
@@ -874,7 +875,7 @@ def r10_resolve(spark, sf_dir):
       count(distinct s.src_ip) as src_ips from ent left join sessions s on s.end_time < before and case entity_type when 'user' then s."user" else s.host end = entity_id group by 1, 2"""
 )
 def q1_entity_history(spark, sf_dir):
-    s = v.sessions(spark, sf_dir)
+    s = materialize(v.sessions(spark, sf_dir).select("user", "src_ip", "host", "start_time", "end_time", "event_count"), "sessions")
     boundary = F.expr("timestamp_ntz '2024-01-15 00:00:00'").alias("before")
     ent = s.select(F.lit("user").alias("entity_type"), F.col("user").alias("entity_id"), boundary).unionByName(s.select(F.lit("host").alias("entity_type"), F.col("host").alias("entity_id"), boundary)).distinct()
     return cases.entity_history(ent, s).drop("before")

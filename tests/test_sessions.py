@@ -2,6 +2,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from siftlog.operators import history, sessions as sess
 
@@ -103,3 +104,17 @@ def test_features(spark):
     assert f["failure_proportion"] == pytest.approx(1 / 3) and f["success_proportion"] == pytest.approx(2 / 3)
     assert (f["hour_utc"], f["login_hour_local"]) == (12, 17)
     assert [x["event_type"] for x in f["event_type_proportions"]] == ["ssh_auth_failure", "ssh_auth_success"]
+
+
+def test_history_reads_its_sessions_a_fixed_number_of_times(spark):
+    """Every count doubled the plan of the one before it: 16 passes over the sessions for four counts."""
+    from siftlog.operators import cases
+
+    s = spark.createDataFrame([("a", "u", "1", "h", T0, T0, 1)], "session_id string, user string, src_ip string, host string, start_time timestamp_ntz, end_time timestamp_ntz, event_count bigint")
+    reads = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")
+    assert reads(history.distinct_counts(s)) <= 4
+    assert reads(history.observation_counts(s)) <= 4
+    asks = s.selectExpr("'host' as entity_type", "host as entity_id", "end_time as before")
+    assert reads(cases.entity_history(asks, s)) <= 5
+    inputs = s.withColumns({c: F.lit(1.0) for _, names in history.MODEL_INPUTS.values() for c in names if c != "event_count"}).withColumn("event_types", F.array(F.lit("x")))
+    assert reads(history.model_inputs(inputs)) == 1
