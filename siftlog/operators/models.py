@@ -246,13 +246,14 @@ def _window_scores(before, low0, high0, x, low1, high1, feature, cut, height: in
     return 1 - total / (len(feature) * window * (2 ** (height + 1) - 1))
 
 
-def half_space_trees(obs: DataFrame, trees: int = 10, height: int = 8, window: int = 250, seed: int = 42) -> DataFrame:
+def half_space_trees(obs: DataFrame, trees: int = 10, height: int = 8, window: int = 250, seed: int = 42, keep_time: bool = False) -> DataFrame:
     """M3: prequential scores of ``obs(entity, id, at, vector)`` by streaming half-space trees; 0 in an entity's first window.
 
     A row is scored by the node masses that the whole window before its own left, on vectors scaled by the
     extremes of the entity's earlier rows; a window learns on vectors scaled by the extremes up to each row.
     Both follow from the rows of two windows and the extremes before them, so an entity of any length is
     dealt over tasks by windows: each row goes to its own window and to the next, and a task holds two.
+    ``keep_time`` gives ``at`` too.
     """
     size = obs.select(F.max(F.size("vector"))).first()[0] or 1
     feature, cut = half_space_splits(size, trees, height, seed)
@@ -262,9 +263,10 @@ def half_space_trees(obs: DataFrame, trees: int = 10, height: int = 8, window: i
     side = lambda n, f, none: F.array(*(F.coalesce(f(f"{n}{i}").over(w), F.lit(none)) for i in range(size)))
     ends = ends.select("entity", "win", side("l", F.min, float("inf")).alias("low"), side("h", F.max, float("-inf")).alias("high"))
     ends = ends.select(F.col("entity").alias("_e"), F.col("win").alias("_w"), "low", "high")
-    both = rows.join(ends, F.expr("entity <=> _e and win = _w")).select("entity", "id", "place", "vector", "low", "high", F.explode(F.array(F.struct(F.col("win").alias("g"), F.lit(1).alias("own")), F.struct((F.col("win") + 1).alias("g"), F.lit(0).alias("own")))).alias("r"))
-    both = both.select("entity", "id", "place", "vector", "low", "high", "r.*").repartition("entity", "g").sortWithinPartitions("entity", "g", "own", "place")
-    names = ["entity", "id", "g", "own", "vector", "low", "high"]
+    both = rows.join(ends, F.expr("entity <=> _e and win = _w")).select("entity", "id", "at", "place", "vector", "low", "high", F.explode(F.array(F.struct(F.col("win").alias("g"), F.lit(1).alias("own")), F.struct((F.col("win") + 1).alias("g"), F.lit(0).alias("own")))).alias("r"))
+    both = both.select("entity", "id", "at", "place", "vector", "low", "high", "r.*").repartition("entity", "g").sortWithinPartitions("entity", "g", "own", "place")
+    kept = ["entity", "id", *(["at"] if keep_time else [])]
+    names = [*kept, "g", "own", "vector", "low", "high"]
 
     def run(batches):
         left = None
@@ -295,11 +297,11 @@ def half_space_trees(obs: DataFrame, trees: int = 10, height: int = 8, window: i
                 x, low, high = (np.asarray(part.column(c).combine_chunks().flatten(), float).reshape(b - a, -1) for c in ("vector", "low", "high"))
                 found = _window_scores(x[:cut_at], low[0], high[0], x[cut_at:], low[cut_at], high[cut_at], feature, cut, height, window)
             mine = part.slice(cut_at)
-            yield from pa.table({"entity": mine.column("entity"), "id": mine.column("id"), "score": pa.array(found)}).combine_chunks().to_batches()
+            yield from pa.table({c: mine.column(c) for c in kept} | {"score": pa.array(found)}).combine_chunks().to_batches()
         return None if last else table.slice(starts[-1])
 
     kinds = dict(obs.dtypes)
-    return both.select(*names).mapInArrow(run, f"entity {kinds['entity']}, id {kinds['id']}, score double")
+    return both.select(*names).mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in kept), "score double"]))
 
 
 class Adwin:

@@ -14,20 +14,20 @@ def train(spark: SparkSession, sessions: DataFrame, events: DataFrame, splits: D
     History is taken over all sessions; what is learned comes from the chosen ones only, each content once.
     Returns ``features``, prequential ``scores``, ``states`` with registry metadata, and ``readiness``.
     """
-    features = history.features(sessions, events, zone).join(history.context(sessions, events), "session_id")
+    held = materialize(history.members(sessions, events), "members")
+    features = history.features(sessions, events, zone, held).join(history.context(sessions, events, held), "session_id")
     known = sessions.select("session_id", "user", "src_ip", "host", F.col("start_time").alias("at"))
     chosen = splits.where("split = 'reference'").select("session_id")
-    once = history.content_hash(sessions, events).join(chosen, "session_id").groupBy("content_sha256").agg(F.min("session_id").alias("session_id")).select("session_id")
+    once = history.content_hash(sessions, events, held).join(chosen, "session_id").groupBy("content_sha256").agg(F.min("session_id").alias("session_id")).select("session_id")
     table = materialize(known.join(features, "session_id").join(once, "session_id", "left_semi"), "training")
     hours = models.hour_rarity(table.select(F.col("user").alias("entity"), F.col("login_hour_local").alias("hour"), "at", F.col("session_id").alias("id")))
     counts = models.frequency_deviation(table.select(F.col("user").alias("entity"), F.col("auth_frequency_window_count").cast("double").alias("y"), "at", F.col("session_id").alias("id")))
     moves = models.transition_surprise(table.select(F.col("user").alias("entity"), "at", F.col("session_id").alias("id"), F.col("event_types").alias("items")))
-    vectors = history.model_inputs(table).where("vector is not null").drop("items").join(known.select("session_id", "at"), "session_id").withColumnRenamed("session_id", "id")
+    vectors = history.model_inputs(table, "at").where("vector is not null").drop("items").withColumnRenamed("session_id", "id")
     part = lambda df, model: df.select(F.lit(model).alias("model_id"), "entity", "at", "id", "score")
     scores = part(hours, "login_hour_rarity").unionByName(part(counts, "auth_frequency")).unionByName(part(moves, "transition_surprise"))
     for model in ("src_ip_behavior", "host_access"):
-        own = materialize(vectors.where(F.col("model_id") == model).select("entity", "id", "at", "vector"), "vectors")
-        scores = scores.unionByName(part(models.half_space_trees(own).join(own.select("entity", "id", "at"), ["entity", "id"]), model))
+        scores = scores.unionByName(part(models.half_space_trees(vectors.where(F.col("model_id") == model).select("entity", "id", "at", "vector"), keep_time=True), model))
     scores = materialize(scores, "scores")
     registry = models.registry(spark)
     states = scores.groupBy("model_id", "entity").agg(F.count("*").alias("n")).join(F.broadcast(registry.select("model_id", "parameters", "feature_schema")), "model_id")
