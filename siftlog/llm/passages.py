@@ -18,7 +18,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from siftlog.llm.shingles import mix, shingles, words
 from siftlog.llm.texts import slices
@@ -33,8 +33,12 @@ def winnow(grams: np.ndarray, window: int) -> np.ndarray:
     """Positions of window minima, the rightmost of equal ones."""
     if len(grams) <= window:
         return np.array([len(grams) - 1 - int(np.argmin(grams[::-1]))]) if len(grams) else np.zeros(0, int)
-    view = np.lib.stride_tricks.sliding_window_view(grams, window)[:, ::-1]
-    return np.unique(np.arange(len(view)) + window - 1 - np.argmin(view, axis=1))
+    n = len(grams) - window + 1
+    best, at = grams[:n], np.arange(n)
+    for j in range(1, window):  # a step for each place in the window, not for each window
+        less = grams[j : j + n] <= best
+        best, at = np.where(less, grams[j : j + n], best), np.where(less, np.arange(j, j + n), at)
+    return at[np.concatenate([[True], at[1:] != at[:-1]])]
 
 
 def _seeds(docs: DataFrame, k: int, window: int, min_words: int, kind: str) -> DataFrame:
@@ -57,6 +61,18 @@ def _seeds(docs: DataFrame, k: int, window: int, min_words: int, kind: str) -> D
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, f"token bigint, doc_id {kind}, pos int")
 
 
+def _held(seeds: DataFrame) -> DataFrame:
+    """Seeds that several documents hold, ``token, doc_id, pos, src, at``, with the first place of the smallest one.
+
+    One shuffle: most seeds have a token of their own, so nothing can be gathered before it, and a join back would
+    shuffle all of them again. A token's rows lie in a buffer that goes to disk when it grows.
+    """
+    token = Window.partitionBy("token")
+    several = seeds.withColumns({"low": F.min("doc_id").over(token), "last": F.max("doc_id").over(token)}).where("low <> last")
+    pivot = several.withColumn("pivot", F.min(F.struct("doc_id", "pos")).over(token))
+    return pivot.selectExpr("token", "doc_id", "pos", "pivot.doc_id as src", "pivot.pos as at")
+
+
 def chains(pos: np.ndarray, at: np.ndarray, k: int, gap_cost: float, max_gap: int) -> list[tuple[int, int, int, int, int]]:
     """Collinear chains of matches: (first and last start in the document, the same in the pivot, matches).
 
@@ -339,12 +355,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, identity: float = 0.
     don't repeat each other; other columns are ignored; an empty table gives no rows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    seeds = materialize(_seeds(docs, k, window, min_words, kind), "seeds")
-    shared = seeds.groupBy("token").agg(F.min(F.struct("doc_id", "pos")).alias("pivot"), F.max("doc_id").alias("last")).where("pivot.doc_id <> last")
-    shared = materialize(shared.selectExpr("token", "pivot.doc_id as src", "pivot.pos as at"), "shared")
-    few = F.broadcast(shared) if shared.count() <= broadcast_rows else shared
-    held = materialize(seeds.join(few, "token").select("token", "doc_id", "pos", "src", "at"), "held")
-    release(seeds, shared)
+    held = materialize(_held(_seeds(docs, k, window, min_words, kind)), "held")
     settings = (min_words, identity, k, window, gap_cost, max_gap, kind)
     found = _passages(docs, held.where("doc_id <> src").select("doc_id", "src", "pos", "at"), min_words // 2, *settings)
     others = _passages(docs, _other_pairs(held, found, k, window, min_words, 32, broadcast_rows, kind), 0, *settings)

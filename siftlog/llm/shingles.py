@@ -11,6 +11,9 @@ import pyarrow as pa
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_bytes = np.arange(256, dtype=np.uint8)
+_INK = ~((_bytes == 32) | ((_bytes >= 9) & (_bytes <= 13)))
+_LOW = np.where((_bytes >= 65) & (_bytes <= 90), _bytes + 32, _bytes).astype(np.uint64) + np.uint64(1)
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
@@ -46,7 +49,7 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
     raw = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
-    ink = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
+    ink = _INK[raw]
     first, last = ink.copy(), ink.copy()
     first[1:] &= ~ink[:-1]
     last[:-1] &= ~ink[1:]
@@ -55,9 +58,8 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     last[inner - 1] |= ink[inner - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     power, inverse = _powers_to(len(raw) + 1)
-    low = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint64) + np.uint64(1)
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(low * power[: len(raw)], out=sums[1:])
+    np.cumsum(_LOW[raw] * power[: len(raw)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * inverse[starts]), np.searchsorted(starts, offsets)
 
 

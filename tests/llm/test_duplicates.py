@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siftlog.llm.fingerprints import _with_bucket, edited_neighbours, fingerprints
 from siftlog.llm.jaccard import Sketches, jaccard_components, sketch
-from siftlog.llm.passages import align, chains, remove_passages, repeated_passages, winnow, without
+from siftlog.llm.passages import _held, align, chains, remove_passages, repeated_passages, winnow, without
 from siftlog.llm.vectors import near_vectors, passes_for
 
 
@@ -352,3 +352,20 @@ def test_vectors_recall(spark, tmp_path, lean):
     pq.write_table(table, str(tmp_path / "vectors.parquet"))
     got = {v["vec_id"]: v["component_id"] for v in near_vectors(spark.read.parquet(str(tmp_path / "vectors.parquet"))).collect()}
     assert len(want) >= 600 and sum(got[u] == got[v] for u, v in want) >= 0.95 * len(want)
+
+
+def test_held_seeds_meet_the_smallest_document(spark):
+    """All seeds are shuffled once, also those of one token that has most rows."""
+    r = random.Random(7)
+    seeds = sorted({(r.choice([1, 1, 1, 5, -3, r.randrange(90)]), r.randrange(40), r.randrange(30)) for _ in range(900)} | {(777, 3, p) for p in range(20)} | {(778, 4, 2), (778, 9, 1)})
+    own = {}
+    for token, doc, pos in seeds:
+        own.setdefault(token, []).append((doc, pos))
+    expected = [(t, d, p, *min(o)) for t, o in own.items() if len({x[0] for x in o}) > 1 for d, p in o]
+    frame = spark.createDataFrame(r.sample(seeds, len(seeds)), "token bigint, doc_id bigint, pos int")
+    found = _held(frame)
+    plan = found._jdf.queryExecution().sparkPlan().toString() + found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+    named = _held(frame.withColumn("doc_id", F.lpad(F.col("doc_id").cast("string"), 3, "0")))
+    assert sorted((t, int(d), p, int(s), a) for t, d, p, s, a in named.collect()) == sorted(expected)
