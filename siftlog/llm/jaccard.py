@@ -23,7 +23,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from siftlog.llm.shingles import shingles
 from siftlog.llm.texts import give_back, slices
@@ -250,15 +250,15 @@ def _forest(edges: list[tuple]) -> list[int]:
 
 
 def _meet(rows: DataFrame, percent: int, kind: str, spare: int = 0) -> DataFrame:
-    """Likely pairs of different components in each unit, ``unit, u, v, cu, cv, more``: all if they are at
+    """Likely pairs of different components in each unit, ``entry, u, v, cu, cv, more``: all if they are at
     most ``spare`` for each row of the unit, else a spanning forest of the components.
 
-    ``rows(unit, side, doc_id, n, component, sketch, other)`` come sorted by unit, units are bounded.
+    ``rows(unit, entry, side, doc_id, n, component, sketch, other)`` come sorted by unit, units are bounded.
     Sides -1 all meet; 0 and 1 meet each other. A row with ``other`` is a pair that has failed already.
     ``more``: the unit has likely pairs that are not given.
     """
-    schema = f"unit bigint, u {kind}, v {kind}, cu {kind}, cv {kind}, more boolean"
-    names = ["unit", "u", "v", "cu", "cv", "more"]
+    schema = f"entry bigint, u {kind}, v {kind}, cu {kind}, cv {kind}, more boolean"
+    names = ["entry", "u", "v", "cu", "cv", "more"]
 
     def emit(table):
         dead = table.column("other").is_valid()
@@ -302,7 +302,7 @@ def _meet(rows: DataFrame, percent: int, kind: str, spare: int = 0) -> DataFrame
             more += [count > len(chosen)] * len(chosen)
             start += count
         i, j = i[take], j[take]
-        out = [pa.array(unit[i], pa.int64()), *(table.column(c).take(pa.array(x)) for c, x in (("doc_id", i), ("doc_id", j), ("component", i), ("component", j))), pa.array(more, pa.bool_())]
+        out = [*(table.column(c).take(pa.array(x)) for c, x in (("entry", i), ("doc_id", i), ("doc_id", j), ("component", i), ("component", j))), pa.array(more, pa.bool_())]
         yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in out], names=names)
 
     def run(batches):
@@ -321,7 +321,41 @@ def _meet(rows: DataFrame, percent: int, kind: str, spare: int = 0) -> DataFrame
     return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, schema)
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, pivots: int = 4, often: int = 500, max_frequent: int = 4096, block: int = 1024, broadcast_rows: int = 200_000, broadcast_entries: int = 1_000_000) -> DataFrame:
+def _units(index: DataFrame, block: int) -> DataFrame:
+    """Rows of ``index(entry, doc_id, n, component, c, ...)`` in bounded units in which sets of different components meet.
+
+    An entry of at most ``block`` rows is one unit. Of a larger one the rows of its largest component needn't meet
+    each other: their blocks meet the blocks of the others, whose blocks meet each other as well. So an entry that
+    one component fills makes as many rows as it has, times the blocks of the others.
+    """
+    columns = index.columns
+    small = index.where(F.col("c") <= block).select(*columns, F.col("entry").alias("unit"), F.lit(-1).alias("side"))
+    large = index.where(F.col("c") > block)
+    sizes = large.groupBy("entry", "component").agg(F.count("*").alias("m"), F.first("c").alias("c"))
+    most = sizes.groupBy("entry").agg(F.max(F.struct("m", "component")).alias("most"), F.first("c").alias("c"))
+    cells = lambda rows: F.ceil(rows / block).cast("int")
+    most = most.select("entry", F.col("most.component").alias("main"), cells(F.col("most.m")).alias("mains"), cells(F.col("c") - F.col("most.m")).alias("others"))
+    rows = large.join(most, "entry").withColumn("ours", F.col("component") == F.col("main"))
+    rows = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.when(F.col("ours"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    meets = lambda x, y, side: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), side.cast("int").alias("side"))
+    cell, end = F.col("cell"), F.lit(-1)
+    with_others = F.transform(upto(F.col("others")), lambda o: meets(cell, -1 - o, F.lit(0)))
+    with_mains = F.transform(upto(F.col("mains")), lambda m: meets(m, -1 - cell, F.lit(1)))
+    among = F.transform(upto(F.col("others")), lambda o: meets(-1 - F.least(cell, o), -1 - F.greatest(cell, o), F.when(cell == o, end).when(o < cell, 0).otherwise(1)))
+    rows = rows.withColumn("at", F.explode(F.when(F.col("ours"), with_others).otherwise(F.concat(with_mains, among))))
+    rows = rows.select(*columns, F.xxhash64("entry", "at.x", "at.y").alias("unit"), F.col("at.side").alias("side"))
+    return small.unionByName(rows)
+
+
+def _mixed(index: DataFrame) -> DataFrame:
+    """Rows of entries with sets of several components, with the number of rows of their entry in ``c``."""
+    whole = Window.partitionBy("entry")
+    index = index.withColumns({"low": F.min("component").over(whole), "high": F.max("component").over(whole)}).where("low <> high")
+    return index.withColumn("c", F.count("*").over(whole)).select("entry", "doc_id", "n", "component", "c")
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, pivots: int = 4, often: int = 500, max_frequent: int = 4096, block: int = 1024, broadcast_rows: int = 200_000) -> DataFrame:
     """``doc_id, n_shingles, component_id``: classes of texts linked by Jaccard likeness of at least ``percent``.
 
     Exact up to 64-bit hash equality. Sets are of distinct ``k``-word shingles of whole texts; a shorter
@@ -333,8 +367,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, pivots: i
     frequent; at most ``max_frequent`` of them, the most frequent ones, are (any choice gives the same
     links). Equal sets are joined by digest; one of them stands for all. ``pivots``: by so many smallest
     tokens sets meet a pivot; what that misses the index finds. Sets of an entry meet in blocks of ``block``.
-    Tables of at most ``broadcast_rows`` ids, and entries of 16 bytes up to ``broadcast_entries``, are
-    broadcast after they were counted; others are shuffled.
+    Tables of at most ``broadcast_rows`` ids are broadcast after they were counted; others are shuffled.
     """
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -373,6 +406,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, pivots: i
     hot = shared.where(F.col("c") > often).groupBy("token").agg(F.max("c").alias("c"))
     hot = [r["token"] for r in hot.orderBy(F.desc("c"), "token").limit(max_frequent).collect()]
     sizes = materialize(sets.select("doc_id", F.col("n").alias("n_shingles")), "sizes")
+    release(shared)
     if hot:
         trimmed = materialize(_trim(reps, percent, hot, kind), "trimmed")
         release(sets)
@@ -380,41 +414,43 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, pivots: i
         anew = _signatures(_only(docs, short.select("doc_id"), broadcast_rows), k, percent, hot).join(few(short), "doc_id")
         anew = materialize(anew.select("doc_id", "n", "component", "sketch", "prefix"), "anew")
         own = trimmed.where("prefix is not null").unionByName(anew)
-        release(shared)
-        shared = materialize(mixed(own), "mixed")
 
-    index = entries(own, "n").join(F.broadcast(shared.select("entry", "c")) if shared.count() <= broadcast_entries else shared.select("entry", "c"), "entry")
+    # one shuffle of all entries: nearly all have one set, so neither counting nor joining the counts back gathers them
+    index = materialize(_mixed(entries(own, "n")), "index")
     marks = own.select("doc_id", "n", "sketch").distinct()
-    cells = F.ceil(F.col("c") / block).cast("int")
-    cell = F.pmod(F.xxhash64("doc_id"), cells).cast("int")
-    index = index.withColumns({"cells": cells, "cell": cell}).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    index = index.withColumn("unit", F.when(F.col("cells") == 1, F.col("entry")).otherwise(F.xxhash64("entry", F.least("cell", "with"), F.greatest("cell", "with"))))
-    index = index.withColumn("side", F.expr("case when cell = with then -1 when cell < with then 0 else 1 end"))
-    wanted = ["unit", "side", "doc_id", "n", "component", "sketch"]
+    wanted = ["unit", "entry", "side", "doc_id", "n", "component", "sketch"]
     # sketches join only what is left of the entries, so that most of them never carry one
-    rows = index.join(marks, ["doc_id", "n"]).select(*wanted, F.lit(None).cast(kind).alias("other"))
-    every, spent = [links], []
+    rows = _units(index.join(marks, ["doc_id", "n"]), block).select(*wanted, F.lit(None).cast(kind).alias("other"))
+    every, spent, dead = [links], [index], None
     while True:
         met = materialize(_meet(rows, percent, kind, 4 if len(every) == 1 else 32), "met")
         more = verify(met, docs, k, percent, broadcast_rows, doubtful=True)
         every.append(more)
         failed = met.join(few(more.withColumn("linked", F.lit(True))), ["u", "v"], "left").where("linked is null")
-        asked = materialize(failed.where("more").select("unit").distinct(), "asked")
+        asked = materialize(failed.where("more").select("entry").distinct(), "asked")
         spent += [met, asked]
         if not asked.count():
             break
-        again = rows.join(few(asked), "unit", "left_semi")
+        united = connected_components(met.join(few(more), ["u", "v"], "left_semi").select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+        united_ = few(united.select(F.col("node").alias("component"), F.col("component").alias("with")))
+        # entries are asked again by their rows, before these are dealt to units, and only where components are left apart
+        again = index.join(few(asked), "entry", "left_semi").join(united_, "component", "left").withColumn("component", F.coalesce("with", "component"))
+        index = materialize(_mixed(again), "index")
+        failed = failed.select("entry", "u", "v")
+        dead = materialize((failed if dead is None else failed.unionByName(dead)).join(few(index.select("entry").distinct()), "entry", "left_semi"), "dead")
         if len(every) == 2:
-            ids = materialize(again.select("doc_id").distinct(), "ends")
+            ids = materialize(index.select("doc_id").distinct(), "ends")
             sharp = materialize(_sharp(_only(docs, ids, broadcast_rows), k), "sharp")
-            again = again.drop("sketch").join(sharp.withColumnRenamed("sharp", "sketch"), ["doc_id", "n"])
+            marks = sharp.withColumnRenamed("sharp", "sketch").distinct()
             spent += [ids, sharp]
-        united = connected_components(met.join(few(more), ["u", "v"], "left_semi").select(F.col("cu").alias("u"), F.col("cv").alias("v")))
-        united_ = few(united.select(F.col("node").alias("component"), F.col("component").alias("with")))
-        again = again.join(united_, "component", "left").withColumn("component", F.coalesce("with", "component"))
-        dead = failed.where("more").select("unit", F.lit(-1).alias("side"), F.col("u").alias("doc_id"), F.lit(0).cast("bigint").alias("n"), F.col("cu").alias("component"), F.lit(None).cast("binary").alias("sketch"), F.col("v").alias("other"))
-        rows = materialize(again.select(*wanted, "other").unionByName(dead), "again")
-        spent += [united, rows]
+        # each row of the index meets its sketch and its failed pairs once, before it goes to one or several units
+        own = index.join(marks, ["doc_id", "n"])
+        pairs = dead.groupBy("entry", F.col("u").alias("doc_id")).agg(F.collect_set("v").alias("failed"))
+        own = _units(own.join(pairs, ["entry", "doc_id"], "left"), block)
+        known = F.transform(F.coalesce("failed", F.array().cast(f"array<{kind}>")), lambda v: F.struct(F.lit(-1).alias("side"), F.lit(None).cast("binary").alias("sketch"), v.alias("other")))
+        own = own.withColumn("as", F.explode(F.concat(F.array(F.struct(F.col("side"), F.col("sketch"), F.lit(None).cast(kind).alias("other"))), known)))
+        rows = materialize(own.select("unit", "entry", "as.side", "doc_id", "n", "component", "as.sketch", "as.other"), "again")
+        spent += [united, index, dead, rows]
     pairs = same.select("u", "v")
     for found in every:
         pairs = pairs.unionByName(found)
@@ -422,5 +458,5 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, pivots: i
     ids = few(found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id")))
     out = sizes.join(ids, "doc_id", "left")
     out = materialize(out.withColumn("component_id", F.coalesce("component_id", "doc_id")), "classes")
-    release(sizes, classes, same, groups, shared, found, *every, *spent, *((trimmed, short, anew) if hot else (sets,)))
+    release(sizes, classes, same, groups, found, *every, *spent, *((trimmed, short, anew) if hot else (sets,)))
     return out

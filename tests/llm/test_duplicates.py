@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftlog.llm.fingerprints import _with_bucket, edited_neighbours, fingerprints
-from siftlog.llm.jaccard import Sketches, jaccard_components, sketch
+from siftlog.llm.jaccard import Sketches, _units, jaccard_components, sketch
 from siftlog.llm.passages import _held, align, chains, remove_passages, repeated_passages, winnow, without
 from siftlog.llm.vectors import near_vectors, passes_for
 
@@ -369,3 +369,29 @@ def test_held_seeds_meet_the_smallest_document(spark):
     assert sorted(map(tuple, found.collect())) == sorted(expected)
     named = _held(frame.withColumn("doc_id", F.lpad(F.col("doc_id").cast("string"), 3, "0")))
     assert sorted((t, int(d), p, int(s), a) for t, d, p, s, a in named.collect()) == sorted(expected)
+
+
+def test_units_of_large_entries(spark):
+    """All sets of different components meet in one unit at least, units are bounded, and an entry that one
+    component fills makes rows in proportion to it, not to its square."""
+    sizes = {"small": [3, 2], "filled": [900, 5], "mixed": [60, 40, 30, *[1] * 70], "alone": [1] * 150}
+    index, comp = [], {}
+    for e, parts in enumerate(sizes.values()):
+        for p, m in enumerate(parts):
+            for i in range(m):
+                doc = e * 10_000 + p * 1000 + i
+                comp[doc] = e * 100 + p
+                index.append((e, doc, 9, comp[doc], sum(parts)))
+    rows = _units(spark.createDataFrame(index, "entry bigint, doc_id bigint, n bigint, component bigint, c bigint"), 50).collect()
+    units, met, made = {}, {e: set() for e in range(4)}, [0] * 4
+    for x in rows:
+        units.setdefault((x["entry"], x["unit"]), []).append(x)
+        made[x["entry"]] += 1
+    assert len({u for _, u in units}) == len(units) and max(map(len, units.values())) < 3 * 50
+    for (e, _), own in units.items():
+        for a in own:
+            met[e] |= {(a["doc_id"], b["doc_id"]) for b in own if a["doc_id"] < b["doc_id"] and a["component"] != b["component"] and (a["side"] < 0 or a["side"] != b["side"])}
+    for e in range(4):
+        own = sorted(d for f, d, *_ in index if f == e)
+        assert met[e] == {(a, b) for i, a in enumerate(own) for b in own[i + 1 :] if comp[a] != comp[b]}
+    assert made[0] == 5 and made[1] <= 900 + 5 * 19
