@@ -11,6 +11,8 @@ STOP = "a an and are as at be by for from has in is it its of on or that the thi
 K1, B = 1.5, 0.75
 #: Levels of a term's postings by share, and what rounding to six digits can add to a score.
 LEVELS, SLACK = 8, 1e-6
+#: Bytes of texts for each shuffle partition, and of a table that one task reads.
+SHARE_BYTES, READ_BYTES = 4 << 20, 8 << 20
 AUTH_DATA_SOURCES = ("Logon Session", "User Account", "Active Directory")
 
 
@@ -27,7 +29,18 @@ def postings(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return tf, words.select("document_id", F.size("w").alias("length")), tf.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def _impacts(terms: DataFrame, docs: DataFrame) -> DataFrame:
+def bounded_tasks(docs: DataFrame) -> dict[str, str]:
+    """Settings under which the share of ``docs`` that a task aggregates stays the same however large ``docs`` is.
+
+    Partitions follow the size that Spark knows of the files (others keep the session's number); row groups of what is
+    written are small, as a task reads whole ones. Adaptive execution still joins small partitions.
+    """
+    size, own = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(own, size // SHARE_BYTES) if size < 1 << 50 else own
+    return {"spark.sql.shuffle.partitions": str(parts), "spark.sql.files.maxPartitionBytes": str(READ_BYTES), "parquet.block.size": str(READ_BYTES)}
+
+
+def _impacts(terms: DataFrame, docs: DataFrame, bounded: dict[str, str] | None = None) -> DataFrame:
     """``term, level, document_id, share`` of the postings of the asked terms, levels by share from 1 to ``LEVELS``.
 
     Words meet the distinct query terms before their first shuffle. An empty term stands for the document itself, so that
@@ -36,7 +49,7 @@ def _impacts(terms: DataFrame, docs: DataFrame) -> DataFrame:
     asked = terms.select("term").distinct().unionByName(terms.sparkSession.createDataFrame([("",)], "term string"))
     words = docs.where("document_id is not null").select("document_id", tokenize("text").alias("w"))
     words = words.select("document_id", F.size("w").alias("length"), F.explode(F.concat(F.coalesce("w", F.array().cast("array<string>")), F.array(F.lit("")))).alias("term"))
-    held = materialize(words.join(asked, "term", "left_semi").groupBy("document_id", "length", "term").agg(F.count("*").alias("tf")), "postings")
+    held = materialize(words.join(asked, "term", "left_semi").groupBy("document_id", "length", "term").agg(F.count("*").alias("tf")), "postings", bounded)
     stats = held.where("term = ''").agg(F.sum("tf").alias("docs"), F.expr("sum(tf * length) / sum(if(length is null, null, tf))").alias("mean_length"))
     weight = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length"))
     tf = held.where("term <> ''").crossJoin(F.broadcast(stats)).withColumn("shape", F.col("tf") / weight)
@@ -44,7 +57,7 @@ def _impacts(terms: DataFrame, docs: DataFrame) -> DataFrame:
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     share = F.round(idf * F.col("tf") * (K1 + 1) / weight, 6)
     level = F.greatest(F.lit(1), F.ceil(F.col("shape") / F.col("top") * LEVELS).cast("int"))
-    out = materialize(tf.join(known, "term").select("term", level.alias("level"), "document_id", share.alias("share")), "impacts")
+    out = materialize(tf.join(known, "term").select("term", level.alias("level"), "document_id", share.alias("share")), "impacts", bounded)
     release(held)
     return out
 
@@ -93,16 +106,17 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, seeds: int = 1000, skip: f
     floor are scored in full. Any ``seeds`` and ``skip`` (0 to 1) give the same rows.
     """
     terms = materialize(queries.where("query_id is not null").select("query_id", F.explode(tokenize("text")).alias("term")).distinct(), "terms")
-    impacts = _impacts(terms, docs)
+    bounded = bounded_tasks(docs)
+    impacts = _impacts(terms, docs, bounded)
     levels = impacts.groupBy("term", "level").agg(F.count("*").alias("n"), F.max("share").alias("bound"))
     lists = materialize(terms.join(levels, "term"), "lists")
-    floors = materialize(_floors(lists, terms, impacts, k, seeds * k), "floors")
+    floors = materialize(_floors(lists, terms, impacts, k, seeds * k), "floors", bounded)
     read = materialize(essential_levels(lists, floors, skip).select("query_id", "term", "level", "cut", "spare", "floor"), "read")
     named = read.join(impacts, ["term", "level"]).groupBy("query_id", "document_id", "spare", "floor").agg(F.sum(F.col("share") - F.col("cut")).alias("over"))
-    able = materialize(named.where(F.col("over") + F.col("spare") >= F.col("floor") - SLACK), "able")
+    able = materialize(named.where(F.col("over") + F.col("spare") >= F.col("floor") - SLACK), "able", bounded)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "document_id")
     best = _shares(able, terms, impacts).groupBy("query_id", "document_id").agg(F.round(F.sum("share"), 6).alias("score")).withColumn("rank", F.row_number().over(w))
-    best = materialize(best.where(F.col("rank") <= k), "best")
+    best = materialize(best.where(F.col("rank") <= k), "best", bounded)
     release(lists, floors, read, able)
     listed = F.array_sort(F.collect_list(F.struct((-F.col("share")).alias("s"), "term")))
     told = _shares(best, terms, impacts).groupBy("query_id", "document_id").agg(F.transform(listed, lambda x: F.struct(x["term"].alias("term"), (-x["s"]).alias("share"))).alias("terms"))

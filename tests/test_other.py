@@ -241,3 +241,21 @@ def test_parse_failures_of_lines_with_both_faults(spark):
     got = sorted(tuple(map(str, r)) for r in QUERIES["p6_parse_failures"](spark, folder).select(columns).collect())
     want = sorted(tuple(map(str, r)) for r in c.sql(f"select {', '.join(columns)} from ({ORACLES['p6_parse_failures']})").fetchall())
     assert got == want and any(r[1].endswith("8633app: nothing known") for r in got)
+
+
+def test_bm25_tasks_stay_bounded_as_texts_grow(spark, tmp_path, monkeypatch):
+    """Partitions follow the size of the texts, and any number of them gives the same rows."""
+    from siftlog.operators import retrieval
+
+    text = F.concat_ws(" ", *(F.substring(F.sha2((F.col("id") * 7 + i).cast("string"), 256), 1, 2) for i in range(40)))
+    spark.range(400).select(F.col("id").alias("document_id"), text.alias("text")).write.parquet(f"{tmp_path}/small")
+    spark.range(1600).select(F.col("id").alias("document_id"), text.alias("text")).write.parquet(f"{tmp_path}/large")
+    small, large = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("small", "large"))
+    queries = small.where("document_id < 5").select(F.col("document_id").alias("query_id"), "text")
+    want = sorted(map(str, retrieval.bm25(queries, small, 5).collect()))
+    monkeypatch.setattr(retrieval, "SHARE_BYTES", 2000)
+    parts = [int(retrieval.bounded_tasks(d)["spark.sql.shuffle.partitions"]) for d in (small, large)]
+    assert parts[0] > 4 and 3 * parts[0] < parts[1]
+    assert sorted(map(str, retrieval.bm25(queries, small, 5).collect())) == want
+    named = spark.createDataFrame([(1, "a b")], "document_id bigint, text string").rdd.toDF()
+    assert retrieval.bounded_tasks(named)["spark.sql.shuffle.partitions"] == spark.conf.get("spark.sql.shuffle.partitions")
