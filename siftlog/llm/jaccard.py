@@ -33,17 +33,21 @@ from siftlog.scratch import materialize, release
 
 #: Tokens kept beyond a prefix: a set with as few frequent tokens need not be read again.
 SPARE = 8
-#: Bits of a sketch for each token, and of the largest one: at first, and where a likely pair has failed.
-PLAIN, SHARP = (1, 2048), (8, 131072)
+#: Bits of a sketch for each token, tokens from which on half as many do, and bits of the largest one: at first, and where a likely pair has failed.
+PLAIN, SHARP = (1, 2049, 32768), (8, 1 << 62, 131072)
 
 
 def _slack(n: int, percent: int) -> int:
     return n - -(-percent * n // 100)
 
 
-def sketch(tokens: np.ndarray, size: tuple[int, int] = PLAIN) -> bytes:
-    """Parities of the numbers of tokens by their low bits, in a power of two bits."""
-    bits = min(size[1], max(64, size[0] << max(0, len(tokens) - 1).bit_length()))
+def sketch(tokens: np.ndarray, size: tuple[int, int, int] = PLAIN) -> bytes:
+    """Parities of the numbers of tokens by their low bits, in a power of two bits.
+
+    Unlike sets of ``n`` tokens differ in about half the bits, which rules them out if these are more than the
+    tokens in which like ones may differ, a ninth of both at 80 percent: half a bit a token is enough for long texts.
+    """
+    bits = min(size[2], max(64, size[0] << max(0, len(tokens) - 1).bit_length() >> (len(tokens) >= size[1])))
     places = (tokens & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits(np.bincount(places, minlength=bits).astype(np.uint8) & 1).tobytes()
 
@@ -395,15 +399,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, pivots: i
     def entries(frame: DataFrame, *more: str) -> DataFrame:
         """A row per entry of a prefix; sets that link meet in one magnitude of ``n`` at least."""
         sized = frame.withColumn("magnitude", F.explode(F.expr(f"sequence(cast(floor(log2(n)) as int), cast(floor(log2(n * 100 div {percent})) as int))")))
-        return sized.select("doc_id", "component", *more, "magnitude", F.explode("prefix").alias("token")).withColumn("entry", F.xxhash64("token", "magnitude"))
-
-    def mixed(frame: DataFrame) -> DataFrame:
-        """Entries with sets of several components."""
-        counts = entries(frame).groupBy("entry").agg(F.count("*").alias("c"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("token").alias("token"))
-        return counts.where("low <> high").select("entry", "c", "token")
+        return sized.select("doc_id", "component", *more, "magnitude", F.explode("prefix").alias("token"))
 
-    shared = materialize(mixed(own), "mixed")
-    hot = shared.where(F.col("c") > often).groupBy("token").agg(F.max("c").alias("c"))
+    # grouped by token and magnitude, not by their hash: less to shuffle, and the token needn't be carried beside it
+    counts = entries(own).groupBy("token", "magnitude").agg(F.count("*").alias("c"), F.min("component").alias("low"), F.max("component").alias("high"))
+    shared = materialize(counts.where((F.col("c") > often) & (F.col("low") != F.col("high"))).select("token", "c"), "mixed")
+    hot = shared.groupBy("token").agg(F.max("c").alias("c"))
     hot = [r["token"] for r in hot.orderBy(F.desc("c"), "token").limit(max_frequent).collect()]
     sizes = materialize(sets.select("doc_id", F.col("n").alias("n_shingles")), "sizes")
     release(shared)
@@ -416,7 +417,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, pivots: i
         own = trimmed.where("prefix is not null").unionByName(anew)
 
     # one shuffle of all entries: nearly all have one set, so neither counting nor joining the counts back gathers them
-    index = materialize(_mixed(entries(own, "n")), "index")
+    index = materialize(_mixed(entries(own, "n").withColumn("entry", F.xxhash64("token", "magnitude"))), "index")
     marks = own.select("doc_id", "n", "sketch").distinct()
     wanted = ["unit", "entry", "side", "doc_id", "n", "component", "sketch"]
     # sketches join only what is left of the entries, so that most of them never carry one

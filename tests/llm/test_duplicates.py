@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siftlog.llm.fingerprints import _with_bucket, edited_neighbours, fingerprints
 from siftlog.llm.jaccard import Sketches, _units, jaccard_components, sketch
-from siftlog.llm.passages import _held, align, chains, remove_passages, repeated_passages, winnow, without
+from siftlog.llm.passages import _held, _slices, align, chains, remove_passages, repeated_passages, winnow, without
 from siftlog.llm.vectors import near_vectors, passes_for
 
 
@@ -265,6 +265,30 @@ def test_sketches_bound_the_difference():
                 assert j != len(sets) + i or differ - marks.differ(np.array([i]), np.array([j]))[0] <= 2
 
 
+def test_sketches_rule_out_unlike_long_sets():
+    """Long texts that share next to nothing are told apart by the first sketches."""
+    r = np.random.default_rng(5)
+    for n in (300, 3000, 4700, 8000, 12000, 20000, 40000):
+        x, y = (np.unique(r.integers(0, 1 << 63, n).astype(np.uint64)) for _ in "xy")
+        marks = Sketches(pa.array([sketch(x), sketch(y)]))
+        near, _ = marks.near(np.array([0]), np.array([1]), np.array([20 * (len(x) + len(y)) // 180]))
+        assert not len(near), n
+
+
+def test_texts_without_chains_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(i, f"a{i} b c d e") for i in range(300)] + [(None, "a b")], "doc_id bigint, text string")
+    wanted = spark.createDataFrame([(7, [(1, 3)]), (9, [(0, 2), (4, 99)])], "doc_id bigint, ranges array<struct<lo:int,hi:int>>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cut = _slices(docs, wanted, "bigint")
+        assert sorted((x["doc_id"], x["lo"], len(x["words"]) // 4) for x in cut.collect()) == [(7, 1, 2), (9, 0, 2), (9, 4, 1)]
+        plan = cut._jdf.queryExecution().executedPlan().toString()
+        assert "LeftSemi" in plan[plan.index("SortMergeJoin") :]  # below the join with the ranges
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_short_text_against_long_one(spark):
     """A text of characters only and one of words only are compared by characters; brute-force windows agree."""
     r = random.Random(6)
