@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from siftlog.schemas import EVENT_SCHEMA, SESSION_SCHEMA
-from siftlog.scratch import materialize
+from siftlog.scratch import materialize, release
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -36,22 +38,30 @@ def load_logs(spark: SparkSession, path: str, default_year: int | None = None, z
 PACKED = r"\.(gz|bz2|deflate|lz4|snappy|zst|xz)$"
 
 
-def file_digests(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+def file_digests(spark: SparkSession, path: str, glob: str = "*", chunk: int = 256 << 20) -> DataFrame:
     """``path, size, sha256, lines`` of every file under ``path``, of any size.
 
     A task reads whole files as lines that end at line feeds, which keeps every byte, and carries digest and
-    count over its batches: a file is never one value. ``lines`` are what ``str.splitlines`` gives for the
-    text read as UTF-8. Packed files, which the line reader would unpack, are read as one value each (2 GB).
+    count over its batches: a file is never one value. Files over ``chunk`` bytes are copied as pieces by
+    ranges of so many bytes, and each range is digested by a task of its own, which goes on from the state
+    of the one before. ``lines`` are what ``str.splitlines`` gives for the text read as UTF-8. Packed files,
+    which the line reader would unpack, are read as one value each (2 GB).
     """
     reader = lambda: spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
-    listed = reader().format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"))
-    raw = reader().option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("value"))
-    whole = materialize(raw.where(~F.col("path").rlike(PACKED)).mapInArrow(_digest, "path string, sha256 string, lines bigint"), "digests", WHOLE_FILES)
-    packed = reader().format("binaryFile").load(path).where(F.col("_metadata.file_path").rlike(PACKED)).select(F.col("_metadata.file_path").alias("path"), F.sha2("content", 256).alias("sha256"), F.lit(None).cast("bigint").alias("lines"))
+    path_, size = F.col("_metadata.file_path"), F.col("_metadata.file_size")
+    listed = reader().format("binaryFile").load(path).select(path_.alias("path"), size.alias("size"))
+    text = reader().option("lineSep", "\n").text(path).where(~path_.rlike(PACKED))
+    columns = path_.alias("path"), size.alias("size"), F.col("value").cast("binary").alias("value")
+    digests = materialize(text.where(size <= chunk).select(*columns).mapInArrow(_digest, DIGEST), "digests", WHOLE_FILES)
+    if listed.where((F.col("size") > chunk) & ~F.col("path").rlike(PACKED)).limit(1).count():
+        blocks = text.where(size > chunk).select(*columns, F.col("_metadata.file_block_start").alias("block"))
+        digests = digests.unionByName(_long_digests(blocks, chunk))
+    packed = reader().format("binaryFile").load(path).where(path_.rlike(PACKED)).select(path_.alias("path"), F.sha2("content", 256).alias("sha256"), F.lit(None).cast("bigint").alias("lines"))
     empty = F.sha2(F.lit("").cast("binary"), 256)
-    return listed.join(whole.unionByName(packed), "path", "left").select("path", "size", F.coalesce("sha256", empty).alias("sha256"), F.when(F.col("path").rlike(PACKED), F.col("lines")).otherwise(F.coalesce("lines", F.lit(0))).alias("lines"))
+    return listed.join(digests.unionByName(packed), "path", "left").select("path", "size", F.coalesce("sha256", empty).alias("sha256"), F.when(F.col("path").rlike(PACKED), F.col("lines")).otherwise(F.coalesce("lines", F.lit(0))).alias("lines"))
 
 
+DIGEST = "path string, sha256 string, lines bigint"
 #: Each file is one partition: opening a file counts as more than any file holds.
 WHOLE_FILES = {"spark.sql.files.maxPartitionBytes": str(2**61), "spark.sql.files.openCostInBytes": str(2**61)}
 
@@ -85,6 +95,97 @@ def _digest(batches):
         yield done()
 
 
+def _long_digests(blocks: DataFrame, chunk: int) -> DataFrame:
+    """``path, sha256, lines`` of the files of ``blocks(path, size, value, block)``, whose tasks read ``chunk`` bytes each.
+
+    The lines of a range become pieces in a file of their own, in order. Each round digests the next range of every file.
+    """
+    spark = blocks.sparkSession
+    # a range is a partition: opening a file counts as much as a range
+    ranges = {"spark.sql.files.maxPartitionBytes": str(chunk), "spark.sql.files.openCostInBytes": str(chunk), "spark.sql.files.maxRecordsPerFile": "0"}
+    pieces = materialize(blocks.mapInArrow(_pieces, "path string, size bigint, block bigint, lines bigint, piece binary"), "pieces", ranges)
+    parts = pieces.groupBy("path", "block").agg(F.min("_metadata.file_path").alias("file"))
+    place = F.row_number().over(Window.partitionBy("path").orderBy("block"))
+    rounds: dict[int, list[str]] = {}
+    for row in parts.select(place.alias("round"), "file").collect():  # a row per range
+        rounds.setdefault(row["round"], []).append(row["file"])
+    states, done = None, [pieces]
+    for r in sorted(rounds):
+        rows = spark.read.schema(pieces.schema).parquet(*rounds[r])
+        rows = rows.withColumn("state", F.lit(None).cast("binary")) if states is None else rows.join(F.broadcast(states.select("path", "state")), "path", "left")
+        now = rows.select("path", "size", "piece", "state").mapInArrow(_resume, "path string, state binary, sha256 string")
+        states = materialize(now, "states", WHOLE_FILES)
+        done.append(states)
+    ended = done[1].select("path", "sha256")
+    for states in done[2:]:
+        ended = ended.unionByName(states.select("path", "sha256"))
+    lines = pieces.groupBy("path").agg(F.sum("lines").alias("lines"))
+    out = materialize(ended.where("sha256 is not null").join(lines, "path").select("path", "sha256", "lines"), "digests")
+    release(*done)
+    return out
+
+
+def _pieces(batches):
+    """The lines of a batch as one piece with their line feeds; the last one of a file may have one too many."""
+    import pyarrow as pa
+
+    for batch in batches:
+        if len(batch):
+            piece = b"\n".join(batch.column("value").to_pylist()) + b"\n"
+            lines = len(piece.decode("utf-8", "replace").splitlines())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(0, 1) for c in ("path", "size", "block")), pa.array([lines]), pa.array([piece], pa.binary())], names=["path", "size", "block", "lines", "piece"])
+
+
+def _resume(batches):
+    """The state of the digest after the pieces of a range, and the digest itself at the end of the file."""
+    import pyarrow as pa
+
+    path = state = size = None
+    for batch in batches:
+        for path, size, piece, before in zip(*(batch.column(c).to_pylist() for c in ("path", "size", "piece", "state"))):
+            state = state or Sha256(before)
+            state.update(piece[: size - state.size()])
+    if state:
+        ended = state.size() == size
+        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([state.dump()], pa.binary()), pa.array([state.hexdigest() if ended else None], pa.string())], names=["path", "state", "sha256"])
+
+
+class Sha256:
+    """SHA-256 whose state is bytes that another process can go on from, as ``hashlib`` gives none.
+
+    By the SHA256 functions of the OpenSSL library that ``hashlib`` is linked to; its state is a plain structure.
+    """
+
+    STATE = 112
+
+    def __init__(self, state: bytes | None = None):
+        import _hashlib
+        import ctypes
+
+        self.lib = ctypes.CDLL(_hashlib.__file__)
+        self.lib.SHA256_Update.argtypes = [ctypes.c_void_p, ctypes.c_char_p, ctypes.c_size_t]
+        self.state = ctypes.create_string_buffer(state or b"", self.STATE)
+        if state is None:
+            self.lib.SHA256_Init(self.state)
+
+    def update(self, data: bytes) -> None:
+        self.lib.SHA256_Update(self.state, data, len(data))
+
+    def size(self) -> int:
+        """Bytes so far: the structure counts bits in two words behind eight words of the digest."""
+        return int.from_bytes(self.state.raw[32:40], sys.byteorder) // 8
+
+    def dump(self) -> bytes:
+        return self.state.raw
+
+    def hexdigest(self) -> str:
+        import ctypes
+
+        out, copy = ctypes.create_string_buffer(32), ctypes.create_string_buffer(self.state.raw, self.STATE)
+        self.lib.SHA256_Final(out, copy)
+        return out.raw.hex()
+
+
 def role_of(path: str = "path"):
     """S3: annotation, log or metadata by path."""
     p = F.lower(path)

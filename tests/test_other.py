@@ -259,3 +259,24 @@ def test_bm25_tasks_stay_bounded_as_texts_grow(spark, tmp_path, monkeypatch):
     assert sorted(map(str, retrieval.bm25(queries, small, 5).collect())) == want
     named = spark.createDataFrame([(1, "a b")], "document_id bigint, text string").rdd.toDF()
     assert retrieval.bounded_tasks(named)["spark.sql.shuffle.partitions"] == spark.conf.get("spark.sql.shuffle.partitions")
+
+
+def test_digests_of_files_in_ranges(spark, tmp_path):
+    """A file over ``chunk`` is read by several tasks, each going on from the state before; digests and lines are those of the whole file."""
+    import hashlib
+    import random
+
+    from siftlog.sources.files import Sha256, file_digests
+
+    r = random.Random(3)
+    junk = r.randbytes(9000)
+    texts = {"a": junk, "b": junk + b"\n", "c": b"x\r\ny\n\n" * 700, "d": b"z" * 3000 + b"\n" + b"q\n" * 900 + b"\x85\xc3", "e": b"short\n", "g": "\u2028\u00e9\r".encode() * 500, "h": b"\n" * 2048}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text)
+    got = {x["path"].rsplit("/", 1)[-1]: (x["size"], x["sha256"], x["lines"]) for x in file_digests(spark, str(tmp_path), chunk=1000).collect()}
+    assert got == {n: (len(t), hashlib.sha256(t).hexdigest(), len(t.decode("utf-8", "replace").splitlines())) for n, t in texts.items()}
+    first = Sha256()
+    first.update(junk[:777])
+    then = Sha256(first.dump())
+    then.update(junk[777:])
+    assert then.size() == 9000 and then.hexdigest() == hashlib.sha256(junk).hexdigest()
