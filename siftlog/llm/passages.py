@@ -14,7 +14,9 @@ them. Such a run meets the smallest document with each of its spans of 2, 4, 8,
 from __future__ import annotations
 
 import re
-from difflib import SequenceMatcher
+from bisect import bisect_left
+from difflib import Match, SequenceMatcher
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -84,28 +86,42 @@ def chains(pos: np.ndarray, at: np.ndarray, k: int, gap_cost: float, max_gap: in
     """
     n = len(pos)
     order = np.lexsort((-at, pos))
-    pos, at = pos[order].tolist(), at[order].tolist()
-    rank = {v: i + 1 for i, v in enumerate(sorted(set(at)))}
-    tree: list[tuple[float, int]] = [(float("-inf"), -1)] * (len(rank) + 1)
+    pos, at = pos[order], at[order]
+    rising = bool((np.diff(pos) > 0).all() and (np.diff(at) > 0).all())
+    pos, at = pos.tolist(), at.tolist()
     score, before = [0.0] * n, [-1] * n
-    for i in range(n):
-        here = gap_cost * (pos[i] + at[i])
-        best, r = (float("-inf"), -1), rank[at[i]] - 1
-        while r > 0:
-            if tree[r] > best:
-                best = tree[r]
-            r -= r & -r
-        gain = best[0] - here
-        if gain > 0:
-            before[i] = best[1]
-        score[i] = k + max(0.0, gain)
-        entry, r = (score[i] + here, i), rank[at[i]]
-        while r < len(tree):
-            if entry > tree[r]:
-                tree[r] = entry
-            r += r & -r
+    if rising:  # every match lies before the next in both texts, and f(i) + its costs grows by at least k
+        best = float("-inf")
+        for i in range(n):
+            here = gap_cost * (pos[i] + at[i])
+            gain = best - here
+            if gain > 0:
+                before[i] = i - 1
+            score[i] = k + max(0.0, gain)
+            best = score[i] + here
+    else:
+        rank = {v: i + 1 for i, v in enumerate(sorted(set(at)))}
+        tree: list[tuple[float, int]] = [(float("-inf"), -1)] * (len(rank) + 1)
+        for i in range(n):
+            here = gap_cost * (pos[i] + at[i])
+            best, r = (float("-inf"), -1), rank[at[i]] - 1
+            while r > 0:
+                if tree[r] > best:
+                    best = tree[r]
+                r -= r & -r
+            gain = best[0] - here
+            if gain > 0:
+                before[i] = best[1]
+            score[i] = k + max(0.0, gain)
+            entry, r = (score[i] + here, i), rank[at[i]]
+            while r < len(tree):
+                if entry > tree[r]:
+                    tree[r] = entry
+                r += r & -r
     used, out = [False] * n, []
-    for end in sorted(range(n), key=lambda i: (-score[i], i)):
+    for end in np.argsort(-np.array(score), kind="stable").tolist():
+        if used[end]:
+            continue
         path, i = [], end
         while i >= 0 and not used[i]:
             used[i] = True
@@ -143,9 +159,9 @@ def _chained(anchors: DataFrame, k: int, gap_cost: float, max_gap: int, extent:
             return
         pos, at = (batch.column(c).to_numpy().astype(np.int64) for c in ("pos", "at"))
         rows, found = [], []
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(pos)]):
-            if b - a < 2:
-                continue
+        starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(pos)]])
+        wide = np.flatnonzero((ends - starts > 1) & (pos[ends - 1] - pos[starts] + k + 2 * window >= extent))
+        for a, b in zip(starts[wide].tolist(), ends[wide].tolist()):
             for c in chains(pos[a:b], at[a:b], k, gap_cost, max_gap):
                 if c[4] > 1 and c[1] - c[0] + k + 2 * window >= extent:
                     rows.append(a)
@@ -166,22 +182,61 @@ def _stretch(x: np.ndarray, y: np.ndarray, reach: int) -> tuple[int, int, int]:
         differ = x[i : i + n] != y[j : j + n]
         run = int(np.argmax(differ)) if differ.any() else n
         i, j, same = i + run, j + run, same + run
-        for skip in range(1, 2 * reach + 1):
-            hit = next(((a, skip - a) for a in range(max(0, skip - reach), min(reach, skip) + 1) if i + a + 3 <= len(x) and j + skip - a + 3 <= len(y) and (x[i + a : i + a + 3] == y[j + skip - a : j + skip - a + 3]).all()), None)
-            if hit:
-                i, j = i + hit[0], j + hit[1]
-                break
-        else:
+        u, v = x[i : i + reach + 3].tolist(), y[j : j + reach + 3].tolist()
+        places = {words: b for b, words in reversed([*enumerate(zip(v, v[1:], v[2:]))])}
+        hits = [(a + places[words], a) for a, words in enumerate(zip(u, u[1:], u[2:])) if words in places]
+        if not hits:
             return i, j, same
+        skip, a = min(hits)
+        i, j = i + a, j + skip - a
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
     """Size of the intersection of two multisets."""
-    (u, n), (v, m) = (np.unique(z, return_counts=True) for z in (x, y))
-    if not len(v):
-        return 0
-    at = np.minimum(np.searchsorted(v, u), len(v) - 1)
-    return int(np.minimum(n, m[at])[v[at] == u].sum())
+    x, y = np.sort(x), np.sort(y)
+    return int((np.arange(len(x)) - np.searchsorted(x, x) < np.searchsorted(y, x, "right") - np.searchsorted(y, x)).sum())
+
+
+def matching_blocks(x: np.ndarray, y: np.ndarray, most: int = 3_000_000) -> list[tuple[int, int, int]]:
+    """The blocks (start in x, start in y, size) of ``difflib.SequenceMatcher`` without junk, by its rule: the longest
+    (of equal ones the first in x, then in y), then the same on either side of it.
+
+    The runs of equal words on diagonals are found at once, and each side takes its runs along, cut at its border. Texts
+    with over ``most`` equal pairs of words go through ``difflib``, which doesn't hold them all.
+    """
+    order = np.argsort(y, kind="stable").astype(np.int32)
+    lo, hi = (np.searchsorted(y[order], x, side) for side in ("left", "right"))
+    count = hi - lo
+    if count.sum() > most:
+        return [tuple(m) for m in SequenceMatcher(None, x.tolist(), y.tolist(), autojunk=False).get_matching_blocks()]
+    i = np.repeat(np.arange(len(x), dtype=np.int32), count)
+    j = order[np.arange(len(i)) + np.repeat(lo - np.cumsum(count) + count, count)]
+    first = (i == 0) | (j == 0)
+    last = (i == len(x) - 1) | (j == len(y) - 1)
+    first[~first] = x[i[~first] - 1] != y[j[~first] - 1]
+    last[~last] = x[i[~last] + 1] != y[j[~last] + 1]
+    i, j, first, last = (z[first | last] for z in (i, j, first, last))
+    diagonal = np.lexsort((i, j - i)) if len(i) else np.zeros(0, int)
+    ends = i[diagonal][last[diagonal]]
+    i, j = (z[diagonal][first[diagonal]] for z in (i, j))
+    blocks, sides = [], [(i, j, ends - i + 1)]
+    while sides:
+        i, j, n = sides.pop()
+        if not len(n):
+            continue
+        size = int(n.max())
+        best = np.flatnonzero(n == size)
+        best = best[np.lexsort((j[best], i[best]))[0]] if len(best) > 1 else best[0]
+        a, b = int(i[best]), int(j[best])
+        blocks.append((a, b, size))
+        before = (i < a) & (j < b)
+        u, v = i[before], j[before]
+        sides.append((u, v, np.minimum(n[before], np.minimum(a - u, b - v))))
+        shift = np.maximum(np.maximum(a + size - i, b + size - j), 0)
+        behind = shift < n
+        shift = shift[behind]
+        sides.append((i[behind] + shift, j[behind] + shift, n[behind] - shift))
+    return [*sorted(blocks), (len(x), len(y), 0)]
 
 
 def align(x: np.ndarray, y: np.ndarray, x1: int, x2: int, y1: int, y2: int, reach: int = 8, min_words: int = 0, identity: float = 0.0) -> tuple[int, int, int, int, int]:
@@ -204,15 +259,15 @@ def align(x: np.ndarray, y: np.ndarray, x1: int, x2: int, y1: int, y2: int, reac
     pairs = [z[:-1].astype(np.uint64) << np.uint64(32) | z[1:] for z in (x, y)]
     if _common(x, y) < identity * min_words or _common(*pairs) < (3 * identity - 2) * min_words - 1:
         return x1, x2, y1, y2, 0
-    every = SequenceMatcher(None, x.tolist(), y.tolist(), autojunk=False).get_matching_blocks()
+    every = [Match(*m) for m in matching_blocks(x, y)]
     blocks = [m for m in every if m.size > 2]
     inside = [i for i, m in enumerate(blocks) if m.a < x2 and m.a + m.size > x1 and m.b < y2 and m.b + m.size > y1]
     if not inside:
         return x1, x2, y1, y2, 0
     lo, hi = inside[0], inside[-1]
-    starts = np.array([m.a for m in every])
-    sums = np.concatenate([[0], np.cumsum([m.size for m in every])])
-    equal = lambda m, n: int(sums[np.searchsorted(starts, n.a + n.size)] - sums[np.searchsorted(starts, m.a)])
+    starts = [m.a for m in every]
+    sums = [0, *accumulate(m.size for m in every)]
+    equal = lambda m, n: sums[bisect_left(starts, n.a + n.size)] - sums[bisect_left(starts, m.a)]
     gap = lambda m, n: max(n.a - m.a - m.size, n.b - m.b - m.size) - (equal(m, n) - m.size - n.size)
     while lo > 0 and gap(blocks[lo - 1], blocks[lo]) <= reach:
         lo -= 1
@@ -252,8 +307,8 @@ def _slices(docs: DataFrame, wanted: DataFrame, kind: str) -> DataFrame:
 
 
 def _by_doc(rows: DataFrame, columns: list[str], make, schema: str) -> DataFrame:
-    """``make(rows of whole documents)`` over rows sorted by document and position, streamed."""
-    ordered = rows.select("doc_id", "pos", *columns).repartition("doc_id").sortWithinPartitions("doc_id", "pos")
+    """``make(rows of whole documents)`` over ``rows``, which are dealt by document, sorted by document and position, streamed."""
+    ordered = rows.select("doc_id", "pos", *columns).sortWithinPartitions("doc_id", "pos")
 
     def run(batches):
         kept: list[pa.RecordBatch] = []
@@ -320,17 +375,17 @@ def _other_pairs(held: DataFrame, found: DataFrame, k: int, window: int, min_wor
         wide = (sizes > 1) & (pos[starts + sizes - 1] - pos[starts] + k + 2 * (k + window) >= min_words)
         yield rows.filter(pa.array(np.repeat(wide, sizes)))
 
-    bare = materialize(_by_doc(bare, ["token"], left, f"doc_id {kind}, pos int, token bigint"), "bare")
+    bare = materialize(_by_doc(bare.repartition("doc_id"), ["token"], left, f"doc_id {kind}, pos int, token bigint"), "bare")
     tokens = materialize(bare.select("token").distinct(), "tokens")
     few = F.broadcast(tokens) if tokens.count() <= broadcast_rows else tokens
-    marks = bare.select("doc_id", "pos", "token", F.lit(True).alias("bare")).distinct()
-    near = held.join(few, "token", "left_semi").select("doc_id", "pos", "token").distinct()
-    near = materialize(near.join(marks, ["doc_id", "pos", "token"], "left"), "near")
+    near = held.join(few, "token", "left_semi").select("doc_id", "pos", "token", F.lit(False).alias("bare"))
+    near = near.unionByName(bare.select("doc_id", "pos", "token", F.lit(True).alias("bare"))).repartition("doc_id")
+    near = near.groupBy("doc_id", "pos", "token").agg(F.max("bare").alias("bare"))  # dealt by document already
 
     def keyed(rows):
         pos, doc, run = _runs(rows, gap)
         token = rows.column("token").to_numpy()
-        sums = np.concatenate([[0], np.cumsum(rows.column("bare").fill_null(False).to_numpy(zero_copy_only=False).astype(int))])
+        sums = np.concatenate([[0], np.cumsum(rows.column("bare").to_numpy(zero_copy_only=False).astype(int))])
         key, a, b = spans(token, pos, run, reach)
         asked = sums[b + 1] > sums[a]
         # text that repeats itself: of one key's places close together in a document the first speaks for all
@@ -341,7 +396,7 @@ def _other_pairs(held: DataFrame, found: DataFrame, k: int, window: int, min_wor
         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), owner, pa.array(asked), pa.array(pos[a], pa.int32()), pa.array(pos[b], pa.int32())], names=["key", "doc_id", "bare", "p1", "p2"])
 
     keys = materialize(_by_doc(near, ["token", "bare"], keyed, f"key bigint, doc_id {kind}, bare boolean, p1 int, p2 int"), "keys")
-    release(bare, tokens, near, held)
+    release(bare, tokens, held)
     first = keys.groupBy("key").agg(F.min(F.struct("doc_id", "p1", "p2")).alias("pivot"), F.max("doc_id").alias("last"), F.max("bare").alias("asked"))
     first = first.where("pivot.doc_id <> last and asked").selectExpr("key", "pivot.doc_id as src", "pivot.p1 as q1", "pivot.p2 as q2")
     met = keys.where("bare").join(first, "key").where("doc_id <> src")
